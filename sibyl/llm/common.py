@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +92,35 @@ def n_words(text: Column) -> Column:
     """Words of a text, without Python: places where a word begins. Null: 0."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE))
     return F.when(F.trim(spaced) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(spaced), " +"))).cast("long")
+
+
+def map_columns(df: DataFrame, keep: Sequence[str], inputs: Sequence[Column], made: Sequence[tuple[str, str]], fn: Callable[..., Sequence], rows: int = 256) -> DataFrame:
+    """keep's columns untouched, and the columns that fn makes of the inputs, in one pass without a shuffle.
+
+    fn gets a list of values for each input, a few rows at a time, which bounds memory, and returns a list or array for
+    each of made, given as (name, type).
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    schema = StructType()
+    for i, c in enumerate(keep):
+        schema.add(f"k{i}", types[c])
+    arrow = []
+    for name, kind in made:
+        parsed = _parse_datatype_string(kind)
+        schema.add(name, parsed)
+        arrow.append(to_arrow_type(parsed))
+    chosen = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *[c.alias(f"x{i}") for i, c in enumerate(inputs)])
+    n_keep, n_in, names = len(keep), len(inputs), [f"k{i}" for i in range(len(keep))] + [m[0] for m in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, rows):
+                part = b.slice(k, rows)
+                got = fn(*[part.column(n_keep + i).to_pylist() for i in range(n_in)])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n_keep)] + [pa.array(g, t) for g, t in zip(got, arrow, strict=True)], names)
+
+    out = chosen.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(m[0]) for m in made])
