@@ -83,3 +83,40 @@ class Store:
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys in a sorted array."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def build(df, name: str, shards: int) -> Store:
+    """A store from a table: its first column is the key (long), the others are values (long). Keys must be distinct; they are mixed, so look them up by mix(key)."""
+    from pyspark.sql import functions as F
+
+    from .common import new_folder
+
+    names = df.columns
+    folder, kinds = new_folder(df.sparkSession, name), ("i8",) * (len(names) - 1)
+
+    def route(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            key = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(mix(key), shards).astype(np.int32)), *b.columns], ["shard", *names])
+
+    def put(batches):
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        for b in batches:
+            shard = b.column(0).to_numpy(zero_copy_only=False)
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+            for s in np.unique(shard):
+                held.setdefault(int(s), []).append([c[shard == s] for c in columns])
+        for s in sorted(held):
+            columns = [np.concatenate(c) for c in zip(*held.pop(s), strict=True)]
+            key = mix(columns[0].view(np.uint64))
+            order = np.argsort(key)
+            put_arrays(folder, s, [key[order], *[c[order] for c in columns[1:]]])
+            yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], ["n"])
+
+    columns = ", ".join(f"`{c}` long" for c in names)
+    df.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(route, f"shard int, {columns}").repartition(shards, "shard").mapInArrow(put, "n long").agg(F.sum("n")).first()
+    return Store(folder, shards, kinds)
