@@ -80,16 +80,16 @@ def copies(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most:
 def mix(docs: DataFrame, weights: Sequence[float], **options) -> DataFrame:
     """The mixed corpus: docs' columns, each document as often as it was taken. Rows that share id and text are dealt the copies of their group in turn."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = copies(docs, weights, **options).groupBy("doc_id", "_source", "_crc").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("_source").alias("_src"), F.col("_crc").alias("_hash"), "_copies", "_rows")
+    taken = copies(docs, weights, **options).groupBy("doc_id", "_source", "_crc").agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows"))
+    taken = taken.select(F.col("doc_id").alias("__mix_id"), F.col("_source").alias("__mix_src"), F.col("_crc").alias("__mix_hash"), "__mix_copies", "__mix_rows")
     source = options.get("source_col", "source")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_src")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"))
-    turn = Window.partitionBy("_id", "_src", "_hash").orderBy(F.lit(1))
+    same = F.col(id_col).eqNullSafe(F.col("__mix_id")) & F.col(source).eqNullSafe(F.col("__mix_src")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__mix_hash"))
+    turn = Window.partitionBy("__mix_id", "__mix_src", "__mix_hash").orderBy(F.lit(1))
     joined = docs.join(taken, same)
-    alone = joined.filter("_rows = 1").withColumn("_own", F.col("_copies"))
-    shared = joined.filter("_rows > 1").withColumn("_own", F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.row_number().over(turn) <= F.pmod(F.col("_copies"), F.col("_rows")), 1).otherwise(0))
+    alone = joined.filter("__mix_rows = 1").withColumn("__mix_own", F.col("__mix_copies"))
+    shared = joined.filter("__mix_rows > 1").withColumn("__mix_own", F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + F.when(F.row_number().over(turn) <= F.pmod(F.col("__mix_copies"), F.col("__mix_rows")), 1).otherwise(0))
     every = alone.unionByName(shared)
-    return every.filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*[every[c] for c in docs.columns])
+    return every.filter("__mix_own > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_own").cast("int")))).select(*[every[c] for c in docs.columns])
 
 
 def mixed_words(docs: DataFrame, weights: Sequence[float], **options) -> DataFrame:

@@ -187,12 +187,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """docs with the repeated paragraphs' lines cut from their texts; documents of which nothing is left go. length_col, where there is one, is counted anew for changed texts."""
-    gone = repeated(docs, id_col, text_col, **options).filter("NOT kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_list("paragraph").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
+    gone = repeated(docs, id_col, text_col, **options).filter("NOT kept").groupBy(F.col("doc_id").alias("__cut_gone_id")).agg(F.collect_list("paragraph").alias("__cut_gone"))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__cut_gone_id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    changed = F.col("_gone").isNotNull()
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__cut_gone"), i)), "\n")
+    changed = F.col("__cut_gone").isNotNull()
     text = F.when(changed, left).otherwise(F.col(text_col))
-    out = joined.withColumn("_text", text).filter(~changed | (F.trim(F.translate("_text", "\n\t\r", "   ")) != ""))
-    made = [F.col("_text").alias(c) if c == text_col else F.when(changed, F.length("_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    out = joined.withColumn("__cut_text", text).filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r", "   ")) != ""))
+    made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*made)

@@ -174,3 +174,8 @@ def scored(docs: DataFrame, machine: FactorisationMachine, keep: list[str], text
         return [model.value.score(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), starts)]
 
     return map_columns(docs, keep, [F.col(text_col), *[F.col(c).cast("double") for c in metadata]], [(column, "double")], score)
+
+
+def accepted(docs: DataFrame, machine: FactorisationMachine, threshold: float = 0.7, text_col: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the rows that score under the threshold; columns and values stay as they are."""
+    return scored(docs, machine, docs.columns, text_col, metadata, "__quality_score").filter(F.col("__quality_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_lm, packing, paragraphs, pivot_search, quality, rules, sharding, simhash
+from . import mixing, ngram_lm, packing, paragraphs, pivot_search, quality, rules, sharding, simhash, suffix
 from .common import fold
 
 
@@ -33,6 +33,12 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), packing.public_encoder())
 
@@ -60,7 +66,7 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_factorisation_machine, op2_golay_simhash, op3_rendezvous_sharding, op4_paragraph_minhash, op6_grouping_genetic_packing, op7_decision_list, op8_pareto_mixing, op9_pivot_search, op10_kneser_ney)
+    found = (op1_factorisation_machine, op2_golay_simhash, op3_rendezvous_sharding, op4_paragraph_minhash, op5_suffix_array_dedup, op6_grouping_genetic_packing, op7_decision_list, op8_pareto_mixing, op9_pivot_search, op10_kneser_ney)
     return {f.__name__: f for f in found}
 
 
