@@ -6,8 +6,6 @@ pairs of trees that Spark deals out; a pair's table has as many cells as the pro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,18 +121,22 @@ def edit_distance(first: list, second: list, cost: float = 3.0, stop_words: bool
     return distance, sorted(edits, key=lambda e: (e[1], e[2]))
 
 
-@F.pandas_udf("double")
-def tree_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def tree_distance(first: Column | str, second: Column | str) -> Column:
     """Distance of two trees (arrays of nodes), over the sum of their nodes; null for a null tree."""
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else edit_distance(list(x), list(y))[0] / max(1, len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y))[0] / max(1, len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(distances, "double")(first, second)
 
 
-@F.pandas_udf("array<struct<type: string, a: int, b: int>>")
-def tree_edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def tree_edits(first: Column | str, second: Column | str) -> Column:
     """Edits that turn the first tree into the second."""
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else [{"type": t, "a": i, "b": j} for t, i, j in edit_distance(list(x), list(y))[1]] for x, y in zip(a, b, strict=True)])
+
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else [{"type": t, "a": i, "b": j} for t, i, j in edit_distance(list(x), list(y))[1]] for x, y in zip(a, b, strict=True)])
+
+    return F.pandas_udf(edits, "array<struct<type: string, a: int, b: int>>")(first, second)
 
 
 def tree_nodes(tokens: Column, heads: Column) -> Column:

@@ -51,7 +51,7 @@ def base_features(candidates: DataFrame, matches: DataFrame, keys: Sequence[str]
     first = matches.withColumn("_i", F.row_number().over(w)).filter("_i = 1").drop("_i")
     distance = clue_distance(F.col("begin"), F.col("end"), F.col("clue_begin"), F.col("clue_end"))
     joined = candidates.join(first.select(*keys, "clue_begin", "clue_end"), list(keys), "left")
-    return joined.select(*candidates.columns, F.lit(1).alias("occurences"), F.log1p("score").alias("passageLogScore"), F.exp(-distance).alias("psgDistClue"))
+    return joined.select(*candidates.columns, F.lit(1).alias("occurences"), F.log1p("score").alias("passageLogScore"), F.when(F.col("clue_begin").isNotNull(), F.exp(-distance)).alias("psgDistClue"))
 
 
 def merge_by_text(candidates: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:

@@ -59,19 +59,23 @@ def merge_by_canonical_text(rows: DataFrame, canon: Column, features: Sequence[s
 
 
 def _case(text: Column, other: Column, boundary: str) -> Column:
-    """Which way `other` is a part of text, or text a part of it; the first case that holds counts."""
-    def quote(c: Column) -> Column:
-        return F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    """Which way `other` is a part of text, or text a part of it; the first case that holds counts.
 
-    def at(pattern: str, whole: Column, part: Column) -> Column:
-        before, after = pattern.split("@")
-        return F.regexp_like(whole, F.concat(F.lit("(?s)" + before), quote(part), F.lit(after)))
+    Beginnings and ends are compared as strings, so that only the innermost case needs a pattern made of the text.
+    """
+    def starts(whole: Column, part: Column) -> Column:
+        return whole.startswith(part) & F.substring(whole, F.length(part) + 1, F.length(whole)).rlike(f"^{boundary}")
+
+    def ends(whole: Column, part: Column) -> Column:
+        return whole.endswith(part) & F.substring(whole, F.lit(1), F.length(whole) - F.length(part)).rlike(f"{boundary}$")
+
+    def inside(whole: Column, part: Column) -> Column:
+        return F.contains(whole, part) & F.regexp_like(whole, F.concat(F.lit(boundary + r"\Q"), part, F.lit(r"\E" + boundary)))
 
-    prefix, suffix, inside = f"^@{boundary}", f"{boundary}@$", f"{boundary}@{boundary}"
     return (
-        F.when(at(prefix, text, other), "prefixed").when(at(prefix, other, text), "prefixing")
-        .when(at(suffix, text, other), "suffixed").when(at(suffix, other, text), "suffixing")
-        .when(at(inside, text, other), "substred").when(at(inside, other, text), "substring")
+        F.when(starts(text, other), "prefixed").when(starts(other, text), "prefixing")
+        .when(ends(text, other), "suffixed").when(ends(other, text), "suffixing")
+        .when(inside(text, other), "substred").when(inside(other, text), "substring")
     )
 
 

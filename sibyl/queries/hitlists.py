@@ -20,25 +20,24 @@ def fv_merge(s: SparkSession, d: str) -> DataFrame:
 
 def hitlist_merge(s: SparkSession, d: str) -> DataFrame:
     rows = hits(s, d).withColumn("o1", F.when(F.col("flag") == "R", 1.0)).withColumn("o2", F.when(F.col("line") > 2, 1.0))
-    return hl.merge_hitlist(rows, [*FS, "o1", "o2"], ["o1", "o2"], more=[F.round(F.max("confidence"), 4).alias("confidence")])
+    return hl.merge_hitlist(rows, [*FS, "o1", "o2"], ["o1", "o2"], more=[F.max("confidence").alias("confidence")])
 
 
 def hitlist_overlay(s: SparkSession, d: str) -> DataFrame:
-    best = hits(s, d).groupBy("qid", "text").agg(F.round(F.max("confidence"), 4).alias("confidence"), F.max("f1").alias("f1"))
-    new = hits(s, d).filter("flag = 'R'").groupBy("qid", "text").agg(F.round(F.min("confidence") + 1, 4).alias("confidence"), F.min("f1").alias("f1"))
+    best = hits(s, d).groupBy("qid", "text").agg(F.max("confidence").alias("confidence"), F.max("f1").alias("f1"))
+    new = hits(s, d).filter("flag = 'R'").groupBy("qid", "text").agg((F.min("confidence") + 1).alias("confidence"), F.min("f1").alias("f1"))
     return hl.overlay(best.filter("f1 > 10"), new, ["qid", "text"], ["confidence", "f1"])
 
 
 def hitlist_topk(s: SparkSession, d: str) -> DataFrame:
     rows = hits(s, d).groupBy("qid", "text").agg(F.max("confidence").alias("confidence"))
-    return hl.ranked(rows).filter("rank <= 3").select("qid", "text", F.round("confidence", 4).alias("confidence"), "rank")
+    return hl.ranked(rows).filter("rank <= 3").select("qid", "text", "confidence", "rank")
 
 
 def text_merge(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("text"), "p_name")
     rows = hits(s, d).groupBy("qid", "text").agg(F.max("confidence").alias("confidence"), F.lit(1).alias("occurences"), F.max("f2").alias("f2")).join(names, "text")
-    out = hl.merge_by_canonical_text(rows, F.col("p_name"), ["f2"])
-    return out.withColumn("confidence", F.round("confidence", 4))
+    return hl.merge_by_canonical_text(rows, F.col("p_name"), ["f2"])
 
 
 def _forms(s: SparkSession, d: str) -> DataFrame:
@@ -48,18 +47,17 @@ def _forms(s: SparkSession, d: str) -> DataFrame:
     return li.join(both, "p_partkey").groupBy("qid", F.col("form").alias("text")).agg((F.max("l_quantity") / 64).alias("confidence"))
 
 
+#: Of these forms none lies inside another, so the last two cases don't arise.
 _FORMS_SQL = """forms AS (
   SELECT l_orderkey AS qid, form AS text, max(l_quantity) / 64 AS confidence FROM lineitem JOIN (
     SELECT p_partkey, unnest([p_name, p_type || ', ' || p_name, p_name || ' - ' || p_brand]) AS form FROM part) ON l_partkey = p_partkey GROUP BY ALL),
 pairs AS (
   SELECT a.qid, a.text, b.text AS other, b.confidence AS oc, CASE
-    WHEN regexp_matches(a.text, '^' || regexp_escape(b.text) || '\\s*[.,:;()–-]\\s*') THEN 'prefixed'
-    WHEN regexp_matches(b.text, '^' || regexp_escape(a.text) || '\\s*[.,:;()–-]\\s*') THEN 'prefixing'
-    WHEN regexp_matches(a.text, '\\s*[.,:;()–-]\\s*' || regexp_escape(b.text) || '$') THEN 'suffixed'
-    WHEN regexp_matches(b.text, '\\s*[.,:;()–-]\\s*' || regexp_escape(a.text) || '$') THEN 'suffixing'
-    WHEN regexp_matches(a.text, '\\s*[.,:;()–-]\\s*' || regexp_escape(b.text) || '\\s*[.,:;()–-]\\s*') THEN 'substred'
-    WHEN regexp_matches(b.text, '\\s*[.,:;()–-]\\s*' || regexp_escape(a.text) || '\\s*[.,:;()–-]\\s*') THEN 'substring' END AS c
-  FROM forms a JOIN forms b ON a.qid = b.qid AND a.text <> b.text)""".replace("\\\\", "\\")
+    WHEN starts_with(a.text, b.text) AND regexp_matches(substr(a.text, length(b.text) + 1), '^\\s*[.,:;()–-]\\s*') THEN 'prefixed'
+    WHEN starts_with(b.text, a.text) AND regexp_matches(substr(b.text, length(a.text) + 1), '^\\s*[.,:;()–-]\\s*') THEN 'prefixing'
+    WHEN ends_with(a.text, b.text) AND regexp_matches(left(a.text, length(a.text) - length(b.text)), '\\s*[.,:;()–-]\\s*$') THEN 'suffixed'
+    WHEN ends_with(b.text, a.text) AND regexp_matches(left(b.text, length(b.text) - length(a.text)), '\\s*[.,:;()–-]\\s*$') THEN 'suffixing' END AS c
+  FROM forms a JOIN forms b ON a.qid = b.qid AND a.text <> b.text AND (contains(a.text, b.text) OR contains(b.text, a.text)))""".replace("\\\\", "\\")
 
 
 def _diffusion(policy: str, every: bool) -> Query:
@@ -77,7 +75,7 @@ def hitlist_zscore(s: SparkSession, d: str) -> DataFrame:
 
 
 _EXPAND_SQL = HITS_SQL + ", stats AS (SELECT *, " + ", ".join(f"avg(coalesce({f}, 0)) OVER w AS m_{f}, stddev_pop(coalesce({f}, 0)) OVER w AS s_{f}" for f in FS) + " FROM hits WINDOW w AS (PARTITION BY qid))"
-_COLUMNS = {f: (f"coalesce({f}, 0.0)", f"CASE WHEN s_{f} = 0 THEN 0.0 ELSE (coalesce({f}, 0) - m_{f}) / s_{f} END", f"CASE WHEN {f} IS NULL THEN 1.0 ELSE 0.0 END") for f in FS}
+_COLUMNS = {f: (f"coalesce({f}, 0.0)", f"CASE WHEN s_{f} = 0 THEN 0.0 ELSE (coalesce({f}, 0) - m_{f}) / s_{f} END", f"CASE WHEN {f} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END") for f in FS}
 _WEIGHTS, _INTERCEPT = {"f1": (0.02, 0.5, 0.0), "f2": (-3.0, 0.25, 0.0), "f3": (4.0, -0.5, 0.75)}, -1.0
 
 
@@ -111,7 +109,7 @@ def score_simple(s: SparkSession, d: str) -> DataFrame:
 
 def score_carry(s: SparkSession, d: str) -> DataFrame:
     rows = sc.carry_over(hits(s, d), "")
-    return hl.merge_vectors(rows, ["qid", "text"], ["phase0Score"]).withColumn("phase0Score", F.round("phase0Score", 4))
+    return hl.merge_vectors(rows, ["qid", "text"], ["phase0Score"])
 
 
 def reference_answer(s: SparkSession, d: str) -> DataFrame:
@@ -189,15 +187,15 @@ _TREE = "CASE WHEN coalesce(f1, 0) <= 25 THEN -1.0 WHEN coalesce(f3, 0) <= 0.04
 QUERIES = {
     "fv_merge": Query(fv_merge, f"WITH {HITS_SQL} SELECT qid, text, CAST(sum(occurences) AS BIGINT) AS occurences, {_MERGE} FROM hits GROUP BY qid, text"),
     "hitlist_merge": Query(hitlist_merge, f"""WITH {HITS_SQL}, o AS (SELECT *, CASE WHEN flag = 'R' THEN 1.0::DOUBLE END AS o1, CASE WHEN line > 2 THEN 1.0::DOUBLE END AS o2 FROM hits)
-      SELECT qid, text, CAST(sum(occurences) AS BIGINT) AS occurences, {_MERGE}, max(o1) AS o1, max(o2) AS o2, round(max(confidence), 4) AS confidence, CASE WHEN coalesce(max(o1), 0) + coalesce(max(o2), 0) > 1 THEN 1.0::DOUBLE END AS originMultiple FROM o GROUP BY qid, text"""),
-    "hitlist_overlay": Query(hitlist_overlay, f"""WITH {HITS_SQL}, a AS (SELECT qid, text, round(max(confidence), 4) AS confidence, max(f1) AS f1 FROM hits GROUP BY qid, text HAVING max(f1) > 10),
-      b AS (SELECT qid, text, round(min(confidence) + 1, 4) AS confidence, min(f1) AS f1 FROM hits WHERE flag = 'R' GROUP BY qid, text)
+      SELECT qid, text, CAST(sum(occurences) AS BIGINT) AS occurences, {_MERGE}, max(o1) AS o1, max(o2) AS o2, max(confidence) AS confidence, CASE WHEN coalesce(max(o1), 0) + coalesce(max(o2), 0) > 1 THEN 1.0::DOUBLE END AS originMultiple FROM o GROUP BY qid, text"""),
+    "hitlist_overlay": Query(hitlist_overlay, f"""WITH {HITS_SQL}, a AS (SELECT qid, text, max(confidence) AS confidence, max(f1) AS f1 FROM hits GROUP BY qid, text HAVING max(f1) > 10),
+      b AS (SELECT qid, text, min(confidence) + 1 AS confidence, min(f1) AS f1 FROM hits WHERE flag = 'R' GROUP BY qid, text)
       SELECT coalesce(b.qid, a.qid) AS qid, coalesce(b.text, a.text) AS text, coalesce(b.confidence, a.confidence) AS confidence, coalesce(b.f1, a.f1) AS f1 FROM a FULL JOIN b ON a.qid = b.qid AND a.text = b.text"""),
     "hitlist_topk": Query(hitlist_topk, f"""WITH {HITS_SQL}, m AS (SELECT qid, text, max(confidence) AS c FROM hits GROUP BY qid, text), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY c DESC, text) AS INTEGER) AS rank FROM m)
-      SELECT qid, text, round(c, 4) AS confidence, rank FROM r WHERE rank <= 3"""),
+      SELECT qid, text, c AS confidence, rank FROM r WHERE rank <= 3"""),
     "text_merge": Query(text_merge, f"""WITH {HITS_SQL}, m AS (SELECT qid, text, max(confidence) AS c, max(f2) AS f2 FROM hits GROUP BY qid, text),
       r AS (SELECT m.*, p_name AS canon_text, row_number() OVER (PARTITION BY qid ORDER BY c DESC, text) AS rk FROM m JOIN part ON text = 'p' || p_partkey)
-      SELECT qid, canon_text, count(*) AS occurences, CASE WHEN max(f2) >= 0 OR count(f2) = count(*) THEN max(f2) END AS f2, arg_min(text, rk) AS text, round(max(c), 4) AS confidence FROM r GROUP BY qid, canon_text"""),
+      SELECT qid, canon_text, count(*) AS occurences, CASE WHEN max(f2) >= 0 OR count(f2) = count(*) THEN max(f2) END AS f2, arg_min(text, rk) AS text, max(c) AS confidence FROM r GROUP BY qid, canon_text"""),
     "evidence_diffusion_sum": _diffusion("sum", False),
     "evidence_diffusion_decay": _diffusion("decay", False),
     "evidence_diffusion_max": _diffusion("max", True),
@@ -206,7 +204,7 @@ QUERIES = {
     "score_forest": Query(score_forest, f"WITH {HITS_SQL} SELECT qid, text, line, round(1 / (1 + exp(-(-0.5 + 0.5 * ({_TREE})))), 4) AS score FROM hits"),
     "score_simple": Query(score_simple, f"""WITH {HITS_SQL} SELECT qid, text, line, round(CASE WHEN flag <> 'N' THEN exp(-line / 2.0) ELSE exp(-4) END * CASE WHEN flag = 'R' THEN exp(1) ELSE 1 END * occurences *
       CASE WHEN f3 IS NOT NULL THEN ln(1 + f1) WHEN flag = 'A' THEN ln(3) ELSE 0 END * ln(1 + confidence), 4) AS score FROM hits"""),
-    "score_carry": Query(score_carry, f"WITH {HITS_SQL} SELECT qid, text, CAST(sum(occurences) AS BIGINT) AS occurences, round(max(confidence), 4) AS phase0Score FROM hits GROUP BY qid, text"),
+    "score_carry": Query(score_carry, f"WITH {HITS_SQL} SELECT qid, text, CAST(sum(occurences) AS BIGINT) AS occurences, max(confidence) AS phase0Score FROM hits GROUP BY qid, text"),
     "reference_answer": Query(reference_answer, f"""WITH {_FORMS_SQL}, m AS (SELECT * FROM forms WHERE contains(text, 'widget')), b AS (SELECT qid, first(text ORDER BY confidence DESC, text DESC) AS best FROM m GROUP BY qid)
       SELECT qid, best, text FROM (SELECT m.qid, best, text, row_number() OVER (PARTITION BY m.qid ORDER BY length(text), confidence DESC, text) AS i FROM m JOIN b ON m.qid = b.qid AND contains(best, text)) WHERE i = 1"""),
     "eval_accuracy_mrr": Query(eval_accuracy_mrr, f"""WITH {HITS_SQL}, {_run_sql("r")} SELECT count(*) AS n, count(*) FILTER (rank = 0) AS n_first, count(*) FILTER (rank >= 0) AS n_found, round(count(*) FILTER (rank = 0) / count(*), 6) AS accuracy,
@@ -217,8 +215,8 @@ QUERIES = {
     "eval_rank_curve": Query(eval_rank_curve, f"""WITH {HITS_SQL}, {_run_sql("r")}, o AS (SELECT row_number() OVER (ORDER BY rank) AS place, rank FROM r WHERE rank >= 0)
       SELECT CAST(i AS BIGINT) AS place, CAST(rank AS INTEGER) AS rank FROM range(1, 501) t(i) LEFT JOIN o ON o.place = i"""),
     "eval_pr_roc": Query(eval_pr_roc, f"""WITH {HITS_SQL}, p AS (SELECT f1 AS score, count(*) FILTER (flag = 'R') AS t, count(*) AS n FROM hits GROUP BY f1),
-      c AS (SELECT score, CAST(sum(t) OVER w AS BIGINT) AS t, CAST(sum(n) OVER w AS BIGINT) AS n, sum(t) OVER () AS at, sum(n) OVER () AS an FROM p WINDOW w AS (ORDER BY score DESC))
-      SELECT score, t AS n_correct, n AS n_taken, round(t / n, 6) AS "precision", round(t / at, 6) AS recall, round((n - t) / (an - at), 6) AS fp_rate FROM c"""),
+      c AS (SELECT score, CAST(sum(t) OVER w AS BIGINT) AS t, CAST(sum(n) OVER w AS BIGINT) AS n, sum(t) OVER () AS all_t, sum(n) OVER () AS all_n FROM p WINDOW w AS (ORDER BY score DESC))
+      SELECT score, t AS n_correct, n AS n_taken, round(t / n, 6) AS "precision", round(t / all_t, 6) AS recall, round((n - t) / (all_n - all_t), 6) AS fp_rate FROM c"""),
     "eval_feature_stats": Query(eval_feature_stats, f"""WITH {HITS_SQL}, {_LONG_SQL.format(n="l", w="true")}, t AS (SELECT count(DISTINCT qid) AS q, count(*) AS a, sum(correct) AS c FROM (SELECT DISTINCT qid, answer, correct FROM l)),
       e AS (SELECT feature, count(DISTINCT qid) AS n_questions, count(*) AS n_answers, CAST(sum(correct) AS BIGINT) AS n_correct FROM l GROUP BY feature), x AS (SELECT e.*, n_questions / q AS qs, n_answers / a AS a_s, (n_correct / n_answers) / (c / a) AS li FROM e, t)
       SELECT feature, n_questions, n_answers, n_correct, round(qs, 6) AS question_share, round(a_s, 6) AS answer_share, round(li, 6) AS lift,
