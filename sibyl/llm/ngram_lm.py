@@ -26,9 +26,9 @@ from .store import Store, mix, put_arrays, runs, shard_of
 #: Ids beyond the 48 bits of a word's hash.
 END, BEGIN = np.int64(1 << 48), np.int64((1 << 48) + 1)
 #: Bytes of text for each shard of the tables.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 8_000_000
 #: Words whose hashes a worker keeps, and words whose pairs it counts at once.
-MOST_KEPT, MOST_AT_ONCE = 300_000, 600_000
+MOST_KEPT, MOST_AT_ONCE = 200_000, 400_000
 
 
 class _Ids(dict):
@@ -221,7 +221,7 @@ def scored(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "
         base = np.log10((count + 1) / (model.n_tokens + model.n_types + 1))
         return [sizes, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)]
 
-    return map_columns(docs, keep, [F.col(text_col)], [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")], score, rows=1024)
+    return map_columns(docs, keep, [F.col(text_col)], [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")], score, rows=512)
 
 
 def perplexity(score: Column, n_tokens: Column) -> Column:
