@@ -55,7 +55,7 @@ def inputs(text: str | None, metadata: tuple = ()) -> tuple[np.ndarray, np.ndarr
     """Indices and values of one document. Null text is the empty text; a null or non-finite metadata number has an input of its own."""
     text = text or ""
     at = sorted({crc32(w) % BUCKETS for w in text.lower().encode("utf-8", "surrogatepass").split()})
-    values = [1 / len(at) ** 0.5] * len(at)
+    values = [1 / max(1, len(at)) ** 0.5] * len(at)
     base = BUCKETS
     for _, v in _structure(text_statistics(text)):
         at += [base + min(STEPS - 1, int(v * STEPS)), base + STEPS]
