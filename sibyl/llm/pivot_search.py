@@ -91,8 +91,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     width, longest = rows.agg(F.max(F.size("v")), F.max(square)).first()
     width, longest = width or 0, math.sqrt(longest or 0.0)
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
-    chosen = np.array([r[0] for r in rows.orderBy(F.xxhash64("v"), "row").limit(pivots).select("v").collect()], float).reshape(-1, width)  # at most `pivots` rows
-    chosen = np.unique(chosen, axis=0) if len(chosen) else np.zeros((1, width))
+    found_pivots = [r[0] for r in rows.orderBy(F.xxhash64("v"), "row").limit(pivots).select("v").collect()]  # at most `pivots` rows
+    chosen = np.unique(np.array(found_pivots, float).reshape(len(found_pivots), width), axis=0) if found_pivots and width else np.zeros((1, width))
     chosen_top = np.sqrt(np.maximum(longest**2 - (chosen**2).sum(1), 0))
 
     def key(v: list) -> list[np.ndarray]:
