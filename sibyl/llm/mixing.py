@@ -74,7 +74,15 @@ def copies(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most:
         took = summed.withColumn("_took", F.when((F.col("_try") > 0) & (F.col("_to") <= F.col("_gap")), F.lit(1)).otherwise(F.lit(0)))
         filled = took.groupBy("_source").agg(F.sum(F.col("_took") * F.col("size")).alias("_filled")).withColumnRenamed("_source", "_of")
         rows = took.join(filled, F.col("_source").eqNullSafe(F.col("_of"))).select(*[c for c in rows.columns if c not in ("_more", "_gap")], (F.col("_gap") - F.col("_filled")).alias("_gap"), (F.col("_more") + F.col("_took")).alias("_more"))
-    return rows.select("doc_id", "size", "_source", "source_size", "target", (F.col("_whole") + F.col("_more")).alias("copies"), "_crc")
+    # what is left may be nearer to one document more than to none: of each source the one nearest to the gap, if it lessens it
+    near = F.struct(F.abs(F.col("size") - F.col("_gap")).alias("off"), "_odds", "doc_id", "_crc")
+    open_ = rows.filter((F.col("_more") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")))
+    last = open_.groupBy("_source").agg(F.min(near).alias("_near")).select(F.col("_source").alias("_of"), F.col("_near._odds").alias("_at"), F.col("_near.doc_id").alias("_id"), F.col("_near._crc").alias("_text"))
+    chosen = F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_odds") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_text"))
+    equal = Window.partitionBy("_source", "_odds", "doc_id", "_crc").orderBy(F.desc("_more"))
+    rows = rows.join(last, chosen, "left").withColumn("_i", F.row_number().over(equal) - F.sum("_more").over(Window.partitionBy("_source", "_odds", "doc_id", "_crc")))
+    more = F.col("_more") + F.when(F.col("_of").isNotNull() & (F.col("_more") == 0) & (F.col("_i") == 1), 1).otherwise(0)
+    return rows.select("doc_id", "size", "_source", "source_size", "target", (F.col("_whole") + more).alias("copies"), "_crc")
 
 
 def mix(docs: DataFrame, weights: Sequence[float], **options) -> DataFrame:
