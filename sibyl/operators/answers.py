@@ -59,7 +59,8 @@ def answer_focus(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     heads = edges.select("answer", F.col("gov").alias("i")).distinct().join(edges.select("answer", F.col("dep").alias("i")), ["answer", "i"], "left_anti")
     at = tokens.join(heads.withColumn("_head", F.lit(1)), ["answer", "i"], "left")
     whole = tokens.groupBy("answer").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("begin", "text"))), lambda x: x["text"]), " ").alias("_t"))
-    rule = F.when(F.col("_head") == 1, F.struct(F.lit(1).alias("r"), F.col("begin").alias("b"))).when(F.col("pos").rlike("^NN"), F.struct(F.lit(2), F.col("begin"))).when(F.col("pos").rlike("^(RB|JJ|CD)"), F.struct(F.lit(3), -F.col("begin")))
+    rules = ((F.col("_head") == 1, 1, F.col("begin")), (F.col("pos").rlike("^NN"), 2, F.col("begin")), (F.col("pos").rlike("^(RB|JJ|CD)"), 3, -F.col("begin")))
+    rule = F.coalesce(*[F.when(holds, F.struct(F.lit(n).alias("r"), at.alias("b"))) for holds, n, at in rules])
     found = at.filter(rule.isNotNull()).groupBy("answer").agg(F.min_by("i", rule).alias("focus"))
     return found.join(whole, "answer").filter(~tx.is_quantity(F.col("_t"))).select("answer", "focus")
 
