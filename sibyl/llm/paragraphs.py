@@ -115,7 +115,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """doc_id, paragraph (line number from 0), class_doc_id, class_paragraph, kept: every paragraph that is equal or similar to another, directly or through others.
 
     The class is named by its first paragraph, which alone is kept. Rows without an id have no paragraphs; rows that share
-    an id and text have theirs once. Null and empty texts have none. An empty table gives no rows.
+    an id and text have theirs once, and rows of one id and different texts are told apart by line number alone. Null and empty texts have none. An empty table gives no rows.
     """
     bands, rows = tuned_bands(similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).filter("doc_id IS NOT NULL")

@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     y = got["_label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         machine.w0 = 0.0 if not len(y) else (3.0 if y[0] == 1 else -3.0)
+        machine.v[:] = 0
         return machine
     data = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x in zip(got["at"], got["x"], strict=True)]
     apart = np.arange(len(y)) % 3 == 2
