@@ -130,3 +130,9 @@ def path_metrics(predicted: DataFrame, gold: DataFrame, keys: Sequence[str] = ("
     sizes = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     joined = by.join(sizes, list(keys), "left")
     return joined.agg(F.avg("any").alias("any_recall"), F.avg("all").alias("all_recall"), F.avg(F.col("hits") / F.nullif(F.coalesce("n", F.lit(0)), F.lit(0))).alias("path_precision"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def exact_ranks(answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, rank): the first rank, from 0, at which an answer equals one of the gold answers (column answers), -1 for none."""
+    hits = answers.join(gold, "qid").filter(F.array_contains("answers", F.col("text"))).groupBy("qid").agg(F.min("rank").alias("rank"))
+    return gold.select("qid").join(hits, "qid", "left").withColumn("rank", F.coalesce("rank", F.lit(-1)))

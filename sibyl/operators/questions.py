@@ -1,7 +1,7 @@
 """Question analysis over parsed tokens, and clues.
 
 Tokens: (qid, i, begin, end, text, lemma, pos). Edges: (qid, gov, dep, rel), both ends token numbers. Parsers are not part of this
-library; any table of this shape will do, and `functions.annotate` has rule-based stand-ins.
+library; any table of this shape will do, and `functions.annotate` has rule-based stand-ins for some.
 """
 
 from __future__ import annotations

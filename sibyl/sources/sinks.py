@@ -102,3 +102,10 @@ def embedding_lines(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     head = questions.select("qid", F.lit(0).alias("n"), F.concat(F.lit("<Q> "), F.array_join("words", " ")).alias("line"))
     body = candidates.select("qid", F.lit(1).alias("n"), F.concat_ws(" ", F.col("label").cast("string"), F.array_join("words", " ")).alias("line"))
     return head.unionByName(body)
+
+
+def ask(questions: DataFrame, folder: str) -> None:
+    """Puts questions (qid, text, concepts, artificial_clue) into the folder that the question stream reads; those without text are refused."""
+    if not questions.filter("text IS NULL OR trim(text) = ''").isEmpty():
+        raise ValueError("a question needs a text")
+    questions.write.mode("append").json(folder)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sibyl import model
+from sibyl.functions import annotate
 from sibyl.functions import text as tx
 from sibyl.functions import trees
 from sibyl.operators import answers as an
@@ -215,3 +216,36 @@ def test_logistic_and_chains(spark):
     tree = {"labels": ["f"], "forest": [{"children_left": [1, -1, -1], "children_right": [2, -1, -1], "features": [0, 0, 0], "thresholds": [0.5, 0, 0], "values": [0, 1.0, 2.0]}]}
     nodes = spark.createDataFrame(tr.tree_rows(tree), "tree int, node int, left int, right int, feature string, threshold double, value double")
     assert {(r.path, r.value) for r in tr.chains(nodes).collect()} == {("f<=0.5", 1.0), ("f>0.5", 2.0)}
+
+
+def test_annotators(spark):
+    df = spark.createDataFrame([(1, "Who paid $5 for ladies' boxes in May 1999, at 5% or 10:30?")], "k int, text string")
+    toks = {r.text: r for r in an_tokens(df).collect()}
+    text = df.first().text
+    assert all(text[r.begin : r.end] == w for w, r in toks.items() if text.count(w) == 1)
+    assert toks["ladies"].lemma == "lady" and toks["boxes"].lemma == "box" and toks["Who"].pos == "WP" and toks["1999"].pos == "CD"
+    assert {(r.kind, r.text) for r in annotate.entities(df, "k").collect()} == {("money", "$5"), ("date", "May 1999"), ("percentage", "5%"), ("time", "10:30")}
+    names = spark.createDataFrame([("ladies boxes", "x"), ("in May", "place"), ("paid for", "x")], "name string, kind string")
+    assert {r.text for r in annotate.listed_entities(an_tokens(df), names, "k").collect()} == {"in May"} | {"ladies boxes"}
+
+
+def an_tokens(df):
+    return annotate.tokens(df, "k")
+
+
+def test_governed(spark):
+    edges = spark.createDataFrame([("q", 0, 1, "prep_of"), ("q", 1, 2, "amod"), ("q", 2, 3, "det")], "qid string, gov int, dep int, rel string")
+    assert {(r.head, r.dep) for r in annotate.governed(edges).collect()} == {(0, 1), (0, 2), (1, 2), (2, 3)}
+
+
+def test_exact_ranks_and_asking(spark, tmp_path):
+    answers = spark.createDataFrame([("1", 0, "x"), ("1", 1, "y")], "qid string, rank int, text string")
+    gold = spark.createDataFrame([("1", ["y", "z"]), ("2", ["q"])], "qid string, answers array<string>")
+    assert {(r.qid, r.rank) for r in ev.exact_ranks(answers, gold).collect()} == {("1", 1), ("2", -1)}
+    asked = spark.createDataFrame([("1", "Who?")], "qid string, text string")
+    sinks.ask(asked, str(tmp_path / "q"))
+    got = []
+    lc.stream_batches(readers.questions_stream(spark, str(tmp_path / "q")), lambda b, _: got.extend(r.text for r in b.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert got == ["Who?"]
+    with pytest.raises(ValueError, match="text"):
+        sinks.ask(asked.withColumn("text", F.lit("")), str(tmp_path / "q"))
