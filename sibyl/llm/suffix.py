@@ -32,8 +32,8 @@ LENGTH, ANCHOR = 50, 16
 #: Strings of LENGTH that hold one anchor, and bytes of a context on either side of the anchor.
 WINDOW = LENGTH - ANCHOR + 1
 SIDE = WINDOW - 1
-#: Anchors of a shard in the first pass, contexts of a suffix array, and contexts of one anchor beyond which it is spread over shards.
-ANCHORS_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 400_000, 20_000, 20_000
+#: Anchors of a shard in the first pass, contexts of a suffix array (they bound a task's memory), and places of one anchor beyond which it is spread over shards.
+ANCHORS_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 400_000, 5_000, 20_000
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -231,7 +231,7 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
                 hashes.append(h)
                 docs.append(d + row)
                 held, row = held + len(h), row + len(bounds)
-                if held >= 1_500_000:
+                if held >= 600_000:
                     yield flush()
                     hashes, docs, held = [], [], 0
         if hashes:
@@ -273,7 +273,7 @@ def _shared_contexts(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tup
 
 def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int) -> Store:
     """A store by context: the smallest document that holds it, and the mask of its strings that start in one still smaller."""
-    n = max(4, -(-places // (4 * CONTEXTS)))
+    n = max(4, -(-places // (10 * CONTEXTS)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -306,7 +306,7 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                     known = held.get(key_)
                     if known is None or d < known[4]:
                         held[key_] = (anchor, raw[a:e], s, d + 2**63, d)
-                if len(held) >= 100_000:
+                if len(held) >= 60_000:
                     yield flush()
                     held.clear()
         if held:
@@ -401,12 +401,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         least, mask = contexts.find(mix(key)) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         own = np.array([ids[i] for i in looked], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
         mask = np.where(least < own, np.int64(2**WINDOW - 1), mask)
-        change = np.zeros(len(data) + 1, np.int32)
+        starts = np.zeros(len(data) + LENGTH, bool)  # where a string that goes begins, LENGTH places on
         for j in range(WINDOW):
-            at = low[((mask >> j) & 1 == 1) & (low + j + LENGTH <= high)] + j
-            np.add.at(change, at, 1)
-            np.add.at(change, at + LENGTH, -1)
-        gone = np.cumsum(change[:-1]) > 0
+            starts[low[((mask >> j) & 1 == 1) & (low + j + LENGTH <= high)] + j + LENGTH] = True
+        so_far = np.cumsum(starts, dtype=np.int32)
+        gone = so_far[LENGTH:] > so_far[:-LENGTH]
         at, spans, kept, sizes = {i: k for k, i in enumerate(looked)}, [], [], []
         for i, v in enumerate(values):
             raw = (v or "").encode("utf-8", "surrogatepass")
