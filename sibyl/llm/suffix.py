@@ -92,7 +92,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
     rank = np.empty(n + 1, np.int64)
@@ -105,7 +105,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             break
         who = order[open_]
         pair = rank[who] * (n + 2) + rank[np.minimum(who + have, n)] + 1
-        sub = np.argsort(pair, kind="stable")
+        sub = np.argsort(pair)
         who, pair = who[sub], pair[sub]
         order[open_] = who
         split = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -159,7 +159,7 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray
     data[starts + sizes] = 0  # a symbol that no text has ends each context
     order = suffix_array(data)
     shared = common_prefixes(data, order, LENGTH)
-    owner = np.searchsorted(starts, order, side="right") - 1
+    owner = np.repeat(np.arange(len(contexts)), sizes + 1)[order]
     byte = order - starts[owner]
     whole = byte + LENGTH <= sizes[owner]
     run = np.cumsum(shared < LENGTH)[whole]
