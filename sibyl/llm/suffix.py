@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,13 +282,14 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
             shard = np.array([x[2] for _, x in items], np.int64)
             order = np.argsort(shard, kind="stable")
             packets, at = [], np.searchsorted(shard[order], np.arange(2 * n + 1))
+            squeeze = zstandard.ZstdCompressor(level=1)
             some = np.flatnonzero(np.diff(at))
             for s in some:
                 rows = [items[i] for i in order[at[s] : at[s + 1]]]
                 head = np.array([(k, x[0], x[3]) for k, x in rows], np.uint64).tobytes()
                 body = b"".join(x[1] for _, x in rows)
                 sizes = np.array([len(x[1]) for _, x in rows], np.uint8).tobytes()
-                packets.append(np.int64(len(rows)).tobytes() + head + sizes + body)
+                packets.append(squeeze.compress(np.int64(len(rows)).tobytes() + head + sizes + body))
             return _packets(some, packets)
 
         held: dict[int, tuple] = {}
@@ -319,7 +321,7 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                 held.setdefault(s, []).append(x)
         for s in sorted(held):
             heads, texts_ = [], []
-            for x in held.pop(s):
+            for x in map(zstandard.ZstdDecompressor().decompress, held.pop(s)):
                 m = int(np.frombuffer(x, np.int64, 1)[0])
                 heads.append(np.frombuffer(x, np.uint64, 3 * m, 8).reshape(m, 3))
                 ends = np.cumsum(np.frombuffer(x, np.uint8, m, 8 + 24 * m))
