@@ -34,7 +34,9 @@ LENGTH, ANCHOR = 50, 16
 WINDOW = LENGTH - ANCHOR + 1
 SIDE = WINDOW - 1
 #: Anchors of a shard in the first pass, contexts of a suffix array (they bound a task's memory), and places of one anchor beyond which it is spread over shards.
-ANCHORS_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 400_000, 5_000, 20_000
+ANCHORS_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 250_000, 5_000, 20_000
+#: Low bytes of an anchor's hash that are not kept. Anchors that look equal only add contexts; the suffix arrays compare bytes.
+DROPPED = 2
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -79,7 +81,7 @@ def _anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     at, h = np.concatenate(places), np.concatenate(hashes)
     doc = np.searchsorted(bounds, at, side="right") - 1
     whole = (at + ANCHOR <= bounds[doc + 1]) & (bounds[doc + 1] - bounds[doc] >= LENGTH)
-    return at[whole], h[whole], doc[whole]
+    return at[whole], h[whole] >> np.uint64(8 * DROPPED) << np.uint64(8 * DROPPED), doc[whole]
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -219,7 +221,8 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
             h = h[first]
             cuts = np.searchsorted(shard_of(h, n), np.arange(n + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
-            return _packets(some, [h[cuts[s] : cuts[s + 1]].tobytes() + counts[cuts[s] : cuts[s + 1]].tobytes() for s in some])
+            cut_off = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, DROPPED:]
+            return _packets(some, [cut_off[cuts[s] : cuts[s + 1]].tobytes() + counts[cuts[s] : cuts[s + 1]].tobytes() for s in some])
 
         hashes, docs, held, row = [], [], 0, 0
         for b in batches:
@@ -245,8 +248,11 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
                 held.setdefault(s, []).append(x)
         for s in sorted(held):
             packets = held.pop(s)
-            h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in packets])
-            c = np.concatenate([np.frombuffer(x, "<u4", len(x) // 12, 8 * (len(x) // 12)) for x in packets]).astype(np.int64)
+            each = [len(x) // (12 - DROPPED) for x in packets]
+            h = np.zeros((sum(each), 8), np.uint8)
+            h[:, DROPPED:] = np.concatenate([np.frombuffer(x, np.uint8, (8 - DROPPED) * m).reshape(m, -1) for x, m in zip(packets, each, strict=True)])
+            h = h.view("<u8")[:, 0]
+            c = np.concatenate([np.frombuffer(x, "<u4", m, (8 - DROPPED) * m) for x, m in zip(packets, each, strict=True)]).astype(np.int64)
             order = np.argsort(h)
             h, c = h[order], c[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -261,7 +267,7 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
 
 
 def _shared_contexts(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tuple[np.ndarray, ...]:
-    """Of each place of a shared anchor: hash, number of places, document, first and last byte of the context, and the context's key."""
+    """Each place of a shared anchor, its hash, number of places, document, first and last byte of the context, and the context's key."""
     at, h, doc = _anchors_of(data, bounds)
     (places,) = shared.find(h) if len(h) else (np.zeros(0, "u4"),)
     some = places > 0
@@ -269,7 +275,7 @@ def _shared_contexts(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tup
     low, high = np.maximum(at - SIDE, bounds[doc]), np.minimum(at + ANCHOR + SIDE, bounds[doc + 1])
     raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
     key = np.array([digest(raw[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)], np.uint64)
-    return h, places, doc, low, high, key
+    return at, h, places, doc, low, high, key
 
 
 def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int) -> Store:
@@ -281,15 +287,16 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
             items = list(held.items())
             shard = np.array([x[2] for _, x in items], np.int64)
             order = np.argsort(shard, kind="stable")
-            packets, at = [], np.searchsorted(shard[order], np.arange(2 * n + 1))
+            packets, cuts = [], np.searchsorted(shard[order], np.arange(2 * n + 1))
             squeeze = zstandard.ZstdCompressor(level=1)
-            some = np.flatnonzero(np.diff(at))
+            some = np.flatnonzero(np.diff(cuts))
             for s in some:
-                rows = [items[i] for i in order[at[s] : at[s + 1]]]
-                head = np.array([(k, x[0], x[3]) for k, x in rows], np.uint64).tobytes()
+                rows = [items[i] for i in order[cuts[s] : cuts[s + 1]]]
+                head = np.array([(x[0], x[3]) for _, x in rows], np.uint64)
+                planes = head.view(np.uint8).reshape(len(rows), 16).T.tobytes()
                 body = b"".join(x[1] for _, x in rows)
-                sizes = np.array([len(x[1]) for _, x in rows], np.uint8).tobytes()
-                packets.append(squeeze.compress(np.int64(len(rows)).tobytes() + head + sizes + body))
+                sizes = np.array([(len(x[1]), x[5]) for _, x in rows], np.uint8).T.tobytes()
+                packets.append(squeeze.compress(np.int64(len(rows)).tobytes() + planes + sizes + body))
             return _packets(some, packets)
 
         held: dict[int, tuple] = {}
@@ -300,14 +307,14 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                 own = ~_is_later_copy(ids, values, copies)
                 ids = np.array(ids, np.int64)[own]
                 data, bounds = _documents([v for v, o in zip(values, own, strict=True) if o])
-                h, count, doc, low, high, key = _shared_contexts(data, bounds, shared)
+                at, h, count, doc, low, high, key = _shared_contexts(data, bounds, shared)
                 raw = data.tobytes()
                 # an anchor of many places is spread over the second n shards by context
                 spread = np.where(count > MOST_OF_AN_ANCHOR, n + shard_of(mix(key), n).astype(np.int64), shard_of(h, n).astype(np.int64))
-                for key_, d, a, e, s, anchor in zip(key.tolist(), ids[doc].tolist(), low.tolist(), high.tolist(), spread.tolist(), h.tolist(), strict=True):
+                for key_, d, a, e, s, anchor, place in zip(key.tolist(), ids[doc].tolist(), low.tolist(), high.tolist(), spread.tolist(), h.tolist(), (at - low).tolist(), strict=True):
                     known = held.get(key_)
                     if known is None or d < known[4]:
-                        held[key_] = (anchor, raw[a:e], s, d + 2**63, d)
+                        held[key_] = (anchor, raw[a:e], s, d + 2**63, d, place)
                 if len(held) >= 60_000:
                     yield flush()
                     held.clear()
@@ -323,10 +330,13 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
             heads, texts_ = [], []
             for x in map(zstandard.ZstdDecompressor().decompress, held.pop(s)):
                 m = int(np.frombuffer(x, np.int64, 1)[0])
-                heads.append(np.frombuffer(x, np.uint64, 3 * m, 8).reshape(m, 3))
-                ends = np.cumsum(np.frombuffer(x, np.uint8, m, 8 + 24 * m))
-                body = x[8 + 25 * m :]
-                texts_ += [body[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                head = np.ascontiguousarray(np.frombuffer(x, np.uint8, 16 * m, 8).reshape(16, m).T).view(np.uint64)
+                ends, places = np.cumsum(np.frombuffer(x, np.uint8, m, 8 + 16 * m)), np.frombuffer(x, np.uint8, m, 8 + 17 * m)
+                body = x[8 + 18 * m :]
+                part = [body[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                key = np.array([xxhash.xxh3_64_intdigest(c, p) for c, p in zip(part, places.tolist(), strict=True)], np.uint64)
+                heads.append(np.column_stack([key, head]))
+                texts_ += part
             head = np.concatenate(heads)
             order = np.lexsort((head[:, 2], head[:, 0], head[:, 1]))  # by anchor, then context, smallest document first
             head = head[order]
@@ -399,7 +409,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         later[known] = _is_later_copy([ids[i] for i in known], [values[i] for i in known], copies)
         looked = [i for i in known if not later[i]]
         data, bounds = _documents([values[i] for i in looked])
-        _, _, doc, low, high, key = _shared_contexts(data, bounds, shared)
+        _, _, _, doc, low, high, key = _shared_contexts(data, bounds, shared)
         least, mask = contexts.find(mix(key)) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         own = np.array([ids[i] for i in looked], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
         mask = np.where(least < own, np.int64(2**WINDOW - 1), mask)
