@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sibyl.llm import mixing, packing, paragraphs, quality, simhash
+from sibyl.llm import mixing, near_copies, packing, paragraphs, quality
 from sibyl.llm.common import fold, written
 
 
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked fingerprints over five-word shingles."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

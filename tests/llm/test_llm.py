@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sibyl.llm import components, mixing, ngram_lm, packing, paragraphs, pivot_search, quality, queries, rules, sharding, simhash, store, suffix
+from sibyl.llm import components, mixing, near_copies, ngram_lm, packing, paragraphs, pivot_search, quality, queries, rules, sharding, simhash, store, suffix
 
 DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -208,6 +208,40 @@ def test_fingerprints_and_groups(docs, empty, clashing):
     assert kept.columns == clashing.columns and kept.filter("doc_id = 3").count() == 1 and kept.filter("doc_id = 7").count() == 0
 
 
+def jaccard(s, t):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (s.lower().split(), t.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_copies_by_shingles(spark, block):
+    rng = random.Random(8)
+    rows, copies, far = [], set(), set()
+    for g in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        rows.append((10 * g, " ".join(words), "en", "s0", 0))
+        for k, least in enumerate((0.8, 0.85, 0.9, 0.6), 1):
+            edited, order = list(words), rng.sample(range(400), 400)
+            for at in order:  # edits as long as the similarity stays
+                tried = [*edited[:at], f"x{rng.randrange(10**6)}", *edited[at + 1 :]]
+                if jaccard(rows[-k][1], " ".join(tried)) < least:
+                    break
+                edited = tried
+            (copies if k < 4 else far).add(10 * g + k)
+            rows.append((10 * g + k, " ".join(edited), "en", "s0", 0))
+    assert all(least <= jaccard(rows[5 * g][1], rows[5 * g + k][1]) < least + 0.02 for g in range(20) for k, least in ((1, 0.8), (2, 0.85), (3, 0.9), (4, 0.6)))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, DOCS), block=block)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, *_ in rows} - copies)
+    assert sum((fingerprint(rows[5 * g][1], 5) ^ fingerprint(rows[5 * g + 1][1], 5)).bit_count() > 4 for g in range(20)) > 10
+
+
+def test_near_copies_of_any_rows(docs, empty, clashing):
+    assert near_copies.keep_one(empty).count() == 0
+    kept = near_copies.keep_one(clashing)
+    assert kept.columns == clashing.columns and kept.filter("doc_id = 7").count() == 0 and kept.filter("doc_id IS NULL").count() == 2
+    assert near_copies.keep_one(docs).filter("doc_id IN (100, 101, 102)").count() == 1
+
+
 def test_golay_keys_lose_no_pair():
     patterns = simhash.near_patterns()
     assert Counter((patterns >= 0).sum(1)) == {1: 277, 6: 1771}
