@@ -269,8 +269,8 @@ def answer_sentence(s: SparkSession, d: str) -> DataFrame:
 
 
 def tree_edit_distance(s: SparkSession, d: str) -> DataFrame:
-    """Each question's words as a chain against the next question's."""
-    words = table(s, d, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 8).alias("w"))
+    """All of each question's words as a chain against the next question's."""
+    words = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
     nodes = F.transform("w", lambda w, i: F.struct(F.lower(w).alias("lemma"), F.when(F.length(w) > 5, "NN").otherwise("X").alias("pos"), F.lit("dep").alias("rel"), (i - 1).cast("int").alias("parent")))
     t = words.select("item_id", nodes.alias("t"))
     other = t.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))

@@ -18,6 +18,7 @@ from sibyl.operators import hitlist as hl
 from sibyl.operators import questions as qs
 from sibyl.operators import scoring as sc
 from sibyl.operators import training as tr
+from sibyl.queries import QUERIES
 from sibyl.sources import readers, sinks
 from sibyl.streaming import lifecycle as lc
 
@@ -249,3 +250,19 @@ def test_exact_ranks_and_asking(spark, tmp_path):
     assert got == ["Who?"]
     with pytest.raises(ValueError, match="text"):
         sinks.ask(asked.withColumn("text", F.lit("")), str(tmp_path / "q"))
+
+
+def test_tree_edit_distance_takes_all_words(spark, tmp_path):
+    texts = ["one two three four five six seven eight nine", "One two three four five six seven eight tenth", "b c", "eight words are not enough here " * 9 + "x", "x " * 70 + "enough here"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def brute(a, b):
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        return round(3 * (len(a) + len(b) - 2 * longest[-1][-1]) / (len(a) + len(b)), 6)
+
+    words = [t.lower().split(" ") for t in texts]
+    got = dict(QUERIES["tree_edit_distance"].run(spark, str(tmp_path)).collect())
+    assert got == {i: brute(words[i], words[i + 1]) for i in range(len(texts) - 1)} and got[0] > 0
