@@ -1,6 +1,7 @@
 """Substring deduplication by MinHash bands over paragraphs.
 
-A paragraph is a line of at least `least_words` words. Equal paragraphs are one from the start. The distinct ones get MinHash
+A paragraph is a line of at least `least_words` words, or a unit: a sentence, or a part of a long one, of the whole text's words, wherever
+its lines break. Units are cut at places that the words around them decide, so a passage has the same units in every text. Equal paragraphs are one from the start. The distinct ones get MinHash
 values over their five-word shingles, cut into bands; paragraphs that share a band are candidates. Candidates are joined up
 to clusters, in each cluster the exact Jaccard similarity of the shingle sets decides which are linked, and of every
 component of links the first paragraph (smallest document id, then place) stays, all others are removed.
@@ -8,7 +9,10 @@ component of links the first paragraph (smallest document id, then place) stays,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ from .store import build, mix
 
 #: Words of a shingle, similarity from which paragraphs are linked, and words from which a line is a paragraph that counts.
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 40
+#: Words on both sides that a cut inside a sentence of more than twice as many depends on.
+REACH = 8
 #: Share of the pairs at the similarity that some band must find.
 RECALL = 0.9995
 #: Paragraphs of a cluster that are compared in one task; larger clusters are compared in blocks.
@@ -48,6 +54,61 @@ def cut(text: str | None, least_words: int) -> list[tuple[int, list[bytes]]]:
     return out
 
 
+def unit_starts(words: list[bytes]) -> list[int]:
+    """Places of the words that begin a unit.
+
+    A unit ends with a sentence, where it has the words of a shingle. Inside long sentences, a unit begins where the hash of a word and the
+    next is the least of REACH places before and after.
+    """
+    n = len(words)
+    if not n:
+        return []
+    ends = [i for i, w in enumerate(words) if w[-1] in b".!?"]
+    if not ends or ends[-1] != n - 1:
+        ends.append(n - 1)
+    starts, begin = [0], 0
+    for e in ends:
+        if e + 1 - begin > 2 * REACH:
+            h = np.fromiter((crc32(words[i] + b" " + words[i + 1]) if i < e else crc32(words[i]) for i in range(begin, e + 1)), np.int64, e + 1 - begin)
+            near = np.lib.stride_tricks.sliding_window_view(h, REACH)
+            at = np.arange(REACH, len(h) - REACH)
+            inside = at[(h[at] < near[at - REACH].min(1)) & (h[at] <= near[at + 1].min(1))]
+            starts += (begin + inside).tolist()
+        if e + 1 - starts[-1] >= SHINGLE and e + 1 < n:
+            starts.append(e + 1)
+        begin = e + 1
+    return starts
+
+
+def cut_units(text: str | None) -> list[tuple[int, list[bytes]]]:
+    """(unit number, words) of the units that have the words of a shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    starts = unit_starts(words)
+    return [(i, words[a:b]) for i, (a, b) in enumerate(pairwise([*starts, len(words)])) if b - a >= SHINGLE]
+
+
+def without_units(text: str, gone: set[tuple[int, int]]) -> str:
+    """text without the units of these numbers and hashes; a line break after a removed run stays."""
+    data = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    words = [data[a:b] for a, b in spans]
+    starts = unit_starts(words)
+    out, kept = [], 0
+    for i, (a, b) in enumerate(pairwise([*starts, len(words)])):
+        if (i, _pid(words[a:b])) not in gone:
+            continue
+        out.append(data[kept : spans[a][0]])
+        kept = spans[b][0] if b < len(words) else spans[b - 1][1]
+        if b < len(words) and b"\n" in data[spans[b - 1][1] : kept]:
+            before = b"".join(out).rstrip(b" \t")
+            out = [before if not before or before.endswith(b"\n") else before + b"\n"]
+    return b"".join([*out, data[kept:]]).decode("utf-8", "surrogatepass")
+
+
+def _pid(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
+
+
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of the distinct shingles; fewer words than a shingle: the whole sequence."""
     text, digest = b" ".join(words), xxhash.xxh3_64_intdigest
@@ -112,7 +173,17 @@ def _links_of(table: pa.Table, similarity: float) -> pa.Table:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, paragraph (line number from 0), class_doc_id, class_paragraph, kept: every paragraph that is equal or similar to another, directly or through others.
+    """_repeated for lines of at least least_words words."""
+    return _repeated(docs, lambda text: cut(text, least_words), id_col, text_col, similarity, block).drop("pid")
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """_repeated for units, with the hash of the unit's words as pid."""
+    return _repeated(docs, cut_units, id_col, text_col, similarity, block)
+
+
+def _repeated(docs: DataFrame, cutter: Callable[[str | None], list[tuple[int, list[bytes]]]], id_col: str, text_col: str, similarity: float, block: int) -> DataFrame:
+    """doc_id, paragraph (line or unit number from 0), pid, class_doc_id, class_paragraph, kept: every paragraph that is equal or similar to another, directly or through others.
 
     The class is named by its first paragraph, which alone is kept. Rows without an id have no paragraphs; rows that share
     an id and text have theirs once, and rows of one id and different texts are told apart by line number alone. Null and empty texts have none. An empty table gives no rows.
@@ -123,7 +194,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def sign(values: list[str | None]) -> list[list]:
         out: list[list] = []
         for v in values:
-            out.append([{"paragraph": i, "pid": xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63} for i, w in cut(v, least_words)])
+            out.append([{"paragraph": i, "pid": xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63} for i, w in cutter(v)])
         return [out]
 
     places = map_columns(texts, ["doc_id"], [F.col("_text")], [("p", "array<struct<paragraph: int, pid: long>>")], sign)
@@ -135,7 +206,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def band(ids: list[int], values: list[str | None]) -> list[list]:
         found, held = [], []
         for d, v in zip(ids, values, strict=True):
-            for i, w in cut(v, least_words):
+            for i, w in cutter(v):
                 found.append((d, i, xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63))
                 held.append(w)
         out: list[list] = [[] for _ in ids]
@@ -157,7 +228,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     def wanted(ids: list[int], values: list[str | None]) -> list[list]:
         out = []
         for d, v in zip(ids, values, strict=True):
-            found = [(i, xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63, w) for i, w in cut(v, least_words)]
+            found = [(i, xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63, w) for i, w in cutter(v)]
             if not found:
                 out.append([])
                 continue
@@ -182,7 +253,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     each = places.join(named.select("pid", "root"), "pid")
     many = places.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).join(named.select("pid", "root"), "pid").groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1")
     out = each.join(heads.join(many, "root"), "root")
-    return out.select("doc_id", "paragraph", F.col("head.doc_id").alias("class_doc_id"), F.col("head.paragraph").alias("class_paragraph"), ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"))
+    return out.select("doc_id", "paragraph", "pid", F.col("head.doc_id").alias("class_doc_id"), F.col("head.paragraph").alias("class_paragraph"), ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
@@ -196,3 +267,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = joined.withColumn("__cut_text", text).filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r", "   ")) != ""))
     made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*made)
+
+
+def without_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """docs with the repeated units' spans cut from their texts; otherwise as without_repeats."""
+    found = repeated_units(docs, id_col, text_col, **options).filter("NOT kept")
+    gone = found.groupBy(F.col("doc_id").alias("__cut_gone_id")).agg(F.collect_list(F.struct("paragraph", "pid")).alias("__cut_gone"))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__cut_gone_id"), "left")
+
+    def left(texts: list[str | None], spans: list[list[dict] | None]) -> list[list]:
+        return [[t if t is None or not g else without_units(t, {(x["paragraph"], x["pid"]) for x in g}) for t, g in zip(texts, spans, strict=True)]]
+
+    out = map_columns(joined, docs.columns, [F.col(text_col), F.col("__cut_gone")], [("__cut_text", "string")], left)
+    changed = F.coalesce(F.col("__cut_text") != F.col(text_col), F.lit(False))
+    out = out.filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r", "   ")) != ""))
+    made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    return out.select(*made)

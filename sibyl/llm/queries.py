@@ -30,7 +30,9 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    lines = paragraphs.repeated(docs).withColumn("unit", F.lit("line"))
+    return lines.unionByName(paragraphs.repeated_units(docs).drop("pid").withColumn("unit", F.lit("unit")))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,6 +328,31 @@ def test_paragraphs(spark, empty, clashing, block):
     assert cut.columns == clashing.columns and cut.filter("doc_id = 7").count() == 1
 
 
+def test_passages_inside_long_and_over_short_lines(spark, empty, clashing):
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    sentences = [[*own(11), "end."] for _ in range(6)]
+    passage, plain = [w for s in sentences for w in s], own(120)
+    wrapped = "\n".join(" ".join(passage[i : i + 9]) for i in range(0, 72, 9))
+    texts = [
+        " ".join([*own(300), "stop.", *passage, *own(300)]),
+        " ".join([*own(500), "stop.", *passage, *own(90)]),
+        "\n".join(["Intro of its own here.", wrapped, "Outro of its own there."]),
+        " ".join([*own(200), *plain, *own(200)]),
+        " ".join([*own(20), *plain, *own(300)]),
+    ]
+    rows = [(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in corpus_pipeline.repeated_paragraphs(spark, spark.createDataFrame(rows, DOCS), DIR).collect()}
+    assert out[0].text == texts[0] and out[3].text == texts[3]
+    for i in (1, 2):
+        want = [w for w in texts[i].split() if w not in set(passage) or w == "end."]
+        assert [w for w in out[i].text.split() if w != "end."] == [w for w in want if w != "end."] and out[i].n_chars == len(out[i].text)
+    left, own_words = out[4].text.split(), set(texts[4].split()) - set(plain)
+    assert len(own_words - set(left)) <= 2 and len(set(left) & set(plain)) < 60  # a similar unit may take a word beside the passage
+    assert out[2].text == "Intro of its own here.\nOutro of its own there."
+    assert paragraphs.without_repeated_units(empty).count() == 0 and paragraphs.without_repeated_units(clashing).columns == clashing.columns
+
+
 def test_bands_are_tuned_for_recall():
     bands, rows = paragraphs.tuned_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 80
