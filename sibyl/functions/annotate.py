@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stages
 from .text import TOKEN, is_stop_word
 
 #: Patterns of the entity kinds that can be told by form.
@@ -64,14 +65,10 @@ def listed_entities(words: DataFrame, names: DataFrame, key: str) -> DataFrame:
 
 
 def governed(edges: DataFrame, through: str = "prep_of", depth: int = 6) -> DataFrame:
-    """(qid, head, dep, rel): dependents of each token, those behind `through` edges counted as its own, by a recursive query."""
-    edges.createOrReplaceTempView("_tree_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE g(qid, head, dep, rel, level) AS (
-          SELECT qid, gov, dep, rel, 1 FROM _tree_edges
-          UNION ALL
-          SELECT g.qid, g.head, e.dep, e.rel, g.level + 1 FROM g JOIN _tree_edges e ON g.qid = e.qid AND g.dep = e.gov WHERE g.rel = '{through}' AND g.level < {int(depth)}
-        ) SELECT DISTINCT qid, head, dep, rel FROM g""")
+    """(qid, head, dep, rel): dependents of each token, those behind up to depth - 1 `through` edges counted as its own."""
+    own = edges.select("qid", F.col("gov").alias("head"), "dep", "rel")
+    behind = stages.closure(own.filter(F.col("rel") == through).select("qid", "head", F.col("dep").alias("_via")), "head", "_via", depth - 1, ["qid"])
+    return own.unionByName(behind.join(own.withColumnRenamed("head", "_via"), ["qid", "_via"]).select("qid", "head", "dep", "rel")).distinct()
 
 
 def covered(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:

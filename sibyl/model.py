@@ -8,35 +8,32 @@ LATS = T.StructType([T.StructField("qid", T.StringType()), T.StructField("lat_ty
 TRIPLES = T.StructType([T.StructField("s", T.StringType()), T.StructField("p", T.StringType()), T.StructField("o", T.StringType()), T.StructField("o_is_uri", T.BooleanType()), T.StructField("lang", T.StringType())])
 SNIPPET = T.StructType([T.StructField("kind", T.StringType()), T.StructField("source", T.StringType()), T.StructField("text", T.StringType()), T.StructField("property", T.StringType()), T.StructField("witness", T.StringType())])
 
-#: Kinds of clues, in the order of their subtypes.
+# Kinds of clues, in the order of their subtypes.
 CLUE_TYPES = ("Token", "Phrase", "SV", "NE", "LAT", "Subject", "SubjectNE", "SubjectToken", "SubjectPhrase", "Ngram", "Concept")
-_CONCEPT = ("ConceptSourceRR", "ConceptLabelRR", "ConceptScore")
-
-
-def _by_clue(prefix: str, between: str = "Clue") -> list[str]:
-    return [f"{prefix}{between}{t}" for t in CLUE_TYPES] + [f"{prefix}{c}" for c in _CONCEPT]
-
-
-def _features() -> list[str]:
-    """The names of the answer features, in their fixed order, from the rule that forms them."""
-    out = ["occurences", "resultRR", "resultLogScore", "passageLogScore", "propertyScore", "propertyGloVeScore", "originPsg", "originPsgFirst"]
-    out += [f"originPsgByClue{t}" for t in CLUE_TYPES] + ["originPsgByAbstractClue"] + [f"originPsgBy{c}" for c in _CONCEPT]
-    out += ["originPsgNP", "originPsgNE", "originPsgNPByLATSubj", "originPsgBIO", "originPsgSurprise", "originDocTitle", "originBingSnippet"]
-    for long, short in (("originDBpOntology", "originDBpO"), ("originDBpProperty", "originDBpP")):
-        out += [long, f"{short}NoClue", *_by_clue(short)]
-    out += ["originFreebaseOntology", "originFreebaseSpecific", "originFreebaseBranched", "originFreebaseWitnessMid", "originFreebaseWitnessLabel", "originFBONoClue", *_by_clue("originFBO")]
-    out += ["originConcept", "originConceptBySubject", "originConceptByLAT", "originConceptByNE", "originConceptSourceRR", "originConceptLabelRR", "originConceptScore", "originMultiple"]
-    out += [*_by_clue("psgDist"), "bioScore", "noTyCor", "LATANone", "spWordNet", "LATQNoWordNet", "LATANoWordNet"]
-    out += ["tyCorPassageSp", "tyCorPassageDist", "tyCorPassageInside", "simpleScore", "answerFocusNone", "answerFocusWhole"]
-    out += ["LATNE", "LATDBpType", "LATDBpWNType", "LATQuantity", "LATQuantityCD", "LATWnInstance", "LATDBpOntology", "LATDBpProperty", "LATFBOntology"]
-    out += [f"tyCorSp{h}Hit" for h in ("Q", "A", "No", "QA", "Multi")]
-    out += [f"tyCorA{s}" for s in ("NE", "DBp", "DBpWN", "Quantity", "QuantityCD", "WnInstance", "DBpOntology", "DBpProperty", "FBOntology")]
-    cases = ("Prefixed", "Prefixing", "Suffixed", "Suffixing", "Substred", "Substring")
-    for prefix in ("clOC", "clO"):
-        out += [f"{prefix}{c}Score" for c in ("Match", *cases, "MetaMatch")]
-    out += [f"evd{c}Score" for c in cases]
-    out += ["topAnswer", "solrHitsEv", "solrAHitsEv", "solrHitsANormEv", "solrMaxScoreEv", "solrHitsMaxScoreEv", "phase0Score", "phase1Score"]
-    return out + [f"questionClass{c}" for c in ("ABBR", "DESC", "ENTY", "HUM", "LOC", "NUM")]
-
-
-FEATURES = _features()
+# The names of the answer features, in their order.
+FEATURES = """
+    occurences resultRR resultLogScore passageLogScore propertyScore propertyGloVeScore originPsg originPsgFirst originPsgByClueToken
+    originPsgByCluePhrase originPsgByClueSV originPsgByClueNE originPsgByClueLAT originPsgByClueSubject originPsgByClueSubjectNE
+    originPsgByClueSubjectToken originPsgByClueSubjectPhrase originPsgByClueNgram originPsgByClueConcept originPsgByAbstractClue
+    originPsgByConceptSourceRR originPsgByConceptLabelRR originPsgByConceptScore originPsgNP originPsgNE originPsgNPByLATSubj originPsgBIO
+    originPsgSurprise originDocTitle originBingSnippet originDBpOntology originDBpONoClue originDBpOClueToken originDBpOCluePhrase originDBpOClueSV
+    originDBpOClueNE originDBpOClueLAT originDBpOClueSubject originDBpOClueSubjectNE originDBpOClueSubjectToken originDBpOClueSubjectPhrase
+    originDBpOClueNgram originDBpOClueConcept originDBpOConceptSourceRR originDBpOConceptLabelRR originDBpOConceptScore originDBpProperty
+    originDBpPNoClue originDBpPClueToken originDBpPCluePhrase originDBpPClueSV originDBpPClueNE originDBpPClueLAT originDBpPClueSubject
+    originDBpPClueSubjectNE originDBpPClueSubjectToken originDBpPClueSubjectPhrase originDBpPClueNgram originDBpPClueConcept
+    originDBpPConceptSourceRR originDBpPConceptLabelRR originDBpPConceptScore originFreebaseOntology originFreebaseSpecific originFreebaseBranched
+    originFreebaseWitnessMid originFreebaseWitnessLabel originFBONoClue originFBOClueToken originFBOCluePhrase originFBOClueSV originFBOClueNE
+    originFBOClueLAT originFBOClueSubject originFBOClueSubjectNE originFBOClueSubjectToken originFBOClueSubjectPhrase originFBOClueNgram
+    originFBOClueConcept originFBOConceptSourceRR originFBOConceptLabelRR originFBOConceptScore originConcept originConceptBySubject
+    originConceptByLAT originConceptByNE originConceptSourceRR originConceptLabelRR originConceptScore originMultiple psgDistClueToken
+    psgDistCluePhrase psgDistClueSV psgDistClueNE psgDistClueLAT psgDistClueSubject psgDistClueSubjectNE psgDistClueSubjectToken
+    psgDistClueSubjectPhrase psgDistClueNgram psgDistClueConcept psgDistConceptSourceRR psgDistConceptLabelRR psgDistConceptScore bioScore noTyCor
+    LATANone spWordNet LATQNoWordNet LATANoWordNet tyCorPassageSp tyCorPassageDist tyCorPassageInside simpleScore answerFocusNone answerFocusWhole
+    LATNE LATDBpType LATDBpWNType LATQuantity LATQuantityCD LATWnInstance LATDBpOntology LATDBpProperty LATFBOntology tyCorSpQHit tyCorSpAHit
+    tyCorSpNoHit tyCorSpQAHit tyCorSpMultiHit tyCorANE tyCorADBp tyCorADBpWN tyCorAQuantity tyCorAQuantityCD tyCorAWnInstance tyCorADBpOntology
+    tyCorADBpProperty tyCorAFBOntology clOCMatchScore clOCPrefixedScore clOCPrefixingScore clOCSuffixedScore clOCSuffixingScore clOCSubstredScore
+    clOCSubstringScore clOCMetaMatchScore clOMatchScore clOPrefixedScore clOPrefixingScore clOSuffixedScore clOSuffixingScore clOSubstredScore
+    clOSubstringScore clOMetaMatchScore evdPrefixedScore evdPrefixingScore evdSuffixedScore evdSuffixingScore evdSubstredScore evdSubstringScore
+    topAnswer solrHitsEv solrAHitsEv solrHitsANormEv solrMaxScoreEv solrHitsMaxScoreEv phase0Score phase1Score questionClassABBR questionClassDESC
+    questionClassENTY questionClassHUM questionClassLOC questionClassNUM
+""".split()

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..functions import text as tx
 from .hitlist import CASES, _case
 
@@ -89,11 +90,18 @@ def replaced_types(known: DataFrame, better: DataFrame) -> DataFrame:
     return known.join(better.select("qid", "text", "lat_text"), ["qid", "text", "lat_text"], "left_anti").unionByName(better)
 
 
-def quantity_types(answers: DataFrame) -> DataFrame:
-    """Measure, magnitude relation and magnitude as types of answers that are numbers as a whole."""
+def quantity_types(answers: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+    """Measure, magnitude relation and magnitude as types of answers that are numbers as a whole, and of those whose focus a number belongs to.
+
+    numbered: (qid, text) of answers whose focus has a numeric dependent that is no part of a name.
+    """
     kinds = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).cast("long").alias("s")) for t, s in (("measure", 33914), ("magnitude relation", 13815152), ("magnitude", 5097645))])
     rows = answers.filter(tx.is_quantity(F.col("text"))).withColumn("k", F.explode(kinds))
-    return rows.select("qid", "text", F.col("k.t").alias("lat_text"), F.col("k.s").alias("synset"), F.lit(0.0).alias("specificity"), F.lit("QuantityCD").alias("lat_type"))
+    whole = rows.select("qid", "text", F.col("k.t").alias("lat_text"), F.col("k.s").alias("synset"), F.lit(0.0).alias("specificity"), F.lit("QuantityCD").alias("lat_type"))
+    if numbered is None:
+        return whole
+    beside = answers.filter(~tx.is_quantity(F.col("text"))).join(numbered.select("qid", "text").distinct(), ["qid", "text"], "left_semi").withColumn("k", F.explode(kinds))
+    return whole.unionByName(beside.select("qid", "text", F.col("k.t").alias("lat_text"), F.col("k.s").alias("synset"), F.lit(0.0).alias("specificity"), F.lit("Quantity").alias("lat_type")))
 
 
 def normalised_types(types: DataFrame, lemmas: DataFrame) -> DataFrame:
@@ -108,18 +116,11 @@ def normalised_types(types: DataFrame, lemmas: DataFrame) -> DataFrame:
 def generalised(types: DataFrame, hypernyms: DataFrame, depth: int = 12, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Types with all their hypernyms, 1 less specific for each level, the best specificity for each; nothing goes beyond TOP_WORDS.
 
-    hypernyms: (synset, up_synset, up_text). Synsets are walked once for all rows that have them, by a recursive query.
+    hypernyms: (synset, up_synset, up_text). Synsets are walked once for all rows that have them.
     """
-    spark = types.sparkSession
-    types.select("synset").filter("synset <> 0").distinct().createOrReplaceTempView("_lat_start")
-    hypernyms.createOrReplaceTempView("_lat_up")
     tops = ", ".join(f"'{t}'" for t in TOP_WORDS)
-    walked = spark.sql(f"""
-        WITH RECURSIVE w(start, synset, text, level) AS (
-          SELECT s.synset, u.up_synset, u.up_text, 1 FROM _lat_start s JOIN _lat_up u ON s.synset = u.synset
-          UNION ALL
-          SELECT w.start, u.up_synset, u.up_text, w.level + 1 FROM w JOIN _lat_up u ON w.synset = u.synset WHERE w.level < {int(depth)} AND w.text NOT IN ({tops})
-        ) SELECT start, synset AS up_synset, text AS up_text, CAST(min(level) AS INT) AS level FROM w GROUP BY start, synset, text""")
+    walked = stages.closure(hypernyms.select("synset", "up_synset", "up_text"), "synset", "up_synset", depth, passing=f"up_text NOT IN ({tops})")
+    walked = walked.filter("synset <> 0").withColumnsRenamed({"synset": "start"})
     up = types.join(walked, types["synset"] == walked["start"])
     more = up.select(*keys, F.col("up_text").alias("lat_text"), F.col("up_synset").alias("synset"), (F.col("specificity") - F.col("level")).alias("specificity"), F.lit("Wordnet").alias("lat_type"), "base_lat_type")
     every = types.select(*keys, "lat_text", "synset", "specificity", "lat_type", "base_lat_type").unionByName(more)

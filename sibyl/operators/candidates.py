@@ -23,6 +23,19 @@ def capitalised_runs(passages: DataFrame, keys: Sequence[str], text: str = "sent
     return runs.groupBy(*keys, "_run").agg(F.min("i").alias("begin"), F.max("i").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text")).drop("_run")
 
 
+def type_subjects(tokens: DataFrame, edges: DataFrame, lats: DataFrame, phrases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates of "the <type> is X": where a passage's subject is the question's answer type, the widest noun phrase around what governs it, unless that is a verb.
+
+    tokens: keys with qid, i, begin, end, lemma, pos; edges: keys, gov, dep, rel; phrases: keys, kind, begin, end, text. Types are less specific by 1 at most.
+    """
+    keys = list(keys)
+    named = lats.filter("specificity >= -1").select("qid", F.col("text").alias("lemma")).distinct()
+    subject = edges.filter(F.col("rel").isin("nsubj", "nsubjpass")).join(tokens.select(*keys, F.col("i").alias("dep"), "lemma"), [*keys, "dep"]).join(named, ["qid", "lemma"], "left_semi")
+    head = subject.join(tokens.select(*keys, F.col("i").alias("gov"), F.col("begin").alias("_b"), F.col("end").alias("_e"), "pos"), [*keys, "gov"]).filter(~F.col("pos").startswith("V"))
+    around = head.select(*keys, "gov", "_b", "_e").join(phrases.filter("kind = 'NP'"), keys).filter("begin <= _b AND end >= _e")
+    return around.groupBy(*keys, "gov").agg(F.max_by(F.struct("begin", "end", "text"), F.col("end") - F.col("begin")).alias("x")).select(*keys, "x.*").distinct()
+
+
 def is_surprise(text: Column, labels: Column) -> Column:
     """True if the candidate does not end with any clue's label."""
     return ~F.exists(labels, lambda c: F.lower(text).endswith(F.lower(c)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..functions import text as tx
 from .scoring import sigmoid
 
@@ -27,8 +29,8 @@ FLOODING_PROPERTIES = (
     "military.military_unit_place_of_origin.military_units sports.sports_team_location.teams"
 ).split()
 
-#: Limits of a look-up: topics of a title, properties of a topic, paths of a question.
-TOPIC_LIMIT, PROPERTY_LIMIT, PATH_LIMIT = 5, 40, 15
+#: Limits of a look-up: topics of a title, properties of a topic, paths of a question, values of all its paths.
+TOPIC_LIMIT, PROPERTY_LIMIT, PATH_LIMIT, UNION_LIMIT = 5, 40, 15, 400
 
 
 def objects(triples: DataFrame, predicate: str | Column, subject: str = "s", value: str = "o") -> DataFrame:
@@ -84,15 +86,8 @@ def usable_type(name: Column) -> Column:
 
 
 def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """(type, supertype, level) over up to `depth` levels of (type, supertype) edges, by a recursive query."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_closure_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(type, supertype, level) AS (
-          SELECT type, supertype, 1 FROM _closure_edges
-          UNION ALL
-          SELECT up.type, e.supertype, up.level + 1 FROM up JOIN _closure_edges e ON up.supertype = e.type WHERE up.level < {int(depth)}
-        ) SELECT type, supertype, CAST(min(level) AS INT) AS level FROM up GROUP BY type, supertype""")
+    """(type, supertype, level) over up to `depth` levels of (type, supertype) edges."""
+    return stages.closure(edges.select("type", "supertype"), "type", "supertype", depth)
 
 
 def properties(concepts: DataFrame, triples: DataFrame, namespace: str, label: str | None, mandatory_label: bool = False, excluded: str = r"^(wiki|abstract)") -> DataFrame:
@@ -145,6 +140,57 @@ def witnessed(paths: DataFrame, triples: DataFrame, witnesses: DataFrame, label:
     return direct.select(*keep).unionByName(named.select(*keep)).distinct()
 
 
+def path_values(paths: DataFrame, triples: DataFrame, witnesses: DataFrame, label: str, limit: int = UNION_LIMIT) -> DataFrame:
+    """Values of all paths of a question in one table: paths (qid, resource, path, score) of one, two, or three properties, split at "|"; a third one leads to a witness.
+
+    At most `limit` values of each question and topic, those of the best paths first. Columns: qid, resource, property, value, score.
+    """
+    parts = paths.withColumn("_p", F.split("path", r"\|")).select("qid", "resource", "score", F.size("_p").alias("_n"), *[F.get("_p", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    names = ["qid", "resource", "property", "value", "score"]
+    found = [
+        one_hop(parts.filter("_n = 1").select("qid", "resource", "p0", "score"), triples),
+        two_hop(parts.filter("_n = 2").select("qid", "resource", "p0", "p1", "score"), triples),
+        witnessed(parts.filter("_n = 3").select("qid", "resource", "p0", "p1", "p2", "score"), triples, witnesses, label),
+    ]
+    every = reduce(DataFrame.unionByName, [f.select(*names) for f in found]).distinct()
+    return limited(every, ["qid", "resource"], [F.desc("score"), "property", "value"], limit)
+
+
+def topics(titles: DataFrame, triples: DataFrame, label: str, page_key: str, kind: str, limit: int = TOPIC_LIMIT) -> DataFrame:
+    """(qid, title, topic): resources of a kind by label, or by page id where one is given; at most `limit` for a title.
+
+    titles: (qid, title, page_id). kind: the predicate that every topic has.
+    """
+    known = objects(triples, kind, "topic", "_kind").select("topic").distinct()
+    by_label = titles.join(objects(triples, label, "topic", "title"), "title").select("qid", "title", "topic")
+    by_page = titles.filter("page_id IS NOT NULL").join(objects(triples, page_key, "topic", "page_id"), "page_id").select("qid", "title", "topic")
+    return limited(by_label.unionByName(by_page).distinct().join(known, "topic", "left_semi"), ["qid", "title"], ["topic"], limit).select("qid", "title", "topic")
+
+
+def source_bindings(values: DataFrame, sources: Sequence[tuple[str, Column]]) -> DataFrame:
+    """values with the feature of the source that each came from: (name, condition) in order; the first that holds sets name to 1, others are null."""
+    taken, out = F.lit(False), values
+    for name, holds in sources:
+        out = out.withColumn(name, F.when(~taken & holds, 1.0))
+        taken = taken | F.coalesce(holds, F.lit(False))
+    return out
+
+
+def linked_concepts(clues: DataFrame, labels: DataFrame, cross: DataFrame, popular: DataFrame, score: Column, most: int = 3, top: int = 5) -> DataFrame:
+    """Entity linking: clues (qid, clue_type, label) to scored concepts: fuzzy and cross look-ups merged by entity, one row for each, the `top` best of each clue.
+
+    N-gram clues take exact hits only. labels: (name, entity); cross: (label, entity, n); popular: (resource, log_popularity). score is an expression over edit_dist,
+    label_probability, log_popularity and the flags by_fuzzy, by_cross.
+    """
+    fuzzy = fuzzy_hits(clues.select("qid", "label"), labels, most).join(clues.select("qid", "label", "clue_type").distinct(), ["qid", "label"]).filter((F.col("clue_type") != "Ngram") | (F.col("dist") == 0))
+    fuzzy = fuzzy.groupBy("qid", "label", "entity").agg(F.min("dist").alias("dist"), F.lit(True).alias("by_fuzzy"))
+    wide = label_probability(cross).join(clues.select("qid", "label").distinct(), "label").groupBy("qid", "label", "entity").agg(F.max("prob").alias("prob"), F.lit(True).alias("by_cross"))
+    both = fuzzy.join(wide, ["qid", "label", "entity"], "full_outer").na.fill({"by_fuzzy": False, "by_cross": False, "prob": 0.0, "dist": 0})
+    both = both.join(popular.select(F.col("resource").alias("entity"), "log_popularity"), "entity", "left").na.fill({"log_popularity": 0.0})
+    named = both.select("qid", "label", "entity", F.col("dist").alias("edit_dist"), F.col("prob").alias("label_probability"), "log_popularity", "by_fuzzy", "by_cross").withColumn("score", F.round(score, 6))
+    return limited(named, ["qid", "label"], [F.desc("score"), "entity"], top)
+
+
 def best_paths(features: DataFrame, weights: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
     """Per-path logistic models over a question's features (qid, feature): the best paths, with their scores. weights: (path, feature, weight); feature "_" is the intercept."""
     bias = weights.filter("feature = '_'").select("path", F.col("weight").alias("_bias"))
@@ -189,18 +235,22 @@ def fuzzy_hits(queries: DataFrame, labels: DataFrame, most: int = 3) -> DataFram
     """Entities whose label is within `most` edits of the asked one: all exact hits, else the nearest.
 
     Labels meet only where they share a cut of the query: with at most k edits, one of k + 1 pieces of the asked label stands in the found one,
-    shifted by at most k; so the pieces and their possible places are join keys.
+    shifted by at most k; so the pieces and their possible places are join keys. A label of k letters or fewer is cut into its
+    letters, and a found label must share one: any other label as short would be within k edits. Empty labels are not asked for.
     """
-    q = queries.select("qid", "label", F.lower("label").alias("_q")).distinct()
-    pieces = most + 1
+    q = queries.select("qid", "label", F.lower("label").alias("_q")).distinct().filter(F.length("_q") > 0)
     n = F.length("_q")
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), F.substring(F.col("_q"), F.floor(i * n / pieces).cast("int") + 1, (F.floor((i + 1) * n / pieces) - F.floor(i * n / pieces)).cast("int")).alias("piece"), F.floor(i * n / pieces).cast("int").alias("at")))
+    pieces = F.least(F.lit(most + 1), n)
+    begin = lambda i: F.floor(i * n / pieces).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(F.substring(F.col("_q"), begin(i) + 1, begin(i + 1) - begin(i)).alias("piece"), begin(i).alias("at")))
     asked = q.withColumn("c", F.explode(cuts)).select("qid", "label", "_q", F.col("c.piece").alias("piece"), F.explode(F.sequence(F.greatest(F.col("c.at") - most, F.lit(0)), F.col("c.at") + most)).alias("at"))
-    wanted = asked.select(F.length("piece").alias("_len")).distinct()
+    # a row for each length of a piece: the lengths of labels that such pieces can find, and how far in they can stand
+    wanted = asked.groupBy(F.length("piece").alias("_len")).agg((F.min(F.length("_q")) - most).alias("_least"), (F.max(F.length("_q")) + most).alias("_most"), F.max("at").alias("_far"))
     names = labels.select("name", "entity", F.lower("name").alias("_n"))
-    cut = names.join(F.broadcast(wanted), F.length("_n") >= F.col("_len")).withColumn("at", F.explode(F.sequence(F.lit(0), F.length("_n") - F.col("_len"))))
+    cut = names.join(F.broadcast(wanted), F.length("_n").between(F.col("_least"), F.col("_most")) & (F.length("_n") >= F.col("_len")))
+    cut = cut.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.length("_n") - F.col("_len"), F.col("_far")))))
     cut = cut.withColumn("piece", F.substring(F.col("_n"), F.col("at") + 1, F.col("_len"))).select("name", "entity", "_n", "at", "piece")
-    near = asked.join(cut, ["piece", "at"]).select("qid", "label", "_q", "name", "entity", "_n").distinct()
+    near = asked.join(cut, ["piece", "at"]).filter(F.abs(F.length("_q") - F.length("_n")) <= most).select("qid", "label", "_q", "name", "entity", "_n").distinct()
     hits = near.withColumn("dist", F.levenshtein("_q", "_n")).filter(F.col("dist") <= most)
     first = Window.partitionBy("qid", "label").orderBy("dist", "name", "entity")
     return hits.withColumn("_i", F.row_number().over(first)).filter((F.col("dist") == 0) | (F.col("_i") == 1)).select("qid", "label", "name", "entity", "dist")

@@ -25,6 +25,32 @@ def pattern_matches(passages: DataFrame, clues: DataFrame, text: str = "sentence
     return joined.filter(F.regexp_like(F.col(text), F.col("_pattern"))).drop("_pattern")
 
 
+def clue_matches(passages: DataFrame, clues: DataFrame, text: str = "sentence") -> DataFrame:
+    """Every place (begin, end, in characters) at which a passage of a question matches the pattern of one of its clues, with the clue's label and weight."""
+    joined = passages.join(clues.select("qid", "label", "weight", tx.clue_pattern(F.col("label"), anywhere=False).alias("_pattern")), "qid")
+    hits = joined.withColumn("_hit", F.regexp_extract_all(F.col(text), F.col("_pattern"), F.lit(0))).filter(F.size("_hit") > 0)
+    # between two matches lies a part of the text: a match begins after the parts and matches before it
+    between = hits.withColumn("_part", F.split(F.col(text), F.col("_pattern"), -1))
+    before = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda a, j: a + F.length(F.get("_part", j)) + F.when(j < i, F.length(F.get("_hit", j))).otherwise(0))
+    places = F.transform("_hit", lambda h, i: F.struct(before(i).alias("begin"), (before(i) + F.length(h)).alias("end")))
+    return between.select(*passages.columns, "label", "weight", F.explode(places).alias("_at")).select(*passages.columns, "label", "weight", "_at.begin", "_at.end")
+
+
+def type_matches(tokens: DataFrame, lats: DataFrame, keys: list[str]) -> DataFrame:
+    """The token of each passage that names the question's answer type most specifically (i, lat_text, specificity); ties: the first. tokens: keys with qid, i, lemma."""
+    hits = tokens.join(lats.select("qid", F.col("text").alias("lemma"), "specificity"), ["qid", "lemma"])
+    return hits.groupBy(*keys).agg(F.max(F.struct("specificity", (-F.col("i")).alias("_i"), "lemma")).alias("x")).select(*keys, (-F.col("x._i")).alias("i"), F.col("x.lemma").alias("lat_text"), "x.specificity")
+
+
+def title_passages(clues: DataFrame, docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """First sentences of the n documents whose titles clues match best; no clue is required."""
+    from .retrieval import QuerySettings, search
+
+    asked = clues.select("qid", F.col("label").alias("term"), "weight", F.lit(False).alias("required"))
+    found = search(asked, docs, QuerySettings(fields=("title",), all_required=False), n, key)
+    return first_sentences(found, docs, clues, key)
+
+
 def about_clues(titles: DataFrame, clues: DataFrame, key: str = "doc_id") -> DataFrame:
     """(qid, key, label) of clues that match a document's title: the document is about them."""
     words = titles.select(key, F.explode(F.array_distinct(tx.tokens(F.col("title")))).alias("label"))

@@ -20,7 +20,7 @@ CLUE_TOKENS, CLUE_PHRASES = "CD|FW|JJ.*|NN.*|RB.*|UH.*", "AD.*|NP|QP"
 # Answer types of question words, as (word, type, synset).
 QUESTION_WORD_TYPES = (("who", "person", 7846), ("whom", "person", 7846), ("when", "time", 15147173), ("when", "date", 15184543), ("where", "location", 27365), ("many", "amount", 33914), ("much", "amount", 33914))
 
-#: Weight and reliability of each kind of clue.
+# Weight and reliability of each kind of clue.
 CLUE_KINDS = {"Token": (1.0, True), "Phrase": (0.99, False), "SV": (1.0, True), "NE": (2.0, True), "LAT": (1.5, False), "SubjectNE": (2.2, True), "SubjectToken": (2.5, True), "SubjectPhrase": (2.7, False), "Ngram": (1.01, False)}
 
 
@@ -117,6 +117,19 @@ def clues(spans: DataFrame) -> DataFrame:
     return spans.select("qid", "clue_type", label.alias("label"), kinds[F.col("clue_type")]["weight"].alias("weight"), kinds[F.col("clue_type")]["reliable"].alias("reliable")).filter("label <> ''")
 
 
+def token_clues(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Clues of the tokens that carry meaning and of phrases, by their parts of speech. phrases: (qid, kind, text)."""
+    words = tokens.filter(F.col("pos").rlike(f"^({CLUE_TOKENS})$")).select("qid", F.lit("Token").alias("clue_type"), "text")
+    return clues(words.unionByName(phrases.filter(F.col("kind").rlike(f"^({CLUE_PHRASES})$")).select("qid", F.lit("Phrase").alias("clue_type"), "text")))
+
+
+def user_clues(questions: DataFrame, weight: float = 2.5) -> DataFrame:
+    """Clues that whoever asks adds: artificial_clue, and the titles of the chosen concepts (title, page_id)."""
+    own = questions.filter("trim(artificial_clue) <> ''").select("qid", F.lit("Concept").alias("clue_type"), F.trim("artificial_clue").alias("label"))
+    titles = questions.select("qid", F.lit("Concept").alias("clue_type"), F.explode("concepts.title").alias("label")).filter("trim(label) <> ''")
+    return own.unionByName(titles).distinct().select("*", F.lit(weight).alias("weight"), F.lit(True).alias("reliable"))
+
+
 def ngram_clues(questions: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """Runs of two to four words of a question (qid, words)."""
     every = F.flatten(F.array(*[tx.ngrams(F.col("words"), n) for n in sizes]))

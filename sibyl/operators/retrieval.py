@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -37,7 +37,12 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(tx.tokens(F.col(text))).alias("pos", "term"))
 
 
-def ranked_search(queries: DataFrame, docs: DataFrame, n: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def field_text(settings: QuerySettings, docs: DataFrame) -> Column:
+    """The text of the settings' fields that docs have, one after the other: a word counts in any of them, and places go on from field to field."""
+    return F.concat_ws("\n", *[F.col(f) for f in settings.fields if f in docs.columns])
+
+
+def ranked_search(queries: DataFrame, docs: DataFrame, n: int | None, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """The n best documents (all, if None) for queries of single words (qid, term, weight, required).
 
     Only postings of asked words are counted. Documents lacking a required word are out. Columns: qid, key, score, n_terms, rank.
@@ -45,7 +50,7 @@ def ranked_search(queries: DataFrame, docs: DataFrame, n: int | None, key: str =
     asked = queries.groupBy("qid", "term").agg(F.sum("weight").alias("weight"), F.max(F.col("required").cast("int")).alias("required"))
     needed = asked.groupBy("qid").agg(F.sum("required").alias("n_required"))
     words = asked.select("term").distinct()
-    sized = docs.select(key, tx.tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
+    sized = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
     hits = sized.join(words, "term", "left_semi").groupBy("term", key, "_len").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("_docs"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -56,41 +61,47 @@ def ranked_search(queries: DataFrame, docs: DataFrame, n: int | None, key: str =
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def phrase_search(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def phrase_search(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """Boolean phrase queries (qid, term, weight, required), a term being one or more words in a row: qid, key, score (sum of the weights that hit).
 
-    A phrase is found by joining its words with the postings and counting those that stand at the right distance from one start.
+    Documents give their runs of words of the lengths that are asked for; a run is looked up as a whole, so a frequent word in a phrase
+    meets nothing. Runs that no phrase equals go before anything is shuffled, where the phrases are few enough for Spark to broadcast.
     """
-    words = tx.tokens(F.col("term"))
-    parts = queries.withColumn("_w", words).withColumn("_n", F.size("_w")).filter("_n > 0")
-    each = parts.select("qid", "term", "weight", "required", "_n", F.posexplode("_w").alias("_i", "word")).withColumnRenamed("word", "token")
-    asked = each.select("token").distinct()
-    at = postings(docs, key, text).withColumnRenamed("term", "token").join(asked, "token", "left_semi")
-    starts = each.join(at, "token").groupBy("qid", "term", "weight", "required", "_n", key, (F.col("pos") - F.col("_i")).alias("_start")).agg(F.countDistinct("_i").alias("_hit"))
-    found = starts.filter(F.col("_hit") == F.col("_n")).select("qid", "term", "weight", "required", key).distinct()
+    parts = queries.withColumn("_w", tx.tokens(F.col("term"))).withColumn("_n", F.size("_w")).filter("_n > 0").withColumn("_phrase", F.array_join("_w", " "))
+    lengths = F.broadcast(parts.agg(F.sort_array(F.collect_set("_n")).alias("_lengths")))  # one row
+    phrases = parts.select("_phrase").distinct()
+    words = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).crossJoin(lengths)
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))
+    runs = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.size("_t")), of_length)))
+    at = words.select(key, F.explode(runs).alias("_phrase")).join(phrases, "_phrase", "left_semi")
+    found = parts.select("qid", "term", "weight", "required", "_phrase").join(at, "_phrase").select("qid", "term", "weight", "required", key).distinct()
     needed = parts.filter("required").groupBy("qid").agg(F.countDistinct("term").alias("_need"))
     scored = found.groupBy("qid", key).agg(F.sum("weight").alias("score"), F.count_if("required").alias("_got"))
     return scored.join(needed, "qid", "left").filter(F.col("_got") == F.coalesce("_need", F.lit(0))).select("qid", key, "score")
 
 
-def proximity_search(queries: DataFrame, docs: DataFrame, settings: QuerySettings = QuerySettings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents in which all required words of a question stand within the slop: qid, key, degree, boost.
+def proximity_search(queries: DataFrame, docs: DataFrame, settings: QuerySettings = QuerySettings(), key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """Documents in which all required words of a question stand within the slop: qid, key, span, degree, boost.
 
     Degree i allows distance x factor^i x number of words between the first and the last, and adds (sum of weights) / 2^i; all degrees
-    that hold add up. For each place of a word the nearest place of every other word up to it gives the smallest span, by a running last place.
+    that hold add up. Only documents with all the words are looked into: there, going over the places in order, the last place of
+    each word so far gives the smallest span.
     """
     asked = queries.filter("required").groupBy("qid", "term").agg(F.sum("weight").alias("weight"))
-    sums = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"), F.sort_array(F.collect_list("term")).alias("_terms"))
-    at = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    w = Window.partitionBy("qid", key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    hits = asked.select("qid", "term").join(at, "term").join(sums, "qid")
-    # the last place of each word so far, as an array in the order of the question's words
-    index = F.array_position("_terms", F.col("term")).cast("int")
-    most = asked.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
-    lasts = [F.max(F.when(index == j + 1, F.col("pos"))).over(w) for j in range(most)]
-    spans = hits.withColumn("_last", F.array(*lasts) if lasts else F.array().cast("array<int>"))
-    known = F.filter("_last", lambda x: x.isNotNull())
-    spans = spans.filter(F.size(known) == F.col("n")).groupBy("qid", key, "n", "total").agg(F.min(F.col("pos") - F.array_min(known)).alias("span"))
+    sums = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
+    numbered = asked.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("term"))).select("qid", "term", "_i")
+    at = docs.select(key, F.posexplode(tx.tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # places of one word in one document
+    places = at.groupBy("term", key).agg(F.collect_list("pos").alias("_at"))
+    full = numbered.join(places, "term").groupBy("qid", key).agg(F.count(F.lit(1)).alias("_got"), F.collect_list(F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("_i").alias("i")))).alias("_hits"))
+    full = full.join(sums, "qid").filter(F.col("_got") == F.col("n"))
+    start = F.struct(F.array_repeat(F.lit(-1), F.col("n").cast("int")).alias("last"), F.lit(2**31 - 1).alias("span"))
+
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda p, j: F.when(j + 1 == hit["i"], hit["pos"]).otherwise(p))
+        return F.struct(last.alias("last"), F.when(F.array_min(last) >= 0, F.least(state["span"], hit["pos"] - F.array_min(last))).otherwise(state["span"]).alias("span"))
+
+    spans = full.withColumn("span", F.aggregate(F.sort_array(F.flatten("_hits")), start, step, lambda s: s["span"])).select("qid", key, "n", "total", "span")
     made = []
     for i in range(settings.degrees):
         slop = F.lit(settings.distance * settings.factor**i) * F.col("n")
@@ -99,6 +110,22 @@ def proximity_search(queries: DataFrame, docs: DataFrame, settings: QuerySetting
     return spans.withColumn("degree", degree).withColumn("boost", sum(made[1:], made[0])).filter("boost > 0").select("qid", key, "span", "degree", "boost")
 
 
+def search(queries: DataFrame, docs: DataFrame, settings: QuerySettings, n: int | None, key: str = "doc_id") -> DataFrame:
+    """A search by all the settings: words in any of the fields, their required ones only where `all_required`, raised by nearness; by nearness alone where `proximity_only`.
+
+    Columns: qid, key, score, rank.
+    """
+    text = field_text(settings, docs)
+    near = proximity_search(queries, docs, settings, key, text).select("qid", key, "boost")
+    if settings.proximity_only:
+        both = near.withColumn("score", F.round("boost", 6))
+    else:
+        wanted = queries if settings.all_required else queries.withColumn("required", F.lit(False))
+        both = ranked_search(wanted, docs, None, key, text).join(near, ["qid", key], "left").withColumn("score", F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6))
+    ranked = both.select("qid", key, "score").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
+
+
 def by_id(hits: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents' texts by id, empty where there is none."""
     return hits.join(docs.select(key, F.col(text).alias("doc_text")), key, "left").withColumn("doc_text", F.coalesce("doc_text", F.lit("")))
@@ -122,7 +149,8 @@ def title_answers(found: DataFrame, docs: DataFrame, k: int = 20, key: str = "do
 def evidence(answers: DataFrame, docs: DataFrame, clue_terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of answers (qid, text of one word): documents with the answer, with the answer and all required clues, their ratio, and the best clue score among these."""
     words = answers.select("qid", "text", F.lower("text").alias("term"))
-    at = postings(docs, key, text).select(key, "term").distinct()
+    # of the corpus only the answers' words are shuffled
+    at = docs.select(key, F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
     with_answer = words.join(at, "term").select("qid", "text", key)
     a_hits = with_answer.groupBy("qid", "text").agg(F.count(F.lit(1)).alias("solrAHitsEv"))
     clued = ranked_search(clue_terms, docs, None, key, text)

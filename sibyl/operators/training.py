@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -10,6 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stages
+
 
 def balanced(rows: DataFrame, label: str) -> DataFrame:
     """Rows with a weight by which both labels count the same."""
@@ -47,7 +50,7 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def repeated(rows: DataFrame, features: Sequence[str], key: str, label: str = "class", rounds: int = 3) -> list[DataFrame]:
+def repeated(rows: DataFrame, features: Sequence[str], key: str, label: str = "class", rounds: int = 20) -> list[DataFrame]:
     """Test rows with scores, one table for each split."""
     out = []
     for r in range(rounds):
@@ -56,6 +59,28 @@ def repeated(rows: DataFrame, features: Sequence[str], key: str, label: str = "c
     return out
 
 
+def cross_validated(rows: DataFrame, features: Sequence[str], key: str, label: str = "class", folds: int = 10) -> DataFrame:
+    """(fold, n, accuracy) of a multinomial logistic of each fold on the rows outside it; all rows of a key are in one fold. A fold without rows, or of which the rest has no rows, is left out."""
+    marked = stages.staged(rows.select(key, label, *features).withColumn("fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")), "folds")
+    have = sorted(r.fold for r in marked.select("fold").distinct().collect())  # at most `folds` rows
+    out = []
+    for fold in have if len(have) > 1 else []:
+        model = Pipeline(stages=[_assembled(features), LogisticRegression(featuresCol="_features", labelCol=label, regParam=0.01, family="multinomial")]).fit(marked.filter(F.col("fold") != fold))
+        right = F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")
+        out.append(model.transform(marked.filter(F.col("fold") == fold)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), right))
+    return reduce(DataFrame.unionByName, out) if out else marked.limit(0).select("fold", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("accuracy"))
+
+
+def path_measures(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: the shares of questions of which any, and all, gold paths are predicted, the share of predicted paths that are right, and the mean reciprocal rank of the first right one.
+
+    predicted: (qid, path, rank from 1); gold: (qid, path).
+    """
+    hits = gold.join(predicted, ["qid", "path"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.count("rank").alias("_got"), F.min("rank").alias("_first"))
+    right = predicted.join(gold.withColumn("_right", F.lit(1)), ["qid", "path"], "left").agg(F.avg(F.coalesce("_right", F.lit(0))).alias("path_precision"))
+    return hits.agg(F.avg((F.col("_got") > 0).cast("double")).alias("any_recall"), F.avg((F.col("_got") == F.col("_n")).cast("double")).alias("all_recall"), F.avg(F.coalesce(1 / F.col("_first"), F.lit(0.0))).alias("mrr")).crossJoin(right)
+
+
 def weights(model, features: Sequence[str]) -> dict[str, float]:
     """Weights of a logistic model by feature, "_" the intercept."""
     lr = model.stages[-1]
@@ -84,12 +109,16 @@ def tree_rows(model: dict) -> list[tuple[int, int, int, int, str | None, float,
 
 
 def chains(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path, value): the conditions from root to each leaf, by a recursive query over node rows."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE walk(tree, node, path) AS (
-          SELECT tree, node, CAST('' AS STRING) FROM _tree_nodes WHERE node = 0
-          UNION ALL
-          SELECT n.tree, c.node, concat(w.path, CASE WHEN w.path = '' THEN '' ELSE ' & ' END, n.feature, CASE WHEN c.node = n.left THEN '<=' ELSE '>' END, CAST(n.threshold AS STRING))
-          FROM walk w JOIN _tree_nodes n ON w.tree = n.tree AND w.node = n.node JOIN _tree_nodes c ON c.tree = n.tree AND (c.node = n.left OR c.node = n.right)
-        ) SELECT w.tree, w.node AS leaf, w.path, n.value FROM walk w JOIN _tree_nodes n ON w.tree = n.tree AND w.node = n.node WHERE n.left < 0""")
+    """(tree, leaf, path, value): the conditions from root to each leaf, over the node rows of a forest model, level by level to its depth."""
+    up = nodes.select("tree", F.col("node").alias("_up"), "left", "right", "feature", "threshold").filter("left >= 0")
+    to = F.explode(F.array(F.struct(F.col("left").alias("node"), F.lit("<=").alias("sign")), F.struct(F.col("right").alias("node"), F.lit(">").alias("sign"))))
+    steps = up.withColumn("_c", to).select("tree", "_up", F.col("_c.node").alias("node"), F.concat("feature", "_c.sign", F.col("threshold").cast("string")).alias("_step"))
+    leaves = nodes.filter("left < 0").select("tree", F.col("node").alias("leaf"), "value")
+    walk, found = nodes.filter("node = 0").select("tree", "node", F.lit("").alias("path")), None
+    while True:
+        here = walk.join(leaves, (walk["tree"] == leaves["tree"]) & (walk["node"] == leaves["leaf"])).select(walk["tree"], "leaf", "path", "value")
+        found = here if found is None else found.unionByName(here)
+        path = F.when(F.col("path") == "", F.col("_step")).otherwise(F.concat_ws(" & ", "path", "_step"))
+        walk = stages.staged(walk.withColumnRenamed("node", "_up").join(steps, ["tree", "_up"]).select("tree", "node", path.alias("path")), "chains")
+        if walk.isEmpty():
+            return found

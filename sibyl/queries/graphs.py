@@ -87,7 +87,7 @@ def path_witness(s: SparkSession, d: str) -> DataFrame:
     paths = _paths(s, d).withColumn("p0", F.lit("customer")).withColumn("p1", F.lit("segment")).withColumn("p2", F.lit("nation"))
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = table(s, d, "nation")
-    seen = o.filter("o_orderkey % 2 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("w_resource"), F.lower("n_name").alias("w_label"))
+    seen = o.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("qid"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("w_resource"), F.lower("n_name").alias("w_label"))
     return gr.witnessed(paths, triples(s, d), seen, "label")
 
 
@@ -178,6 +178,48 @@ def pageid_dedup(s: SparkSession, d: str) -> DataFrame:
     return gr.one_per_page(gr.merge_lookups(*_lookups(s, d)).join(names, "entity")).withColumn("prob", F.round("prob", 8))
 
 
+def _tails(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The last letters of nations' names as names of three or four letters, and one letter less as asked labels."""
+    n = table(s, d, "nation").select("n_nationkey", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity"), "n_name")
+    end = lambda k: F.substring("n_name", F.lit(k), F.length("n_name"))
+    return n.select(F.col("n_nationkey").alias("qid"), end(7).alias("label")), n.select(end(6).alias("name"), "entity")
+
+
+def entity_link_short(s: SparkSession, d: str) -> DataFrame:
+    return gr.fuzzy_hits(*_tails(s, d), 3)
+
+
+def entity_linking(s: SparkSession, d: str) -> DataFrame:
+    """Part names, as they stand and misspelt, linked by spelling and by how often a label means a part."""
+    part = lambda c: F.concat(F.lit("part:"), c.cast("string"))
+    names = table(s, d, "part").groupBy(F.col("p_name").alias("name")).agg(part(F.min("p_partkey")).alias("entity"))
+    asked = names.select(F.col("entity").alias("qid"), F.explode(F.array(F.struct(F.lit("Token").alias("t"), F.col("name").alias("l")), F.struct(F.lit("Ngram").alias("t"), F.concat(F.lit("x"), F.substring("name", F.lit(3), F.length("name"))).alias("l")), F.struct(F.lit("NE").alias("t"), F.concat(F.lit("y"), F.substring("name", F.lit(3), F.length("name"))).alias("l")))).alias("c"))
+    cross = table(s, d, "part").select(F.col("p_name").alias("label"), part(F.col("p_partkey")).alias("entity"), F.col("p_size").cast("long").alias("n"))
+    score = F.col("label_probability") * 4 + F.col("log_popularity") / 2 - F.col("edit_dist")
+    return gr.linked_concepts(asked.select("qid", F.col("c.t").alias("clue_type"), F.col("c.l").alias("label")), names, cross, gr.popularity(triples(s, d)), score).select("qid", "label", "entity", "edit_dist", "by_fuzzy", "by_cross", F.round("score", 4).alias("score"))
+
+
+def path_union(s: SparkSession, d: str) -> DataFrame:
+    """All of an order's paths in one table: of one property, of two, and of one that leads to a witness."""
+    paths = _paths(s, d).drop("score").withColumn("x", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(v).alias("score")) for p, v in (("customer", 0.9), ("customer|nation", 0.7), ("customer|segment|nation", 0.5))])))
+    seen = table(s, d, "orders").select(F.col("o_orderkey").alias("qid"), F.lit("nation:1").alias("w_resource"), F.lit("nation_2").alias("w_label"))
+    return gr.path_values(paths.select("qid", "resource", "x.path", "x.score"), triples(s, d), seen, "label")
+
+
+def topic_lookup(s: SparkSession, d: str) -> DataFrame:
+    """Customers as topics, by their label or by the nation as page; at most five."""
+    by_page = table(s, d, "nation").select(F.col("n_nationkey").alias("qid"), F.col("n_name").alias("title"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("page_id"))
+    by_name = table(s, d, "customer").select(F.col("c_custkey").alias("qid"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("page_id"))
+    return gr.topics(by_page.unionByName(by_name), triples(s, d), "label", "nation", "segment")
+
+
+def source_bindings(s: SparkSession, d: str) -> DataFrame:
+    """Two-property values marked by the source that they came from."""
+    values = path_one_hop(s, d).unionByName(path_two_hop(s, d))
+    out = gr.source_bindings(values, [("originDBpOntology", F.col("property").contains("nation")), ("originFreebaseOntology", F.col("property") == "customer")])
+    return out.select("qid", "property", "value", "originDBpOntology", "originFreebaseOntology")
+
+
 def bilinear_relatedness(s: SparkSession, d: str) -> DataFrame:
     """Each vector against the mean vector of its label, over a diagonal matrix."""
     e = table(s, d, "embeddings")
@@ -298,6 +340,19 @@ def train_answer_gbt(s: SparkSession, d: str) -> DataFrame:
     return tr.scored(tr.forest(train, _F, trees=10, depth=3), test).select("doc_id", "class", F.round("score", 4).alias("score"))
 
 
+def train_class_cv(s: SparkSession, d: str) -> DataFrame:
+    """Ten folds of a multinomial model of a document's language."""
+    rows = _training_rows(s, d).join(table(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("kind")), "doc_id")
+    return tr.cross_validated(rows, _F, "doc_id", "kind").select("fold", "n", F.round("accuracy", 4).alias("accuracy"))
+
+
+def train_path_ovr(s: SparkSession, d: str) -> DataFrame:
+    """A sparse logistic for each event type a user may have, from the user's numbers of events and their values."""
+    users = table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("labels"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("f_value"))
+    models = tr.one_vs_rest(users, ["click", "purchase", "view"], ["f_n", "f_value"])
+    return s.createDataFrame([(c, f, round(float(v), 4)) for c, m in models.items() for f, v in m.items()], "path string, feature string, weight double")
+
+
 _LINKED = "linked AS (SELECT l_orderkey AS qid, p_type AS clue, p_name AS label, p_partkey AS entity, max(round(l_quantity / 50, 4)) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 _RANKS = """top AS (SELECT * FROM (SELECT *, 1 / row_number() OVER (PARTITION BY qid, clue ORDER BY score DESC, entity) AS source_rr FROM {src}) WHERE source_rr >= 0.2),
 lab AS (SELECT qid, label, 1 / row_number() OVER (PARTITION BY qid ORDER BY s DESC, label) AS label_rr FROM (SELECT qid, label, max(score) AS s FROM top GROUP BY ALL)), ranks AS (SELECT top.*, label_rr FROM top JOIN lab ON top.qid = lab.qid AND top.label = lab.label)"""
@@ -319,7 +374,7 @@ QUERIES = {
     "props_generic_limit": Query(props_generic_limit, f"WITH {TRIPLES_SQL}, b AS (SELECT o AS resource, 'of ' || p AS property, s AS value FROM triples WHERE o_is_uri AND o LIKE 'nation:%') SELECT resource, property, value FROM (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY property, value) AS i FROM b) WHERE i <= 40"),
     "path_one_hop": Query(path_one_hop, _ONE),
     "path_two_hop": Query(path_two_hop, _TWO),
-    "path_witness": Query(path_witness, "SELECT o_orderkey AS qid, 'order:' || o_orderkey AS resource, 'customer: segment' AS property, c_mktsegment AS value, 0.5::DOUBLE AS score, lower(n_name) AS witness, unnest(['id', 'label']) AS \"by\" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 2 = 0"),
+    "path_witness": Query(path_witness, "SELECT o_orderkey AS qid, 'order:' || o_orderkey AS resource, 'customer: segment' AS property, c_mktsegment AS value, 0.5::DOUBLE AS score, lower(n_name) AS witness, unnest(['id', 'label']) AS \"by\" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
     "path_top15": Query(path_top15, """WITH f AS (SELECT DISTINCT l_orderkey AS qid, unnest(['f' || l_returnflag, 'n' || l_linenumber]) AS feature FROM lineitem), w AS (SELECT p_brand AS path, 'n' || (p_size % 7 + 1) AS feature, round(avg(p_retailprice) / 2000, 3) AS weight FROM part GROUP BY ALL),
       z AS (SELECT qid, path, round(1 / (1 + exp(-(sum(weight) - 1))), 6) AS score FROM f JOIN w USING (feature) GROUP BY qid, path) SELECT qid, path, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS i FROM z) WHERE i <= 15"""),
     "property_answers": Query(property_answers, f"SELECT qid, value AS text, value AS canon_text, 1 AS occurences, round(ln(2), 6) AS resultLogScore, score AS propertyScore, 1.0::DOUBLE AS originDBpOntology, property AS lat_text FROM ({_TWO})"),
@@ -334,6 +389,24 @@ QUERIES = {
     "entity_link_exact": Query(entity_link_exact, f"WITH {_NAMES} SELECT p_partkey, upper(p_name) AS label, entity FROM part JOIN names ON p_name = name"),
     "entity_link_fuzzy": Query(entity_link_fuzzy, f"""WITH {_NAMES}, q AS (SELECT entity AS qid, 'x' || substr(name, 3) AS label FROM names), h AS (SELECT qid, label, name, n.entity, CAST(levenshtein(lower(label), lower(name)) AS INTEGER) AS dist FROM q JOIN names n ON levenshtein(lower(label), lower(name)) <= 3)
       SELECT qid, label, name, entity, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY dist, name, entity) AS i FROM h) WHERE dist = 0 OR i = 1"""),
+    "entity_link_short": Query(entity_link_short, """WITH n AS (SELECT substr(n_name, 6) AS name, 'nation:' || n_nationkey AS entity FROM nation), q AS (SELECT n_nationkey AS qid, substr(n_name, 7) AS label FROM nation),
+      h AS (SELECT qid, label, name, entity, CAST(levenshtein(lower(label), lower(name)) AS INTEGER) AS dist FROM q JOIN n ON levenshtein(lower(label), lower(name)) <= 3
+        AND len(list_filter(range(1, length(label) + 1), lambda i: contains(substr(lower(name), greatest(i - 3, 1), i + 3 - greatest(i - 3, 1) + 1), substr(lower(label), i, 1)))) > 0)
+      SELECT qid, label, name, entity, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY dist, name, entity) AS i FROM h) WHERE dist = 0 OR i = 1"""),
+    "entity_linking": Query(entity_linking, f"""WITH {TRIPLES_SQL}, names AS (SELECT p_name AS name, 'part:' || min(p_partkey) AS entity FROM part GROUP BY p_name),
+      cl AS (SELECT entity AS qid, 'Token' AS t, name AS label FROM names UNION ALL SELECT entity, 'Ngram', 'x' || substr(name, 3) FROM names UNION ALL SELECT entity, 'NE', 'y' || substr(name, 3) FROM names),
+      h AS (SELECT qid, t, label, name, n.entity, CAST(levenshtein(lower(label), lower(name)) AS INTEGER) AS dist FROM cl JOIN names n ON levenshtein(lower(label), lower(name)) <= 3),
+      f AS (SELECT qid, label, entity, min(dist) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY dist, name, entity) AS i FROM h) WHERE (dist = 0 OR i = 1) AND (t <> 'Ngram' OR dist = 0) GROUP BY ALL),
+      c AS (SELECT p_name AS label, 'part:' || p_partkey AS entity, p_size / sum(p_size) OVER (PARTITION BY p_name) AS prob FROM part), w AS (SELECT qid, label, entity, max(prob) AS prob FROM (SELECT DISTINCT qid, label FROM cl) JOIN c USING (label) GROUP BY ALL),
+      b AS (SELECT coalesce(f.qid, w.qid) AS qid, coalesce(f.label, w.label) AS label, coalesce(f.entity, w.entity) AS entity, coalesce(dist, 0) AS edit_dist, coalesce(prob, 0) AS prob, f.qid IS NOT NULL AS by_fuzzy, w.qid IS NOT NULL AS by_cross FROM f FULL JOIN w ON f.qid = w.qid AND f.label = w.label AND f.entity = w.entity),
+      pop AS (SELECT resource, ln(count(*)) AS p FROM (SELECT s AS resource FROM triples UNION ALL SELECT o FROM triples WHERE o_is_uri) GROUP BY resource), z AS (SELECT b.*, round(prob * 4 + coalesce(p, 0) / 2 - edit_dist, 6) AS score FROM b LEFT JOIN pop ON resource = entity)
+      SELECT qid, label, entity, edit_dist, by_fuzzy, by_cross, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, entity) AS i FROM z) WHERE i <= 5"""),
+    "path_union": Query(path_union, """SELECT o_orderkey AS qid, 'order:' || o_orderkey AS resource, 'customer' AS property, 'customer:' || o_custkey AS value, 0.9::DOUBLE AS score FROM orders
+      UNION ALL SELECT o_orderkey, 'order:' || o_orderkey, 'customer: nation', 'nation:' || c_nationkey, 0.7 FROM orders JOIN customer ON o_custkey = c_custkey
+      UNION ALL SELECT o_orderkey, 'order:' || o_orderkey, 'customer: segment', c_mktsegment, 0.5 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = 1 OR contains(lower(n_name), 'nation_2')"""),
+    "topic_lookup": Query(topic_lookup, """WITH x AS (SELECT n_nationkey AS qid, n_name AS title, 'customer:' || c_custkey AS topic FROM nation JOIN customer ON c_nationkey = n_nationkey UNION ALL SELECT a.c_custkey, a.c_name, 'customer:' || b.c_custkey FROM customer a JOIN customer b ON a.c_name = b.c_name)
+      SELECT qid, title, topic FROM (SELECT *, row_number() OVER (PARTITION BY qid, title ORDER BY topic) AS i FROM x) WHERE i <= 5"""),
+    "source_bindings": Query(source_bindings, f"SELECT qid, property, value, CASE WHEN property LIKE '%nation%' THEN 1.0::DOUBLE END AS originDBpOntology, CASE WHEN property = 'customer' THEN 1.0::DOUBLE END AS originFreebaseOntology FROM ({_ONE} UNION ALL {_TWO})"),
     "lookup_merge": Query(lookup_merge, f"WITH {_LOOK} SELECT entity, dist, round(prob, 8) AS prob, by_fuzzy, by_cross FROM m"),
     "pageid_dedup": Query(pageid_dedup, f"WITH {_LOOK}, x AS (SELECT m.*, p_name AS name, CAST(entity % 97 AS BIGINT) AS page_id FROM m JOIN part ON entity = p_partkey) SELECT page_id, first(name ORDER BY dist, name) AS name, min(dist) AS dist, round(max(prob), 8) AS prob, bool_or(by_fuzzy) AS by_fuzzy, bool_or(by_cross) AS by_cross FROM x GROUP BY page_id"),
     "bilinear_relatedness": Query(bilinear_relatedness, """WITH e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i)
@@ -356,4 +429,6 @@ QUERIES = {
     "tree_edit_distance": Query(tree_edit_distance),
     "train_passage_lr": Query(train_passage_lr),
     "train_answer_gbt": Query(train_answer_gbt),
+    "train_class_cv": Query(train_class_cv),
+    "train_path_ovr": Query(train_path_ovr),
 }

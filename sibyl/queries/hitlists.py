@@ -134,7 +134,9 @@ def eval_accuracy_mrr(s: SparkSession, d: str) -> DataFrame:
 
 
 def eval_compare(s: SparkSession, d: str) -> DataFrame:
-    a, b = _run(s, d).filter("qid % 7 <> 0"), _run(s, d, "A", "f1").withColumn("score", F.round(F.col("score") / 50, 4)).filter("qid % 11 <> 0")
+    """The first run has the orders with a line that was returned or accepted, the second those with a line whose third feature is set."""
+    known, set_ = hits(s, d).filter("flag <> 'N'").select("qid"), hits(s, d).filter("f3 IS NOT NULL").select("qid")
+    a, b = _run(s, d).join(known, "qid", "left_semi"), _run(s, d, "A", "f1").withColumn("score", F.round(F.col("score") / 50, 4)).join(set_, "qid", "left_semi")
     return ev.compare_runs(a, b).groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("score_b") - F.col("score_a")), 2).alias("change"))
 
 
@@ -209,7 +211,7 @@ QUERIES = {
       SELECT qid, best, text FROM (SELECT m.qid, best, text, row_number() OVER (PARTITION BY m.qid ORDER BY length(text), confidence DESC, text) AS i FROM m JOIN b ON m.qid = b.qid AND contains(best, text)) WHERE i = 1"""),
     "eval_accuracy_mrr": Query(eval_accuracy_mrr, f"""WITH {HITS_SQL}, {_run_sql("r")} SELECT count(*) AS n, count(*) FILTER (rank = 0) AS n_first, count(*) FILTER (rank >= 0) AS n_found, round(count(*) FILTER (rank = 0) / count(*), 6) AS accuracy,
       round(count(*) FILTER (rank >= 0) / count(*), 6) AS recall, round(avg(1 / (1 + CASE WHEN rank < 0 THEN 10000 ELSE rank END)), 6) AS mrr FROM r"""),
-    "eval_compare": Query(eval_compare, f"""WITH {HITS_SQL}, {_run_sql("a0")}, {_run_sql("b0", "A", "f1")}, a AS (SELECT * FROM a0 WHERE qid % 7 <> 0), b AS (SELECT qid, rank, round(score / 50, 4) AS score FROM b0 WHERE qid % 11 <> 0)
+    "eval_compare": Query(eval_compare, f"""WITH {HITS_SQL}, {_run_sql("a0")}, {_run_sql("b0", "A", "f1")}, a AS (SELECT * FROM a0 WHERE qid IN (SELECT qid FROM hits WHERE flag <> 'N')), b AS (SELECT qid, rank, round(score / 50, 4) AS score FROM b0 WHERE qid IN (SELECT qid FROM hits WHERE f3 IS NOT NULL))
       SELECT CASE WHEN a.score IS NULL THEN 'only_b' WHEN b.score IS NULL THEN 'only_a' WHEN a.rank < 0 AND b.rank >= 0 THEN 'gained' WHEN a.rank >= 0 AND b.rank < 0 THEN 'lost'
         WHEN b.score - a.score > 0.05 THEN 'improved' WHEN b.score - a.score < -0.05 THEN 'worsened' ELSE 'same' END AS fate, count(*) AS n, round(sum(b.score - a.score), 2) AS change FROM a FULL JOIN b ON a.qid = b.qid GROUP BY 1"""),
     "eval_rank_curve": Query(eval_rank_curve, f"""WITH {HITS_SQL}, {_run_sql("r")}, o AS (SELECT row_number() OVER (ORDER BY rank) AS place, rank FROM r WHERE rank >= 0)

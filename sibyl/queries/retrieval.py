@@ -13,7 +13,7 @@ from ..operators import retrieval as rt
 from ..sources import readers, sinks
 from .base import CLUES_SQL, SENTENCES_SQL, TOKENS, Query, clues, questions, table, titled
 
-_STOPS = CLUES_SQL.split("NOT IN (")[1].split(")")[0]
+STOPS = CLUES_SQL.split("NOT IN (")[1].split(")")[0]
 
 
 def scan_questions(s: SparkSession, d: str) -> DataFrame:
@@ -106,12 +106,12 @@ def solr_terms(s: SparkSession, d: str) -> DataFrame:
     return rt.terms(clues(s, d))
 
 
-def _asked(s: SparkSession, d: str, least: int = 7) -> DataFrame:
-    return clues(s, d, least).select("qid", F.col("label").alias("term"), "weight", F.lit(False).alias("required"))
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return clues(s, d).select("qid", F.col("label").alias("term"), "weight", F.lit(False).alias("required"))
 
 
 def tfidf_topn(s: SparkSession, d: str) -> DataFrame:
-    return rt.ranked_search(_asked(s, d, 5), table(s, d, "documents"), 6)
+    return rt.ranked_search(_asked(s, d), table(s, d, "documents"), 6)
 
 
 def phrase_boolean(s: SparkSession, d: str) -> DataFrame:
@@ -121,9 +121,15 @@ def phrase_boolean(s: SparkSession, d: str) -> DataFrame:
 
 
 def proximity_slop(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("weight"), "label")
-    two = clues(s, d, 5).withColumn("_i", F.row_number().over(w)).filter("_i <= 2").select("qid", F.col("label").alias("term"), "weight", F.lit(True).alias("required"))
-    return rt.proximity_search(two, table(s, d, "documents"))
+    return rt.proximity_search(_asked(s, d).withColumn("required", F.lit(True)), table(s, d, "documents"))
+
+
+def search_fields(s: SparkSession, d: str) -> DataFrame:
+    """Words in title or body, the longest clues of a question required, raised by their nearness."""
+    longest = F.max("weight").over(Window.partitionBy("qid"))
+    asked = _asked(s, d).withColumn("required", F.col("weight") == longest)
+    docs = titled(s, d).select("doc_id", "title", F.substring("text", F.length("title") + 1, F.length("text")).alias("text"))
+    return rt.search(asked, docs, rt.QuerySettings(), 10)
 
 
 def fulltext_dedup_union(s: SparkSession, d: str) -> DataFrame:
@@ -146,9 +152,9 @@ def web_snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_hits(s: SparkSession, d: str) -> DataFrame:
-    answers = clues(s, d, 6).select("qid", F.col("label").alias("text"))
+    answers = clues(s, d).select("qid", F.col("label").alias("text"))
     out = rt.evidence(answers, table(s, d, "documents"), _asked(s, d))
-    return out.select("qid", "text", "solrAHitsEv", "solrHitsEv", *[F.round(c, 4).alias(c) for c in ("solrMaxScoreEv", "solrHitsANormEv", "solrHitsMaxScoreEv")])
+    return out.select("qid", "text", "solrAHitsEv", "solrHitsEv", *[F.round(c, 6).alias(c) for c in ("solrMaxScoreEv", "solrHitsANormEv", "solrHitsMaxScoreEv")])
 
 
 def about_clues(s: SparkSession, d: str) -> DataFrame:
@@ -230,18 +236,24 @@ _Q = "SELECT item_id AS qid, text FROM benchmark"
 _W = f"words AS (SELECT qid, CAST(i - 1 AS INTEGER) AS i, w[i] AS w FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id AS qid, {TOKENS} AS w FROM benchmark)))"
 
 
-def _asked_sql(least: int = 7) -> str:
-    return f"{CLUES_SQL}, asked AS (SELECT qid, label AS term, weight FROM clues WHERE length(label) >= {least})"
+ASKED = f"{CLUES_SQL}, asked AS (SELECT qid, label AS term, weight FROM clues)"
 
 
-_FOUND = f"""dt AS (SELECT doc_id, {TOKENS} AS t FROM documents), du AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM dt),
+FOUND = f"""dt AS (SELECT doc_id, {TOKENS} AS t FROM documents), du AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM dt),
 hit AS (SELECT term, doc_id, n, count(*) AS tf FROM du WHERE term IN (SELECT term FROM asked) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
 idf AS (SELECT qid, term, weight * ln(1 + (SELECT count(*) FROM documents) / df) AS idf FROM asked JOIN df USING (term)),
 sc AS (SELECT qid, doc_id, round(sum(idf * tf / sqrt(n)), 6) AS score, count(*) AS n_terms FROM idf JOIN hit USING (term) GROUP BY qid, doc_id),
 found AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc)"""
-_TITLE = "titled AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS title FROM documents)"
-_ABOUT = f"{CLUES_SQL}, {_TITLE}, about AS (SELECT DISTINCT qid, doc_id, label FROM (SELECT doc_id, unnest({TOKENS.replace('text', 'title')}) AS label FROM titled) JOIN clues USING (label))"
-_VEC = f"""{_ABOUT}, {SENTENCES_SQL}, m AS (SELECT s.doc_id, sent, c.qid, c.label, weight FROM (SELECT DISTINCT doc_id, sent, unnest({TOKENS.replace('text', 'sentence')}) AS label FROM sents) s JOIN clues c USING (label)),
+#: Smallest span of all the words that a question needs, in documents that have them all: for each place, the last place of every word up to it.
+_SPANS = f"""n AS (SELECT qid, count(*) AS n, sum(weight) AS total FROM {{need}} GROUP BY qid), p AS (SELECT doc_id, i AS pos, t[i] AS label FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {TOKENS.replace('{', '{{').replace('}', '}}')} AS t FROM documents))),
+  h AS (SELECT k.qid, doc_id, pos, label FROM {{need}} k JOIN p USING (label)), full_ AS (SELECT qid, doc_id FROM h GROUP BY qid, doc_id HAVING count(DISTINCT label) = (SELECT n FROM n WHERE n.qid = h.qid)), hf AS (SELECT h.* FROM h JOIN full_ USING (qid, doc_id)),
+  la AS (SELECT a.qid, a.doc_id, a.pos, b.label, max(b.pos) AS at_ FROM (SELECT DISTINCT qid, doc_id, pos FROM hf) a JOIN hf b ON a.qid = b.qid AND a.doc_id = b.doc_id AND b.pos <= a.pos GROUP BY ALL),
+  spans AS (SELECT qid, doc_id, CAST(min(w) AS INTEGER) AS span FROM (SELECT qid, doc_id, pos - min(at_) AS w FROM la GROUP BY qid, doc_id, pos HAVING count(*) = (SELECT n FROM n WHERE n.qid = la.qid)) GROUP BY qid, doc_id)"""
+_DEGREE = "CAST((span > 2 * n)::INT + (span > 6 * n)::INT + (span > 18 * n)::INT AS INTEGER)"
+_BOOST = "CASE WHEN span <= 2 * n THEN total ELSE 0 END + CASE WHEN span <= 6 * n THEN total / 2 ELSE 0 END + CASE WHEN span <= 18 * n THEN total / 4 ELSE 0 END"
+TITLE = "titled AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS title FROM documents)"
+_ABOUT = f"{CLUES_SQL}, {TITLE}, about AS (SELECT DISTINCT qid, doc_id, label FROM (SELECT doc_id, unnest({TOKENS.replace('text', 'title')}) AS label FROM titled) JOIN clues USING (label))"
+VEC = f"""{_ABOUT}, {SENTENCES_SQL}, m AS (SELECT s.doc_id, sent, c.qid, c.label, weight FROM (SELECT DISTINCT doc_id, sent, unnest({TOKENS.replace('text', 'sentence')}) AS label FROM sents) s JOIN clues c USING (label)),
 vec AS (SELECT m.qid, m.doc_id, sent, CAST(count(*) FILTER (a.label IS NULL) AS DOUBLE) AS clueMatch, sum(CASE WHEN a.label IS NULL THEN weight ELSE 0.0 END) AS clueWeight, CAST(count(a.label) AS DOUBLE) AS aboutClueMatch,
   sum(CASE WHEN a.label IS NOT NULL THEN weight ELSE 0.0 END) AS aboutClueWeight FROM m LEFT JOIN about a ON m.qid = a.qid AND m.doc_id = a.doc_id AND m.label = a.label GROUP BY m.qid, m.doc_id, sent),
 scored AS (SELECT *, clueWeight + 0.25 * aboutClueWeight AS score FROM vec), best AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, sent) AS INTEGER) AS rank FROM scored)"""
@@ -265,7 +277,7 @@ QUERIES = {
     "sentence_split": Query(sentence_split, f"WITH {SENTENCES_SQL} SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars, max(sentence) AS last FROM sents GROUP BY doc_id"),
     "token_split": Query(token_split, f"WITH {_W} SELECT qid, i AS pos, w AS token FROM words"),
     "ngram_clues": Query(ngram_clues, f"WITH {_W}, g AS (SELECT a.qid, string_agg(b.w, ' ' ORDER BY b.i) AS label FROM words a, (SELECT unnest([2, 3, 4]) AS n) k, words b WHERE a.qid = b.qid AND b.i >= a.i AND b.i < a.i + n GROUP BY a.qid, a.i, n HAVING count(*) = n) SELECT qid, label, count(*) AS n, 1.01::DOUBLE AS weight FROM g GROUP BY qid, label"),
-    "stopword_filter": Query(stopword_filter, f"WITH {_W} SELECT w, count(*) AS n FROM words WHERE w NOT IN ({_STOPS}) GROUP BY w"),
+    "stopword_filter": Query(stopword_filter, f"WITH {_W} SELECT w, count(*) AS n FROM words WHERE w NOT IN ({STOPS}) GROUP BY w"),
     "canon_text": Query(canon_text, "SELECT p_partkey, p_name AS canon FROM part"),
     "title_capitalize": Query(title_capitalize, "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' of the ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part"),
     "span_containment_join": Query(span_containment_join, """WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, t[i] AS t FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))),
@@ -273,41 +285,40 @@ QUERIES = {
       SELECT e.doc_id, line, at_ AS "at", "end" - n - 1 AS "begin", "end" FROM e JOIN m ON e.doc_id = m.doc_id AND "end" - n - 1 < at_ AND at_ <= "end" """),
     "gazetteer_entities": Query(gazetteer_entities, f"WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part), w AS (SELECT unnest({TOKENS}) AS token FROM benchmark UNION ALL SELECT unnest({TOKENS.replace('text', 'p_type')}) FROM part) SELECT token, count(*) AS n FROM w WHERE token IN (SELECT token FROM n) GROUP BY token"),
     "regex_entities": Query(regex_entities, "SELECT doc_id, entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}[-.) ]+[0-9]{3}[-. ]+[0-9]{4}')) AS entity FROM documents) GROUP BY ALL"),
-    "clue_union_weights": Query(clue_union_weights, f"WITH {_W}, c AS (SELECT qid, CASE WHEN regexp_matches(w, '^\\W*$') THEN w ELSE regexp_replace(regexp_replace(w, '\\W+$', ''), '^\\W+', '') END AS label, CASE WHEN i = 0 THEN 'SV' WHEN length(w) > 8 THEN 'NE' ELSE 'Token' END AS clue_type FROM words WHERE w NOT IN ({_STOPS})) SELECT DISTINCT qid, label, clue_type, CASE clue_type WHEN 'NE' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, true AS reliable FROM c"),
+    "clue_union_weights": Query(clue_union_weights, f"WITH {_W}, c AS (SELECT qid, CASE WHEN regexp_matches(w, '^\\W*$') THEN w ELSE regexp_replace(regexp_replace(w, '\\W+$', ''), '^\\W+', '') END AS label, CASE WHEN i = 0 THEN 'SV' WHEN length(w) > 8 THEN 'NE' ELSE 'Token' END AS clue_type FROM words WHERE w NOT IN ({STOPS})) SELECT DISTINCT qid, label, clue_type, CASE clue_type WHEN 'NE' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, true AS reliable FROM c"),
     "clue_merge_by_text": Query(clue_merge_by_text, f"WITH {CLUES_SQL} SELECT qid, CASE WHEN length(label) % 2 = 0 AND weight <= 9 THEN 'NE' ELSE 'Token' END AS clue_type, label, CASE WHEN length(label) % 2 = 0 AND weight <= 9 THEN 9.0::DOUBLE ELSE weight END AS weight, true AS reliable FROM clues"),
     "clue_subsumption": Query(clue_subsumption, f"""WITH {_W}, r AS (SELECT qid, i AS "begin", CAST(i + length(w) % 4 AS INTEGER) AS "end", CAST(i % 3 AS DOUBLE) AS dist FROM words)
       SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.qid = r.qid AND b."begin" <= r."begin" AND b."end" >= r."end" AND b."end" - b."begin" > r."end" - r."begin" AND NOT r.dist + 1 < b.dist)"""),
     "solr_terms": Query(solr_terms, f"WITH {CLUES_SQL} SELECT qid, label AS term, weight, true AS required FROM clues"),
-    "tfidf_topn": Query(tfidf_topn, f"WITH {_asked_sql(5)}, {_FOUND} SELECT * FROM found WHERE rank <= 6"),
+    "tfidf_topn": Query(tfidf_topn, f"WITH {ASKED}, {FOUND} SELECT * FROM found WHERE rank <= 6"),
     "phrase_boolean": Query(phrase_boolean, f"""WITH q AS (SELECT item_id AS qid, {TOKENS} AS w FROM benchmark), t AS (SELECT DISTINCT qid, array_to_string(w[1:2], ' ') AS term FROM q UNION SELECT qid, array_to_string(w[3:5], ' ') FROM q),
       d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents), f AS (SELECT qid, doc_id, CAST(length(term) AS DOUBLE) AS w FROM t JOIN d ON contains(d.t, ' ' || term || ' ') WHERE term <> '')
       SELECT qid, doc_id, sum(w) AS score FROM f GROUP BY qid, doc_id"""),
-    "proximity_slop": Query(proximity_slop, f"""WITH {CLUES_SQL}, two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, label) AS i FROM clues) WHERE i <= 2), n AS (SELECT qid, count(*) AS n, sum(weight) AS total FROM two GROUP BY qid),
-      p AS (SELECT doc_id, i AS pos, t[i] AS label FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {TOKENS} AS t FROM documents))), h AS (SELECT two.qid, doc_id, pos, label FROM two JOIN p USING (label)),
-      s AS (SELECT a.qid, a.doc_id, CAST(min(abs(a.pos - b.pos)) AS INTEGER) AS span FROM h a JOIN h b ON a.qid = b.qid AND a.doc_id = b.doc_id AND a.label <> b.label GROUP BY ALL
-        UNION ALL SELECT h.qid, doc_id, 0 FROM h JOIN n USING (qid) WHERE n = 1 GROUP BY h.qid, doc_id)
-      SELECT qid, doc_id, span, CAST((span > 2 * n)::INT + (span > 6 * n)::INT + (span > 18 * n)::INT AS INTEGER) AS degree, CASE WHEN span <= 2 * n THEN total ELSE 0 END + CASE WHEN span <= 6 * n THEN total / 2 ELSE 0 END + CASE WHEN span <= 18 * n THEN total / 4 ELSE 0 END AS boost
-      FROM s JOIN n USING (qid) WHERE span <= 18 * n"""),
-    "fulltext_dedup_union": Query(fulltext_dedup_union, f"""WITH {_asked_sql()}, {_FOUND}, pages AS (SELECT qid, doc_id FROM found WHERE rank = 2), o AS (SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found WHERE rank <> 2)
+    "proximity_slop": Query(proximity_slop, f"""WITH {CLUES_SQL}, {_SPANS.format(need="clues")} SELECT qid, doc_id, span, {_DEGREE} AS degree, {_BOOST} AS boost FROM spans JOIN n USING (qid) WHERE span <= 18 * n"""),
+    "search_fields": Query(search_fields, f"""WITH {ASKED}, need AS (SELECT qid, label, weight FROM (SELECT *, max(weight) OVER (PARTITION BY qid) AS most FROM clues) WHERE weight = most), {_SPANS.format(need="need")}, {FOUND},
+      got AS (SELECT f.qid, f.doc_id FROM found f JOIN need ON f.qid = need.qid JOIN hit h ON h.doc_id = f.doc_id AND h.term = need.label GROUP BY f.qid, f.doc_id HAVING count(*) = (SELECT n FROM n WHERE n.qid = f.qid)),
+      near AS (SELECT qid, doc_id, {_BOOST} AS boost FROM spans JOIN n USING (qid) WHERE span <= 18 * n), every AS (SELECT f.qid, f.doc_id, round(f.score + coalesce(boost, 0), 6) AS score FROM found f JOIN got USING (qid, doc_id) LEFT JOIN near USING (qid, doc_id))
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM every) WHERE rank <= 10"""),
+    "fulltext_dedup_union": Query(fulltext_dedup_union, f"""WITH {ASKED}, {FOUND}, pages AS (SELECT qid, doc_id FROM found WHERE rank = 2), o AS (SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found WHERE rank <> 2)
       SELECT qid, doc_id, 1 AS rank, 1 AS origin_concept, 1.0::DOUBLE AS resultRR, 0.0::DOUBLE AS resultLogScore FROM pages UNION ALL SELECT qid, doc_id, rank, 0, round(1 / rank, 4), round(ln(1 + score), 4) FROM o WHERE rank <= 6"""),
     "title_in_clue": Query(title_in_clue, f"WITH {_ABOUT} SELECT * FROM about"),
-    "doc_title_answers": Query(doc_title_answers, f"WITH {_asked_sql()}, {_FOUND}, {_TITLE} SELECT qid, doc_id, rank, regexp_replace(title, '\\s+\\([^)]*\\)\\s*$', '') AS text, round(1 / rank, 6) AS resultRR FROM found JOIN titled USING (doc_id) WHERE rank <= 20"),
+    "doc_title_answers": Query(doc_title_answers, f"WITH {ASKED}, {FOUND}, {TITLE} SELECT qid, doc_id, rank, regexp_replace(title, '\\s+\\([^)]*\\)\\s*$', '') AS text, round(1 / rank, 6) AS resultRR FROM found JOIN titled USING (doc_id) WHERE rank <= 20"),
     "web_snippets": Query(web_snippets, _page_sql()),
-    "evidence_hits": Query(evidence_hits, f"""WITH {_asked_sql()}, {_FOUND}, a AS (SELECT qid, label AS text FROM clues WHERE length(label) >= 6), w AS (SELECT DISTINCT qid, text, doc_id FROM a JOIN du ON du.term = a.text),
+    "evidence_hits": Query(evidence_hits, f"""WITH {ASKED}, {FOUND}, a AS (SELECT qid, label AS text FROM clues), w AS (SELECT DISTINCT qid, text, doc_id FROM a JOIN du ON du.term = a.text),
       x AS (SELECT qid, text, count(*) AS n FROM w GROUP BY ALL), y AS (SELECT w.qid, text, count(*) AS n, max(score) AS s FROM w JOIN found f ON w.qid = f.qid AND w.doc_id = f.doc_id GROUP BY ALL)
-      SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 4) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 4) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 4) AS solrHitsMaxScoreEv
+      SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 6) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 6) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 6) AS solrHitsMaxScoreEv
       FROM a LEFT JOIN x ON a.qid = x.qid AND a.text = x.text LEFT JOIN y ON a.qid = y.qid AND a.text = y.text"""),
     "about_clues": Query(about_clues, f"WITH {_ABOUT} SELECT qid, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM about GROUP BY qid"),
-    "passage_by_clue": Query(passage_by_clue, f"WITH {_VEC} SELECT * FROM scored"),
-    "passage_score_top3": Query(passage_score_top3, f"WITH {_VEC} SELECT qid, doc_id, sent, score, rank FROM best WHERE rank <= 3"),
+    "passage_by_clue": Query(passage_by_clue, f"WITH {VEC} SELECT * FROM scored"),
+    "passage_score_top3": Query(passage_score_top3, f"WITH {VEC} SELECT qid, doc_id, sent, score, rank FROM best WHERE rank <= 3"),
     "passage_first": Query(passage_first, f"WITH {_ABOUT}, n AS (SELECT qid, count(*) AS n FROM clues GROUP BY qid) SELECT r.qid, r.doc_id, 0 AS sent, regexp_split_to_array(text, '[.!?]+[ \\t\\n\\r]+')[1] AS sentence, round(sqrt(n), 4) AS score FROM (SELECT DISTINCT qid, doc_id FROM about) r JOIN documents d ON r.doc_id = d.doc_id JOIN n ON r.qid = n.qid"),
-    "passage_gold_stats": Query(passage_gold_stats, f"""WITH {_VEC}, g AS (SELECT qid, first(label ORDER BY length(label) DESC, label DESC) AS a FROM clues GROUP BY qid), x AS (SELECT b.qid, rank, contains(lower(sentence), a) AS hit FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent JOIN g ON b.qid = g.qid)
+    "passage_gold_stats": Query(passage_gold_stats, f"""WITH {VEC}, g AS (SELECT qid, first(label ORDER BY length(label) DESC, label DESC) AS a FROM clues GROUP BY qid), x AS (SELECT b.qid, rank, contains(lower(sentence), a) AS hit FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent JOIN g ON b.qid = g.qid)
       SELECT g.qid, count(rank) AS n_scored, count(*) FILTER (hit) AS n_gs_scored, count(*) FILTER (rank <= 3) AS n_picked, count(*) FILTER (hit AND rank <= 3) AS n_gs_picked FROM g LEFT JOIN x ON g.qid = x.qid GROUP BY g.qid"""),
-    "candidates_ngram_surprise": Query(candidates_ngram_surprise, f"""WITH {_VEC}, t AS (SELECT b.qid, b.doc_id, b.sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+') AS w FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent WHERE rank = 1),
+    "candidates_ngram_surprise": Query(candidates_ngram_surprise, f"""WITH {VEC}, t AS (SELECT b.qid, b.doc_id, b.sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+') AS w FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent WHERE rank = 1),
       u AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t), c AS (SELECT qid, doc_id, sent, i - 1 AS i, w[i] AS word, i - row_number() OVER (PARTITION BY qid, doc_id, sent ORDER BY i) AS run FROM u WHERE regexp_matches(w[i], '^\\p{{Lu}}')),
       r AS (SELECT qid, doc_id, sent, CAST(min(i) AS INTEGER) AS "begin", CAST(max(i) AS INTEGER) AS "end", string_agg(word, ' ' ORDER BY i) AS text FROM c GROUP BY qid, doc_id, sent, run)
       SELECT r.*, NOT EXISTS (SELECT 1 FROM clues k WHERE k.qid = r.qid AND ends_with(lower(r.text), k.label)) AS surprise FROM r"""),
-    "candidate_blacklist": Query(candidate_blacklist, f"WITH {_W} SELECT DISTINCT qid, w AS text FROM words WHERE length(w) > 1 AND w NOT IN ({_STOPS})"),
+    "candidate_blacklist": Query(candidate_blacklist, f"WITH {_W} SELECT DISTINCT qid, w AS text FROM words WHERE length(w) > 1 AND w NOT IN ({STOPS})"),
     "candidate_distance": Query(candidate_distance, f"""WITH {_W}, f AS (SELECT qid, min(i) AS k FROM words WHERE length(w) >= 9 GROUP BY qid)
       SELECT words.qid, i AS "begin", w AS text, round(ln(3), 4) AS passageLogScore, round(exp(-CASE WHEN k = i THEN -1 ELSE abs(k - i) - 1 END) + CASE WHEN k IS NULL THEN NULL ELSE 0 END, 4) AS psgDistClue FROM words LEFT JOIN f USING (qid)"""),
     "candidate_merge": Query(candidate_merge, f"""WITH {_W}, r AS (SELECT *, CASE WHEN i % 3 > 0 THEN CAST(i AS DOUBLE) - 5 END AS f FROM words)

@@ -68,8 +68,8 @@ def label_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def web_results(cache: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
-    """Stored web results (query, title, description, url, rank) of the asked queries, the first k of each."""
-    return cache.join(queries.select("query").distinct(), "query", "left_semi").filter(F.col("rank") <= k)
+    """Stored web results (query, title, description, url, rank) of the asked queries, the first k of each, with resultRR, 1 / rank."""
+    return cache.join(queries.select("query").distinct(), "query", "left_semi").filter(F.col("rank") <= k).withColumn("resultRR", 1 / F.col("rank"))
 
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -92,6 +92,29 @@ def path_weights(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.explode("w").alias("feature", "weight"))
 
 
+def class_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(class, feature, weight) of a JSON object class -> {feature: weight}."""
+    return path_weights(spark, path).withColumnRenamed("path", "class")
+
+
+def wordnet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Words (word, type, synset) and hypernyms (synset, up_synset, up_text, instance) of the lexical database's data files.
+
+    A line holds the synset's number, file, kind, number of words (hexadecimal), words with their numbers, number of pointers, and pointers of
+    sign, synset, kind and places. "@" points to a hypernym, "@i" to what the synset is an instance of. Other lines are left out.
+    """
+    parts = F.split(F.element_at(F.split("value", r" \| ", 2), 1), " ")
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"^[0-9]{8} ")).select(F.get(parts, F.lit(0)).cast("long").alias("synset"), F.get(parts, F.lit(2)).alias("type"), F.conv(F.get(parts, F.lit(3)), 16, 10).cast("int").alias("_n"), parts.alias("_p"))
+    word = lambda i: F.lower(F.replace(F.get("_p", 4 + 2 * i), F.lit("_"), F.lit(" ")))
+    words = rows.select("synset", "type", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), word)).alias("word")).select("word", "type", "synset")
+    first = 5 + 2 * F.col("_n")
+    count = F.get("_p", first - 1).cast("int")
+    pointer = lambda i: F.struct(F.get("_p", first + 4 * i).alias("sign"), F.get("_p", first + 4 * i + 1).cast("long").alias("up_synset"))
+    up = rows.filter(count > 0).select("synset", F.explode(F.transform(F.sequence(F.lit(0), count - 1), pointer)).alias("x")).select("synset", "x.*").filter(F.col("sign").isin("@", "@i"))
+    names = rows.select(F.col("synset").alias("up_synset"), word(F.lit(0)).alias("up_text"))
+    return words, up.join(names, "up_synset").select("synset", "up_synset", "up_text", (F.col("sign") == "@i").alias("instance"))
+
+
 def checkpoint(spark: SparkSession, folder: str, phase: int) -> DataFrame:
     """The hitlist that was saved at a phase."""
     return spark.read.parquet(folder).filter(F.col("phase") == phase).drop("phase")
