@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines, and then the units, that an earlier document, or place, already has; documents of which nothing is left go."""
-    return paragraphs.without_repeated_units(written(paragraphs.without_repeats(docs), "without-lines"))
+    """Texts without the runs of paragraphs that an earlier document, or place, already has; documents of which nothing is left go."""
+    return paragraphs.without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, the characters that end a word.
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Rows of a table that may be broadcast, some tens of bytes each.
+MOST_SENT = 100_000
+
 _own_folder: dict[str, str] = {}
 
 
@@ -37,6 +40,11 @@ def work_dir(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks over which small tables whose rows are costly are dealt: twice the cores."""
+    return max(16, 2 * spark.sparkContext.defaultParallelism)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,6 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, marked for a broadcast where it has at most `most` rows; else as it is, for a join by shuffle. For a row per source, and the like.
+
+    It is written first, so that counting does not make it twice.
+    """
+    out = written(df, "few")
+    return F.broadcast(out) if out.count() <= most else out
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes the files behind a table from written() that no later step reads."""
     path = getattr(df, "_written_at", None)

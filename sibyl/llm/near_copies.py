@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, written
 from .components import components
-from .paragraphs import SHINGLE, SIMILARITY, _linked, band_keys, shingle_hashes, tuned_bands
+from .paragraphs import SHINGLE, SIMILARITY, linked, set_keys, shingle_hashes, tuned_bands
 from .simhash import fingerprints, links
 
 #: Documents, and bytes of their texts, of a cluster that are compared in one task; larger clusters are compared in blocks.
@@ -31,11 +31,11 @@ def words_of(text: str | None) -> list[bytes]:
 def _signed(texts: list[str | None], bands: int, rows: int) -> list:
     words = [words_of(t) for t in texts]
     pids = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-    return [pids, fingerprints(texts, SHINGLE).view(np.int64), band_keys([shingle_hashes(w) for w in words], bands, rows).tolist()]
+    return [pids, fingerprints(texts, SHINGLE).view(np.int64), set_keys([shingle_hashes(w) for w in words], bands, rows).tolist()]
 
 
 def _links_of(table: pa.Table, similarity: float) -> pa.Table:
-    a, b = _linked(np.asarray(table.column("pid")), [shingle_hashes(words_of(t)) for t in table.column("text").to_pylist()], similarity)
+    a, b = linked(np.asarray(table.column("pid")), [shingle_hashes(words_of(t)) for t in table.column("text").to_pylist()], similarity)
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -55,7 +55,7 @@ def _candidates(distinct: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without near copies: of each group of texts that are equal or similar, directly or through others, the row of the smallest id stays.
 
-    Rows without an id are not judged and stay. Texts without words are equal.
+    Rows without an id are not judged and stay. Texts without words are equal. Rows that share an id but not the text are documents of their own; of rows equal in both one stays.
     """
     bands, rows = tuned_bands(similarity)
     named = docs.filter(F.col(id_col).isNotNull())
@@ -76,5 +76,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     classes = components(linked).select(F.col("id").alias("pid"), F.col("component").alias("root"))
     roots = written(distinct.select("pid", "first").join(classes, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "near-roots")
     heads = roots.groupBy("root").agg(F.min("first").alias("head"))
-    kept = heads.select(F.col("head.doc_id").alias(id_col)).distinct()
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    # rows of one id and different texts are told apart by the text; of rows equal in both one stays
+    chosen = heads.select("head.doc_id", "head.row").distinct().join(signed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")), ["doc_id", "row"])
+    kept = chosen.select(F.col("doc_id").alias("__near_id"), F.col("row").alias("__near_row"), F.col("n").alias("__near_n"))
+    mine = named.join(kept, (F.col(id_col) == F.col("__near_id")) & (F.xxhash64(F.col(text_col)) == F.col("__near_row")))
+    one = mine.filter("__near_n > 1").dropDuplicates(["__near_id", "__near_row"])
+    return mine.filter("__near_n = 1").unionByName(one).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -1,18 +1,18 @@
 """Substring deduplication by MinHash bands over paragraphs.
 
-A paragraph is a line of at least `least_words` words, or a unit: a sentence, or a part of a long one, of the whole text's words, wherever
-its lines break. Units are cut at places that the words around them decide, so a passage has the same units in every text. Equal paragraphs are one from the start. The distinct ones get MinHash
-values over their five-word shingles, cut into bands; paragraphs that share a band are candidates. Candidates are joined up
-to clusters, in each cluster the exact Jaccard similarity of the shingle sets decides which are linked, and of every
-component of links the first paragraph (smallest document id, then place) stays, all others are removed.
+A paragraph is a unit (a sentence, or a part of a long one, of the text's words, wherever its lines break) or a line of LEAST_LINE words
+or more. Units are cut at places that the words around them decide, so a passage has the same units in every text. Equal paragraphs
+are one from the start. Distinct ones get MinHash values over their five-word shingles, cut into bands; of the paragraphs that share a
+band, the exact Jaccard similarity of the shingle sets decides which are linked. Components of these links, and of equality, are
+the classes; the first paragraph of a class (smallest document id, then place) stays. The others count as repeated where they adjoin or
+overlap to a run of LEAST_RUN words, so that a stock phrase alone, which any text may hold, is no repeated passage.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from itertools import pairwise
-from zlib import crc32
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,143 +22,214 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, written
 from .components import components
-from .store import build, mix
+from .store import mix
 
-#: Words of a shingle, similarity from which paragraphs are linked, and words from which a line is a paragraph that counts.
-SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 40
+#: Words of a shingle, similarity from which paragraphs are linked, words from which a line is a paragraph beside its units, and words of a run that is removed.
+SHINGLE, SIMILARITY, LEAST_LINE, LEAST_RUN = 5, 0.8, 40, 20
 #: Words on both sides that a cut inside a sentence of more than twice as many depends on.
 REACH = 8
-#: Share of the pairs at the similarity that some band must find.
-RECALL = 0.9995
-#: Paragraphs of a cluster that are compared in one task; larger clusters are compared in blocks.
+#: Share of the pairs at the similarity that some band must find: of documents, and of paragraphs, of which a passage has several.
+RECALL, PARAGRAPH_RECALL = 0.9995, 0.98
+#: Bands of a paragraph at most: what is shuffled is a row for each paragraph and band.
+MOST_BANDS = 4
+#: Paragraphs of a band that are compared in one task; larger bands are compared in blocks.
 BLOCK = 8_192
+#: Places for the hashes of paragraphs that a task has sent, so as not to send equal ones again; a power of 2.
+SENT = 1 << 20
 
+_PLACE = ("doc_id", "row", "begin", "n_words")
 
-def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 8) -> tuple[int, int]:
+
+def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 8, most_bands: int = 80) -> tuple[int, int]:
     """(bands, rows of a band): of the pairs that find the share `recall` at the similarity, the one with the fewest chance candidates (at 0.3) for up to 80 values."""
     found = []
     for rows in range(1, most_rows + 1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
-        if bands * rows <= 80:
+        if bands * rows <= 80 and bands <= most_bands:
             found.append((1 - (1 - 0.3**rows) ** bands, bands, rows))
     return min(found)[1:]
 
 
-def cut(text: str | None, least_words: int) -> list[tuple[int, list[bytes]]]:
-    """(line number, words) of the paragraphs that count."""
-    out = []
-    for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-        words = line.split()
-        if len(words) >= least_words:
-            out.append((i, words))
-    return out
+@dataclass
+class Cut:
+    """Paragraphs of some texts: their text's number, first word in it, number of words, and hash of the words; `at` is their first word in all the texts' word hashes."""
+
+    hashes: np.ndarray
+    text: np.ndarray
+    begin: np.ndarray
+    n_words: np.ndarray
+    at: np.ndarray
+    pid: np.ndarray
+
 
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of n neighbours, from each place on."""
+    out, have = x, 1
+    while have * 2 <= n:
+        out, have = np.minimum(out[:-have], out[have:]), have * 2
+    return np.minimum(out[: len(x) - n + 1], out[n - have :]) if have < n else out
 
-def unit_starts(words: list[bytes]) -> list[int]:
-    """Places of the words that begin a unit.
+
+def cut(texts: list[str | None]) -> Cut:
+    """The paragraphs of texts, in order.
 
     A unit ends with a sentence, where it has the words of a shingle. Inside long sentences, a unit begins where the hash of a word and the
-    next is the least of REACH places before and after.
+    next is the least of REACH places before and after. Lines of LEAST_LINE words are paragraphs too. What has fewer words than a shingle is none.
     """
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    split = [d.split() for d in data]
+    bounds = np.cumsum([0, *map(len, split)])
+    words = [w for own in split for w in own]
     n = len(words)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    none = np.zeros(0, np.int64)
     if not n:
-        return []
-    ends = [i for i, w in enumerate(words) if w[-1] in b".!?"]
-    if not ends or ends[-1] != n - 1:
-        ends.append(n - 1)
-    starts, begin = [0], 0
-    for e in ends:
-        if e + 1 - begin > 2 * REACH:
-            h = np.fromiter((crc32(words[i] + b" " + words[i + 1]) if i < e else crc32(words[i]) for i in range(begin, e + 1)), np.int64, e + 1 - begin)
-            near = np.lib.stride_tricks.sliding_window_view(h, REACH)
-            at = np.arange(REACH, len(h) - REACH)
-            inside = at[(h[at] < near[at - REACH].min(1)) & (h[at] <= near[at + 1].min(1))]
-            starts += (begin + inside).tolist()
-        if e + 1 - starts[-1] >= SHINGLE and e + 1 < n:
-            starts.append(e + 1)
-        begin = e + 1
-    return starts
-
-
-def cut_units(text: str | None) -> list[tuple[int, list[bytes]]]:
-    """(unit number, words) of the units that have the words of a shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    starts = unit_starts(words)
-    return [(i, words[a:b]) for i, (a, b) in enumerate(pairwise([*starts, len(words)])) if b - a >= SHINGLE]
-
-
-def without_units(text: str, gone: set[tuple[int, int]]) -> str:
-    """text without the units of these numbers and hashes; a line break after a removed run stays."""
+        return Cut(hashes, none, none, none, none, none)
+    last_of_text = np.zeros(n + 1, bool)
+    last_of_text[bounds[1:]] = True
+    last_of_text = last_of_text[1:]
+    raw = b" ".join(words)
+    letters = np.frombuffer(raw, np.uint8)
+    stops = np.append(np.flatnonzero(letters == 32), len(raw))  # where each word ends
+    off = np.concatenate([[0], stops + 1])
+    last = letters[stops - 1]
+    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | last_of_text
+    place = np.arange(n)
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], ends[:-1]]), place, 0))
+    end = np.flatnonzero(ends)[np.cumsum(ends) - ends]
+    pair = mix(np.where(ends, hashes, mix(hashes) + np.append(hashes[1:], np.uint64(0))))
+    inside = none
+    if n > 2 * REACH:
+        low, p = _least(pair, REACH), np.arange(REACH, n - REACH)
+        inside = p[(pair[p] < low[p - REACH]) & (pair[p] <= low[p + 1]) & (p - begin[p] >= REACH) & (end[p] - p >= REACH)]
+    after = np.flatnonzero(ends) + 1
+    events = np.concatenate([inside, after])
+    kinds = np.concatenate([np.ones(len(inside), bool), last_of_text[after - 1]])
+    order = np.argsort(events, kind="stable")
+    starts, before = [0], 0
+    for at, always in zip(events[order].tolist(), kinds[order].tolist(), strict=True):
+        if always or at - before >= SHINGLE:
+            starts.append(at)
+            before = at
+    found = [np.array(starts[:-1], np.int64), np.diff(np.array(starts, np.int64))]
+    lines = []
+    for d, a, m in zip(data, bounds.tolist(), map(len, split), strict=False):
+        if m >= LEAST_LINE:
+            for line in d.split(b"\n"):
+                k = len(line.split())
+                if k >= LEAST_LINE:
+                    lines.append((a, k))
+                a += k
+    if lines:
+        found = [np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(found, zip(*lines, strict=True), strict=True)]
+    at, n_words = np.unique(np.stack(found), axis=1) if lines else found
+    long = n_words >= SHINGLE
+    at, n_words = at[long], n_words[long]
+    text = np.searchsorted(bounds, at, side="right") - 1
+    digest = xxhash.xxh3_64_intdigest
+    pid = np.fromiter((digest(raw[a:b]) for a, b in zip(off[at].tolist(), (off[at + n_words] - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
+    return Cut(hashes, text, at - bounds[text], n_words, at, pid)
+
+
+def without_runs(text: str, runs: list[tuple[int, int]]) -> str:
+    """text without these runs, given as (first word, number of words) in order; a line break after a removed run stays."""
     data = text.encode("utf-8", "surrogatepass")
     spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
-    words = [data[a:b] for a, b in spans]
-    starts = unit_starts(words)
     out, kept = [], 0
-    for i, (a, b) in enumerate(pairwise([*starts, len(words)])):
-        if (i, _pid(words[a:b])) not in gone:
-            continue
+    for a, n in runs:
+        b = a + n
         out.append(data[kept : spans[a][0]])
-        kept = spans[b][0] if b < len(words) else spans[b - 1][1]
-        if b < len(words) and b"\n" in data[spans[b - 1][1] : kept]:
+        kept = spans[b][0] if b < len(spans) else spans[b - 1][1]
+        if b < len(spans) and b"\n" in data[spans[b - 1][1] : kept]:
             before = b"".join(out).rstrip(b" \t")
             out = [before if not before or before.endswith(b"\n") else before + b"\n"]
     return b"".join([*out, data[kept:]]).decode("utf-8", "surrogatepass")
 
 
-def _pid(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63
+def _shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles that begin at each word, from the words' hashes."""
+    n = max(0, len(h) - size + 1)
+    out = h[:n]
+    for k in range(1, size):
+        out = mix(out) + h[k : n + k]
+    return mix(out)
 
 
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the distinct shingles; fewer words than a shingle: the whole sequence."""
-    text, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    if len(words) <= size:
-        return np.array([digest(text)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-size].tolist()]
-    return np.unique(np.array([digest(text[a : b - 1]) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def band_keys(sets: list[np.ndarray], bands: int, rows: int, seed: int = 11) -> np.ndarray:
-    """A 64-bit key for each set and band: the band's number and MinHash values."""
-    if not sets:
+    """Hashes of the distinct shingles; fewer words than a shingle: one of the whole sequence."""
+    if len(words) < size:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    return np.unique(_shingles(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), size))
+
+
+def band_keys(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int, seed: int = 11) -> np.ndarray:
+    """A 64-bit key for each band of each stretch of flat, which may overlap and are not empty: the band's number and MinHash values."""
+    if not len(starts):
         return np.zeros((0, bands), np.int64)
     rng = np.random.default_rng(seed)
     factor, add = rng.integers(1, 2**32, bands * rows, np.uint64) | np.uint64(1), rng.integers(0, 2**32, bands * rows, np.uint64)
-    flat = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    keys = np.zeros((len(sets), bands), np.uint64)
+    at = np.stack([starts, ends], 1).ravel()
+    flat = np.append(flat, np.uint64(0))  # a place for the last end
+    keys = np.zeros((len(starts), bands), np.uint64)
     high, low = (flat >> np.uint64(32)).astype(np.uint32), flat.astype(np.uint32)
     for b in range(bands):
-        key = np.full(len(sets), b + 1, np.uint64)
+        key = np.full(len(starts), b + 1, np.uint64)
         for r in range(rows):
             k = b * rows + r
             mixed = (low * np.uint32(factor[k])) ^ (high + np.uint32(add[k]))
             mixed *= np.uint32(0x85EBCA6B)
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(factor[k])
-            key = mix(key + np.minimum.reduceat(mixed, starts).astype(np.uint64))
+            key = mix(key + np.minimum.reduceat(mixed, at)[::2].astype(np.uint64))
         keys[:, b] = key
     return keys.view(np.int64)
 
 
-def _linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links that connect all sets of this group that are connected by similar pairs: a tree for each component."""
-    flat, at = np.unique(np.concatenate(sets), return_inverse=True)
+def set_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """band_keys of sets of hashes."""
+    ends = np.cumsum([len(s) for s in sets]).astype(np.int64)
+    return band_keys(np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.concatenate([[0], ends[:-1]]) if sets else ends, ends, bands, rows)
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect all sets of this group that are connected by similar pairs: a tree for each component.
+
+    Similar sets share one of their rarest hashes (those that may be missing, and one), so a set is compared only with the sets that have
+    one of these among their own rarest.
+    """
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        near = both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9
+        return ([int(ids[0])], [int(ids[1])]) if near else ([], [])
     sizes = np.array([len(s) for s in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     owner = np.repeat(np.arange(len(sets)), sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    a, b, left = [], [], np.ones(len(sets), bool)
+    order = np.lexsort((rank[at], owner))
+    token, starts = rank[at][order], np.concatenate([[0], np.cumsum(sizes)])
+    rare = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    among = np.arange(len(token)) - np.repeat(starts[:-1], sizes) < np.repeat(rare, sizes)
+    by_token = np.argsort(token[among], kind="stable")
+    holders, cuts = owner[among][by_token], np.searchsorted(token[among][by_token], np.arange(len(count) + 1))
+    a, b, left, mark = [], [], np.ones(len(sets), bool), np.zeros(len(count), bool)
     for seed in range(len(sets)):
         if not left[seed]:
             continue
         left[seed], open_ = False, [seed]
-        while open_ and left.any():
+        while open_:
             x = open_.pop()
-            mark = np.zeros(len(flat), bool)
-            mark[at[starts[x] : starts[x + 1]]] = True
-            shared = np.bincount(owner[mark[at]], minlength=len(sets))
-            near = np.flatnonzero(left & (shared >= similarity * (sizes + sizes[x] - shared)))
+            own = token[starts[x] : starts[x + 1]]
+            near = np.unique(np.concatenate([holders[cuts[t] : cuts[t + 1]] for t in own[: rare[x]].tolist()]))
+            near = near[left[near]]
+            if not len(near):
+                continue
+            mark[own] = True
+            ends = np.cumsum(sizes[near])
+            flat = np.arange(ends[-1]) + np.repeat(starts[near] - (ends - sizes[near]), sizes[near])
+            shared = np.add.reduceat(mark[token[flat]].astype(np.int64), ends - sizes[near])
+            mark[own] = False
+            near = near[shared >= similarity * (sizes[near] + sizes[x] - shared) - 1e-9]
             a += [int(ids[x])] * len(near)
             b += ids[near].tolist()
             open_ += near.tolist()
@@ -166,120 +237,184 @@ def _linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple
     return a, b
 
 
-def _links_of(table: pa.Table, similarity: float) -> pa.Table:
-    words = [t.split(b" ") for t in table.column("words").to_pylist()]
-    a, b = _linked(np.asarray(table.column("pid")), [shingle_hashes(w) for w in words], similarity)
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
-    """_repeated for lines of at least least_words words."""
-    return _repeated(docs, lambda text: cut(text, least_words), id_col, text_col, similarity, block).drop("pid")
-
-
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """_repeated for units, with the hash of the unit's words as pid."""
-    return _repeated(docs, cut_units, id_col, text_col, similarity, block)
+def _places(texts: DataFrame) -> DataFrame:
+    """doc_id, row, begin, n_words and pid, a hash of the words, of every paragraph."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                c = cut(part.column(2).to_pylist())
+                at = pa.array(c.text)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(c.begin.astype(np.int32)), pa.array(c.n_words.astype(np.int32)), pa.array(c.pid)], [*_PLACE, "pid"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return written(texts.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, begin int, n_words int, pid long"), "paragraphs")
+
+
+def _shared_bands(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, pid) of the bands that two or more different paragraphs have."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(SENT, np.int64)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                c = cut(b.column(0).slice(k, 256).to_pylist())
+                _, new = np.unique(c.pid, return_index=True)
+                place = c.pid[new] & (SENT - 1)
+                new = new[sent[place] != c.pid[new]]
+                sent[c.pid[new] & (SENT - 1)] = c.pid[new]
+                keys = band_keys(_shingles(c.hashes), c.at[new], c.at[new] + c.n_words[new] - SHINGLE + 1, bands, rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(c.pid[new], bands))], ["key", "pid"])
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pid, is_shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for b in batches:
+            # the last row is held back: the next batch may go on with its band
+            key, pid = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((key, pid), b.columns, strict=True))
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (pid[1:] != pid[:-1])])
+            key, pid = key[new], pid[new]
+            same = key[1:] == key[:-1]
+            before = np.concatenate([[is_shared], same])
+            some = before[:-1] | same
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][some]), pa.array(pid[:-1][some])], ["key", "pid"])
+            key, pid, is_shared = key[-1:], pid[-1:], bool(before[-1])
+        if is_shared:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pid)], ["key", "pid"])
+
+    keyed = texts.select("text").mapInArrow(sign, "key long, pid long")
+    return written(keyed.repartition("key").sortWithinPartitions("key", "pid").mapInArrow(share, "key long, pid long"), "shared-bands")
+
+
+def _links(places: DataFrame, texts: DataFrame, shared: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(a, b): links of similar paragraphs of one band, by exact similarity."""
+    wanted = shared.select("pid").distinct()
+    first = places.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(F.struct(*_PLACE)).alias("at")).select("pid", "at.*")
+    asked = first.groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "n_words", "pid")).alias("asked"))  # at most the paragraphs of one text
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                pids, found = [], []
+                for v, places in zip(b.column(0).slice(k, 256).to_pylist(), b.column(1).slice(k, 256).to_pylist(), strict=True):
+                    words = v.encode("utf-8", "surrogatepass").split()
+                    for x in places:
+                        pids.append(x["pid"])
+                        found.append(b" ".join(words[x["begin"] : x["begin"] + x["n_words"]]))
+                yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(found, pa.binary())], ["pid", "words"])
+
+    held = texts.join(asked, ["doc_id", "row"]).select("text", "asked").mapInArrow(words_of, "pid long, words binary")
+    held = written(held.dropDuplicates(["pid"]), "paragraph-words")
+    sized = shared.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("n"))
+    # up to half a block: compared whole; more: dealt into blocks, of which each two meet
+    dealt = shared.join(sized, "key").withColumn("i", F.pmod(F.xxhash64("pid"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "pid").join(held, "pid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([*rest, batch])
+                group = np.stack([c.to_numpy() for c in rows.columns[:3]])
+                last = int(np.flatnonzero((group != group[:, -1:]).any(0)).max(initial=-1)) + 1  # the last group may go on in the next batch
+                yield _compared(rows.slice(0, last), similarity)
+                rest = rows.slice(last).to_batches()
+        if rest:
+            yield _compared(pa.Table.from_batches(rest), similarity)
+
+    met = met.select("key", "i", "j", "pid", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def _compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links within the groups (key, i, j) of sorted rows; groups of two, the most, are compared all at once."""
+    a, b = [], []
+    if rows.num_rows:
+        group, pid = np.stack([c.to_numpy() for c in rows.columns[:3]]), rows.column(3).to_numpy()
+        words = [w.split(b" ") for w in rows.column(4).to_pylist()]
+        many = np.array([len(w) for w in words])
+        own = _shingles(np.fromiter((xxhash.xxh3_64_intdigest(w) for each in words for w in each), np.uint64, int(many.sum())))
+        # the shingles of a paragraph begin at all but its last words; each counts once
+        here = many - SHINGLE + 1
+        row = np.repeat(np.arange(len(many)), here)
+        value = own[np.arange(len(row)) + np.repeat(np.cumsum(many) - many - (np.cumsum(here) - here), here)]
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        once = np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])
+        row, flat = row[once], value[once]
+        sizes = np.bincount(row, minlength=len(many))
+        ends = np.cumsum(sizes)
+        first = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
+        n = np.diff(np.append(first, rows.num_rows))
+        x = first[n == 2]
+        both = np.concatenate([x, x + 1])
+        if len(x):
+            far = np.cumsum(sizes[both])
+            at = np.arange(far[-1]) + np.repeat(ends[both] - far, sizes[both])
+            pair, value = np.repeat(np.tile(np.arange(len(x)), 2), sizes[both]), flat[at]
+            order = np.lexsort((value, pair))
+            pair, value = pair[order], value[order]
+            shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(x))
+            near = shared >= similarity * (sizes[x] + sizes[x + 1] - shared) - 1e-9
+            a += pid[x[near]].tolist()
+            b += pid[x[near] + 1].tolist()
+        for s, m in zip(first[n > 2].tolist(), n[n > 2].tolist(), strict=True):
+            u, v = linked(pid[s : s + m], [flat[e - k : e] for e, k in zip(ends[s : s + m].tolist(), sizes[s : s + m].tolist(), strict=True)], similarity)
+            a += u
+            b += v
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, least_run: int, block: int) -> DataFrame:
+    """Every paragraph of a class of two or more: its place, `head` (the class's first place), kept, and of the others the run that they lie in (run, run_words)."""
+    bands, rows = tuned_bands(similarity, PARAGRAPH_RECALL, most_bands=MOST_BANDS)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    places = _places(texts)
+    equal = written(places.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pid"), "equal-paragraphs")
+    classes = components(_links(places, texts, _shared_bands(texts, bands, rows), similarity, block)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
+    roots = written(equal.join(classes, "pid", "full").select("pid", F.coalesce("root", "pid").alias("root")), "paragraph-classes")
+    members = written(places.join(roots, "pid").select("root", *_PLACE).distinct(), "paragraph-members")
+    heads = members.groupBy("root").agg(F.min(F.struct(*_PLACE)).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    named = members.join(heads, "root").withColumn("kept", F.struct(*_PLACE) == F.col("head"))
+    # repeated paragraphs that adjoin or overlap are one run
+    gone, end = named.filter("NOT kept"), F.col("begin") + F.col("n_words")
+    by_place = Window.partitionBy("doc_id", "row").orderBy("begin", "n_words", "root")
+    far = F.col("begin") > F.coalesce(F.max(end).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    gone = gone.withColumn("_new", far.cast("int")).withColumn("run", F.sum("_new").over(by_place.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    run = Window.partitionBy("doc_id", "row", "run")
+    gone = gone.withColumn("run_words", F.max(end).over(run) - F.min("begin").over(run)).filter(F.col("run_words") >= least_run)
+    gone = written(gone, "repeated-paragraphs")
+    first = named.filter("kept").join(gone.select("root").distinct(), "root", "left_semi").withColumn("run", F.lit(None).cast("long")).withColumn("run_words", F.lit(None).cast("int"))
+    return gone.unionByName(first.select(gone.columns))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_run: int = LEAST_RUN, block: int = BLOCK) -> DataFrame:
+    """doc_id, begin (word, from 0), n_words, class_doc_id, class_begin, kept: the paragraphs that are equal or similar, directly or through others, to one of a smaller id or place, and (kept) those first ones.
+
+    Repeated paragraphs are reported where their run has least_run words. Rows without an id, and null and empty texts, have no
+    paragraphs; rows that share id and text have theirs once, those that share an id only are texts of their own. An empty table gives no rows.
+    """
+    out = _classes(docs, id_col, text_col, similarity, least_run, block)
+    return out.select("doc_id", "begin", "n_words", F.col("head.doc_id").alias("class_doc_id"), F.col("head.begin").alias("class_begin"), "kept")
 
 
-def _repeated(docs: DataFrame, cutter: Callable[[str | None], list[tuple[int, list[bytes]]]], id_col: str, text_col: str, similarity: float, block: int) -> DataFrame:
-    """doc_id, paragraph (line or unit number from 0), pid, class_doc_id, class_paragraph, kept: every paragraph that is equal or similar to another, directly or through others.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", similarity: float = SIMILARITY, least_run: int = LEAST_RUN, block: int = BLOCK) -> DataFrame:
+    """docs without the runs of repeated paragraphs; documents of which nothing is left go. length_col, where there is one, is counted anew for changed texts.
 
-    The class is named by its first paragraph, which alone is kept. Rows without an id have no paragraphs; rows that share
-    an id and text have theirs once, and rows of one id and different texts are told apart by line number alone. Null and empty texts have none. An empty table gives no rows.
+    Rows without an id stay as they are, and so do null and empty texts. A text may lose words that its first similar paragraph does not have: at most a fifth of the shingles.
     """
-    bands, rows = tuned_bands(similarity)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).filter("doc_id IS NOT NULL")
-
-    def sign(values: list[str | None]) -> list[list]:
-        out: list[list] = []
-        for v in values:
-            out.append([{"paragraph": i, "pid": xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63} for i, w in cutter(v)])
-        return [out]
-
-    places = map_columns(texts, ["doc_id"], [F.col("_text")], [("p", "array<struct<paragraph: int, pid: long>>")], sign)
-    places = written(places.select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.paragraph", "p.pid").distinct(), "paragraphs")
-    first = written(places.groupBy("pid").agg(F.min(F.struct("doc_id", "paragraph")).alias("first")).select("pid", "first.*"), "first-paragraphs")
-    shards = max(4, -(-first.count() // 500_000))
-    at_first = build(first.select("pid", "doc_id", "paragraph"), "first-places", shards)
-
-    def band(ids: list[int], values: list[str | None]) -> list[list]:
-        found, held = [], []
-        for d, v in zip(ids, values, strict=True):
-            for i, w in cutter(v):
-                found.append((d, i, xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63))
-                held.append(w)
-        out: list[list] = [[] for _ in ids]
-        if found:
-            d, i, pid = (np.array(c, np.int64) for c in zip(*found, strict=True))
-            own = np.flatnonzero((np.stack(at_first.find(mix(pid.view(np.uint64)))) == np.stack([d, i])).all(0))
-            at = {x: k for k, x in enumerate(ids)}
-            for k, keys in zip(own, band_keys([shingle_hashes(held[k]) for k in own], bands, rows).tolist(), strict=True):
-                out[at[int(d[k])]].append({"pid": int(pid[k]), "keys": keys})
-        return [out]
-
-    signed = map_columns(texts, [], [F.col("doc_id"), F.col("_text")], [("p", "array<struct<pid: long, keys: array<long>>>")], band)
-    banded = signed.select(F.explode("p").alias("p")).select("p.pid", F.explode("p.keys").alias("key"))
-    # candidates of a band are linked to its smallest paragraph: as many rows as there are candidates
-    candidates = banded.withColumn("least", F.min("pid").over(Window.partitionBy("key"))).filter("least <> pid").select("least", "pid").distinct()
-    clusters = written(components(candidates), "clusters")
-    in_cluster = build(clusters, "in-cluster", shards)
-
-    def wanted(ids: list[int], values: list[str | None]) -> list[list]:
-        out = []
-        for d, v in zip(ids, values, strict=True):
-            found = [(i, xxhash.xxh3_64_intdigest(b" ".join(w)) - 2**63, w) for i, w in cutter(v)]
-            if not found:
-                out.append([])
-                continue
-            pid = np.array([f[1] for f in found], np.int64)
-            key = mix(pid.view(np.uint64))
-            known, (fd, fi) = in_cluster.find(key)[0], at_first.find(key)
-            out.append([{"pid": p, "words": b" ".join(w)} for (i, p, w), c, a, b in zip(found, known, fd, fi, strict=True) if c and a == d and b == i])
-        return [out]
-
-    text_of = map_columns(texts, [], [F.col("doc_id"), F.col("_text")], [("p", "array<struct<pid: long, words: binary>>")], wanted)
-    text_of = text_of.select(F.explode("p").alias("p")).select("p.pid", "p.words").dropDuplicates(["pid"])
-    sized = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("n"))
-    # up to half a block: compared whole; more: dealt into blocks, of which each two meet
-    held = text_of.join(clusters.withColumnRenamed("id", "pid"), "pid").join(sized, "component")
-    dealt = held.withColumn("i", F.pmod(F.xxhash64("pid"), F.col("n")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = dealt.select("component", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "pid", "words")
-    links = met.groupBy("component", "i", "j").applyInArrow(lambda t: _links_of(t, similarity), "a long, b long")
-    classes = components(links).select(F.col("id").alias("pid"), F.col("component").alias("root"))
-    roots = first.join(classes, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
-    named = written(roots, "classes")
-    heads = named.groupBy("root").agg(F.min(F.struct("doc_id", "paragraph")).alias("head"))
-    each = places.join(named.select("pid", "root"), "pid")
-    many = places.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).join(named.select("pid", "root"), "pid").groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1")
-    out = each.join(heads.join(many, "root"), "root")
-    return out.select("doc_id", "paragraph", "pid", F.col("head.doc_id").alias("class_doc_id"), F.col("head.paragraph").alias("class_paragraph"), ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept"))
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
-    """docs with the repeated paragraphs' lines cut from their texts; documents of which nothing is left go. length_col, where there is one, is counted anew for changed texts."""
-    gone = repeated(docs, id_col, text_col, **options).filter("NOT kept").groupBy(F.col("doc_id").alias("__cut_gone_id")).agg(F.collect_list("paragraph").alias("__cut_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__cut_gone_id"), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__cut_gone"), i)), "\n")
-    changed = F.col("__cut_gone").isNotNull()
-    text = F.when(changed, left).otherwise(F.col(text_col))
-    out = joined.withColumn("__cut_text", text).filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r", "   ")) != ""))
-    made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return out.select(*made)
-
-
-def without_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
-    """docs with the repeated units' spans cut from their texts; otherwise as without_repeats."""
-    found = repeated_units(docs, id_col, text_col, **options).filter("NOT kept")
-    gone = found.groupBy(F.col("doc_id").alias("__cut_gone_id")).agg(F.collect_list(F.struct("paragraph", "pid")).alias("__cut_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__cut_gone_id"), "left")
-
-    def left(texts: list[str | None], spans: list[list[dict] | None]) -> list[list]:
-        return [[t if t is None or not g else without_units(t, {(x["paragraph"], x["pid"]) for x in g}) for t, g in zip(texts, spans, strict=True)]]
-
-    out = map_columns(joined, docs.columns, [F.col(text_col), F.col("__cut_gone")], [("__cut_text", "string")], left)
-    changed = F.coalesce(F.col("__cut_text") != F.col(text_col), F.lit(False))
-    out = out.filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r", "   ")) != ""))
-    made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return out.select(*made)
+    out = _classes(docs, id_col, text_col, similarity, least_run, block).filter("NOT kept")
+    runs = out.groupBy("doc_id", "row", "run").agg(F.struct(F.min("begin").alias("begin"), F.max("run_words").alias("n_words")).alias("x"))
+    gone = runs.groupBy(F.col("doc_id").alias("__cut_id"), F.col("row").alias("__cut_row")).agg(F.sort_array(F.collect_list("x")).alias("__cut_runs"))  # at most the runs of one text
+    joined = docs.join(gone, (F.col(id_col) == F.col("__cut_id")) & (F.xxhash64(F.col(text_col)) == F.col("__cut_row")), "left")
+
+    def left(texts: list[str | None], runs: list[list[dict] | None]) -> list[list]:
+        return [[t if t is None or not r else without_runs(t, [(x["begin"], x["n_words"]) for x in r]) for t, r in zip(texts, runs, strict=True)]]
+
+    cut_text = map_columns(joined, [*docs.columns, "__cut_id"], [F.col(text_col), F.col("__cut_runs")], [("__cut_text", "string")], left)
+    changed = F.col("__cut_id").isNotNull()
+    cut_text = cut_text.filter(~changed | (F.trim(F.translate("__cut_text", "\n\t\r\x0b\x0c", "     ")) != ""))
+    made = [F.col("__cut_text").alias(c) if c == text_col else F.when(changed, F.length("__cut_text")).otherwise(F.col(c)).cast(dict(docs.dtypes)[c]).alias(c) if c == length_col else F.col(f"`{c}`") for c in docs.columns]
+    return cut_text.select(*made)

@@ -30,9 +30,7 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    lines = paragraphs.repeated(docs).withColumn("unit", F.lit("line"))
-    return lines.unionByName(paragraphs.repeated_units(docs).drop("pid").withColumn("unit", F.lit("unit")))
+    return paragraphs.repeated(_table(spark, sf_dir, "documents"))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +85,49 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+#: The same mix over plain windows; targets of sources by the water level, documents' levels by size, Pareto order, and the last correction.
+_MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size, source,
+    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':17') AS key FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM docs GROUP BY source
+), caps AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap FROM sources
+), waters AS (
+  SELECT *, (least(1.5::DOUBLE * sum(source_size) OVER (), sum(cap) OVER ()) - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps
+), targets AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT first(level ORDER BY cap / w, source) FROM waters WHERE level <= cap / w) * w), cap) AS target FROM waters
+), sized AS (
+  SELECT d.source, size, any_value(target) AS target, CASE WHEN size > 0 THEN CAST(floor(pow(CAST(size AS DOUBLE), 0.5) * 1024) AS BIGINT) ELSE 0 END AS dw, count(*) AS n
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, size
+), levels AS (
+  SELECT source, size, dw, CASE WHEN rest > 0 THEN (target - 2.0::DOUBLE * CAST(above AS DOUBLE)) / CAST(rest AS DOUBLE) END AS level FROM (
+    SELECT *, coalesce(sum(CAST(n * size AS HUGEINT)) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+      sum(CAST(n AS HUGEINT) * size * dw) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM sized)
+), level AS (
+  SELECT source, arg_max(level, size) FILTER (level * dw <= 2) AS level FROM levels GROUP BY source
+), expected AS (
+  SELECT d.doc_id, d.size, d.key, d.source, t.source_size, t.target, CASE WHEN size > 0 THEN least(2.0::DOUBLE, coalesce(l.level * CAST(floor(pow(CAST(size AS DOUBLE), 0.5) * 1024) AS BIGINT), 2.0::DOUBLE)) ELSE 0.0::DOUBLE END AS m,
+    (CAST('0x' || d.key[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN level l ON d.source IS NOT DISTINCT FROM l.source
+), odds AS (
+  SELECT *, CAST(floor(m) AS BIGINT) AS whole, CASE WHEN m > floor(m) THEN (u / (1 - u)) / ((m - floor(m)) / (1 - (m - floor(m)))) END AS odds FROM expected
+), running AS (
+  SELECT *, row_number() OVER () AS id, target - sum(whole * size) OVER (PARTITION BY source) AS gap,
+    sum(CASE WHEN odds IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, key ROWS UNBOUNDED PRECEDING) AS upto FROM odds
+), sample AS (
+  SELECT *, CASE WHEN odds IS NOT NULL AND size > 0 AND upto - size / 2 <= gap THEN 1 ELSE 0 END AS more FROM running
+), opened AS (
+  SELECT *, gap - sum(more * size) OVER (PARTITION BY source) AS open FROM sample
+), last AS (
+  SELECT *, row_number() OVER (PARTITION BY source, odds IS NOT NULL AND size > 0 AND more = CASE WHEN open < 0 THEN 1 ELSE 0 END AND size < 2 * abs(open) ORDER BY abs(size - abs(open)), key, id) AS i,
+    odds IS NOT NULL AND size > 0 AND more = CASE WHEN open < 0 THEN 1 ELSE 0 END AND size < 2 * abs(open) AS fits FROM opened
+)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN fits AND i = 1 THEN 1 - more ELSE more END) AS BIGINT) AS taken FROM last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pivot_search": _TOP_K_SQL}
+    return {"op8_pareto_mixing": _MIX_SQL, "op9_pivot_search": _TOP_K_SQL}
