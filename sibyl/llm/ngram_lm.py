@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, new_folder, written
+from .common import map_columns, new_folder, spread, written
 from .store import Store, mix, put_arrays, runs, shard_of
 
 #: Ids beyond the 48 bits of a word's hash.
@@ -96,7 +96,7 @@ def _gathered(sent: DataFrame, n_shards: int, fn, schema: str) -> DataFrame:
         for s in sorted(held):
             yield from fn(s, held.pop(s))
 
-    return sent.repartition(n_shards, "shard").mapInArrow(run, schema)
+    return sent.repartitionById(n_shards, F.col("shard").cast("int")).mapInArrow(run, schema)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
     """Counts all texts of docs. Null texts count as empty: they hold an end. What is shuffled and stored grows with the corpus."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(8, -(-size // SHARD_BYTES))
+    n = max(spread(spark), -(-size // SHARD_BYTES))
     folders = [new_folder(spark, f"lm-{x}") for x in ("pairs", "contexts", "words")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +179,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
         c = np.add.reduceat(c[order], first)
         b, w, key = b[order][first], w[order][first], key[order][first]
         put_arrays(folders[0], s, [key, np.minimum(c, 2**32 - 1).astype("u4")])
-        out = [(-1, _pack(np.bincount(np.minimum(c, 5), minlength=6)[1:5], np.array([len(c)] * 4)))]
+        out = [(-1, b"")]
         for column, sums in ((b, [c, c == 1, c == 2, c > 2]), (w, [c, np.ones_like(c)])):
             order = np.argsort(column, kind="stable")
             first = runs(column[order])
             rows = [column[order][first], *[np.add.reduceat(x[order].astype(np.int64), first) for x in sums]]
             out += [(t + n * (column is w), d) for t, d in _packets(shard_of(word_key(rows[0]), n), n, rows)]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["shard", "data"])
+        often = np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()  # pairs seen once to four times
+        numbers = [pa.array([x, *[None] * (len(out) - 1)], pa.int64()) for x in often]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary()), *numbers], ["shard", "data", "n1", "n2", "n3", "n4"])
 
     def add_words(s: int, packets: list[bytes]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*[_unpack(p, 5 if s < n else 3) for p in packets], strict=True)]
@@ -200,15 +202,13 @@ def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], ["tokens", "types", "pairs", "n1", "n2", "n3", "n4"])
 
     pairs = docs.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(count, "shard int, data binary")
-    onward = written(_gathered(pairs, n, add_pairs, "shard int, data binary"), "lm-sums")
-    pair_counts = np.zeros(4, np.int64)
-    for row in onward.filter("shard < 0").select("data").toLocalIterator():  # four numbers for each shard
-        pair_counts += _unpack(bytes(row[0]), 2)[0]
-    sums = _gathered(onward.filter("shard >= 0"), 2 * n, add_words, "tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()
+    onward = written(_gathered(pairs, n, add_pairs, "shard int, data binary, n1 long, n2 long, n3 long, n4 long"), "lm-sums")
+    pair_counts = onward.filter("shard < 0").select("n1", "n2", "n3", "n4").groupBy().sum().first()
+    sums = _gathered(onward.filter("shard >= 0").select("shard", "data"), 2 * n, add_words, "tokens long, types long, pairs long, n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()
     total = [int(x or 0) for x in sums]
     word_discounts = _discounts(total[3:])
     left = sum(d * k for d, k in zip(word_discounts, [total[3], total[4], total[1] - total[3] - total[4]], strict=True)) / max(1, total[2])
-    return KneserNey(Store(folders[0], n, ("u4",)), Store(folders[1], n, ("i8",) * 4), Store(folders[2], n, ("i8", "i8")), total[0], total[1], total[2], _discounts([int(x) for x in pair_counts]), word_discounts, left)
+    return KneserNey(Store(folders[0], n, ("u4",)), Store(folders[1], n, ("i8",) * 4), Store(folders[2], n, ("i8", "i8")), total[0], total[1], total[2], _discounts([int(x or 0) for x in pair_counts]), word_discounts, left)
 
 
 def scored(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "text") -> DataFrame:

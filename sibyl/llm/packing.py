@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
+from .common import map_columns, spread, written
 
 #: Pieces of a cell on average, islands of a cell, rounds, and what one island does in a round.
 CELL, ISLANDS, ROUNDS, POPULATION, CHILDREN, ELITES = 2000, 2, 2, 6, 14, 2
@@ -205,7 +205,9 @@ def pack(rows: DataFrame, limit: int = 1024, seed: int = 23) -> DataFrame:
             return [out]
 
         joined = held.select("cell", sizes.alias("sizes")).join(state, "cell").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-        grown = map_columns(joined.repartition("cell", "island"), ["cell", "island"], [F.col("cell"), F.col("island"), F.col("sizes"), F.col("elites")], [("best", "array<array<int>>")], island, rows=1)
+        # an island is a row of its own work: as many tasks as the cluster runs, several times over
+        tasks = min(cells * ISLANDS, 8 * spread(rows.sparkSession))
+        grown = map_columns(joined.repartition(tasks, "cell", "island"), ["cell", "island"], [F.col("cell"), F.col("island"), F.col("sizes"), F.col("elites")], [("best", "array<array<int>>")], island, rows=1)
         state = written(grown.groupBy("cell").agg(F.collect_list(F.struct("island", F.col("best").alias("elites"))).alias("elites")), "islands")
 
     def place(lengths: list, islands: list) -> list[list]:

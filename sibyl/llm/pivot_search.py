@@ -2,9 +2,10 @@
 
 Vectors are lifted to one length M by one more component, sqrt(M^2 - |x|^2); for queries it is 0. The largest inner product
 is then the smallest distance, and the triangle inequality holds: a vector at distance r from a pivot is at least
-|d(query, pivot) - r| away from the query. The index keys each vector by its nearest pivot and that distance. A query
-first looks into a block at its own pivot; the bound found there leaves out whole pivots, and in each block that
-is left the sorted distances are walked outwards from the query's, annulus by annulus, until no closer one can come.
+|d(query, pivot) - r| away from the query. The index keys each vector by its nearest pivot and that distance, cuts each pivot's
+distances into rings, and the rings into blocks. A query first looks into a block of the ring that it lies in itself; the bound found
+there leaves out whole rings, and in each block that is left the sorted distances are walked outwards from the query's,
+annulus by annulus, until no closer one can come. Queries of one pivot go together, and a block is sent only to those that want it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, written
 
-#: Pivots, rows of a block, queries compared with a block at once, and rows of the first annulus.
-PIVOTS, BLOCK_ROWS, QUERY_ROWS, ANNULUS = 48, 4096, 4096, 256
+#: Pivots, rings of a pivot at most, rows of a block, queries compared with a block at once, and rows of the first annulus.
+PIVOTS, RINGS, BLOCK_ROWS, QUERY_ROWS, ANNULUS = 48, 32, 4096, 4096, 256
 
 
 def whole_numbers(vector: Column, scale: int = 1024) -> Column:
@@ -101,46 +102,61 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         return [d.argmin(1).astype(np.int32), d.min(1)]
 
     index = written(map_columns(rows, ["id", "row", "v", "is_query"], [F.col("v")], [("pivot", "int"), ("r", "double")], key, rows=4096), "index")
-    rings = {p: (n, low, high) for p, n, low, high in index.groupBy("pivot").agg(F.count(F.lit(1)), F.min("r"), F.max("r")).collect()}  # at most a row for each pivot
-    n_blocks = np.array([-(-rings[p][0] // BLOCK_ROWS) if p in rings else 0 for p in range(len(chosen))])
-    first, margin = np.cumsum(n_blocks) - n_blocks, 1e-6 * longest + 1e-3
-    n_queries = index.filter("is_query").count()
-    chunks = max(1, -(-n_queries // QUERY_ROWS))
-    table = F.array(*[F.struct(F.lit(int(a)).alias("first"), F.lit(max(1, int(b))).alias("n")) for a, b in zip(first, n_blocks, strict=True)])
-    block = F.element_at(table, F.col("pivot") + 1)
-    blocks = index.select("id", "row", "v", "r", (block["first"] + F.pmod(F.xxhash64("row"), block["n"])).cast("int").alias("block"))
+    spark, margin = vectors.sparkSession, 1e-6 * longest + 1e-3
+    # at most a row for each pivot: the distances that cut its rings, so many that a ring has some blocks' rows
+    shares = F.array(*[F.lit(k / RINGS) for k in range(1, RINGS)])
+    cuts = {}
+    for p, n, at in index.groupBy("pivot").agg(F.count(F.lit(1)), F.percentile_approx("r", shares, 1000)).collect():
+        step = max(1, RINGS // max(1, -(-n // BLOCK_ROWS)))
+        cuts[p] = sorted(set(at[step - 1 :: step]))
+    ring_cuts = spark.createDataFrame([(p, c) for p, c in cuts.items()], "pivot int, cuts array<double>")
+    ringed = index.join(F.broadcast(ring_cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("r")))).drop("cuts")
+    # at most a row for each ring
+    rings = sorted(map(tuple, ringed.groupBy("pivot", "ring").agg(F.count(F.lit(1)), F.min("r"), F.max("r")).collect()))
+    ring_pivot, low, high = (np.array([x[k] for x in rings]) for k in (0, 3, 4))
+    n_blocks = np.array([-(-x[2] // BLOCK_ROWS) for x in rings], np.int64)
+    first = np.cumsum(n_blocks) - n_blocks
+    block_of = spark.createDataFrame([(int(x[0]), int(x[1]), int(f), int(n)) for x, f, n in zip(rings, first, n_blocks, strict=True)], "pivot int, ring int, first long, n long")
+    blocks = ringed.join(F.broadcast(block_of), ["pivot", "ring"]).select("id", "row", "v", "r", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("n"))).alias("block"))
+    of_pivot = {p: (n, -(-n // QUERY_ROWS)) for p, n in index.filter("is_query").groupBy("pivot").count().collect()}  # at most a row for each pivot
+    n_queries = sum(n for n, _ in of_pivot.values())
+    chunk_of = spark.createDataFrame([(p, c) for p, (_, c) in of_pivot.items()], "pivot int, chunks long")
 
     def found(queries: DataFrame) -> DataFrame:
-        """queries: row, v, bound, and want, which has (block, d) for each block."""
-        # a block meets the queries in chunks, so neither side of a group outgrows a task
-        asked = queries.select("row", "v", "bound", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"), F.explode("want").alias("w")).select("row", "v", "bound", "chunk", F.col("w.block").alias("block"), F.col("w.d").alias("d"))
-        dealt = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else blocks.withColumn("chunk", F.lit(0))
-        both = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk"))
+        """queries: row, chunk, v, bound, and want, which has (block, d) for each block."""
+        asked = queries.select("row", "v", "bound", "chunk", F.explode("want").alias("w")).select("row", "v", "bound", "chunk", F.col("w.block").alias("block"), F.col("w.d").alias("d"))
+        # a block meets the chunks of queries of which one wants it, so neither side of a group outgrows a task
+        pairs = queries.select(F.col("chunk").alias("to_chunk"), F.explode("want.block").alias("to_block")).distinct()
+        dealt = blocks.join(pairs, F.col("block") == F.col("to_block")).drop("block")
+        both = dealt.groupBy("to_block", "to_chunk").cogroup(asked.groupBy("block", "chunk"))
         return both.applyInArrow(lambda b, q: _search_block(b, q, width, k, longest), "qrow long, vec_id long, row long, score long")
 
     def near(v: list) -> list[list]:
         x = np.array(v, float).reshape(len(v), width)
         d = _distances(x, np.zeros(len(x)), chosen, chosen_top)
-        d[:, n_blocks == 0] = np.inf
-        p = d.argmin(1)
-        return [[[{"block": int(first[a]), "d": float(d[i, a])}] for i, a in enumerate(p)]]
+        off = np.maximum(low - d[:, ring_pivot], d[:, ring_pivot] - high)
+        off[ring_pivot[None] != np.where(np.isin(np.arange(d.shape[1]), ring_pivot), d, np.inf).argmin(1)[:, None]] = np.inf
+        own = off.argmin(1)  # the ring of the nearest pivot that has the query's distance
+        return [[[{"block": int(first[a]), "d": float(d[i, ring_pivot[a]])}] for i, a in enumerate(own)]]
 
     def within(v: list, worst: list) -> list[list]:
         x = np.array(v, float).reshape(len(v), width)
         d = _distances(x, np.zeros(len(x)), chosen, chosen_top)
         bound = [math.inf if w is None else math.sqrt(max(0.0, float((a**2).sum()) + longest**2 - 2 * w)) + margin for a, w in zip(x, worst, strict=True)]
         want = []
-        for row, reach in zip(d, bound, strict=True):
-            want.append([{"block": int(first[p] + j), "d": float(row[p])} for p, (_, low, high) in rings.items() if low - reach - margin <= row[p] <= high + reach + margin for j in range(n_blocks[p])])
+        for row, reach in zip(d[:, ring_pivot], bound, strict=True):
+            some = np.flatnonzero((low - reach - margin <= row) & (row <= high + reach + margin))
+            want.append([{"block": int(first[a] + j), "d": float(row[a])} for a in some for j in range(n_blocks[a])])
         return [bound, want]
 
     if not n_queries:
         return index.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("row").alias("score"))
-    kind = "array<struct<block: int, d: double>>"
-    queries = index.filter("is_query").select("id", "row", "v")
-    seeds = found(map_columns(queries, ["row", "v"], [F.col("v")], [("want", kind)], near).withColumn("bound", F.lit(float("inf"))))
+    kind = "array<struct<block: long, d: double>>"
+    chunk = F.col("pivot").cast("long") * (1 << 32) + F.pmod(F.xxhash64("row"), F.col("chunks"))
+    queries = index.filter("is_query").join(F.broadcast(chunk_of), "pivot").select("id", "row", "v", chunk.alias("chunk"))
+    seeds = found(written(map_columns(queries, ["row", "chunk", "v"], [F.col("v")], [("want", kind)], near).withColumn("bound", F.lit(float("inf"))), "seeds"))
     worst = seeds.groupBy(F.col("qrow").alias("row")).agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("worst"))
-    bounded = written(map_columns(queries.join(worst, "row", "left"), ["id", "row", "v"], [F.col("v"), F.col("worst")], [("bound", "double"), ("want", kind)], within), "queries")
+    bounded = written(map_columns(queries.join(worst, "row", "left"), ["id", "row", "chunk", "v"], [F.col("v"), F.col("worst")], [("bound", "double"), ("want", kind)], within), "queries")
     best = Window.partitionBy("qrow").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("row"))
     ranked = found(bounded).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.join(bounded.select(F.col("row").alias("qrow"), F.col("id").alias("query_id")), "qrow").select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
+from .common import map_columns, spread, written
 from .components import components
 
 #: Segments of the fingerprint: first bit and number of bits. Their differences are at most DISTANCE together.
@@ -173,7 +173,9 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         if len(key):
             yield out(0, *_group_links(key, fp))
 
-    keyed = distinct.select("fp").mapInArrow(keys, "key long, fp long")
+    # each fingerprint makes some 85 keys: the small table is dealt over many tasks first
+    tasks = min(10_000, max(spread(distinct.sparkSession), -(-distinct.count() // 20_000)))
+    keyed = distinct.select("fp").repartition(tasks).mapInArrow(keys, "key long, fp long")
     found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "kind int, a long, b long"), "fp-links")
     large = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     if large.isEmpty():
@@ -200,14 +202,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """docs without near-duplicates: of each group the row of the smallest id stays. Rows without an id are not judged and stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def hexadecimal(fp: str) -> Column:
     """A fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -13,6 +13,8 @@ import numpy as np
 
 from .common import local_path, put_file
 
+#: Files that a worker keeps mapped at once.
+MOST_OPEN = 2_000
 #: Odd constants of a 64-bit mixing function.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,6 +53,8 @@ class Store:
 
     def _arrays(self, shard: int) -> list[np.ndarray] | None:
         if shard not in self._maps:
+            while len(self._maps) >= MOST_OPEN:  # the longest open is closed: no view of it outlives find()
+                del self._maps[next(iter(self._maps))]
             path = os.path.join(local_path(self.folder), f"keys-{shard:06d}")
             self._maps[shard] = None
             if os.path.exists(path):
@@ -118,5 +122,5 @@ def build(df, name: str, shards: int) -> Store:
             yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64())], ["n"])
 
     columns = ", ".join(f"`{c}` long" for c in names)
-    df.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(route, f"shard int, {columns}").repartition(shards, "shard").mapInArrow(put, "n long").agg(F.sum("n")).first()
+    df.select(*[F.col(c).cast("long").alias(c) for c in names]).mapInArrow(route, f"shard int, {columns}").repartitionById(shards, "shard").mapInArrow(put, "n long").agg(F.sum("n")).first()
     return Store(folder, shards, kinds)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, new_folder, written
+from .common import map_columns, new_folder, spread, written
 from .store import Store, build, mix, put_arrays, shard_of
 
 #: Length of a repeated string and of an anchor, both in bytes.
@@ -186,7 +186,7 @@ def _copies(texts: DataFrame) -> Store:
 
     keys = map_columns(texts, ["doc_id"], [F.col("_text")], [("key", "long"), ("check", "long")], sign)
     many = written(keys.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("key").agg(F.min(F.struct("check", "first")).alias("x")).select("key", "x.first", "x.check"), "copies")
-    return build(many, "copies-store", max(2, -(-many.count() // 500_000)))
+    return build(many, "copies-store", max(spread(texts.sparkSession), -(-many.count() // 500_000)))
 
 
 def _text_key(text: str | None) -> tuple[int, int]:
@@ -261,7 +261,7 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
             put_arrays(folder, s, [h[first][shared], np.minimum(places[shared], 2**31).astype("u4")])
             yield pa.RecordBatch.from_arrays([pa.array([int(places[shared].sum())], pa.int64())], ["n"])
 
-    sent = texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartition(n, "shard")
+    sent = texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartitionById(n, "shard")
     total = sent.mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0
     return Store(folder, n, ("u4",)), total
 
@@ -280,7 +280,7 @@ def _shared_contexts(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tup
 
 def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int) -> Store:
     """A store by context: the smallest document that holds it, and the mask of its strings that start in one still smaller."""
-    n = max(4, -(-places // (10 * CONTEXTS)))
+    n = max(spread(texts.sparkSession), -(-places // (10 * CONTEXTS)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -310,8 +310,8 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                 at, h, count, doc, low, high, key = _shared_contexts(data, bounds, shared)
                 raw = data.tobytes()
                 # an anchor of many places is spread over the second n shards by context
-                spread = np.where(count > MOST_OF_AN_ANCHOR, n + shard_of(mix(key), n).astype(np.int64), shard_of(h, n).astype(np.int64))
-                for key_, d, a, e, s, anchor, place in zip(key.tolist(), ids[doc].tolist(), low.tolist(), high.tolist(), spread.tolist(), h.tolist(), (at - low).tolist(), strict=True):
+                target = np.where(count > MOST_OF_AN_ANCHOR, n + shard_of(mix(key), n).astype(np.int64), shard_of(h, n).astype(np.int64))
+                for key_, d, a, e, s, anchor, place in zip(key.tolist(), ids[doc].tolist(), low.tolist(), high.tolist(), target.tolist(), h.tolist(), (at - low).tolist(), strict=True):
                     known = held.get(key_)
                     if known is None or d < known[4]:
                         held[key_] = (anchor, raw[a:e], s, d + 2**63, d, place)
@@ -360,11 +360,11 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                     yield _masks(head[a:e, 0], docs[a:e], mask, part, np.full(e - a, 2))
                 a = e
 
-    sent = texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartition(2 * n, "shard")
+    sent = texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartitionById(2 * n, "shard")
     found = written(sent.mapInArrow(work, "kind int, key long, doc long, mask long, context binary"), "contexts")
     done = found.filter("kind = 0").select("key", "doc", "mask")
-    spread = found.filter("kind = 2")
-    if not spread.isEmpty():
+    held = found.filter("kind = 2")
+    if not held.isEmpty():
         merged = written(found.filter("kind = 1").groupBy("key").agg(F.min("doc").alias("doc")), "strings")
         strings = build(merged, "strings-store", max(2, -(-merged.count() // 1_000_000)))
 
@@ -378,11 +378,11 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
                 np.bitwise_or.at(mask, owner[earlier], np.int64(1) << byte[earlier])
             return [mask]
 
-        found_again = map_columns(spread, ["key", "doc"], [F.col("doc"), F.col("context")], [("mask", "long")], look_up, rows=4096)
+        found_again = map_columns(held, ["key", "doc"], [F.col("doc"), F.col("context")], [("mask", "long")], look_up, rows=4096)
         done = done.unionByName(found_again)
     # one row for each context: the smallest document, the strings that are earlier for it
     each = done.groupBy("key").agg(F.min(F.struct("doc", "mask")).alias("x")).select("key", F.col("x.doc").alias("doc"), F.col("x.mask").alias("mask"))
-    return build(each, "context-store", max(4, -(-places // 1_000_000)))
+    return build(each, "context-store", max(spread(texts.sparkSession), -(-places // 1_000_000)))
 
 
 def _masks(key: np.ndarray, doc: np.ndarray, mask: np.ndarray, context: list, kind: np.ndarray) -> pa.RecordBatch:
@@ -400,7 +400,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.filter("doc_id IS NOT NULL AND _text IS NOT NULL")
     n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     copies = _copies(texts)
-    shared, places = _shared_anchors(texts, copies, max(4, -(-n_bytes // (18 * ANCHORS_PER_SHARD))))
+    shared, places = _shared_anchors(texts, copies, max(spread(docs.sparkSession), -(-n_bytes // (18 * ANCHORS_PER_SHARD))))
     contexts = _context_masks(texts, copies, shared, places)
 
     def remove(ids: list[int | None], values: list[str | None]) -> list[list]:
