@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
+from .common import MOST_SENT, map_columns, written
 from .components import components
 from .store import mix
 
@@ -212,16 +212,16 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[
     among = np.arange(len(token)) - np.repeat(starts[:-1], sizes) < np.repeat(rare, sizes)
     by_token = np.argsort(token[among], kind="stable")
     holders, cuts = owner[among][by_token], np.searchsorted(token[among][by_token], np.arange(len(count) + 1))
-    a, b, left, mark = [], [], np.ones(len(sets), bool), np.zeros(len(count), bool)
+    a, b, left, mark, n_left = [], [], np.ones(len(sets), bool), np.zeros(len(count), bool), len(sets)
     for seed in range(len(sets)):
         if not left[seed]:
             continue
-        left[seed], open_ = False, [seed]
-        while open_:
+        left[seed], open_, n_left = False, [seed], n_left - 1
+        while open_ and n_left:
             x = open_.pop()
             own = token[starts[x] : starts[x + 1]]
-            near = np.unique(np.concatenate([holders[cuts[t] : cuts[t + 1]] for t in own[: rare[x]].tolist()]))
-            near = near[left[near]]
+            near = np.concatenate([holders[cuts[t] : cuts[t + 1]] for t in own[: rare[x]].tolist()])
+            near = np.unique(near[left[near]])
             if not len(near):
                 continue
             mark[own] = True
@@ -234,6 +234,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[
             b += ids[near].tolist()
             open_ += near.tolist()
             left[near] = False
+            n_left -= len(near)
     return a, b
 
 
@@ -406,8 +407,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without an id stay as they are, and so do null and empty texts. A text may lose words that its first similar paragraph does not have: at most a fifth of the shingles.
     """
     out = _classes(docs, id_col, text_col, similarity, least_run, block).filter("NOT kept")
-    runs = out.groupBy("doc_id", "row", "run").agg(F.struct(F.min("begin").alias("begin"), F.max("run_words").alias("n_words")).alias("x"))
+    runs = written(out.groupBy("doc_id", "row", "run").agg(F.struct(F.min("begin").alias("begin"), F.max("run_words").alias("n_words")).alias("x")), "repeated-runs")
     gone = runs.groupBy(F.col("doc_id").alias("__cut_id"), F.col("row").alias("__cut_row")).agg(F.sort_array(F.collect_list("x")).alias("__cut_runs"))  # at most the runs of one text
+    if runs.count() <= MOST_SENT:  # so few runs are sent to the texts; more meet them by shuffle
+        gone = F.broadcast(gone)
     joined = docs.join(gone, (F.col(id_col) == F.col("__cut_id")) & (F.xxhash64(F.col(text_col)) == F.col("__cut_row")), "left")
 
     def left(texts: list[str | None], runs: list[list[dict] | None]) -> list[list]:
