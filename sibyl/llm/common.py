@@ -78,6 +78,22 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+class Scratch:
+    """Written tables that are removed together, once what they lead to is written."""
+
+    def __init__(self) -> None:
+        self._tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self._tables.append(written(df, name))
+        return self._tables[-1]
+
+    def drop(self) -> None:
+        for df in self._tables:
+            drop_written(df)
+        self._tables.clear()
+
+
 def local_path(uri: str) -> str:
     """The mounted path of a shared file, for memory mapping."""
     parsed = urlparse(uri)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_columns, written
+from .common import Scratch, drop_written, map_columns, written
 from .components import components
 from .paragraphs import SHINGLE, SIMILARITY, linked, set_keys, shingle_hashes, tuned_bands
 from .simhash import fingerprints, links
@@ -39,14 +39,14 @@ def _signed(texts: list[str | None], bands: int, rows: int) -> list:
     return [pids, fingerprints(texts, SHINGLE).view(np.int64), set_keys([shingle_hashes(w) for w in words], bands, rows).tolist()]
 
 
-def _groups(distinct: DataFrame) -> DataFrame:
+def _groups(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, pid) of the groups of two or more texts that share a band or are joined by near fingerprints; groups of the same members once."""
     near = components(links(distinct.select("fp").distinct())).withColumnRenamed("id", "fp")
     by_print = distinct.join(near, "fp", "left").select(F.xxhash64(F.lit("fingerprints"), F.coalesce("component", "fp")).alias("key"), "pid")
     keyed = written(distinct.select(F.explode("keys").alias("key"), "pid").unionByName(by_print), "near-keys")
     sums = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("least"), F.max("pid").alias("most"), F.bit_xor(F.xxhash64("pid")).alias("all"))
     kept = sums.filter("n > 1").groupBy("n", "least", "most", "all").agg(F.min("key").alias("key")).select("key", "n")
-    out = written(keyed.join(kept, "key").select("key", "pid", "n", F.col("pid").alias("root")), "near-groups")
+    out = scratch.written(keyed.join(kept, "key").select("key", "pid", "n", F.col("pid").alias("root")), "near-groups")
     drop_written(keyed)
     return out
 
@@ -69,12 +69,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _still_apart(groups: DataFrame, links_: DataFrame) -> DataFrame:
+def _still_apart(groups: DataFrame, links_: DataFrame, scratch: Scratch) -> DataFrame:
     """The groups with their members' roots by the links so far, without those that are connected; a group of two has been compared."""
     rooted = groups.drop("root").join(components(links_).select(F.col("id").alias("pid"), F.col("component").alias("root")), "pid", "left").withColumn("root", F.coalesce("root", "pid"))
-    rooted = written(rooted.filter("n > 2"), "near-rooted")
+    rooted = scratch.written(rooted.filter("n > 2"), "near-rooted")
     apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-    return written(rooted.join(apart, "key").select(groups.columns), "near-apart")
+    return scratch.written(rooted.join(apart, "key").select(groups.columns), "near-apart")
 
 
 def _block_links(groups: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -95,19 +95,19 @@ def _block_links(groups: DataFrame, sets: DataFrame, similarity: float, block: i
     return met.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _all_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int, leaders: int = LEADERS) -> DataFrame:
+def _all_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int, scratch: Scratch, leaders: int = LEADERS) -> DataFrame:
     """Links (a, b) that connect all candidates of distinct texts that are similar."""
-    groups = _groups(distinct)
+    groups = _groups(distinct, scratch)
     sets = sets_of(groups.select("pid").distinct())
     found = None
     for r in range(leaders):
         order = F.xxhash64("pid", F.lit(r))
         lead = groups.groupBy("key").agg(F.min_by(F.struct("pid", "root"), order).alias("lead"))
         pairs = groups.join(lead, "key").filter("root <> lead.root").select(F.least("pid", "lead.pid").alias("a"), F.greatest("pid", "lead.pid").alias("b")).distinct()
-        new = written(_similar(pairs, sets, similarity), "near-links")
+        new = scratch.written(_similar(pairs, sets, similarity), "near-links")
         found = new if found is None else found.unionByName(new)
-        groups = _still_apart(groups, found)
-    return found.unionByName(written(_block_links(groups, sets, similarity, block), "near-links"))
+        groups = _still_apart(groups, found, scratch)
+    return found.unionByName(scratch.written(_block_links(groups, sets, similarity, block), "near-links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -116,19 +116,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     Rows without an id are not judged and stay. Texts without words are equal. Rows that share an id but not the text are documents of their own; of rows equal in both one stays.
     """
     bands, rows = tuned_bands(similarity)
+    scratch = Scratch()
     named = docs.filter(F.col(id_col).isNotNull())
     texts = named.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     made = [("pid", "long"), ("fp", "long"), ("keys", "array<long>")]
     signed = written(map_columns(texts, ["doc_id", "row"], [F.col("text")], made, lambda t: _signed(t, bands, rows)), "near-rows")
-    distinct = written(signed.groupBy("pid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-texts")
+    distinct = scratch.written(signed.groupBy("pid").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-texts")
 
     def sets_of(pids: DataFrame) -> DataFrame:
         wanted = distinct.join(pids, "pid").select("pid", "first.doc_id", "first.row")
         made = map_columns(texts.join(wanted, ["doc_id", "row"]), ["pid"], [F.col("text")], [("hashes", "binary")], lambda t: [[shingle_hashes(words_of(x)).tobytes() for x in t]])
-        return written(made.dropDuplicates(["pid"]), "near-sets")
+        return scratch.written(made.dropDuplicates(["pid"]), "near-sets")
 
-    classes = components(_all_links(distinct, sets_of, similarity, block)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
+    classes = components(_all_links(distinct, sets_of, similarity, block, scratch)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
     roots = written(distinct.select("pid", "first").join(classes, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "near-roots")
+    scratch.drop()  # the links are in the roots now
     heads = roots.groupBy("root").agg(F.min("first").alias("head"))
     # rows of one id and different texts are told apart by the text; of rows equal in both one stays
     chosen = heads.select("head.doc_id", "head.row").distinct().join(signed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")), ["doc_id", "row"])
