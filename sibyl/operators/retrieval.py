@@ -1,7 +1,7 @@
 """Full-text retrieval over positional postings: terms, boolean phrase queries, proximity, ranked top-n, evidence counts.
 
-Postings are (doc_id, term, pos); an index is a DataFrame, so that a query is a join on the term and a sum per document. The score
-of a term is tf x ln(1 + N / df) / sqrt(document length), weighted.
+Postings are (doc_id, term, pos), so that a query is a join on the term and a sum per document. The score of a term is
+tf x ln(1 + N / df) / sqrt(document length), weighted. Searches take documents, whose words are cut anew, or a kept index of them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .index import PostingIndex
 
 
 @dataclass(frozen=True)
@@ -42,45 +43,83 @@ def field_text(settings: QuerySettings, docs: DataFrame) -> Column:
     return F.concat_ws("\n", *[F.col(f) for f in settings.fields if f in docs.columns])
 
 
-def ranked_search(queries: DataFrame, docs: DataFrame, n: int | None, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def _word_hits(docs: DataFrame | PostingIndex, words: DataFrame, key: str, text: str | Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents or an index: (term, key, _len, tf) of these words, their (term, df), and one row with the number of documents."""
+    if isinstance(docs, PostingIndex):
+        return docs.hits(words), docs.terms().join(words, "term", "left_semi"), docs.spark.range(1).select(F.lit(docs.n_docs()).cast("long").alias("_docs"))
+    sized = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
+    hits = sized.join(words, "term", "left_semi").groupBy("term", key, "_len").agg(F.count(F.lit(1)).alias("tf"))
+    return hits, hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.agg(F.count(F.lit(1)).alias("_docs"))
+
+
+def ranked_search(queries: DataFrame, docs: DataFrame | PostingIndex, n: int | None, key: str = "doc_id", text: str | Column = "text", only: DataFrame | None = None) -> DataFrame:
     """The n best documents (all, if None) for queries of single words (qid, term, weight, required).
 
-    Only postings of asked words are counted. Documents lacking a required word are out. Columns: qid, key, score, n_terms, rank.
+    Only postings of asked words are counted. Documents lacking a required word are out. only: (qid, key) of the documents that are wanted; scores
+    are the same as without. An index leaves out blocks that can't bring a document among the n best. Columns: qid, key, score, n_terms, rank.
     """
     asked = queries.groupBy("qid", "term").agg(F.sum("weight").alias("weight"), F.max(F.col("required").cast("int")).alias("required"))
     needed = asked.groupBy("qid").agg(F.sum("required").alias("n_required"))
-    words = asked.select("term").distinct()
-    sized = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
-    hits = sized.join(words, "term", "left_semi").groupBy("term", key, "_len").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("_docs"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits, df, n_docs = _word_hits(docs, asked.select("term").distinct(), key, text)
     weighted = asked.join(df, "term").crossJoin(F.broadcast(n_docs)).select("qid", "term", "required", (F.col("weight") * F.log1p(F.col("_docs") / F.col("df"))).alias("idf"))
-    found = weighted.join(hits, "term").groupBy("qid", key).agg(F.sum(F.col("idf") * F.col("tf") / F.sqrt("_len")).alias("score"), F.count(F.lit(1)).alias("n_terms"), F.sum("required").alias("_got"))
+    if only is None and n is not None and isinstance(docs, PostingIndex):
+        only = docs.candidates(weighted, needed, n)
+    if only is None:
+        pairs = weighted.join(hits, "term")
+    else:
+        pairs = weighted.join(hits.join(only.select(key).distinct(), key, "left_semi"), "term").join(only.select("qid", key).distinct(), ["qid", key], "left_semi")
+    found = pairs.groupBy("qid", key).agg(F.sum(F.col("idf") * F.col("tf") / F.sqrt("_len")).alias("score"), F.count(F.lit(1)).alias("n_terms"), F.sum("required").alias("_got"))
     full = found.join(needed, "qid").filter(F.col("_got") == F.col("n_required")).drop("_got", "n_required").withColumn("score", F.round("score", 6))
     ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def phrase_search(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def phrase_search(queries: DataFrame, docs: DataFrame | PostingIndex, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """Boolean phrase queries (qid, term, weight, required), a term being one or more words in a row: qid, key, score (sum of the weights that hit).
 
     Documents give their runs of words of the lengths that are asked for; a run is looked up as a whole, so a frequent word in a phrase
     meets nothing. Runs that no phrase equals go before anything is shuffled, where the phrases are few enough for Spark to broadcast.
+    An index gives the places of a phrase's rarest word first, and those of the other words only in the documents that have it.
     """
     parts = queries.withColumn("_w", tx.tokens(F.col("term"))).withColumn("_n", F.size("_w")).filter("_n > 0").withColumn("_phrase", F.array_join("_w", " "))
+    if isinstance(docs, PostingIndex):
+        return _phrase_scores(parts, _phrase_hits(parts.select("_phrase").distinct(), docs), docs.key)
     lengths = F.broadcast(parts.agg(F.sort_array(F.collect_set("_n")).alias("_lengths")))  # one row
     phrases = parts.select("_phrase").distinct()
     words = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).crossJoin(lengths)
     of_length = lambda n: F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: F.array_join(F.slice("_t", i, n), " "))
     runs = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.size("_t")), of_length)))
     at = words.select(key, F.explode(runs).alias("_phrase")).join(phrases, "_phrase", "left_semi")
+    return _phrase_scores(parts, at, key)
+
+
+def _phrase_scores(parts: DataFrame, at: DataFrame, key: str) -> DataFrame:
+    """Scores from the documents (key, _phrase) of each phrase; those lacking a required one are out."""
     found = parts.select("qid", "term", "weight", "required", "_phrase").join(at, "_phrase").select("qid", "term", "weight", "required", key).distinct()
     needed = parts.filter("required").groupBy("qid").agg(F.countDistinct("term").alias("_need"))
     scored = found.groupBy("qid", key).agg(F.sum("weight").alias("score"), F.count_if("required").alias("_got"))
     return scored.join(needed, "qid", "left").filter(F.col("_got") == F.coalesce("_need", F.lit(0))).select("qid", key, "score")
 
 
-def proximity_search(queries: DataFrame, docs: DataFrame, settings: QuerySettings = QuerySettings(), key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def _phrase_hits(phrases: DataFrame, index: PostingIndex) -> DataFrame:
+    """(_phrase, key) of the documents that hold each phrase (words joined by a space)."""
+    words = phrases.select("_phrase", F.posexplode(F.split("_phrase", " ")).alias("_at", "term"))
+    counted = words.join(index.terms(), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = counted.groupBy("_phrase").agg(F.min_by(F.struct("_at", "term"), F.struct("df", "_at")).alias("_r"), F.min("df").alias("_df"), F.count(F.lit(1)).alias("_n")).filter("_df > 0")
+    first = rare.select("_phrase", "_n", F.col("_r._at").alias("_at"), F.col("_r.term").alias("term"))
+    starts = lambda at: F.transform("places", lambda p: p - at)
+    seed = first.join(index.places(first.select("term").distinct()), "term").select("_phrase", "_n", F.col("_at").alias("_seed"), index.key, starts(F.col("_at")).alias("_starts"))
+    alone = seed.filter("_n = 1").select("_phrase", index.key)
+    rest = counted.join(rare.filter("_n > 1").select("_phrase", "_n", F.col("_r._at").alias("_seed")), "_phrase").filter("_at <> _seed").select("_phrase", "_at", "term")
+    others = rest.join(index.places(rest.select("term").distinct()), "term").select("_phrase", index.key, starts(F.col("_at")).alias("_other"))
+    met = seed.filter("_n > 1").join(others, ["_phrase", index.key])
+    held = met.groupBy("_phrase", index.key).agg(F.first("_starts").alias("_starts"), F.first("_n").alias("_n"), F.collect_list("_other").alias("_others"))  # a row for each word of a phrase
+    # a start counts if all the other words agree on it
+    whole = held.filter(F.exists("_starts", lambda s: F.size(F.filter("_others", lambda o: F.array_contains(o, s))) == F.col("_n") - 1))
+    return alone.unionByName(whole.select("_phrase", index.key))
+
+
+def proximity_search(queries: DataFrame, docs: DataFrame | PostingIndex, settings: QuerySettings = QuerySettings(), key: str = "doc_id", text: str | Column = "text") -> DataFrame:
     """Documents in which all required words of a question stand within the slop: qid, key, span, degree, boost.
 
     Degree i allows distance x factor^i x number of words between the first and the last, and adds (sum of weights) / 2^i; all degrees
@@ -90,9 +129,12 @@ def proximity_search(queries: DataFrame, docs: DataFrame, settings: QuerySetting
     asked = queries.filter("required").groupBy("qid", "term").agg(F.sum("weight").alias("weight"))
     sums = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"))
     numbered = asked.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("term"))).select("qid", "term", "_i")
-    at = docs.select(key, F.posexplode(tx.tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "term")).join(asked.select("term").distinct(), "term", "left_semi")
-    # places of one word in one document
-    places = at.groupBy("term", key).agg(F.collect_list("pos").alias("_at"))
+    words = asked.select("term").distinct()
+    if isinstance(docs, PostingIndex):
+        places = docs.places(words).select("term", key, F.col("places").alias("_at"))
+    else:
+        at = docs.select(key, F.posexplode(tx.tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "term")).join(words, "term", "left_semi")
+        places = at.groupBy("term", key).agg(F.collect_list("pos").alias("_at"))  # places of one word in one document
     full = numbered.join(places, "term").groupBy("qid", key).agg(F.count(F.lit(1)).alias("_got"), F.collect_list(F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("_i").alias("i")))).alias("_hits"))
     full = full.join(sums, "qid").filter(F.col("_got") == F.col("n"))
     start = F.struct(F.array_repeat(F.lit(-1), F.col("n").cast("int")).alias("last"), F.lit(2**31 - 1).alias("span"))
@@ -146,14 +188,20 @@ def title_answers(found: DataFrame, docs: DataFrame, k: int = 20, key: str = "do
     return top.select("qid", key, "rank", tx.document_title(F.col(title)).alias("text"), F.lit(1.0).alias("originDocTitle"), (1 / F.col("rank")).alias("resultRR"), F.log1p("score").alias("resultLogScore"))
 
 
-def evidence(answers: DataFrame, docs: DataFrame, clue_terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of answers (qid, text of one word): documents with the answer, with the answer and all required clues, their ratio, and the best clue score among these."""
+def evidence(answers: DataFrame, docs: DataFrame | PostingIndex, clue_terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of answers (qid, text of one word): documents with the answer, with the answer and all required clues, their ratio, and the best clue score among these.
+
+    Only documents with an answer are scored by the clues.
+    """
     words = answers.select("qid", "text", F.lower("text").alias("term"))
-    # of the corpus only the answers' words are shuffled
-    at = docs.select(key, F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
+    distinct = words.select("term").distinct()
+    if isinstance(docs, PostingIndex):
+        at = docs.hits(distinct).select(key, "term")
+    else:  # of the corpus only the answers' words are shuffled
+        at = docs.select(key, F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term")).join(distinct, "term", "left_semi")
     with_answer = words.join(at, "term").select("qid", "text", key)
     a_hits = with_answer.groupBy("qid", "text").agg(F.count(F.lit(1)).alias("solrAHitsEv"))
-    clued = ranked_search(clue_terms, docs, None, key, text)
+    clued = ranked_search(clue_terms, docs, None, key, text, only=with_answer.select("qid", key).distinct())
     both = with_answer.join(clued, ["qid", key]).groupBy("qid", "text").agg(F.count(F.lit(1)).alias("solrHitsEv"), F.max("score").alias("solrMaxScoreEv"))
     out = answers.select("qid", "text").join(a_hits, ["qid", "text"], "left").join(both, ["qid", "text"], "left").na.fill(0)
     return out.withColumn("solrHitsANormEv", F.when(F.col("solrAHitsEv") > 0, F.col("solrHitsEv") / F.col("solrAHitsEv")).otherwise(0.0)).withColumn("solrHitsMaxScoreEv", F.col("solrHitsEv") * F.col("solrMaxScoreEv"))

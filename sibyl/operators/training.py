@@ -87,11 +87,6 @@ def weights(model, features: Sequence[str]) -> dict[str, float]:
     return dict(zip(features, lr.coefficients.toArray().tolist(), strict=True)) | {"_": float(lr.intercept)}
 
 
-def one_vs_rest(rows: DataFrame, labels: Sequence[str], features: Sequence[str], has: str = "labels") -> dict[str, dict[str, float]]:
-    """A sparse logistic for each label of rows whose `has` column is the array of their labels."""
-    return {c: weights(logistic(rows.withColumn("class", F.array_contains(has, c).cast("int")), features, l1=1.0), features) for c in labels}
-
-
 def importances(model, features: Sequence[str]) -> dict[str, float]:
     """Feature importances of a forest relative to the greatest."""
     v = model.stages[-1].featureImportances.toArray()

@@ -28,6 +28,7 @@ from ..operators import hitlist as hl
 from ..operators import questions as qs
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
+from ..operators.index import PostingIndex
 
 #: Documents that a question searches, passages of each, answers that phases 1 and 2 keep, and answers for which evidence is gathered.
 DOCUMENTS, PASSAGES, FIRST, SECOND, EVIDENCE = 20, 3, 100, 25, 5
@@ -84,7 +85,7 @@ def with_titles(docs: DataFrame) -> DataFrame:
     return docs if "title" in docs.columns else docs.withColumn("title", F.array_join(F.slice(F.split("text", " "), 1, 5), " "))
 
 
-def found_documents(clues: DataFrame, docs: DataFrame, n: int = DOCUMENTS) -> DataFrame:
+def found_documents(clues: DataFrame, docs: DataFrame | PostingIndex, n: int = DOCUMENTS) -> DataFrame:
     """The n best documents for each question's clues: qid, doc_id, score, rank."""
     asked = clues.select("qid", F.col("label").alias("term"), "weight", F.lit(False).alias("required"))
     return rt.ranked_search(asked, docs, n).select("qid", "doc_id", "score", "rank")
@@ -106,8 +107,7 @@ def best_passages(found: DataFrame, docs: DataFrame, clues: DataFrame, k: int =
 
 def passage_answers(best: DataFrame, clues: DataFrame) -> DataFrame:
     """Name candidates in passages (best_passages), stop words and single characters left out."""
-    keys = ["qid", "doc_id", "sent"]
-    runs = cd.capitalised_runs(best, keys).join(best.select(*keys, "score", "doc_rank"), keys)
+    runs = cd.capitalised_runs(best, ["qid", "doc_id", "sent", "score", "doc_rank"])
     named = cd.with_surprise(runs, clues).filter(~cd.blacklisted(F.col("text")))
     return named.select("qid", "text", F.lit(1).alias("occurences"), F.log1p("score").alias("passageLogScore"), (1 / F.col("doc_rank")).alias("resultRR"), F.lit(1.0).alias("originPsg"), F.when(F.col("surprise"), 1.0).alias("originPsgSurprise"))
 
@@ -156,7 +156,7 @@ def analysed(rows: DataFrame, clues: DataFrame, types: Types | None = None) -> D
     return an.class_features(out, types.classes) if types.classes is not None else out
 
 
-def with_evidence(rows: DataFrame, clues: DataFrame, docs: DataFrame, n: int = EVIDENCE) -> DataFrame:
+def with_evidence(rows: DataFrame, clues: DataFrame, docs: DataFrame | PostingIndex, n: int = EVIDENCE) -> DataFrame:
     """rows with topAnswer, and for the n best of each question the counts of documents with them; others have none."""
     marked = hl.ranked(rows, column="_rank").withColumn("topAnswer", F.when(F.col("_rank") <= n, 1.0)).drop("_rank")
     top = marked.filter("topAnswer = 1").select("qid", F.col("text").alias("_answer"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("text"))
@@ -175,12 +175,12 @@ def scored(rows: DataFrame, phase: str, models: Models) -> DataFrame:
     return sc.carry_over(out.select(*[c for c in full.columns if c != "confidence"], "confidence"), phase)
 
 
-def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None) -> DataFrame:
-    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand."""
+def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
+    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand. index: a kept one of docs, which all searches then read."""
     clues = question_clues(questions) if clues is None else clues
     if "artificial_clue" in questions.columns:  # what whoever asks adds
         clues = clues.unionByName(qs.user_clues(questions).withColumn("label", F.lower("label")))
-    clues, found = stages.staged(clues, "clues"), stages.staged(found_documents(clues, docs), "found")
+    clues, found = stages.staged(clues, "clues"), stages.staged(found_documents(clues, docs if index is None else index), "found")
     produced = [passage_answers(best_passages(found, docs, clues), clues), title_answers(found, docs)]
     if graph is not None:
         produced.append(graph_answers(concepts(clues, graph), graph, clues))
@@ -191,7 +191,7 @@ def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | N
     by_case = hl.diffuse(one.select("qid", "text", "confidence")).groupBy("qid", "text").pivot("case", list(hl.CASES)).agg(F.first("score"))
     one = one.join(by_case.withColumnsRenamed({c: f"evd{c.capitalize()}Score" for c in hl.CASES}), ["qid", "text"], "left")
     one = stages.staged(hl.top_k(scored(one, "1", models), SECOND), "phase-1")
-    last = scored(with_evidence(one, clues, docs), "2", models)
+    last = scored(with_evidence(one, clues, docs if index is None else index), "2", models)
     return hl.ranked(last.select("qid", "text", "confidence")).filter(F.col("rank") <= top).select("qid", "rank", "text", "confidence")
 
 

@@ -10,6 +10,7 @@ from ..operators import answers as an
 from ..operators import graph as gr
 from ..operators import questions as qs
 from ..operators import scoring as sc
+from ..operators import multilabel as ml
 from ..operators import training as tr
 from ..streaming import lifecycle as lc
 from .base import TRIPLES_SQL, Query, table, triples
@@ -346,11 +347,29 @@ def train_class_cv(s: SparkSession, d: str) -> DataFrame:
     return tr.cross_validated(rows, _F, "doc_id", "kind").select("fold", "n", F.round("accuracy", 4).alias("accuracy"))
 
 
+_USER = ["f_n", "f_value", "f_spread", "f_most"]
+
+
+def _users(s: SparkSession, d: str) -> DataFrame:
+    """Users as questions, the types of their events as paths."""
+    value = F.coalesce(F.col("value"), F.lit(0.0))
+    return table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("labels"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_n"), F.avg(value).alias("f_value"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("f_spread"), F.max(value).alias("f_most"))
+
+
 def train_path_ovr(s: SparkSession, d: str) -> DataFrame:
-    """A sparse logistic for each event type a user may have, from the user's numbers of events and their values."""
-    users = table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("labels"), F.log1p(F.count(F.lit(1)).cast("double")).alias("f_n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("f_value"))
-    models = tr.one_vs_rest(users, ["click", "purchase", "view"], ["f_n", "f_value"])
-    return s.createDataFrame([(c, f, round(float(v), 4)) for c, m in models.items() for f, v in m.items()], "path string, feature string, weight double")
+    """A sparse logistic for every event type that a user may have, all in one descent."""
+    models = ml.train(_users(s, d), _USER).by_label()
+    return s.createDataFrame([(c, f, round(v, 4)) for c, m in models.items() for f, v in m.items()], "path string, feature string, weight double")
+
+
+def path_model_measures(s: SparkSession, d: str) -> DataFrame:
+    """Recall of any and of all paths, precision and reciprocal rank of the path models on users that they were not trained on."""
+    users = _users(s, d)
+    train, test = tr.split(users, "user_id", 1)
+    said = ml.ranked(test, ml.train(train, _USER), ["user_id"])
+    gold = test.select(F.col("user_id").alias("qid"), F.explode("labels").alias("path"))
+    measures = tr.path_measures(said.select(F.col("user_id").alias("qid"), "path", "rank"), gold)
+    return measures.select(*[F.round(c, 4).alias(c) for c in ("any_recall", "all_recall", "path_precision", "mrr")])
 
 
 _LINKED = "linked AS (SELECT l_orderkey AS qid, p_type AS clue, p_name AS label, p_partkey AS entity, max(round(l_quantity / 50, 4)) AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
@@ -431,4 +450,5 @@ QUERIES = {
     "train_answer_gbt": Query(train_answer_gbt),
     "train_class_cv": Query(train_class_cv),
     "train_path_ovr": Query(train_path_ovr),
+    "path_model_measures": Query(path_model_measures),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..plans import answering
 from .base import Query, questions, table
 from .retrieval import FOUND, STOPS, VEC
@@ -24,7 +25,7 @@ def answer_passages(s: SparkSession, d: str) -> DataFrame:
 def answer_candidates(s: SparkSession, d: str) -> DataFrame:
     """Names in the best passages and titles of the documents found, as one hitlist."""
     clues, docs = answering.question_clues(questions(s, d)), _docs(s, d)
-    found = answering.found_documents(clues, docs)
+    found = stages.staged(answering.found_documents(clues, docs), "found")  # read by both producers
     out = answering.hitlist([answering.passage_answers(answering.best_passages(found, docs, clues), clues), answering.title_answers(found, docs)])
     kept = ["originPsg", "originPsgSurprise", "originDocTitle", "originMultiple"]
     return out.select("qid", "text", "occurences", *[F.round(c, 4).alias(c) for c in ("passageLogScore", "resultRR", "resultLogScore")], *kept)

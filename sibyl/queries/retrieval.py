@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..functions import text as tx
 from ..operators import candidates as cd
+from ..operators import index as ix
 from ..operators import passages as ps
 from ..operators import questions as qs
 from ..operators import retrieval as rt
@@ -114,16 +116,49 @@ def tfidf_topn(s: SparkSession, d: str) -> DataFrame:
     return rt.ranked_search(_asked(s, d), table(s, d, "documents"), 6)
 
 
+def _phrases(s: SparkSession, d: str) -> DataFrame:
+    """All words of each question, as phrases of three in a row, the last of what is left."""
+    rows = questions(s, d).select("qid", tx.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 3).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 3 + 1, 3), " "))
+    return rows.select("qid", F.explode(F.array_distinct(runs)).alias("term")).select("qid", "term", F.length("term").cast("double").alias("weight"), F.lit(False).alias("required"))
+
+
 def phrase_boolean(s: SparkSession, d: str) -> DataFrame:
-    rows = questions(s, d).select("qid", tx.tokens(F.col("text")).alias("w"))
-    pairs = rows.select("qid", F.explode(F.array(F.array_join(F.slice("w", 1, 2), " "), F.array_join(F.slice("w", 3, 3), " "))).alias("term"))
-    return rt.phrase_search(pairs.select("qid", "term", F.length("term").cast("double").alias("weight"), F.lit(False).alias("required")), table(s, d, "documents"))
+    return rt.phrase_search(_phrases(s, d), table(s, d, "documents"))
 
 
 def proximity_slop(s: SparkSession, d: str) -> DataFrame:
     return rt.proximity_search(_asked(s, d).withColumn("required", F.lit(True)), table(s, d, "documents"))
 
 
+def indexed(s: SparkSession, d: str) -> ix.PostingIndex:
+    """All documents in an index of two batches, by language."""
+    docs = table(s, d, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return ix.build(docs.filter(english), stages.new_folder(s, "index")).append(docs.filter(~english))
+
+
+def index_topn(s: SparkSession, d: str) -> DataFrame:
+    return rt.ranked_search(_asked(s, d), indexed(s, d), 6)
+
+
+def index_phrase(s: SparkSession, d: str) -> DataFrame:
+    return rt.phrase_search(_phrases(s, d), indexed(s, d))
+
+
+def index_proximity(s: SparkSession, d: str) -> DataFrame:
+    return rt.proximity_search(_asked(s, d).withColumn("required", F.lit(True)), indexed(s, d))
+
+
+def index_evidence(s: SparkSession, d: str) -> DataFrame:
+    return _evidence(s, d, indexed(s, d))
+
+
+def index_statistics(s: SparkSession, d: str) -> DataFrame:
+    """What the index holds of each word: documents, occurrences and the longest document."""
+    return indexed(s, d).blocks().select("term", F.inline("entries")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("n"), F.max("len").alias("longest"))
+
+
 def search_fields(s: SparkSession, d: str) -> DataFrame:
     """Words in title or body, the longest clues of a question required, raised by their nearness."""
     longest = F.max("weight").over(Window.partitionBy("qid"))
@@ -152,8 +187,11 @@ def web_snippets(s: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_hits(s: SparkSession, d: str) -> DataFrame:
-    answers = clues(s, d).select("qid", F.col("label").alias("text"))
-    out = rt.evidence(answers, table(s, d, "documents"), _asked(s, d))
+    return _evidence(s, d, table(s, d, "documents"))
+
+
+def _evidence(s: SparkSession, d: str, docs: DataFrame | ix.PostingIndex) -> DataFrame:
+    out = rt.evidence(clues(s, d).select("qid", F.col("label").alias("text")), docs, _asked(s, d))
     return out.select("qid", "text", "solrAHitsEv", "solrHitsEv", *[F.round(c, 6).alias(c) for c in ("solrMaxScoreEv", "solrHitsANormEv", "solrHitsMaxScoreEv")])
 
 
@@ -268,6 +306,14 @@ def _page_sql() -> str:
     return f"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(length(trim(regexp_replace({text}, '[ \\t\\n\\r]+', ' ', 'g'))) AS INTEGER) AS n FROM pages"
 
 
+PHRASES = f"""WITH q AS (SELECT item_id AS qid, {TOKENS} AS w FROM benchmark), t AS (SELECT DISTINCT qid, array_to_string(w[3 * i + 1:3 * i + 3], ' ') AS term FROM (SELECT qid, w, unnest(range(0, CAST(ceil(len(w) / 3) AS BIGINT))) AS i FROM q)),
+  d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents), f AS (SELECT qid, doc_id, CAST(length(term) AS DOUBLE) AS w FROM t JOIN d ON contains(d.t, ' ' || term || ' ') WHERE term <> '')
+  SELECT qid, doc_id, sum(w) AS score FROM f GROUP BY qid, doc_id"""
+EVIDENCE = f"""WITH {ASKED}, {FOUND}, a AS (SELECT qid, label AS text FROM clues), w AS (SELECT DISTINCT qid, text, doc_id FROM a JOIN du ON du.term = a.text),
+      x AS (SELECT qid, text, count(*) AS n FROM w GROUP BY ALL), y AS (SELECT w.qid, text, count(*) AS n, max(score) AS s FROM w JOIN found f ON w.qid = f.qid AND w.doc_id = f.doc_id GROUP BY ALL)
+      SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 6) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 6) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 6) AS solrHitsMaxScoreEv
+      FROM a LEFT JOIN x ON a.qid = x.qid AND a.text = x.text LEFT JOIN y ON a.qid = y.qid AND a.text = y.text"""
+
 QUERIES = {
     "scan_questions": Query(scan_questions, "SELECT item_id AS qid, 'factoid' AS type, text FROM benchmark"),
     "scan_json_props": Query(scan_json_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
@@ -291,9 +337,12 @@ QUERIES = {
       SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.qid = r.qid AND b."begin" <= r."begin" AND b."end" >= r."end" AND b."end" - b."begin" > r."end" - r."begin" AND NOT r.dist + 1 < b.dist)"""),
     "solr_terms": Query(solr_terms, f"WITH {CLUES_SQL} SELECT qid, label AS term, weight, true AS required FROM clues"),
     "tfidf_topn": Query(tfidf_topn, f"WITH {ASKED}, {FOUND} SELECT * FROM found WHERE rank <= 6"),
-    "phrase_boolean": Query(phrase_boolean, f"""WITH q AS (SELECT item_id AS qid, {TOKENS} AS w FROM benchmark), t AS (SELECT DISTINCT qid, array_to_string(w[1:2], ' ') AS term FROM q UNION SELECT qid, array_to_string(w[3:5], ' ') FROM q),
-      d AS (SELECT doc_id, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS t FROM documents), f AS (SELECT qid, doc_id, CAST(length(term) AS DOUBLE) AS w FROM t JOIN d ON contains(d.t, ' ' || term || ' ') WHERE term <> '')
-      SELECT qid, doc_id, sum(w) AS score FROM f GROUP BY qid, doc_id"""),
+    "phrase_boolean": Query(phrase_boolean, PHRASES),
+    "index_phrase": Query(index_phrase, PHRASES),
+    "index_topn": Query(index_topn, f"WITH {ASKED}, {FOUND} SELECT * FROM found WHERE rank <= 6"),
+    "index_statistics": Query(index_statistics, f"SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS n, CAST(max(longest) AS INTEGER) AS longest FROM (SELECT doc_id, term, count(*) AS n, any_value(l) AS longest FROM (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM (SELECT doc_id, {TOKENS} AS t FROM documents)) GROUP BY doc_id, term) GROUP BY term"),
+    "index_proximity": Query(index_proximity, f"""WITH {CLUES_SQL}, {_SPANS.format(need="clues")} SELECT qid, doc_id, span, {_DEGREE} AS degree, {_BOOST} AS boost FROM spans JOIN n USING (qid) WHERE span <= 18 * n"""),
+    "index_evidence": Query(index_evidence, EVIDENCE),
     "proximity_slop": Query(proximity_slop, f"""WITH {CLUES_SQL}, {_SPANS.format(need="clues")} SELECT qid, doc_id, span, {_DEGREE} AS degree, {_BOOST} AS boost FROM spans JOIN n USING (qid) WHERE span <= 18 * n"""),
     "search_fields": Query(search_fields, f"""WITH {ASKED}, need AS (SELECT qid, label, weight FROM (SELECT *, max(weight) OVER (PARTITION BY qid) AS most FROM clues) WHERE weight = most), {_SPANS.format(need="need")}, {FOUND},
       got AS (SELECT f.qid, f.doc_id FROM found f JOIN need ON f.qid = need.qid JOIN hit h ON h.doc_id = f.doc_id AND h.term = need.label GROUP BY f.qid, f.doc_id HAVING count(*) = (SELECT n FROM n WHERE n.qid = f.qid)),
@@ -304,10 +353,7 @@ QUERIES = {
     "title_in_clue": Query(title_in_clue, f"WITH {_ABOUT} SELECT * FROM about"),
     "doc_title_answers": Query(doc_title_answers, f"WITH {ASKED}, {FOUND}, {TITLE} SELECT qid, doc_id, rank, regexp_replace(title, '\\s+\\([^)]*\\)\\s*$', '') AS text, round(1 / rank, 6) AS resultRR FROM found JOIN titled USING (doc_id) WHERE rank <= 20"),
     "web_snippets": Query(web_snippets, _page_sql()),
-    "evidence_hits": Query(evidence_hits, f"""WITH {ASKED}, {FOUND}, a AS (SELECT qid, label AS text FROM clues), w AS (SELECT DISTINCT qid, text, doc_id FROM a JOIN du ON du.term = a.text),
-      x AS (SELECT qid, text, count(*) AS n FROM w GROUP BY ALL), y AS (SELECT w.qid, text, count(*) AS n, max(score) AS s FROM w JOIN found f ON w.qid = f.qid AND w.doc_id = f.doc_id GROUP BY ALL)
-      SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 6) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 6) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 6) AS solrHitsMaxScoreEv
-      FROM a LEFT JOIN x ON a.qid = x.qid AND a.text = x.text LEFT JOIN y ON a.qid = y.qid AND a.text = y.text"""),
+    "evidence_hits": Query(evidence_hits, EVIDENCE),
     "about_clues": Query(about_clues, f"WITH {_ABOUT} SELECT qid, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM about GROUP BY qid"),
     "passage_by_clue": Query(passage_by_clue, f"WITH {VEC} SELECT * FROM scored"),
     "passage_score_top3": Query(passage_score_top3, f"WITH {VEC} SELECT qid, doc_id, sent, score, rank FROM best WHERE rank <= 3"),
