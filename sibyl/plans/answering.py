@@ -73,8 +73,8 @@ class Models:
     score: Mapping[str, Callable[[], Column]] = field(default_factory=lambda: {p: (lambda w=w: sc.logistic_score(w, -1.0)) for p, w in WEIGHTS.items()})
 
 
-def question_clues(questions: DataFrame, least: int = 5) -> DataFrame:
-    """Single-word clues of questions (qid, text): words of `least` letters or more that are no stop words; longer words weigh more."""
+def question_clues(questions: DataFrame, least: int = 1) -> DataFrame:
+    """Single-word clues of questions (qid, text): words that are no stop words, of `least` letters or more (1: all); longer words weigh more."""
     words = questions.select("qid", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("text"))
     kept = words.filter((F.length("text") >= least) & ~tx.is_stop_word(F.col("text")))
     return kept.select("qid", F.lit("Token").alias("clue_type"), F.col("text").alias("label"), F.length("text").cast("double").alias("weight"), F.lit(qs.CLUE_KINDS["Token"][1]).alias("reliable"))
@@ -98,9 +98,12 @@ def best_passages(found: DataFrame, docs: DataFrame, clues: DataFrame, k: int =
     """
     own = clues.groupBy("qid").agg(F.array_sort(F.collect_set(F.struct("label", "weight"))).alias("_clues"))  # a question's few clues
     held = found.select("qid", "doc_id", F.col("rank").alias("doc_rank")).join(with_titles(docs).select("doc_id", "title", "text"), "doc_id").join(own, "qid")
-    about = F.transform("_clues", lambda c: F.struct(c["label"].alias("label"), F.when(F.array_contains(tx.tokens(F.col("title")), c["label"]), c["weight"] / 4).otherwise(c["weight"]).alias("weight")))
+    # words are cut once for each text: inside a function of the clues, which binds them to a variable, they are not cut again for each clue
+    once = lambda text, fn: F.transform(F.array(tx.tokens(F.col(text))), fn)[0]
+    about = once("title", lambda t: F.transform("_clues", lambda c: F.struct(c["label"].alias("label"), F.when(F.array_contains(t, c["label"]), c["weight"] / 4).otherwise(c["weight"]).alias("weight"))))
     held = held.withColumn("_clues", about).select("qid", "doc_id", "doc_rank", "_clues", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
-    words = held.withColumn("_t", tx.tokens(F.col("sentence"))).withColumn("_hits", F.filter("_clues", lambda c: F.array_contains("_t", c["label"]))).filter(F.size("_hits") > 0)
+    hits = once("sentence", lambda t: F.filter("_clues", lambda c: F.array_contains(t, c["label"])))
+    words = held.withColumn("_hits", hits).filter(F.size("_hits") > 0)
     scored = words.select("qid", "doc_id", "doc_rank", "sent", "sentence", F.aggregate("_hits", F.lit(0.0), lambda a, c: a + c["weight"]).alias("score"))
     return hl.ranked(scored, ("qid", "doc_id"), [F.desc("score"), "sent"]).filter(F.col("rank") <= k)
 

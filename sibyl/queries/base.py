@@ -27,8 +27,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def clues(spark: SparkSession, d: str, least: int = 5) -> DataFrame:
-    """Distinct words of a question of `least` letters or more that are no stop words; longer words weigh more."""
+def clues(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
+    """Distinct words of a question that are no stop words, of `least` letters or more; longer words weigh more."""
     words = questions(spark, d).select("qid", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("label"))
     kept = words.filter((F.length("label") >= least) & ~tx.is_stop_word(F.col("label")))
     return kept.select("qid", F.lit("Token").alias("clue_type"), "label", F.length("label").cast("double").alias("weight"), F.lit(True).alias("reliable"))
@@ -71,7 +71,7 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOP_WORDS)
 CLUES_SQL = f"""clues AS (
   SELECT DISTINCT qid, label, CAST(length(label) AS DOUBLE) AS weight FROM (
     SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS label FROM benchmark)
-  WHERE length(label) >= 5 AND label NOT IN ({_STOP}))"""
+  WHERE label NOT IN ({_STOP}))"""
 HITS_SQL = """hits AS (
   SELECT l_orderkey AS qid, 'p' || CAST(l_partkey AS VARCHAR) AS text, 1 AS occurences, l_quantity AS f1, round(l_discount - 0.05, 4) AS f2,
     CASE WHEN l_tax >= 0.02 THEN l_tax END AS f3, l_extendedprice / 100000 AS confidence, l_linenumber AS line, l_returnflag AS flag FROM lineitem)"""

@@ -332,7 +332,7 @@ QUERIES = {
     "gazetteer_entities": Query(gazetteer_entities, f"WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part), w AS (SELECT unnest({TOKENS}) AS token FROM benchmark UNION ALL SELECT unnest({TOKENS.replace('text', 'p_type')}) FROM part) SELECT token, count(*) AS n FROM w WHERE token IN (SELECT token FROM n) GROUP BY token"),
     "regex_entities": Query(regex_entities, "SELECT doc_id, entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}[-.) ]+[0-9]{3}[-. ]+[0-9]{4}')) AS entity FROM documents) GROUP BY ALL"),
     "clue_union_weights": Query(clue_union_weights, f"WITH {_W}, c AS (SELECT qid, CASE WHEN regexp_matches(w, '^\\W*$') THEN w ELSE regexp_replace(regexp_replace(w, '\\W+$', ''), '^\\W+', '') END AS label, CASE WHEN i = 0 THEN 'SV' WHEN length(w) > 8 THEN 'NE' ELSE 'Token' END AS clue_type FROM words WHERE w NOT IN ({STOPS})) SELECT DISTINCT qid, label, clue_type, CASE clue_type WHEN 'NE' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, true AS reliable FROM c"),
-    "clue_merge_by_text": Query(clue_merge_by_text, f"WITH {CLUES_SQL} SELECT qid, CASE WHEN length(label) % 2 = 0 AND weight <= 9 THEN 'NE' ELSE 'Token' END AS clue_type, label, CASE WHEN length(label) % 2 = 0 AND weight <= 9 THEN 9.0::DOUBLE ELSE weight END AS weight, true AS reliable FROM clues"),
+    "clue_merge_by_text": Query(clue_merge_by_text, f"WITH {CLUES_SQL} SELECT qid, CASE WHEN length(label) % 2 = 0 AND weight <= 9 OR length(label) = 1 THEN 'NE' ELSE 'Token' END AS clue_type, label, CASE WHEN length(label) % 2 = 0 AND weight <= 9 THEN 9.0::DOUBLE ELSE weight END AS weight, true AS reliable FROM clues"),
     "clue_subsumption": Query(clue_subsumption, f"""WITH {_W}, r AS (SELECT qid, i AS "begin", CAST(i + length(w) % 4 AS INTEGER) AS "end", CAST(i % 3 AS DOUBLE) AS dist FROM words)
       SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.qid = r.qid AND b."begin" <= r."begin" AND b."end" >= r."end" AND b."end" - b."begin" > r."end" - r."begin" AND NOT r.dist + 1 < b.dist)"""),
     "solr_terms": Query(solr_terms, f"WITH {CLUES_SQL} SELECT qid, label AS term, weight, true AS required FROM clues"),
