@@ -39,7 +39,7 @@ class LabelModels:
         return {c: {f: float(w) for f, w in zip(names, row, strict=True) if w or f == "_"} for c, row in zip(self.labels, self.weights, strict=True)}
 
 
-def _sums(df: DataFrame, fn, size: int) -> np.ndarray:
+def summed(df: DataFrame, fn, size: int) -> np.ndarray:
     """The sum over all tasks of the vectors that fn makes of a task's batches."""
     n = -(-size // SLICE)
 
@@ -55,7 +55,10 @@ def _sums(df: DataFrame, fn, size: int) -> np.ndarray:
                 sums[i] = sums[i] + part if i in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "data"])
 
-    got = {r["slice"]: np.frombuffer(r["data"]) for r in df.mapInArrow(run, "slice int, data binary").repartition("slice").mapInArrow(add, "slice int, data binary").collect()}
+    parts = df.mapInArrow(run, "slice int, data binary")
+    if df.rdd.getNumPartitions() > 1:  # the sums of a single task are the sums of all
+        parts = parts.repartition("slice").mapInArrow(add, "slice int, data binary")
+    got = {r["slice"]: np.frombuffer(r["data"]) for r in parts.collect()}
     return np.concatenate([got[i] for i in range(n)]) if got else np.zeros(size)
 
 
@@ -93,7 +96,7 @@ def train(rows: DataFrame, features: Sequence[str], has: str = "labels", labels:
             out += np.concatenate([[len(x)], x[:, :f].sum(0), (x[:, :f] ** 2).sum(0), y.sum(0)])
         return out
 
-    got = _sums(data, moments, 1 + 2 * f + k)
+    got = summed(data, moments, 1 + 2 * f + k)
     n, mean = max(1.0, got[0]), got[1 : f + 1] / max(1.0, got[0])
     spread = np.sqrt(np.maximum(got[f + 1 : 2 * f + 1] / n - mean**2, 0))
     scale = np.where(spread > 1e-12, spread, 1.0)
@@ -108,7 +111,7 @@ def train(rows: DataFrame, features: Sequence[str], has: str = "labels", labels:
         return out
 
     # the curvature is a quarter of the weighted mean of the rows' squared lengths at most
-    width = 4 / np.maximum(_sums(data, lengths, k), 1e-12)
+    width = 4 / np.maximum(summed(data, lengths, k), 1e-12)
     spark = rows.sparkSession
 
     def slope(w: np.ndarray) -> np.ndarray:
@@ -122,7 +125,7 @@ def train(rows: DataFrame, features: Sequence[str], has: str = "labels", labels:
                 out += ((p - y) * (y * with_ + (1 - y) * without)).T @ x
             return out.ravel()
 
-        out = _sums(data, gradient, k * (f + 1)).reshape(k, f + 1)
+        out = summed(data, gradient, k * (f + 1)).reshape(k, f + 1)
         shared.destroy()
         return out
 
