@@ -14,6 +14,7 @@ from ..operators import scoring as sc
 from ..operators import multilabel as ml
 from ..operators import training as tr
 from ..streaming import lifecycle as lc
+from ..streaming import live
 from .base import TRIPLES_SQL, Query, table, triples
 
 
@@ -301,6 +302,21 @@ def lifecycle_answers(s: SparkSession, d: str) -> DataFrame:
     return lc.current_answers(rows)
 
 
+def live_answers(s: SparkSession, d: str) -> DataFrame:
+    """Events that arrive in three batches, the stream being started anew for each: answers, and the state of their question, which waits for three or, every second one, four origins."""
+    ev = _events(s, d)
+    empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in live.EVENTS.split(", ")}
+    base = empty | {"qid": F.col("qid"), "seq": F.col("seq"), "ts": F.col("ts").cast("timestamp")}
+    kinds = (
+        {"kind": F.lit("state"), "text": F.col("state")}, {"kind": F.lit("answer"), "text": F.col("state"), "confidence": F.col("value")},
+        {"kind": F.lit("part"), "origin": F.col("state"), "is_last": F.lit(True), "expected": (3 + F.col("qid") % 2).cast("int")},
+    )
+    each = F.array(*[F.struct(*[v.alias(n) for n, v in (base | k).items()]) for k in kinds])
+    changes = live.replay(ev.select(F.explode(each).alias("e")).select("e.*"), 3, patience=86400.0)
+    head = live.questions(changes).select("qid", "state", "generation", F.col("status") == "complete")
+    return live.answers(changes).join(head.toDF("qid", "state", "generation", "complete"), "qid")
+
+
 def source_dedup(s: SparkSession, d: str) -> DataFrame:
     rows = _events(s, d).select("qid", "seq", F.lit("web").alias("type"), F.col("state").alias("origin"), F.concat(F.lit("t"), (F.col("seq") % 3).cast("string")).alias("title"), F.lit("u").alias("url"), (F.col("seq") % 3).alias("state"))
     return lc.source_registry(rows)
@@ -450,6 +466,7 @@ QUERIES = {
     "lifecycle_last_state": Query(lifecycle_last_state, f"WITH {_EV} SELECT qid, arg_max(state, seq) AS state, max(seq) AS seq, count(*) AS n_events FROM ev GROUP BY qid"),
     "lifecycle_recent": Query(lifecycle_recent, f"WITH {_EV}, l AS (SELECT qid, arg_max(state, seq) AS state, max(seq) AS seq, count(*) AS n_events FROM ev GROUP BY qid) SELECT * FROM l WHERE state = 'answered' ORDER BY seq DESC, qid LIMIT 6"),
     "lifecycle_answers": Query(lifecycle_answers, f"WITH {_EV}, g AS (SELECT qid, count(*) AS generation FROM ev GROUP BY qid) SELECT ev.qid, state AS text, arg_max(value, seq) AS confidence, max(seq) AS seq, any_value(generation) AS generation FROM ev JOIN g ON ev.qid = g.qid GROUP BY ev.qid, state"),
+    "live_answers": Query(live_answers, f"WITH {_EV}, g AS (SELECT qid, arg_max(state, seq) AS state, count(*) AS generation, qid % 2 = 0 AND count(DISTINCT state) = 3 AS complete FROM ev GROUP BY qid) SELECT ev.qid, ev.state AS text, arg_max(value, seq) AS confidence, max(seq) AS seq, any_value(g.state) AS state, any_value(generation) AS generation, any_value(complete) AS complete FROM ev JOIN g ON ev.qid = g.qid GROUP BY ev.qid, ev.state"),
     "source_dedup": Query(source_dedup, f"WITH {_EV}, x AS (SELECT qid, 'web' AS type, state AS origin, 't' || (seq % 3) AS title, 'u' AS url, min(seq) AS first, max(seq % 3) AS state FROM ev GROUP BY qid, ev.state, seq % 3) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY first, type, origin, title, url) - 1 AS INTEGER) AS source_id FROM x"),
     "answer_sentence": Query(answer_sentence, """WITH r AS (SELECT o_custkey AS qid, o_orderstatus AS answer, c_name AS source, o_orderkey % 2 = 0 AS b, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS w, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey % 3 = 0 DESC, o_orderkey DESC) AS i FROM orders JOIN customer ON o_custkey = c_custkey)
       SELECT qid, answer, source || CASE WHEN b THEN ' is filled by ' ELSE ' has status ' END || coalesce('(for ' || w || ') ', '') || CASE WHEN b THEN '' ELSE 'is ' END || answer || '.' AS sentence FROM r WHERE i = 1"""),
