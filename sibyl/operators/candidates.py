@@ -23,6 +23,65 @@ def capitalised_runs(passages: DataFrame, keys: Sequence[str], text: str = "sent
     return runs.groupBy(*keys, "_run").agg(F.min("i").alias("begin"), F.max("i").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text")).drop("_run")
 
 
+# Closed classes of words, and endings of adjectives, for the letters of `tag_letters`.
+_LETTERS = {
+    "D": ("the", "a", "an", "this", "that", "these", "those", "some", "any", "no", "every", "each", "his", "her", "its", "their", "my", "our", "your"),
+    "O": ("of",),
+    "I": ("in", "on", "at", "by", "for", "with", "from", "to", "into", "about", "after", "before", "under", "over", "as", "than", "between", "through", "during"),
+    "A": ("and", "or", "but", "nor", "so", "if", "while", "because"),
+    "V": ("is", "was", "are", "were", "be", "been", "am", "did", "does", "do", "has", "had", "have", "will", "would", "can", "could", "may", "might", "shall", "should", "must"),
+    "T": ("he", "she", "it", "they", "we", "i", "you", "who", "whom", "what", "which", "when", "where", "how", "why", "there", "not"),
+}
+_ADJECTIVE = r"(?:ful|ous|ive|ic|ical|able|ible|less|ish|est)$"
+
+
+def tag_letters(words: Column) -> Column:
+    """A sentence's words as a string of a letter each: D determiner, J adjective, C number, N noun, P name, O "of", I preposition, A conjunction, V verb,
+    R adverb, T pronoun, and a point for what is no word. By form and short lists; any tagger's letters can take their place."""
+
+    def letter(w: Column) -> Column:
+        low = F.lower(w)
+        out = F.when(~w.rlike(r"^[\p{L}\p{N}]"), ".").when(w.rlike(r"^\p{N}"), "C")
+        for code, listed in _LETTERS.items():
+            out = out.when(low.isin(*listed), code)
+        return out.when(w.rlike(r"^\p{Lu}"), "P").when(low.rlike(r".{2}ly$"), "R").when(low.rlike(r".{2}(?:ing|ed)$"), "V").when(low.rlike(r".{2}" + _ADJECTIVE), "J").otherwise("N")
+
+    return F.array_join(F.transform(words, letter), "")
+
+
+def _bracketed(marked: Column, start: str, stop: str) -> Column:
+    """First and last number of the letters in each pair of brackets of a marked string."""
+    pieces = F.split(marked, start if start == "<" else "[" + start + "]", -1)
+    before = lambda i: F.length(F.replace(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit(stop), F.lit("")))
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: F.struct(before(i).alias("begin"), (before(i) + F.instr(p, stop) - 2).alias("end")))
+
+
+def phrase_spans(letters: Column) -> Column:
+    """Noun phrases of a string of letters, in two passes: level 1 is a determiner, adjectives and numbers before nouns and names; level 2 are runs of these with "of" between.
+
+    An array of (begin, end, level), word numbers, both counted in. Work is by the square of the phrases of a sentence, which are few.
+    """
+    base = F.regexp_replace(letters, r"(D?[JC]*[NP]+)", "<$1>")
+    joined = F.translate(F.regexp_replace(base, r"(<[A-Z]+>(?:O<[A-Z]+>)+)", "{$1}"), "<>", "")
+    leveled = lambda spans, n: F.transform(spans, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit(n).alias("level")))
+    return F.concat(leveled(_bracketed(base, "<", ">"), 1), leveled(_bracketed(joined, "{", "}"), 2))
+
+
+def covering_phrase(spans: Column, i: Column, widest: bool = True) -> Column:
+    """The widest, or shortest, span around word i, of equal ones the first; null if there is none."""
+    around = F.filter(spans, lambda x: (x["begin"] <= i) & (i <= x["end"]))
+    keyed = F.transform(around, lambda x: F.struct((x["end"] - x["begin"]).alias("w"), (-x["begin"] if widest else x["begin"]).alias("b"), x.alias("span")))
+    return (F.array_max if widest else F.array_min)(keyed)["span"]
+
+
+def noun_phrases(passages: DataFrame, keys: Sequence[str], text: str = "sentence") -> DataFrame:
+    """Every noun phrase of each passage, one row each: keys, begin, end, level, text; words are numbered from 0, with every other sign a word of its own. Null texts have none."""
+    words = passages.select(*keys, F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN + r"|[^\s\p{L}\p{N}]"), F.lit(0)).alias("_w"))
+    spans = words.withColumn("_x", F.explode(phrase_spans(tag_letters(F.col("_w")))))
+    cut = F.array_join(F.slice("_w", F.col("_x.begin") + 1, F.col("_x.end") - F.col("_x.begin") + 1), " ")
+    return spans.select(*keys, "_x.begin", "_x.end", "_x.level", cut.alias("text"))
+
+
 def type_subjects(tokens: DataFrame, edges: DataFrame, lats: DataFrame, phrases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Candidates of "the <type> is X": where a passage's subject is the question's answer type, the widest noun phrase around what governs it, unless that is a verb.
 
