@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def capitalised_runs(passages: DataFrame, keys: Sequence[str], text: str = "sent
 
 
 # Closed classes of words, and endings of adjectives, for the letters of `tag_letters`.
-_LETTERS = {
+LETTERS = {
     "D": ("the", "a", "an", "this", "that", "these", "those", "some", "any", "no", "every", "each", "his", "her", "its", "their", "my", "our", "your"),
     "O": ("of",),
     "I": ("in", "on", "at", "by", "for", "with", "from", "to", "into", "about", "after", "before", "under", "over", "as", "than", "between", "through", "during"),
@@ -42,18 +42,30 @@ def tag_letters(words: Column) -> Column:
     def letter(w: Column) -> Column:
         low = F.lower(w)
         out = F.when(~w.rlike(r"^[\p{L}\p{N}]"), ".").when(w.rlike(r"^\p{N}"), "C")
-        for code, listed in _LETTERS.items():
+        for code, listed in LETTERS.items():
             out = out.when(low.isin(*listed), code)
         return out.when(w.rlike(r"^\p{Lu}"), "P").when(low.rlike(r".{2}ly$"), "R").when(low.rlike(r".{2}(?:ing|ed)$"), "V").when(low.rlike(r".{2}" + _ADJECTIVE), "J").otherwise("N")
 
     return F.array_join(F.transform(words, letter), "")
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once, also where fn uses it inside functions of array elements."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _bracketed(marked: Column, start: str, stop: str) -> Column:
     """First and last number of the letters in each pair of brackets of a marked string."""
-    pieces = F.split(marked, start if start == "<" else "[" + start + "]", -1)
-    before = lambda i: F.length(F.replace(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit(stop), F.lit("")))
-    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: F.struct(before(i).alias("begin"), (before(i) + F.instr(p, stop) - 2).alias("end")))
+
+    def spans(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.length(F.replace(p, F.lit(stop), F.lit(""))))
+        return _once(lengths, lambda n: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: _span(F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b), F.instr(p, stop))))
+
+    return _once(F.split(marked, f"[{start}]", -1), spans)
+
+
+def _span(begin: Column, width: Column) -> Column:
+    return F.struct(begin.alias("begin"), (begin + width - 2).alias("end"))
 
 
 def phrase_spans(letters: Column) -> Column:
@@ -61,10 +73,13 @@ def phrase_spans(letters: Column) -> Column:
 
     An array of (begin, end, level), word numbers, both counted in. Work is by the square of the phrases of a sentence, which are few.
     """
-    base = F.regexp_replace(letters, r"(D?[JC]*[NP]+)", "<$1>")
-    joined = F.translate(F.regexp_replace(base, r"(<[A-Z]+>(?:O<[A-Z]+>)+)", "{$1}"), "<>", "")
     leveled = lambda spans, n: F.transform(spans, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), F.lit(n).alias("level")))
-    return F.concat(leveled(_bracketed(base, "<", ">"), 1), leveled(_bracketed(joined, "{", "}"), 2))
+
+    def both(base: Column) -> Column:
+        joined = F.translate(F.regexp_replace(base, r"(<[A-Z]+>(?:O<[A-Z]+>)+)", "{$1}"), "<>", "")
+        return F.concat(leveled(_bracketed(base, "<", ">"), 1), leveled(_bracketed(joined, "{", "}"), 2))
+
+    return _once(F.regexp_replace(letters, r"(D?[JC]*[NP]+)", "<$1>"), both)
 
 
 def covering_phrase(spans: Column, i: Column, widest: bool = True) -> Column:

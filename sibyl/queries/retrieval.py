@@ -13,6 +13,7 @@ from ..operators import passages as ps
 from ..operators import questions as qs
 from ..operators import retrieval as rt
 from ..sources import readers, sinks
+from ..sources.cache import ResultCache
 from .base import CLUES_SQL, SENTENCES_SQL, TOKENS, Query, clues, questions, table, titled
 
 STOPS = CLUES_SQL.split("NOT IN (")[1].split(")")[0]
@@ -230,6 +231,21 @@ def candidates_ngram_surprise(s: SparkSession, d: str) -> DataFrame:
     return cd.with_surprise(runs, clues(s, d))
 
 
+def candidates_noun_phrases(s: SparkSession, d: str) -> DataFrame:
+    """Every noun phrase of every sentence of every document."""
+    return cd.noun_phrases(ps.sentences(table(s, d, "documents")), ["doc_id", "sent"])
+
+
+def cached_results(s: SparkSession, d: str) -> DataFrame:
+    """Pages as results of their queries, saved twice: the second save holds other titles for a third of them."""
+    p = table(s, d, "pages")
+    rows = p.select(F.concat(F.lit("q"), (F.col("page_id") % 50).cast("string")).alias("query"), F.floor(F.col("page_id") / 50).cast("int").alias("rank"), F.lit("old").alias("title"), "url", F.lit(None).cast("string").alias("description"), "page_id")
+    store = ResultCache(s, stages.new_folder(s, "results"))
+    store.save(rows.filter("rank > 0"))
+    store.save(rows.filter("rank > 0 AND page_id % 3 = 0").withColumn("title", F.lit("new")))
+    return store.load(k=6).select("query", "rank", "title", "url", F.round("resultRR", 6).alias("resultRR"))
+
+
 def candidate_blacklist(s: SparkSession, d: str) -> DataFrame:
     words = questions(s, d).select("qid", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("text"))
     return words.filter(~cd.blacklisted(F.col("text")))
@@ -314,6 +330,15 @@ EVIDENCE = f"""WITH {ASKED}, {FOUND}, a AS (SELECT qid, label AS text FROM clues
       SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 6) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 6) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 6) AS solrHitsMaxScoreEv
       FROM a LEFT JOIN x ON a.qid = x.qid AND a.text = x.text LEFT JOIN y ON a.qid = y.qid AND a.text = y.text"""
 
+_NP_CASES = " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in listed)}) THEN '{code}'" for code, listed in cd.LETTERS.items())
+_NP_SQL = f"""WITH {SENTENCES_SQL}, a AS (SELECT doc_id, sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS ws FROM sents), e AS (SELECT doc_id, sent, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM a),
+  c AS (SELECT doc_id, sent, string_agg(CASE WHEN NOT regexp_matches(w, '^[\\p{{L}}\\p{{N}}]') THEN '.' WHEN regexp_matches(w, '^\\p{{N}}') THEN 'C' {_NP_CASES} WHEN regexp_matches(w, '^\\p{{Lu}}') THEN 'P' WHEN regexp_matches(lower(w), '..ly$') THEN 'R'
+    WHEN regexp_matches(lower(w), '..(ing|ed)$') THEN 'V' WHEN regexp_matches(lower(w), '..(ful|ous|ive|ic|ical|able|ible|less|ish|est)$') THEN 'J' ELSE 'N' END, '' ORDER BY i) AS tags FROM e GROUP BY doc_id, sent),
+  g(level, pattern) AS (VALUES (1, 'D?[JC]*[NP]+'), (2, 'D?[JC]*[NP]+(OD?[JC]*[NP]+)+')), m AS (SELECT doc_id, sent, level, string_split(CASE level WHEN 1 THEN regexp_replace(tags, 'D?[JC]*[NP]+', '<\\0>', 'g') ELSE regexp_replace(tags, 'D?[JC]*[NP]+(OD?[JC]*[NP]+)+', '<\\0>', 'g') END, '<') AS ps FROM c, g),
+  u AS (SELECT doc_id, sent, level, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM m), z AS (SELECT *, sum(length(replace(p, '>', ''))) OVER (PARTITION BY doc_id, sent, level ORDER BY i) AS after FROM u)
+  SELECT z.doc_id, z.sent, CAST(after - length(replace(p, '>', '')) AS INTEGER) AS begin, CAST(after - length(replace(p, '>', '')) + instr(p, '>') - 2 AS INTEGER) AS "end", CAST(level AS INTEGER) AS level,
+    array_to_string(list_slice(ws, CAST(after - length(replace(p, '>', '')) + 1 AS BIGINT), CAST(after - length(replace(p, '>', '')) + instr(p, '>') - 1 AS BIGINT)), ' ') AS text FROM z JOIN a ON z.doc_id = a.doc_id AND z.sent = a.sent WHERE i > 0"""
+
 QUERIES = {
     "scan_questions": Query(scan_questions, "SELECT item_id AS qid, 'factoid' AS type, text FROM benchmark"),
     "scan_json_props": Query(scan_json_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
@@ -360,6 +385,8 @@ QUERIES = {
     "passage_first": Query(passage_first, f"WITH {_ABOUT}, n AS (SELECT qid, count(*) AS n FROM clues GROUP BY qid) SELECT r.qid, r.doc_id, 0 AS sent, regexp_split_to_array(text, '[.!?]+[ \\t\\n\\r]+')[1] AS sentence, round(sqrt(n), 4) AS score FROM (SELECT DISTINCT qid, doc_id FROM about) r JOIN documents d ON r.doc_id = d.doc_id JOIN n ON r.qid = n.qid"),
     "passage_gold_stats": Query(passage_gold_stats, f"""WITH {VEC}, g AS (SELECT qid, first(label ORDER BY length(label) DESC, label DESC) AS a FROM clues GROUP BY qid), x AS (SELECT b.qid, rank, contains(lower(sentence), a) AS hit FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent JOIN g ON b.qid = g.qid)
       SELECT g.qid, count(rank) AS n_scored, count(*) FILTER (hit) AS n_gs_scored, count(*) FILTER (rank <= 3) AS n_picked, count(*) FILTER (hit AND rank <= 3) AS n_gs_picked FROM g LEFT JOIN x ON g.qid = x.qid GROUP BY g.qid"""),
+    "candidates_noun_phrases": Query(candidates_noun_phrases, _NP_SQL),
+    "cached_results": Query(cached_results, "SELECT 'q' || (page_id % 50) AS query, CAST(page_id // 50 AS INTEGER) AS rank, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS title, url, round(1.0::DOUBLE / (page_id // 50), 6) AS resultRR FROM pages WHERE page_id >= 50 AND page_id // 50 <= 6"),
     "candidates_ngram_surprise": Query(candidates_ngram_surprise, f"""WITH {VEC}, t AS (SELECT b.qid, b.doc_id, b.sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+') AS w FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent WHERE rank = 1),
       u AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t), c AS (SELECT qid, doc_id, sent, i - 1 AS i, w[i] AS word, i - row_number() OVER (PARTITION BY qid, doc_id, sent ORDER BY i) AS run FROM u WHERE regexp_matches(w[i], '^\\p{{Lu}}')),
       r AS (SELECT qid, doc_id, sent, CAST(min(i) AS INTEGER) AS "begin", CAST(max(i) AS INTEGER) AS "end", string_agg(word, ' ' ORDER BY i) AS text FROM c GROUP BY qid, doc_id, sent, run)
