@@ -9,6 +9,7 @@ from ..functions import stages
 from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators import index as ix
+from ..operators import names as nm
 from ..operators import passages as ps
 from ..operators import questions as qs
 from ..operators import retrieval as rt
@@ -236,6 +237,14 @@ def candidates_noun_phrases(s: SparkSession, d: str) -> DataFrame:
     return cd.noun_phrases(ps.sentences(table(s, d, "documents")), ["doc_id", "sent"])
 
 
+def listed_names(s: SparkSession, d: str) -> DataFrame:
+    """Pieces of the benchmark's texts as names, which overlap, in all documents."""
+    t = tx.tokens(F.col("text"))
+    piece = lambda a, n: F.struct(F.array_join(F.slice(t, a, n), " ").alias("name"), F.lit(f"{a}+{n}").alias("kind"))
+    names = questions(s, d).select(F.explode(F.array(*[piece(a, n) for a, n in ((1, 1), (1, 2), (2, 3), (4, 2))])).alias("x")).select("x.*")
+    return nm.longest_names(table(s, d, "documents"), names, ["doc_id"], "text")
+
+
 def cached_results(s: SparkSession, d: str) -> DataFrame:
     """Pages as results of their queries, saved twice: the second save holds other titles for a third of them."""
     p = table(s, d, "pages")
@@ -330,6 +339,12 @@ EVIDENCE = f"""WITH {ASKED}, {FOUND}, a AS (SELECT qid, label AS text FROM clues
       SELECT a.qid, a.text, coalesce(x.n, 0) AS solrAHitsEv, coalesce(y.n, 0) AS solrHitsEv, round(coalesce(s, 0), 6) AS solrMaxScoreEv, round(CASE WHEN coalesce(x.n, 0) > 0 THEN coalesce(y.n, 0) / x.n ELSE 0 END, 6) AS solrHitsANormEv, round(coalesce(y.n * s, 0), 6) AS solrHitsMaxScoreEv
       FROM a LEFT JOIN x ON a.qid = x.qid AND a.text = x.text LEFT JOIN y ON a.qid = y.qid AND a.text = y.text"""
 
+_NAMES_SQL = f"""WITH RECURSIVE q AS (SELECT {TOKENS} AS t FROM benchmark), k(a, n) AS (VALUES (1, 1), (1, 2), (2, 3), (4, 2)), l AS (SELECT DISTINCT array_to_string(list_slice(t, a, a + n - 1), ' ') AS text, a || '+' || n AS kind FROM q, k WHERE len(t) >= a),
+  d AS (SELECT doc_id, {TOKENS} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d), u AS (SELECT doc_id, i, m, array_to_string(list_slice(w, i + 1, i + m), ' ') AS text FROM p, (VALUES (1), (2), (3)) v(m) WHERE i + m <= len(w)),
+  h AS (SELECT doc_id, i AS b, max(i + m - 1) AS e FROM u WHERE text IN (SELECT text FROM l) GROUP BY doc_id, i),
+  x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS r, lead(b, 1) OVER o AS b1, lead(b, 2) OVER o AS b2, lead(b, 3) OVER o AS b3 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY b)),
+  y AS (SELECT doc_id, b, e, r, CASE WHEN b1 > e THEN b1 WHEN b2 > e THEN b2 ELSE b3 END AS nb FROM x), z AS (SELECT doc_id, b, e, nb FROM y WHERE r = 1 UNION ALL SELECT y.doc_id, y.b, y.e, y.nb FROM z JOIN y ON y.doc_id = z.doc_id AND y.b = z.nb)
+  SELECT z.doc_id, CAST(z.b AS INTEGER) AS begin, CAST(z.e AS INTEGER) AS "end", l.text, kind FROM z JOIN u ON u.doc_id = z.doc_id AND u.i = z.b AND u.m = z.e - z.b + 1 JOIN l ON l.text = u.text"""
 _NP_CASES = " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in listed)}) THEN '{code}'" for code, listed in cd.LETTERS.items())
 _NP_SQL = f"""WITH {SENTENCES_SQL}, a AS (SELECT doc_id, sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]') AS ws FROM sents), e AS (SELECT doc_id, sent, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM a),
   c AS (SELECT doc_id, sent, string_agg(CASE WHEN NOT regexp_matches(w, '^[\\p{{L}}\\p{{N}}]') THEN '.' WHEN regexp_matches(w, '^\\p{{N}}') THEN 'C' {_NP_CASES} WHEN regexp_matches(w, '^\\p{{Lu}}') THEN 'P' WHEN regexp_matches(lower(w), '..ly$') THEN 'R'
@@ -386,6 +401,7 @@ QUERIES = {
     "passage_gold_stats": Query(passage_gold_stats, f"""WITH {VEC}, g AS (SELECT qid, first(label ORDER BY length(label) DESC, label DESC) AS a FROM clues GROUP BY qid), x AS (SELECT b.qid, rank, contains(lower(sentence), a) AS hit FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent JOIN g ON b.qid = g.qid)
       SELECT g.qid, count(rank) AS n_scored, count(*) FILTER (hit) AS n_gs_scored, count(*) FILTER (rank <= 3) AS n_picked, count(*) FILTER (hit AND rank <= 3) AS n_gs_picked FROM g LEFT JOIN x ON g.qid = x.qid GROUP BY g.qid"""),
     "candidates_noun_phrases": Query(candidates_noun_phrases, _NP_SQL),
+    "listed_names": Query(listed_names, _NAMES_SQL),
     "cached_results": Query(cached_results, "SELECT 'q' || (page_id % 50) AS query, CAST(page_id // 50 AS INTEGER) AS rank, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS title, url, round(1.0::DOUBLE / (page_id // 50), 6) AS resultRR FROM pages WHERE page_id >= 50 AND page_id // 50 <= 6"),
     "candidates_ngram_surprise": Query(candidates_ngram_surprise, f"""WITH {VEC}, t AS (SELECT b.qid, b.doc_id, b.sent, regexp_extract_all(sentence, '[\\p{{L}}\\p{{N}}]+') AS w FROM best b JOIN sents s ON b.doc_id = s.doc_id AND b.sent = s.sent WHERE rank = 1),
       u AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t), c AS (SELECT qid, doc_id, sent, i - 1 AS i, w[i] AS word, i - row_number() OVER (PARTITION BY qid, doc_id, sent ORDER BY i) AS run FROM u WHERE regexp_matches(w[i], '^\\p{{Lu}}')),
