@@ -33,7 +33,7 @@ from ..operators.index import PostingIndex
 #: Documents that a question searches, passages of each, answers that phases 1 and 2 keep, and answers for which evidence is gathered.
 DOCUMENTS, PASSAGES, FIRST, SECOND, EVIDENCE = 20, 3, 100, 25, 5
 #: Features that each step may set; what a producer does not set is null.
-PRODUCED = ("passageLogScore", "resultRR", "resultLogScore", "propertyScore", "originPsg", "originPsgSurprise", "originDocTitle", "originDBpOntology", "originConcept", "originConceptScore")
+PRODUCED = ("passageLogScore", "resultRR", "resultLogScore", "propertyScore", "originPsg", "originPsgSurprise", "originPsgNP", "originDocTitle", "originDBpOntology", "originConcept", "originConceptScore")
 ORIGINS = ("originPsg", "originDocTitle", "originDBpOntology")
 #: Weights of the three phases' logistics where no model is given, as (@, %, !) of each feature.
 WEIGHTS: dict[str, dict[str, tuple[float, float, float]]] = {
@@ -115,6 +115,14 @@ def passage_answers(best: DataFrame, clues: DataFrame) -> DataFrame:
     return named.select("qid", "text", F.lit(1).alias("occurences"), F.log1p("score").alias("passageLogScore"), (1 / F.col("doc_rank")).alias("resultRR"), F.lit(1.0).alias("originPsg"), F.when(F.col("surprise"), 1.0).alias("originPsgSurprise"))
 
 
+def phrase_answers(best: DataFrame, clues: DataFrame) -> DataFrame:
+    """Noun phrases in passages (best_passages), leading determiners cut, stop words and single characters left out."""
+    phrases = cd.noun_phrases(best, ["qid", "doc_id", "sent", "score", "doc_rank"])
+    bare = F.regexp_replace("text", rf"(?i)^(?:{'|'.join(cd.LETTERS['D'])}) (?=.)", "")
+    named = cd.with_surprise(phrases.withColumn("text", bare), clues).filter(~cd.blacklisted(F.col("text")))
+    return named.select("qid", "text", F.lit(1).alias("occurences"), F.log1p("score").alias("passageLogScore"), (1 / F.col("doc_rank")).alias("resultRR"), F.lit(1.0).alias("originPsg"), F.lit(1.0).alias("originPsgNP"), F.when(F.col("surprise"), 1.0).alias("originPsgSurprise"))
+
+
 def title_answers(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Titles of the documents that were found."""
     rows = rt.title_answers(found, with_titles(docs)).filter("text <> ''")
@@ -178,13 +186,15 @@ def scored(rows: DataFrame, phase: str, models: Models) -> DataFrame:
     return sc.carry_over(out.select(*[c for c in full.columns if c != "confidence"], "confidence"), phase)
 
 
-def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
-    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand. index: a kept one of docs, which all searches then read."""
+def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None, index: PostingIndex | None = None, phrases: bool = False) -> DataFrame:
+    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand. index: a kept one of docs, which all searches then read.
+    phrases: passages give their noun phrases as candidates, not only runs of capitalised words."""
     clues = question_clues(questions) if clues is None else clues
     if "artificial_clue" in questions.columns:  # what whoever asks adds
         clues = clues.unionByName(qs.user_clues(questions).withColumn("label", F.lower("label")))
     clues, found = stages.staged(clues, "clues"), stages.staged(found_documents(clues, docs if index is None else index), "found")
-    produced = [passage_answers(best_passages(found, docs, clues), clues), title_answers(found, docs)]
+    best = best_passages(found, docs, clues)
+    produced = [phrase_answers(best, clues) if phrases else passage_answers(best, clues), title_answers(found, docs)]
     if graph is not None:
         produced.append(graph_answers(concepts(clues, graph), graph, clues))
     # each phase is written: later steps read it more than once

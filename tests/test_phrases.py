@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from sibyl.operators import candidates as cd
+from sibyl.plans import answering
 
 
 def plain(tags):
@@ -35,3 +36,10 @@ def test_phrases_of_sentences(spark):
     spans = F.array(*[F.struct(F.lit(a).alias("begin"), F.lit(b).alias("end"), F.lit(1).alias("level")) for a, b in [(0, 2), (0, 6), (4, 6), (4, 6)]])
     out = spark.range(1).select(*[cd.covering_phrase(spans, F.lit(i), w).alias(f"{w}{i}") for i in (1, 5, 9) for w in (True, False)]).first()
     assert [x and (x.begin, x.end) for x in out] == [(0, 6), (0, 2), (0, 6), (4, 6), None, None]
+
+
+def test_the_plan_takes_phrases(spark):
+    docs = spark.createDataFrame([(1, "Marie Curie discovered a new element called polonium. The bright metal of the old lab was heavy."), (2, "Nothing here matters.")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Who discovered polonium?")], "qid long, text string")
+    texts = {r.text for r in answering.answer(asked, docs, top=20, phrases=True).collect()}
+    assert {"Marie Curie", "new element"} <= texts and "a new element" not in texts
