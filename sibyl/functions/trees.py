@@ -1,18 +1,18 @@
-"""Labelled trees and their edit distance, for small trees inside tasks.
+"""Labelled trees, their edit distance and edit scripts.
 
-A tree is an array of nodes (label parts lemma, pos, rel, and the parent's number, -1 for the root). Distances are computed for
-pairs of trees that Spark deals out; a pair's table has as many cells as the product of the two trees' nodes.
+A tree is an array of nodes (label parts lemma, pos, rel, and the parent's number, -1 for the root). Pairs of trees are dealt out by
+Spark; a task works on all pairs of an Arrow batch at once (`edit_batches`). Pairs that can't be near are told by column expressions before.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INFINITE = float("inf")
-#: Parts of speech whose alignment costs more if asked for.
-STOP_TAGS = frozenset({"DT", "IN", "TO", "CC", "PRP", "PRP$", "."})
+from . import edit_batches
+
 NODES = "array<struct<lemma: string, pos: string, rel: string, parent: int>>"
 
 
@@ -41,102 +41,64 @@ def parse_brackets(text: str) -> list[dict]:
     return nodes
 
 
-def _postorder(nodes: list) -> tuple[list, list[int], list[int]]:
-    """Labels in postorder, the first leaf under each node, and the key roots."""
-    children: dict[int, list[int]] = {}
-    for i, n in enumerate(nodes):
-        children.setdefault(n["parent"], []).append(i)
-    labels, leaf, seen = [], [], {}
-    stack = [(r, False) for r in reversed(children.get(-1, []))]
-    while stack:
-        i, done = stack.pop()
-        if done:
-            kids = children.get(i, [])
-            leaf.append(leaf[seen[kids[0]]] if kids else len(labels))
-            seen[i] = len(labels)
-            labels.append((nodes[i]["lemma"], nodes[i]["pos"], nodes[i]["rel"]))
-        else:
-            stack.append((i, True))
-            stack += [(k, False) for k in reversed(children.get(i, []))]
-    last = {leaf[i]: i for i in range(len(labels))}
-    return labels, leaf, sorted(last.values())
-
+def least_common(first: Column, second: Column) -> Column:
+    """How many nodes of two trees can keep their lemma at most: the words both have, with repeats."""
+    def numbered(nodes: Column) -> Column:
+        words = F.array_sort(F.transform(nodes, lambda n: F.coalesce(n["lemma"], F.lit(""))))
+        return F.transform(words, lambda w, i: F.struct(w.alias("w"), (i - F.array_position(words, w)).alias("n")))
 
-def rename_cost(a: tuple, b: tuple, stop_words: bool = False) -> float:
-    """0 for equal labels; 1 for each of part of speech and relation that differs; never for other lemmas."""
-    if a == b and not stop_words:
-        return 0.0
-    if a[0] != b[0]:
-        return INFINITE
-    if stop_words and a[1] in STOP_TAGS and b[1] in STOP_TAGS:
-        return 2.5
-    return float(a[1] != b[1]) + float(a[2] != b[2])
+    return F.size(F.array_intersect(numbered(first), numbered(second)))
 
 
-def edit_distance(first: list, second: list, cost: float = 3.0, stop_words: bool = False) -> tuple[float, list[tuple[str, int, int]]]:
-    """Distance and edits (DEL, INS, REN with places in postorder from 0, -1 for none) of the cheapest script. Ties: delete, then insert, then rename."""
-    la, fa, ka = _postorder(first)
-    lb, fb, kb = _postorder(second)
-    tree: dict[tuple[int, int], tuple[float, tuple]] = {}
-    for i in ka:
-        for j in kb:
-            a0, b0 = fa[i], fb[j]
-            forest = {(a0 - 1, b0 - 1): (0.0, ())}
-            for x in range(a0, i + 1):
-                d, e = forest[x - 1, b0 - 1]
-                forest[x, b0 - 1] = (d + cost, (e, ("DEL", x, -1)))
-            for y in range(b0, j + 1):
-                d, e = forest[a0 - 1, y - 1]
-                forest[a0 - 1, y] = (d + cost, (e, ("INS", -1, y)))
-            for x in range(a0, i + 1):
-                for y in range(b0, j + 1):
-                    deleted, inserted = forest[x - 1, y], forest[x, y - 1]
-                    best = (deleted[0] + cost, (deleted[1], ("DEL", x, -1)))
-                    if inserted[0] + cost < best[0]:
-                        best = (inserted[0] + cost, (inserted[1], ("INS", -1, y)))
-                    if fa[x] == a0 and fb[y] == b0:
-                        d, e = forest[x - 1, y - 1]
-                        renamed = d + rename_cost(la[x], lb[y], stop_words)
-                        if renamed < best[0]:
-                            best = (renamed, (e, ("REN", x, y)))
-                        tree[x, y] = best
-                    else:
-                        d, e = forest[fa[x] - 1, fb[y] - 1]
-                        t, script = tree[x, y]
-                        if d + t < best[0]:
-                            best = (d + t, (e, script))
-                    forest[x, y] = best
-    if not la or not lb:
-        return cost * (len(la) + len(lb)), [("DEL", x, -1) for x in range(len(la))] + [("INS", -1, y) for y in range(len(lb))]
-    distance, script = tree[len(la) - 1, len(lb) - 1]
-    edits, stack = [], [script]
-    while stack:
-        s = stack.pop()
-        if not s:
-            continue
-        if isinstance(s[0], str):
-            edits.append(s)
-        else:
-            stack += [s[0], s[1]]
-    return distance, sorted(edits, key=lambda e: (e[1], e[2]))
+def distance_bound(first: Column | str, second: Column | str, cost: float = 3.0) -> Column:
+    """A number that `tree_distance` never falls below, from the words alone: every node whose lemma has no partner must be deleted or inserted. Null for a null tree."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (first, second))
+    nodes = F.size(a) + F.size(b)
+    return F.when(a.isNotNull() & b.isNotNull(), cost * (nodes - 2 * least_common(a, b)) / F.greatest(F.lit(1), nodes))
 
 
-def tree_distance(first: Column | str, second: Column | str) -> Column:
+def tree_distance(first: Column | str, second: Column | str, cost: float = 3.0, stop_words: bool = False) -> Column:
     """Distance of two trees (arrays of nodes), over the sum of their nodes; null for a null tree."""
 
     def distances(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y))[0] / max(1, len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        out = np.full(len(a), np.nan)
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        pairs = edit_batches.Pairs([a.iloc[i] for i in known], [b.iloc[i] for i in known], cost, stop_words)
+        out[known] = pairs.distances() / np.maximum(1, pairs.nodes())
+        return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
     return F.pandas_udf(distances, "double")(first, second)
 
 
-def tree_edits(first: Column | str, second: Column | str) -> Column:
-    """Edits that turn the first tree into the second."""
+def tree_edits(first: Column | str, second: Column | str, cost: float = 3.0, stop_words: bool = False) -> Column:
+    """Edits that turn the first tree into the second, null for a null tree: type (DEL, INS, REN), places a and b in postorder and numbers
+    word_a and word_b in the trees' arrays, -1 for none, the kind (`edit_batches.KINDS`), whether it is the top of a whole subtree that goes or comes, and the place
+    of the first leaf under it. Order: by a, then by b."""
 
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else [{"type": t, "a": i, "b": j} for t, i, j in edit_distance(list(x), list(y))[1]] for x, y in zip(a, b, strict=True)])
+        out: list = [None] * len(a)
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        pairs = edit_batches.Pairs([a.iloc[i] for i in known], [b.iloc[i] for i in known], cost, stop_words)
+        for i, script in zip(known, pairs.scripts(), strict=True):
+            out[i] = script
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(edits, "array<struct<type: string, a: int, b: int, word_a: int, word_b: int, kind: string, subtree: boolean, first: int>>")(first, second)
 
-    return F.pandas_udf(edits, "array<struct<type: string, a: int, b: int>>")(first, second)
+
+def edit_distance(first: list, second: list, cost: float = 3.0, stop_words: bool = False) -> tuple[float, list[tuple[str, int, int]]]:
+    """Distance and edits (DEL, INS, REN with places in postorder from 0, -1 for none) of one pair. Of equally cheap scripts the one that, from the end, deletes rather than inserts and inserts rather than renames."""
+    pairs = edit_batches.Pairs([first], [second], cost, stop_words)
+    return float(pairs.distances()[0]), [(e["type"], e["a"], e["b"]) for e in pairs.scripts()[0]]
+
+
+def compact_edits(edits: Column) -> Column:
+    """Edits in which a whole subtree of two nodes or more that goes, or comes, is one edit, at its top, of kind delSubtree or insSubtree."""
+    tops = F.filter(edits, lambda e: e["subtree"])
+    place = lambda e: F.greatest(e["a"], e["b"])  # noqa: E731  (of a deleted or inserted node the other place is -1)
+    inside = lambda e: F.exists(tops, lambda s: (e["type"] == s["type"]) & (s["first"] <= place(e)) & (place(e) < place(s)))
+    kept = F.filter(edits, lambda e: ~inside(e))
+    return F.transform(kept, lambda e: e.withField("kind", F.when(e["subtree"], F.concat(F.lower(e["type"]), F.lit("Subtree"))).otherwise(e["kind"])))
 
 
 def tree_nodes(tokens: Column, heads: Column) -> Column:
