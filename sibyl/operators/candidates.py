@@ -49,7 +49,7 @@ def tag_letters(words: Column) -> Column:
     return F.array_join(F.transform(words, letter), "")
 
 
-def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
     """fn of a value that is worked out once, also where fn uses it inside functions of array elements."""
     return F.transform(F.array(value), fn)[0]
 
@@ -59,9 +59,9 @@ def _bracketed(marked: Column, start: str, stop: str) -> Column:
 
     def spans(pieces: Column) -> Column:
         lengths = F.transform(pieces, lambda p: F.length(F.replace(p, F.lit(stop), F.lit(""))))
-        return _once(lengths, lambda n: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: _span(F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b), F.instr(p, stop))))
+        return once(lengths, lambda n: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p, i: _span(F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b), F.instr(p, stop))))
 
-    return _once(F.split(marked, f"[{start}]", -1), spans)
+    return once(F.split(marked, f"[{start}]", -1), spans)
 
 
 def _span(begin: Column, width: Column) -> Column:
@@ -79,7 +79,7 @@ def phrase_spans(letters: Column) -> Column:
         joined = F.translate(F.regexp_replace(base, r"(<[A-Z]+>(?:O<[A-Z]+>)+)", "{$1}"), "<>", "")
         return F.concat(leveled(_bracketed(base, "<", ">"), 1), leveled(_bracketed(joined, "{", "}"), 2))
 
-    return _once(F.regexp_replace(letters, r"(D?[JC]*[NP]+)", "<$1>"), both)
+    return once(F.regexp_replace(letters, r"(D?[JC]*[NP]+)", "<$1>"), both)
 
 
 def covering_phrase(spans: Column, i: Column, widest: bool = True) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stages
+from ..functions import text as tx
+from ..operators import alignment as al
 from ..plans import answering
 from .base import Query, questions, table
 from .retrieval import FOUND, STOPS, VEC
@@ -31,6 +33,15 @@ def answer_candidates(s: SparkSession, d: str) -> DataFrame:
     return out.select("qid", "text", "occurences", *[F.round(c, 4).alias(c) for c in ("passageLogScore", "resultRR", "resultLogScore")], *kept)
 
 
+def passage_edit_features(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the best passages of every question, with what happens to it on the cheapest way from the passage's tree to the question's."""
+    clues, docs = answering.question_clues(questions(s, d)), _docs(s, d)
+    tree = lambda text: al.chunk_tree(F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN), F.lit(0)))
+    best = answering.best_passages(answering.found_documents(clues, docs), docs, clues)
+    pairs = best.withColumn("tree", tree("sentence")).join(questions(s, d).select("qid", tree("text").alias("other")), "qid")
+    return al.edit_features(pairs, ["qid", "doc_id", "sent"]).withColumn("features", F.array_join("features", " "))
+
+
 def answer_questions(s: SparkSession, d: str) -> DataFrame:
     """The flagship plan: the five best answers of every benchmark question."""
     return answering.answer(questions(s, d), _docs(s, d))
@@ -48,4 +59,5 @@ QUERIES = {
     "answer_passages": Query(answer_passages, f"{_TOP} SELECT b.qid, b.doc_id, doc_rank, sent, b.score, rank FROM best b JOIN top ON b.qid = top.qid AND b.doc_id = top.doc_id WHERE rank <= {answering.PASSAGES}"),
     "answer_candidates": Query(answer_candidates, _CANDIDATES),
     "answer_questions": Query(answer_questions),
+    "passage_edit_features": Query(passage_edit_features),
 }

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sibyl.functions import edit_batches, trees
+from sibyl.operators import alignment as al
+from sibyl.queries import QUERIES
 
 
 def random_tree(rng, n, words="abc"):
@@ -118,3 +120,60 @@ def test_whole_subtrees(spark):
     assert got[0] == [("align", 1, 1), ("delSubtree", 2, -1), ("delLeaf", 6, -1), ("renPos", 0, 0)]
     assert sorted(got[1]) == [("align", 1, 1), ("insLeaf", -1, 6), ("insSubtree", -1, 2), ("renPos", 0, 0)]
     assert got[2] is None
+
+
+def test_chunk_tree(spark):
+    texts = ["The famous author wrote a long book about old Berlin", "second book", "of of", "", None, "is was are", "Ada wrote. Ada is here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    words = F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    got = {r.i: r.tree for r in df.select("i", al.chunk_tree(words).alias("tree")).collect()}
+    assert [(n.lemma, n.rel, n.parent) for n in got[1]] == [("second", "mod", 1), ("book", "root", -1)]
+    assert [n.parent for n in got[2]] == [-1, 0] and got[3] == [] and got[4] is None and [n.parent for n in got[5]] == [-1, 0, 1]
+    # "wrote" has the form of a noun for the rules, so the first phrase is up to it; every tree has one root and no cycle
+    assert [n.parent for n in got[0]][:4] == [3, 3, 3, -1]
+    for tree in got.values():
+        if tree:
+            assert edit_batches.Pairs([tree], [tree]).distances()[0] == 0 and [n.rel for n in tree].count("root") == 1
+
+
+def plain_features(a, b):
+    script = edit_batches.Pairs([a], [b]).scripts()[0]
+    stays = sorted(e["word_a"] for e in script if e["type"] == "REN" and e["word_a"] < len(a) - 1)
+    out = {}
+    for e in script:
+        i = e["word_a"]
+        if e["type"] == "INS":
+            continue
+        if e["type"] == "REN":
+            x, y = a[i], b[e["word_b"]]
+            out[i] = ["edit=align", f"edit(align)_0Pos={x['pos']}", f"edit(align)_0Dep={x['rel']}", f"edit(align)_1Pos={y['pos']}", f"edit(align)_1Dep={y['rel']}", f"edit(align)_Pos={x['pos']}_{y['pos']}", f"edit(align)_Dep={x['rel']}_{y['rel']}"]
+            continue
+        out[i] = [f"edit={e['kind']}", f"edit({e['kind']})_Pos={a[i]['pos']}", f"edit({e['kind']})_Dep={a[i]['rel']}"]
+        if stays:
+            j = min(stays, key=lambda j: (abs(j - i), j))
+            out[i] += [f"nearest_aligned={j - i}", f"nearest_aligned_Pos={a[j]['pos']}", f"nearest_aligned_Dep={a[j]['rel']}"]
+    return out
+
+
+def test_edit_features_and_near_trees(spark):
+    rng = random.Random(11)
+    made = [(i, random_tree(rng, rng.randrange(0, 12), "abcde"), random_tree(rng, rng.randrange(0, 8), "abcde")) for i in range(60)] + [(60, None, []), (61, [], None)]
+    df = spark.createDataFrame(made, f"id int, tree {trees.NODES}, other {trees.NODES}")
+    got = {}
+    for r in al.edit_features(df, ["id"]).collect():
+        got.setdefault(r.id, {})[r.i] = r.features
+    assert got == {i: f for i, a, b in made[:60] if (f := plain_features(a, b))}
+    for limit in (0.0, 0.9, 1.5, 3.0):
+        near = {r.id: r.distance for r in al.near_trees(df, "tree", "other", limit).collect()}
+        want = {i: plain_distance(a, b) / max(1, len(a) + len(b)) for i, a, b in made[:60]}
+        assert near == pytest.approx({i: x for i, x in want.items() if x <= limit})
+
+
+def test_passages_are_aligned_with_their_question(spark, tmp_path):
+    asked = [(1, "Who wrote the famous book?"), (2, "zzz")]
+    docs = [(1, "Ada Lovelace wrote the famous book. Nothing else."), (2, "Unrelated words are here."), (3, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {(r.qid, r.doc_id, r.sent, r.i): r.features for r in QUERIES["passage_edit_features"].run(spark, str(tmp_path)).collect()}
+    assert {k[:3] for k in rows} == {(1, 1, 0)} and len(rows) == 6
+    assert all(rows[1, 1, 0, i].startswith("edit=align") for i in (2, 3, 4, 5)) and rows[1, 1, 0, 1].startswith("edit=delLeaf")
