@@ -186,24 +186,39 @@ def scored(rows: DataFrame, phase: str, models: Models) -> DataFrame:
     return sc.carry_over(out.select(*[c for c in full.columns if c != "confidence"], "confidence"), phase)
 
 
-def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None, index: PostingIndex | None = None, phrases: bool = False) -> DataFrame:
-    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand. index: a kept one of docs, which all searches then read.
-    phrases: passages give their noun phrases as candidates, not only runs of capitalised words."""
+def asked_clues(questions: DataFrame, clues: DataFrame | None = None) -> DataFrame:
+    """The given clues, else the questions' words, with those that whoever asks adds; written, as many steps read them."""
     clues = question_clues(questions) if clues is None else clues
-    if "artificial_clue" in questions.columns:  # what whoever asks adds
+    if "artificial_clue" in questions.columns:
         clues = clues.unionByName(qs.user_clues(questions).withColumn("label", F.lower("label")))
-    clues, found = stages.staged(clues, "clues"), stages.staged(found_documents(clues, docs if index is None else index), "found")
+    return stages.staged(clues, "clues")
+
+
+def found_answers(clues: DataFrame, docs: DataFrame, graph: Graph | None = None, types: Types | None = None, index: PostingIndex | None = None, phrases: bool = False) -> DataFrame:
+    """What phase 0 scores: answers of all producers with their analysis."""
+    found = stages.staged(found_documents(clues, docs if index is None else index), "found")
     best = best_passages(found, docs, clues)
     produced = [phrase_answers(best, clues) if phrases else passage_answers(best, clues), title_answers(found, docs)]
     if graph is not None:
         produced.append(graph_answers(concepts(clues, graph), graph, clues))
-    # each phase is written: later steps read it more than once
-    zero = stages.staged(hl.top_k(scored(analysed(stages.staged(hitlist(produced), "hitlist"), clues, types), "", models), FIRST), "phase-0")
+    return analysed(stages.staged(hitlist(produced), "hitlist"), clues, types)
+
+
+def merged_answers(zero: DataFrame) -> DataFrame:
+    """What phase 1 scores: the best answers of phase 0 (written, as they are read more than once) by canonical text, with what they lend each other."""
     kept = [c for c in zero.columns if c not in ("qid", "text", "occurences", "confidence")]
     one = stages.staged(hl.merge_by_canonical_text(zero, tx.canonical(F.col("text")), kept).drop("canon_text"), "merged")
     by_case = hl.diffuse(one.select("qid", "text", "confidence")).groupBy("qid", "text").pivot("case", list(hl.CASES)).agg(F.first("score"))
-    one = one.join(by_case.withColumnsRenamed({c: f"evd{c.capitalize()}Score" for c in hl.CASES}), ["qid", "text"], "left")
-    one = stages.staged(hl.top_k(scored(one, "1", models), SECOND), "phase-1")
+    return one.join(by_case.withColumnsRenamed({c: f"evd{c.capitalize()}Score" for c in hl.CASES}), ["qid", "text"], "left")
+
+
+def answer(questions: DataFrame, docs: DataFrame, top: int = 5, graph: Graph | None = None, types: Types | None = None, models: Models = Models(), clues: DataFrame | None = None, index: PostingIndex | None = None, phrases: bool = False) -> DataFrame:
+    """qid, rank, text, confidence: the `top` answers of each question by three phases. clues: better ones than the question's words, where a parser is at hand. index: a kept one of docs, which all searches then read.
+    phrases: passages give their noun phrases as candidates, not only runs of capitalised words."""
+    clues = asked_clues(questions, clues)
+    # each phase is written: later steps read it more than once
+    zero = stages.staged(hl.top_k(scored(found_answers(clues, docs, graph, types, index, phrases), "", models), FIRST), "phase-0")
+    one = stages.staged(hl.top_k(scored(merged_answers(zero), "1", models), SECOND), "phase-1")
     last = scored(with_evidence(one, clues, docs if index is None else index), "2", models)
     return hl.ranked(last.select("qid", "text", "confidence")).filter(F.col("rank") <= top).select("qid", "rank", "text", "confidence")
 
