@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import candidates as cd
+from ..operators import lemmas as lm
 from ..operators import tagging
 from .base import Query, questions, table
 
@@ -39,4 +40,15 @@ def tag_mentions(s: SparkSession, d: str) -> DataFrame:
     return chunks.withColumn("score", F.round("score", 4))
 
 
-QUERIES = {"tag_mentions": Query(tag_mentions)}
+def corpus_lemmas(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the documents with its lemma, by rules learned from those words whose plain form stands in the documents too."""
+    words = table(s, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    form = F.col("form")
+    cut = [F.when(form.endswith(goes) & (F.length(form) > len(goes) + 2), F.concat(F.left(form, F.length(form) - len(goes)), F.lit(comes))) for goes, comes in GUESSES]
+    pairs = lm.attested_pairs(words, F.array_compact(F.array(*cut)))
+    return lm.lemmas(words, lm.learn(pairs))
+
+
+#: Endings of inflected forms and what may stand in their place in the plain form.
+GUESSES = (("s", ""), ("es", ""), ("ies", "y"), ("ed", ""), ("ed", "e"), ("ing", ""), ("ing", "e"))
+QUERIES = {"tag_mentions": Query(tag_mentions), "corpus_lemmas": Query(corpus_lemmas)}
