@@ -39,6 +39,7 @@ def passage_edit_features(s: SparkSession, d: str) -> DataFrame:
     tree = lambda text: al.chunk_tree(F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN), F.lit(0)))
     best = answering.best_passages(answering.found_documents(clues, docs), docs, clues)
     pairs = best.withColumn("tree", tree("sentence")).join(questions(s, d).select("qid", tree("text").alias("other")), "qid")
+    pairs = pairs.repartition(s.sparkContext.defaultParallelism, "qid", "doc_id", "sent")  # few rows that cost much: dealt to all cores, not to as few tasks as their bytes ask for
     return al.edit_features(pairs, ["qid", "doc_id", "sent"]).withColumn("features", F.array_join("features", " "))
 
 
@@ -59,5 +60,4 @@ QUERIES = {
     "answer_passages": Query(answer_passages, f"{_TOP} SELECT b.qid, b.doc_id, doc_rank, sent, b.score, rank FROM best b JOIN top ON b.qid = top.qid AND b.doc_id = top.doc_id WHERE rank <= {answering.PASSAGES}"),
     "answer_candidates": Query(answer_candidates, _CANDIDATES),
     "answer_questions": Query(answer_questions),
-    "passage_edit_features": Query(passage_edit_features),
 }

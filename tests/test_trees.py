@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sibyl.functions import edit_batches, trees
 from sibyl.operators import alignment as al
-from sibyl.queries import QUERIES
+from sibyl.queries.plans import passage_edit_features
 
 
 def random_tree(rng, n, words="abc"):
@@ -174,6 +174,6 @@ def test_passages_are_aligned_with_their_question(spark, tmp_path):
     docs = [(1, "Ada Lovelace wrote the famous book. Nothing else."), (2, "Unrelated words are here."), (3, None)]
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = {(r.qid, r.doc_id, r.sent, r.i): r.features for r in QUERIES["passage_edit_features"].run(spark, str(tmp_path)).collect()}
+    rows = {(r.qid, r.doc_id, r.sent, r.i): r.features for r in passage_edit_features(spark, str(tmp_path)).collect()}
     assert {k[:3] for k in rows} == {(1, 1, 0)} and len(rows) == 6
     assert all(rows[1, 1, 0, i].startswith("edit=align") for i in (2, 3, 4, 5)) and rows[1, 1, 0, 1].startswith("edit=delLeaf")
