@@ -125,7 +125,12 @@ def is_quantity(text: Column) -> Column:
     return text.try_cast("double").isNotNull()
 
 
+def gold_pattern(pattern: Column) -> Column:
+    """The gold pattern in any case, of letters beyond ASCII too."""
+    return F.concat(F.lit("(?iu)"), pattern)
+
+
 def gold_match(text: Column, pattern: Column) -> Column:
     """True where the gold pattern is found in the text, in any case."""
-    return F.regexp_like(text, F.concat(F.lit("(?i)"), pattern))
+    return F.regexp_like(text, gold_pattern(pattern))
 

@@ -174,7 +174,7 @@ def crossed_with_types(features: Column, synsets: Column) -> Column:
 
 def gold_mentions(passages: DataFrame, gold: DataFrame, keys: Sequence[str], text: str = "sentence") -> DataFrame:
     """Matches of the gold pattern as labelled mentions: number and text of each."""
-    hits = F.regexp_extract_all(F.col(text), F.concat(F.lit("(?i)("), F.col("answer_pattern"), F.lit(")")), F.lit(0))
+    hits = F.regexp_extract_all(F.col(text), tx.gold_pattern(F.concat(F.lit("("), F.col("answer_pattern"), F.lit(")"))), F.lit(0))
     return passages.join(gold, "qid").select(*keys, F.posexplode(hits).alias("n", "mention"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def run_rows(hitlist: DataFrame, gold: DataFrame, top: int = 15) -> DataFrame:
     """A row per gold question: rank of the first answer that its pattern finds (from 0; -1 none), its text, the number of answers, score and the top answers.
@@ -15,7 +17,7 @@ def run_rows(hitlist: DataFrame, gold: DataFrame, top: int = 15) -> DataFrame:
     """
     w = Window.partitionBy("qid").orderBy(F.desc("confidence"), F.asc("text"))
     ranked = hitlist.withColumn("rank", F.row_number().over(w) - 1)
-    hit = F.regexp_like(F.col("text"), F.concat(F.lit("(?i)"), F.col("answer_pattern")))
+    hit = tx.gold_match(F.col("text"), F.col("answer_pattern"))
     each = gold.alias("g").join(ranked.select("qid", "text", "confidence", "rank"), "qid", "left")
     best = F.struct("rank", "text", "confidence")
     out = each.groupBy("qid", "answer_pattern").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.manifest import Run
 from ..operators import boosting
 from ..operators import evaluation as ev
@@ -24,7 +25,7 @@ def features_of(rows: DataFrame) -> list[str]:
 def learned(rows: DataFrame, gold: DataFrame, **options) -> dict:
     """A forest over the answers of the questions in gold (qid, answer_pattern): what its question's pattern finds is right. With the plain names of its features."""
     features = features_of(rows)
-    hit = F.regexp_like(F.col("text"), F.concat(F.lit("(?i)"), F.col("answer_pattern")))
+    hit = tx.gold_match(F.col("text"), F.col("answer_pattern"))
     known = hl.expanded(rows.join(gold.select("qid", "answer_pattern"), "qid"), features).withColumn("class", hit.cast("int"))
     model, losses = boosting.train(known, [m + f for f in features for m in "@%!"], **options)
     return {"features": features, "model": model, "losses": losses}
