@@ -12,15 +12,19 @@ from .hitlist import merge_vectors
 
 
 def capitalised_runs(passages: DataFrame, keys: Sequence[str], text: str = "sentence") -> DataFrame:
-    """Runs of capitalised words as name candidates: begin (word number), text. A rule in place of an entity tagger.
+    """Runs of capitalised words as name candidates: begin, end (word numbers), text. A rule in place of an entity tagger. Each passage is worked out by itself, row by row."""
+    return passages.select(*keys, F.inline(capitalised_spans(F.col(text))))
 
-    Words are numbered, and a run is where number minus rank among capitalised words stays the same.
-    """
-    words = passages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN), F.lit(0))).alias("i", "word"))
-    cap = words.filter(F.col("word").rlike(r"^\p{Lu}"))
-    w = Window.partitionBy(*keys).orderBy("i")
-    runs = cap.withColumn("_run", F.col("i") - F.row_number().over(w))
-    return runs.groupBy(*keys, "_run").agg(F.min("i").alias("begin"), F.max("i").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("text")).drop("_run")
+
+def capitalised_spans(sentence: Column) -> Column:
+    """The runs of capitalised words of a sentence, an array of (begin, end, text)."""
+
+    def spans(words: Column) -> Column:
+        letters = F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}"), "A").otherwise("a")), "")
+        cut = lambda x: F.array_join(F.slice(words, x["begin"] + 1, x["end"] - x["begin"] + 1), " ")
+        return F.transform(_bracketed(F.regexp_replace(letters, "(A+)", "<$1>"), "<", ">"), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), cut(x).alias("text")))
+
+    return once(F.regexp_extract_all(sentence, F.lit(tx.TOKEN), F.lit(0)), spans)
 
 
 # Closed classes of words, and endings of adjectives, for the letters of `tag_letters`.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,37 @@ def vectors(matches: DataFrame, about: DataFrame, key: str = "doc_id") -> DataFr
     """For each question and passage: sums of matches and weights, apart for clues that the document is about."""
     marked = matches.join(about.withColumn("_about", F.lit(1)), ["qid", key, "label"], "left").withColumn("_about", F.coalesce("_about", F.lit(0)))
     own, of = F.col("_about") == 0, F.col("_about") == 1
-    return marked.groupBy("qid", key, "sent").agg(
+    return marked.groupBy("qid", key, "sent").agg(*_sums(own, of))
+
+
+def dealt(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs dealt to tasks by their key, so that groups and windows of a document, and joins on its key, need no other shuffle, whatever the number of questions.
+
+    A document gives many rows for each question, so there are more tasks than shuffles of small rows have.
+    """
+    return docs.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+
+
+def dealt_vectors(docs: DataFrame, clues: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What `vectors` says of every sentence of documents (key, title, text; keys are unique), of which only the texts are shuffled, once."""
+    cut = dealt(docs.select(key, "title", "text"), key).select(key, tx.tokens(F.col("title")).alias("_t"), F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
+    words = cut.select(key, "sent", "_t", F.explode(F.array_distinct(tx.tokens(F.col("sentence")))).alias("label"))
+    marked = words.select(key, "sent", "label", (F.array_contains("_t", F.col("label")) & F.col(key).isNotNull()).alias("_about"))
+    own, of = ~F.col("_about"), F.col("_about")
+    return marked.join(clues.select("qid", "label", "weight"), "label").groupBy("qid", key, "sent").agg(*_sums(own, of))
+
+
+def _sums(own: Column, of: Column) -> list[Column]:
+    return [
         F.count_if(own).cast("double").alias("clueMatch"), F.sum(F.when(own, F.col("weight")).otherwise(0.0)).alias("clueWeight"),
         F.count_if(of).cast("double").alias("aboutClueMatch"), F.sum(F.when(of, F.col("weight")).otherwise(0.0)).alias("aboutClueWeight"),
-    )
+    ]
+
+
+def with_sentences(scored: DataFrame, docs: DataFrame, each: Callable[[Column], Column], name: str, key: str = "doc_id") -> DataFrame:
+    """scored (with key, sent) and a column of each's value for the sentence, worked out once a document; nothing more is shuffled of rows of `dealt_vectors`."""
+    held = dealt(docs.select(key, "text"), key).select(key, F.transform(tx.sentences(F.col("text")), each).alias("_each"))
+    return scored.join(held.hint("merge"), key).withColumn(name, F.get("_each", F.col("sent"))).drop("_each")
 
 
 def score() -> Column:
@@ -72,10 +101,11 @@ def score() -> Column:
     return F.col("clueWeight") + 0.25 * F.col("aboutClueWeight")
 
 
-def best(scored: DataFrame, k: int = 3, key: str = "doc_id") -> DataFrame:
-    """The k best passages of each question and document; ties: the earlier sentence."""
+def best(scored: DataFrame, k: int | None = 3, key: str = "doc_id") -> DataFrame:
+    """The k best passages (all, if None) of each question and document; ties: the earlier sentence."""
     w = Window.partitionBy("qid", key).orderBy(F.desc("score"), "sent")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def first_sentences(results: DataFrame, docs: DataFrame, clues: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,10 +121,8 @@ def origin_features(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.groupBy("qid", key, "sent").agg(*[F.max(F.when(F.col("clue_type") == t, 1.0)).alias(f"originPsgByClue{t}") for t in types])
 
 
-def gold_statistics(scored: DataFrame, picked: DataFrame, gold: DataFrame) -> DataFrame:
-    """By question: scored passages, those that the gold pattern matches, picked ones, and those of them that it matches."""
-    def counted(df: DataFrame, a: str, b: str) -> DataFrame:
-        hit = tx.gold_match(F.col("sentence"), F.col("answer_pattern"))
-        return df.join(gold, "qid").groupBy("qid").agg(F.count(F.lit(1)).alias(a), F.count_if(hit).alias(b))
-
-    return gold.select("qid").join(counted(scored, "n_scored", "n_gs_scored"), "qid", "left").join(counted(picked, "n_picked", "n_gs_picked"), "qid", "left").na.fill(0)
+def gold_statistics(ranked: DataFrame, k: int, gold: DataFrame) -> DataFrame:
+    """By question: scored passages (with sentence, rank), those that the gold pattern matches, the k best of each document, and those of them that it matches."""
+    hits = ranked.join(gold, "qid").select("qid", (F.col("rank") <= k).alias("_best"), tx.gold_match(F.col("sentence"), F.col("answer_pattern")).alias("_hit"))
+    counts = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n_scored"), F.count_if("_hit").alias("n_gs_scored"), F.count_if("_best").alias("n_picked"), F.count_if(F.col("_hit") & F.col("_best")).alias("n_gs_picked"))
+    return gold.select("qid").join(counts, "qid", "left").na.fill(0)

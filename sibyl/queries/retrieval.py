@@ -202,8 +202,7 @@ def about_clues(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    matches = ps.word_matches(ps.sentences(table(s, d, "documents")), clues(s, d))
-    return ps.vectors(matches, ps.about_clues(titled(s, d), clues(s, d))).withColumn("score", ps.score())
+    return ps.dealt_vectors(titled(s, d), clues(s, d)).withColumn("score", ps.score())
 
 
 def passage_by_clue(s: SparkSession, d: str) -> DataFrame:
@@ -220,16 +219,14 @@ def passage_first(s: SparkSession, d: str) -> DataFrame:
 
 
 def passage_gold_stats(s: SparkSession, d: str) -> DataFrame:
-    sents = ps.sentences(table(s, d, "documents"))
-    scored = _scored(s, d)
     gold = clues(s, d).groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("answer_pattern"))
-    return ps.gold_statistics(scored.join(sents, ["doc_id", "sent"]), ps.best(scored).join(sents, ["doc_id", "sent"]), gold)
+    ranked = ps.with_sentences(ps.best(_scored(s, d), None), table(s, d, "documents"), lambda sentence: sentence, "sentence")
+    return ps.gold_statistics(ranked, 3, gold)
 
 
 def candidates_ngram_surprise(s: SparkSession, d: str) -> DataFrame:
-    top = ps.best(_scored(s, d), 1).select("qid", "doc_id", "sent").join(ps.sentences(table(s, d, "documents")), ["doc_id", "sent"])
-    runs = cd.capitalised_runs(top, ["qid", "doc_id", "sent"])
-    return cd.with_surprise(runs, clues(s, d))
+    top = ps.with_sentences(ps.best(_scored(s, d), 1).select("qid", "doc_id", "sent"), table(s, d, "documents"), cd.capitalised_spans, "_runs")
+    return cd.with_surprise(top.select("qid", "doc_id", "sent", F.inline("_runs")), clues(s, d))
 
 
 def candidates_noun_phrases(s: SparkSession, d: str) -> DataFrame:
