@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
+#: Clues that are sent to the tasks; and pairs of a sentence's word and a clue that a task works on at once (more only where one document has more).
+MOST_CLUES, PAIRS = 200_000, 1 << 20
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent, sentence) of each sentence with a character in it; sent counts empty ones too."""
@@ -90,6 +101,103 @@ def _sums(own: Column, of: Column) -> list[Column]:
     ]
 
 
+def scored(docs: DataFrame, clues: DataFrame, k: int | None = None, each: Callable[[Column], Column] | None = None, key: str = "doc_id", most: int = MOST_CLUES) -> DataFrame:
+    """The k best sentences (all, if None) of each document (key, title, text; keys are unique) for each question, with what `vectors` says of them, score and rank.
+
+    each: a function of a sentence whose value is wanted too, as column `each`. Up to `most` clues go to the tasks, which take documents as they come, so that nothing
+    is shuffled; more are joined by word. Both ways give the same rows.
+    """
+    own = clues.select("qid", "label", F.col("weight").cast("double").alias("weight")).filter("label IS NOT NULL")
+    few = own.limit(most + 1).toArrow()
+    if few.num_rows > most:
+        out = best(dealt_vectors(docs, clues, key).withColumn("score", score()), k, key)
+        return out if each is None else with_sentences(out, docs, each, "each", key)
+    shared = docs.sparkSession.sparkContext.broadcast(few)
+    cut = [F.col(key), tx.tokens(F.col("title")).alias("_t"), F.transform(tx.sentences(F.col("text")), tx.tokens).alias("_s")]
+    rows = docs.select(*cut, *([] if each is None else [F.transform(tx.sentences(F.col("text")), each).alias("_each")]))
+    fields = [clues.schema["qid"], docs.schema[key], T.StructField("sent", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in (*_SUMS, "score")], T.StructField("rank", T.IntegerType())]
+    if each is not None:
+        fields.append(T.StructField("each", rows.schema["_each"].dataType.elementType))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Asked(shared.value)
+        for b in batches:
+            yield from _scored_batch(b, asked, k)
+
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+_SUMS = ("clueMatch", "clueWeight", "aboutClueMatch", "aboutClueWeight")
+
+
+class _Asked:
+    """Clues by label: those of label i are from starts[i] on."""
+
+    def __init__(self, clues: pa.Table) -> None:
+        label = clues.column("label").combine_chunks().dictionary_encode()
+        whose = clues.column("qid").combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = label.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        self.labels, self.qids = label.dictionary, whose.dictionary
+        self.starts = np.searchsorted(codes[order], np.arange(len(self.labels) + 1))
+        self.whose = whose.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order]
+        self.weight = clues.column("weight").fill_null(0.0).to_numpy()[order]
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The number of each word's label, -1 where there is none."""
+        return pc.index_in(words, value_set=self.labels.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _runs(codes: np.ndarray) -> np.ndarray:
+    """Where runs of equal codes begin."""
+    return np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+
+
+def _scored_batch(b: pa.RecordBatch, asked: _Asked, k: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch of documents: key, words of the title, words of each sentence, and a value for each sentence if there is a fourth column."""
+    n, nq = max(1, len(asked.labels)), max(1, len(asked.qids))
+    sents = b.column(2).flatten()
+    doc_of = np.repeat(np.arange(b.num_rows), _sizes(b.column(2)))
+    first_of = np.searchsorted(doc_of, np.arange(b.num_rows))
+
+    def held(lists: pa.Array) -> np.ndarray:  # pairs of a list and a label in it, each once
+        at = asked.places(lists.flatten())
+        return np.unique((np.repeat(np.arange(len(lists)), _sizes(lists)) * n + at)[at >= 0])
+
+    titles, pairs = held(b.column(1)), held(sents)
+    sent, label = pairs // n, pairs % n
+    if b.column(0).null_count:  # a document without a key is about nothing
+        titles = titles[~b.column(0).is_null().to_numpy(zero_copy_only=False)[titles // n]]
+    about = np.isin(doc_of[sent] * n + label, titles)
+    many = asked.starts[label + 1] - asked.starts[label]
+    part = np.cumsum(np.bincount(doc_of[sent], many, b.num_rows)).astype(np.int64) // PAIRS
+    edges = np.append(_runs(part[doc_of[sent]]), len(sent))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        m = many[lo:hi]
+        pair = np.repeat(np.arange(lo, hi), m)
+        clue = asked.starts[label[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+        code = sent[pair] * nq + asked.whose[clue]
+        order = np.argsort(code, kind="stable")
+        code, of, weight = code[order], about[pair[order]], asked.weight[clue[order]]
+        start = _runs(code)
+        sums = [np.add.reduceat(x, start) for x in ((~of).astype(float), np.where(of, 0.0, weight), of.astype(float), np.where(of, weight, 0.0))]
+        s, q, points = code[start] // nq, code[start] % nq, sums[1] + 0.25 * sums[3]
+        order = np.lexsort((s, -points, doc_of[s] * nq + q))
+        own = (doc_of[s] * nq + q)[order]
+        start = _runs(own)
+        rank = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own)))) + 1
+        kept = rank <= (k or len(own))
+        order, rank = order[kept], rank[kept]
+        s = s[order]
+        made = [asked.qids.take(pa.array(q[order])), b.column(0).take(pa.array(doc_of[s])), pa.array((s - first_of[doc_of[s]]).astype(np.int32)), *[pa.array(x[order]) for x in (*sums, points)], pa.array(rank.astype(np.int32))]
+        made += [c.flatten().take(pa.array(s)) for c in b.columns[3:]]
+        yield pa.RecordBatch.from_arrays(made, ["qid", b.schema.names[0], "sent", *_SUMS, "score", "rank", *["each"] * (b.num_columns - 3)])
+
+
 def with_sentences(scored: DataFrame, docs: DataFrame, each: Callable[[Column], Column], name: str, key: str = "doc_id") -> DataFrame:
     """scored (with key, sent) and a column of each's value for the sentence, worked out once a document; nothing more is shuffled of rows of `dealt_vectors`."""
     held = dealt(docs.select(key, "text"), key).select(key, F.transform(tx.sentences(F.col("text")), each).alias("_each"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stages
@@ -201,16 +203,16 @@ def about_clues(s: SparkSession, d: str) -> DataFrame:
     return ps.about_clues(titled(s, d), clues(s, d)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def _scored(s: SparkSession, d: str) -> DataFrame:
-    return ps.dealt_vectors(titled(s, d), clues(s, d)).withColumn("score", ps.score())
+def _scored(s: SparkSession, d: str, k: int | None = None, each: Callable[[Column], Column] | None = None) -> DataFrame:
+    return ps.scored(titled(s, d), clues(s, d), k, each)
 
 
 def passage_by_clue(s: SparkSession, d: str) -> DataFrame:
-    return _scored(s, d)
+    return _scored(s, d).drop("rank")
 
 
 def passage_score_top3(s: SparkSession, d: str) -> DataFrame:
-    return ps.best(_scored(s, d)).select("qid", "doc_id", "sent", "score", "rank")
+    return _scored(s, d, 3).select("qid", "doc_id", "sent", "score", "rank")
 
 
 def passage_first(s: SparkSession, d: str) -> DataFrame:
@@ -220,13 +222,12 @@ def passage_first(s: SparkSession, d: str) -> DataFrame:
 
 def passage_gold_stats(s: SparkSession, d: str) -> DataFrame:
     gold = clues(s, d).groupBy("qid").agg(F.max_by("label", F.struct(F.length("label"), "label")).alias("answer_pattern"))
-    ranked = ps.with_sentences(ps.best(_scored(s, d), None), table(s, d, "documents"), lambda sentence: sentence, "sentence")
-    return ps.gold_statistics(ranked, 3, gold)
+    return ps.gold_statistics(_scored(s, d, None, lambda sentence: sentence).withColumnRenamed("each", "sentence"), 3, gold)
 
 
 def candidates_ngram_surprise(s: SparkSession, d: str) -> DataFrame:
-    top = ps.with_sentences(ps.best(_scored(s, d), 1).select("qid", "doc_id", "sent"), table(s, d, "documents"), cd.capitalised_spans, "_runs")
-    return cd.with_surprise(top.select("qid", "doc_id", "sent", F.inline("_runs")), clues(s, d))
+    top = _scored(s, d, 1, cd.capitalised_spans)
+    return cd.with_surprise(top.select("qid", "doc_id", "sent", F.inline("each")), clues(s, d))
 
 
 def candidates_noun_phrases(s: SparkSession, d: str) -> DataFrame:
