@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..functions import text as tx
 from .index import PostingIndex
 
@@ -110,12 +111,15 @@ def _phrase_hits(phrases: DataFrame, index: PostingIndex) -> DataFrame:
     starts = lambda at: F.transform("places", lambda p: p - at)
     seed = first.join(index.places(first.select("term").distinct()), "term").select("_phrase", "_n", F.col("_at").alias("_seed"), index.key, starts(F.col("_at")).alias("_starts"))
     alone = seed.filter("_n = 1").select("_phrase", index.key)
-    rest = counted.join(rare.filter("_n > 1").select("_phrase", "_n", F.col("_r._at").alias("_seed")), "_phrase").filter("_at <> _seed").select("_phrase", "_at", "term")
-    others = rest.join(index.places(rest.select("term").distinct()), "term").select("_phrase", index.key, starts(F.col("_at")).alias("_other"))
-    met = seed.filter("_n > 1").join(others, ["_phrase", index.key])
-    held = met.groupBy("_phrase", index.key).agg(F.first("_starts").alias("_starts"), F.first("_n").alias("_n"), F.collect_list("_other").alias("_others"))  # a row for each word of a phrase
+    rest = counted.join(rare.filter("_n > 1").select("_phrase", F.col("_r._at").alias("_seed")), "_phrase").filter("_at <> _seed").select("_phrase", "_at", "term")
+    # places of the other words are met by word and document, so a frequent word's are shuffled once, not once for each phrase with it
+    wanted = seed.filter("_n > 1").join(rest, "_phrase").select("_phrase", "_n", "_starts", "_at", "term", index.key)
+    # a start stays where the other word stands in its place; most go here, before they are gathered
+    agreed = F.array_intersect("_starts", starts(F.col("_at")))
+    met = wanted.join(index.places(rest.select("term").distinct()), ["term", index.key]).select("_phrase", index.key, "_n", agreed.alias("_kept")).filter(F.size("_kept") > 0)
+    held = met.groupBy("_phrase", index.key).agg(F.first("_n").alias("_n"), F.collect_list("_kept").alias("_kept"))  # a row for each other word of a phrase
     # a start counts if all the other words agree on it
-    whole = held.filter(F.exists("_starts", lambda s: F.size(F.filter("_others", lambda o: F.array_contains(o, s))) == F.col("_n") - 1))
+    whole = held.filter(F.size("_kept") == F.col("_n") - 1).filter(F.exists(F.get("_kept", F.lit(0)), lambda s: F.forall("_kept", lambda o: F.array_contains(o, s))))
     return alone.unionByName(whole.select("_phrase", index.key))
 
 
@@ -131,11 +135,22 @@ def proximity_search(queries: DataFrame, docs: DataFrame | PostingIndex, setting
     numbered = asked.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy("term"))).select("qid", "term", "_i")
     words = asked.select("term").distinct()
     if isinstance(docs, PostingIndex):
-        places = docs.places(words).select("term", key, F.col("places").alias("_at"))
+        df = docs.terms().join(words, "term", "left_semi")
     else:
-        at = docs.select(key, F.posexplode(tx.tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "term")).join(words, "term", "left_semi")
+        cut = docs.filter(F.col(key).isNotNull()).select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t"))
+        df = cut.select(F.explode(F.array_distinct("_t")).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a document with all words has the question's rarest, so only its documents are looked into; a question of which a word stands nowhere has none
+    counted = numbered.join(df, "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("_r")).filter("_r.df > 0")
+    rare = counted.select("qid", F.col("_r.term").alias("term"))
+    if isinstance(docs, PostingIndex):
+        seeds = stages.staged(rare.join(docs.hits(rare.select("term").distinct()).select("term", key), "term").select("qid", key), "seeds")
+        places = docs.places(words).join(seeds.select(key).distinct(), key, "left_semi").select("term", key, F.col("places").alias("_at"))
+    else:
+        seeds = stages.staged(rare.join(cut.select(key, F.explode(F.array_distinct("_t")).alias("term")), "term").select("qid", key), "seeds")
+        held = docs.join(seeds.select(key).distinct(), key, "left_semi")
+        at = held.select(key, F.posexplode(tx.tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "term")).join(words, "term", "left_semi")
         places = at.groupBy("term", key).agg(F.collect_list("pos").alias("_at"))  # places of one word in one document
-    full = numbered.join(places, "term").groupBy("qid", key).agg(F.count(F.lit(1)).alias("_got"), F.collect_list(F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("_i").alias("i")))).alias("_hits"))
+    full = seeds.distinct().join(numbered, "qid").join(places, ["term", key]).groupBy("qid", key).agg(F.count(F.lit(1)).alias("_got"), F.collect_list(F.transform("_at", lambda p: F.struct(p.alias("pos"), F.col("_i").alias("i")))).alias("_hits"))
     full = full.join(sums, "qid").filter(F.col("_got") == F.col("n"))
     start = F.struct(F.array_repeat(F.lit(-1), F.col("n").cast("int")).alias("last"), F.lit(2**31 - 1).alias("span"))
 
