@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stages
 from ..functions import text as tx
+from . import ranking
 from .index import PostingIndex
 
 
@@ -53,13 +56,21 @@ def _word_hits(docs: DataFrame | PostingIndex, words: DataFrame, key: str, text:
     return hits, hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.agg(F.count(F.lit(1)).alias("_docs"))
 
 
-def ranked_search(queries: DataFrame, docs: DataFrame | PostingIndex, n: int | None, key: str = "doc_id", text: str | Column = "text", only: DataFrame | None = None) -> DataFrame:
+def ranked_search(queries: DataFrame, docs: DataFrame | PostingIndex, n: int | None, key: str = "doc_id", text: str | Column = "text", only: DataFrame | None = None, most: int = ranking.MOST_ASKED) -> DataFrame:
     """The n best documents (all, if None) for queries of single words (qid, term, weight, required).
 
     Only postings of asked words are counted. Documents lacking a required word are out. only: (qid, key) of the documents that are wanted; scores
-    are the same as without. An index leaves out blocks that can't bring a document among the n best. Columns: qid, key, score, n_terms, rank.
+    are the same as without. Up to `most` words of questions go to the tasks, which score documents where they lie; more, and documents whose keys repeat, meet them by joins,
+    where an index leaves out blocks that can't bring a document among the n best. Columns: qid, key, score, n_terms, rank.
     """
-    asked = queries.groupBy("qid", "term").agg(F.sum("weight").alias("weight"), F.max(F.col("required").cast("int")).alias("required"))
+    asked = _asked(queries)
+    rows = ranking.few(asked, most)
+    entries = None if rows is None else _entries(docs, rows.column("term"), key, text)
+    if entries is not None:
+        found = ranking.scored(rows, entries, queries.schema["qid"], n if only is None else None)
+        if only is not None:
+            found = found.join(only.select("qid", key).distinct(), ["qid", key], "left_semi")
+        return _ranked(found, n, key)
     needed = asked.groupBy("qid").agg(F.sum("required").alias("n_required"))
     hits, df, n_docs = _word_hits(docs, asked.select("term").distinct(), key, text)
     weighted = asked.join(df, "term").crossJoin(F.broadcast(n_docs)).select("qid", "term", "required", (F.col("weight") * F.log1p(F.col("_docs") / F.col("df"))).alias("idf"))
@@ -70,8 +81,21 @@ def ranked_search(queries: DataFrame, docs: DataFrame | PostingIndex, n: int | N
     else:
         pairs = weighted.join(hits.join(only.select(key).distinct(), key, "left_semi"), "term").join(only.select("qid", key).distinct(), ["qid", key], "left_semi")
     found = pairs.groupBy("qid", key).agg(F.sum(F.col("idf") * F.col("tf") / F.sqrt("_len")).alias("score"), F.count(F.lit(1)).alias("n_terms"), F.sum("required").alias("_got"))
-    full = found.join(needed, "qid").filter(F.col("_got") == F.col("n_required")).drop("_got", "n_required").withColumn("score", F.round("score", 6))
-    ranked = full.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
+    return _ranked(found.join(needed, "qid").filter(F.col("_got") == F.col("n_required")).drop("_got", "n_required"), n, key)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.filter("qid IS NOT NULL").groupBy("qid", "term").agg(F.sum(F.col("weight").cast("double")).alias("weight"), F.max(F.col("required").cast("int")).alias("required"))
+
+
+def _entries(docs: DataFrame | PostingIndex, terms: pa.ChunkedArray, key: str, text: str | Column) -> ranking.Entries | None:
+    known = pc.unique(terms.combine_chunks().drop_null())
+    return ranking.from_index(docs, known) if isinstance(docs, PostingIndex) else ranking.from_texts(docs, known, key, text)
+
+
+def _ranked(found: DataFrame, n: int | None, key: str) -> DataFrame:
+    rounded = found.withColumn("score", F.round("score", 6))
+    ranked = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
@@ -203,12 +227,20 @@ def title_answers(found: DataFrame, docs: DataFrame, k: int = 20, key: str = "do
     return top.select("qid", key, "rank", tx.document_title(F.col(title)).alias("text"), F.lit(1.0).alias("originDocTitle"), (1 / F.col("rank")).alias("resultRR"), F.log1p("score").alias("resultLogScore"))
 
 
-def evidence(answers: DataFrame, docs: DataFrame | PostingIndex, clue_terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def evidence(answers: DataFrame, docs: DataFrame | PostingIndex, clue_terms: DataFrame, key: str = "doc_id", text: str = "text", most: int = ranking.MOST_ASKED) -> DataFrame:
     """Of answers (qid, text of one word): documents with the answer, with the answer and all required clues, their ratio, and the best clue score among these.
 
-    Only documents with an answer are scored by the clues.
+    Up to `most` answers and as many clues go to the tasks, which count where the documents lie; more are joined, and then only documents with an answer are scored by the clues.
     """
     words = answers.select("qid", "text", F.lower("text").alias("term"))
+    sent, asked = ranking.few(words, most), ranking.few(_asked(clue_terms), most)
+    known = sent is not None and asked is not None
+    entries = _entries(docs, pa.chunked_array([c.cast(pa.string()) for t in (sent, asked) for c in t.column("term").chunks], pa.string()), key, text) if known else None
+    if entries is not None:
+        sums = ranking.counted(sent, asked, entries).groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_scored").alias("n_scored"), F.max("best").alias("best"))
+        named = answers.sparkSession.createDataFrame(sent.select(["qid", "text"]).append_column("place", pa.array(range(sent.num_rows), pa.int64())))
+        hits = named.join(sums, "place").groupBy("qid", "text").agg(F.sum("n").alias("solrAHitsEv"), F.sum("n_scored").alias("solrHitsEv"), F.round(F.max("best"), 6).alias("solrMaxScoreEv"))
+        return _ratios(answers.select("qid", "text").join(hits, ["qid", "text"], "left").na.fill(0))
     distinct = words.select("term").distinct()
     if isinstance(docs, PostingIndex):
         at = docs.hits(distinct).select(key, "term")
@@ -218,7 +250,10 @@ def evidence(answers: DataFrame, docs: DataFrame | PostingIndex, clue_terms: Dat
     a_hits = with_answer.groupBy("qid", "text").agg(F.count(F.lit(1)).alias("solrAHitsEv"))
     clued = ranked_search(clue_terms, docs, None, key, text, only=with_answer.select("qid", key).distinct())
     both = with_answer.join(clued, ["qid", key]).groupBy("qid", "text").agg(F.count(F.lit(1)).alias("solrHitsEv"), F.max("score").alias("solrMaxScoreEv"))
-    out = answers.select("qid", "text").join(a_hits, ["qid", "text"], "left").join(both, ["qid", "text"], "left").na.fill(0)
+    return _ratios(answers.select("qid", "text").join(a_hits, ["qid", "text"], "left").join(both, ["qid", "text"], "left").na.fill(0))
+
+
+def _ratios(out: DataFrame) -> DataFrame:
     return out.withColumn("solrHitsANormEv", F.when(F.col("solrAHitsEv") > 0, F.col("solrHitsEv") / F.col("solrAHitsEv")).otherwise(0.0)).withColumn("solrHitsMaxScoreEv", F.col("solrHitsEv") * F.col("solrMaxScoreEv"))
 
 
