@@ -37,6 +37,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, n_rows: int, *keys: str, most: int = 250_000) -> DataFrame:
+    """df dealt to tasks by keys, so many tasks that one has `most` of the n_rows on average: a task's memory stays, however many rows there are."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // most)), *keys)
+
+
 def closure(edges: DataFrame, start: str, end: str, depth: int, keys: Sequence[str] = (), passing: str | None = None) -> DataFrame:
     """Edges' columns and `level`, the least number of edges from start to end, for all ends within `depth` edges; each pair once.
 

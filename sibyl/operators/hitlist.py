@@ -81,11 +81,15 @@ def _case(text: Column, other: Column, boundary: str) -> Column:
 
 def overlaps(rows: DataFrame, boundary: str = BOUNDARY) -> DataFrame:
     """Pairs of answers of one question of which one is a part of the other: qid, text, other, confidence of the other, case."""
-    a = rows.select("qid", "text").alias("a")
-    b = rows.select("qid", F.col("text").alias("other"), F.col("confidence").alias("other_confidence")).alias("b")
-    # containment is a cheap test that saves most of the patterns
-    near = (F.col("text") != F.col("other")) & (F.contains("text", "other") | F.contains("other", "text"))
-    pairs = a.join(b, "qid").filter(near)
+    # a question's answers meet inside its hitlist: they are shuffled once, by question, and their pairs grouped where they are
+    answer = F.struct(F.octet_length("text").alias("n"), "text", "confidence")
+    held = rows.filter("qid IS NOT NULL AND text IS NOT NULL").groupBy("qid").agg(F.collect_list(answer).alias("_all"))
+    each = held.select("qid", "_all", F.explode("_all").alias("_x"))
+    # containment is a cheap test that saves most of the patterns; what is contained is shorter, so each two answers are tested once
+    x = F.col("_x")
+    shorter = each.select("qid", "_x", F.explode(F.filter("_all", lambda y: (y["n"] < x["n"]) & F.contains(x["text"], y["text"]))).alias("_y"))
+    pair = lambda a, b: F.struct(F.col(f"{a}.text").alias("text"), F.col(f"{b}.text").alias("other"), F.col(f"{b}.confidence").alias("other_confidence"))
+    pairs = shorter.select("qid", F.explode(F.array(pair("_x", "_y"), pair("_y", "_x"))).alias("_p")).select("qid", "_p.*")
     return pairs.withColumn("case", _case(F.col("text"), F.col("other"), boundary)).filter(F.col("case").isNotNull())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..operators import evaluation as ev
 from ..operators import hitlist as hl
 from ..operators import scoring as sc
@@ -41,10 +42,12 @@ def text_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def _forms(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "part")
-    both = p.select("p_partkey", F.explode(F.array(F.col("p_name"), F.concat("p_type", F.lit(", "), "p_name"), F.concat("p_name", F.lit(" - "), "p_brand"))).alias("form"))
-    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_linenumber")
-    return li.join(both, "p_partkey").groupBy("qid", F.col("form").alias("text")).agg((F.max("l_quantity") / 64).alias("confidence"))
+    p = table(s, d, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    # names are shuffled once, before they become forms
+    named = stages.dealt(li.join(p, "p_partkey").drop("p_partkey"), li.count(), "qid")
+    form = F.explode(F.array(F.col("p_name"), F.concat("p_type", F.lit(", "), "p_name"), F.concat("p_name", F.lit(" - "), "p_brand")))
+    return named.select("qid", "l_quantity", form.alias("text")).groupBy("qid", "text").agg((F.max("l_quantity") / 64).alias("confidence"))
 
 
 #: Of these forms none lies inside another, so the last two cases don't arise.
