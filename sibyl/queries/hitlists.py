@@ -157,7 +157,9 @@ def eval_pr_roc(s: SparkSession, d: str) -> DataFrame:
 
 
 def _long(s: SparkSession, d: str, line: str = "line > 0") -> DataFrame:
-    h = hits(s, d).filter(line).withColumn("correct", (F.col("flag") == "R").cast("int")).groupBy("qid", "text").agg(F.max("correct").alias("correct"), *[F.max(f).alias(f) for f in FS])
+    # dealt by question, so that answers, features and questions are counted without another shuffle
+    own = stages.dealt(hits(s, d).filter(line).select("qid", "text", "flag", *FS), table(s, d, "lineitem").count(), "qid")
+    h = own.withColumn("correct", (F.col("flag") == "R").cast("int")).groupBy("qid", "text").agg(F.max("correct").alias("correct"), *[F.max(f).alias(f) for f in FS])
     return h.select("qid", F.col("text").alias("answer"), "correct", F.explode(F.create_map(*[x for f in FS for x in (F.lit(f), F.col(f))])).alias("feature", "value")).filter("value IS NOT NULL AND value > 0")
 
 
