@@ -31,6 +31,8 @@ FLOODING_PROPERTIES = (
 
 #: Limits of a look-up: topics of a title, properties of a topic, paths of a question, values of all its paths.
 TOPIC_LIMIT, PROPERTY_LIMIT, PATH_LIMIT, UNION_LIMIT = 5, 40, 15, 400
+#: Weights of path models that are sent to the tasks.
+MOST_WEIGHTS = 200_000
 
 
 def objects(triples: DataFrame, predicate: str | Column, subject: str = "s", value: str = "o") -> DataFrame:
@@ -192,7 +194,12 @@ def linked_concepts(clues: DataFrame, labels: DataFrame, cross: DataFrame, popul
 
 
 def best_paths(features: DataFrame, weights: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
-    """Per-path logistic models over a question's features (qid, feature): the best paths, with their scores. weights: (path, feature, weight); feature "_" is the intercept."""
+    """Per-path logistic models over a question's features (qid, feature): the best paths, with their scores. weights: (path, feature, weight); feature "_" is the intercept.
+
+    Up to MOST_WEIGHTS weights go to the tasks, so features that are dealt by question stay there; more are joined by feature.
+    """
+    if weights.limit(MOST_WEIGHTS + 1).count() <= MOST_WEIGHTS:
+        weights = F.broadcast(weights)
     bias = weights.filter("feature = '_'").select("path", F.col("weight").alias("_bias"))
     sums = features.join(weights.filter("feature <> '_'"), "feature").groupBy("qid", "path").agg(F.sum("weight").alias("_z"))
     every = sums.join(bias, "path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import trees
+from ..functions import stages, trees
 from ..operators import answers as an
 from ..operators import graph as gr
 from ..operators import questions as qs
@@ -96,6 +96,7 @@ def path_witness(s: SparkSession, d: str) -> DataFrame:
 
 def path_top15(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem")
+    li = stages.dealt(li.select("l_orderkey", "l_returnflag", "l_linenumber"), li.count(), "l_orderkey", most=100_000)  # a line item gives many paths
     features = li.select(F.col("l_orderkey").alias("qid"), F.explode(F.array(F.concat(F.lit("f"), F.col("l_returnflag")), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")))).alias("feature")).distinct()
     p = table(s, d, "part").select(F.col("p_brand").alias("path"), F.col("p_size").alias("n"), F.col("p_retailprice").alias("price"))
     w = p.groupBy("path", F.concat(F.lit("n"), (F.col("n") % 7 + 1).cast("string")).alias("feature")).agg(F.round(F.avg("price") / 2000, 3).alias("weight"))
