@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stages
 from ..functions import text as tx
 from ..operators import candidates as cd
 from ..operators import lemmas as lm
@@ -42,7 +43,8 @@ def tag_mentions(s: SparkSession, d: str) -> DataFrame:
 
 def corpus_lemmas(s: SparkSession, d: str) -> DataFrame:
     """Every word of the documents with its lemma, by rules learned from those words whose plain form stands in the documents too."""
-    words = table(s, d, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    # the distinct words are few beside the texts, and are read several times: they are found once
+    words = stages.staged(table(s, d, "documents").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word")).distinct(), "words")
     form = F.col("form")
     cut = [F.when(form.endswith(goes) & (F.length(form) > len(goes) + 2), F.concat(F.left(form, F.length(form) - len(goes)), F.lit(comes))) for goes, comes in GUESSES]
     pairs = lm.attested_pairs(words, F.array_compact(F.array(*cut)))
