@@ -50,6 +50,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """The words of a text with one blank between, as they stand in it: one string is handed to Python at far less cost than an array of words."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words, joined by blanks; question marks are left out before runs are cut."""
     kept = F.filter(words, lambda w: w != "?")

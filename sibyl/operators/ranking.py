@@ -116,8 +116,9 @@ def from_texts(docs: DataFrame, terms: pa.Array, key: str, text: str | Column) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = shared.value
         for b in batches:
-            sizes = pc.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            words = b.column(1).flatten()
+            texts = pc.split_pattern(pc.if_else(pc.equal(b.column(1), ""), None, b.column(1)), " ")
+            sizes = pc.list_value_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = texts.flatten()
             at = pc.index_in(words, value_set=value_set.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             code = np.repeat(np.arange(b.num_rows), sizes) * len(value_set) + at
             code, tf = np.unique(code[at >= 0], return_counts=True)
@@ -125,7 +126,7 @@ def from_texts(docs: DataFrame, terms: pa.Array, key: str, text: str | Column) -
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code % max(1, len(value_set)), tf)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), *lists], [key, "len", "terms", "tf"])
 
-    words = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t"))
+    words = docs.select(key, tx.spaced_words(F.lower(F.col(text) if isinstance(text, str) else text)).alias("_t"))
     field = docs.schema[key]
     rows = stages.staged(words.mapInArrow(cut, T.StructType([field, *T.StructType.fromDDL("len int, terms array<int>, tf array<int>").fields])), "entries")
     if not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():

@@ -82,7 +82,7 @@ def question_clues(questions: DataFrame, least: int = 1) -> DataFrame:
 
 def with_titles(docs: DataFrame) -> DataFrame:
     """docs with a title: their own, else the first five words."""
-    return docs if "title" in docs.columns else docs.withColumn("title", F.array_join(F.slice(F.split("text", " "), 1, 5), " "))
+    return docs if "title" in docs.columns else docs.withColumn("title", F.array_join(F.slice(F.split("text", " ", 6), 1, 5), " "))
 
 
 def found_documents(clues: DataFrame, docs: DataFrame | PostingIndex, n: int = DOCUMENTS) -> DataFrame:
@@ -101,10 +101,13 @@ def best_passages(found: DataFrame, docs: DataFrame, clues: DataFrame, k: int =
     # words are cut once for each text: inside a function of the clues, which binds them to a variable, they are not cut again for each clue
     once = lambda text, fn: F.transform(F.array(tx.tokens(F.col(text))), fn)[0]
     about = once("title", lambda t: F.transform("_clues", lambda c: F.struct(c["label"].alias("label"), F.when(F.array_contains(t, c["label"]), c["weight"] / 4).otherwise(c["weight"]).alias("weight"))))
-    held = held.withColumn("_clues", about).select("qid", "doc_id", "doc_rank", "_clues", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
-    hits = once("sentence", lambda t: F.filter("_clues", lambda c: F.array_contains(t, c["label"])))
-    words = held.withColumn("_hits", hits).filter(F.size("_hits") > 0)
-    scored = words.select("qid", "doc_id", "doc_rank", "sent", "sentence", F.aggregate("_hits", F.lit(0.0), lambda a, c: a + c["weight"]).alias("score"))
+    # hits and their sum are worked out once for a sentence, inside the array: as columns, a filter on them and what reads them would each work them out
+    hits = lambda s: F.filter("_clues", lambda c: F.array_contains(s, c["label"]))
+    summed = lambda h: F.struct(F.size(h).alias("n"), F.aggregate(h, F.lit(0.0), lambda a, c: a + c["weight"]).alias("score"))
+    point = lambda s: F.transform(F.transform(F.array(tx.tokens(s)), hits), summed)[0]
+    every = F.transform(tx.sentences(F.col("text")), lambda s, i: F.struct(i.alias("sent"), s.alias("sentence"), point(s).alias("x")))
+    held = held.withColumn("_clues", about).select("qid", "doc_id", "doc_rank", F.inline(F.filter(every, lambda e: e["x"]["n"] > 0)))
+    scored = held.select("qid", "doc_id", "doc_rank", "sent", "sentence", F.col("x.score").alias("score"))
     return hl.ranked(scored, ("qid", "doc_id"), [F.desc("score"), "sent"]).filter(F.col("rank") <= k)
 
 

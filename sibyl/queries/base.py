@@ -36,7 +36,7 @@ def clues(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
     """Documents with their first five words as title."""
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"), "text")
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " ", 6), 1, 5), " ").alias("title"), "text")
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
