@@ -15,14 +15,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stages
 
-#: Positions of a block of the chain, and numbers of a block of the gradient.
-CHAIN, SLICE = 64, 1 << 15
+#: Positions of a block of the chain, numbers of a block of the gradient, and words that a task tags at once.
+CHAIN, SLICE, TOKENS = 64, 1 << 15, 1 << 18
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -140,16 +142,27 @@ def chain(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.nd
 
 def best_path(scores: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Labels of the most probable path of one sequence."""
+    return best_paths(scores, np.array([len(scores)]), moves, first)
+
+
+def best_paths(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Labels of the most probable path of each of some non-empty sequences that are laid end to end; all make their steps together."""
+    order = np.argsort(-sizes, kind="stable")  # at each step the sequences that still go on are a prefix
+    at, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    reach = np.searchsorted(-size, -np.arange(size[0] + 1), side="left").tolist()  # sequences of more than t positions
     back = np.zeros(scores.shape, np.int64)
-    now = first + scores[0]
-    for t in range(1, len(scores)):
-        through = now[:, None] + moves
-        back[t] = through.argmax(0)
-        now = through.max(0) + scores[t]
-    out = np.empty(len(scores), np.int64)
-    out[-1] = now.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        out[t - 1] = back[t][out[t]]
+    now = first + scores[at]
+    for t in range(1, int(size[0])):
+        n = reach[t]
+        through = now[:n, :, None] + moves
+        back[at[:n] + t] = through.argmax(1)
+        now[:n] = through.max(1) + scores[at[:n] + t]
+    out, label = np.empty(len(scores), np.int64), now.argmax(1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        n = reach[t]
+        out[at[:n] + t] = label[:n]
+        label[:n] = back[at[:n] + t, label[:n]]
+    out[at] = label
     return out
 
 
@@ -286,8 +299,7 @@ def tag(sequences: DataFrame, tagger: Tagger, keys: Sequence[str]) -> DataFrame:
                 if not len(full):
                     continue
                 p = chain(scores, full, moves, first).marginals()
-                ends = np.cumsum(full)
-                path = np.concatenate([best_path(scores[e - n : e], moves, first) for e, n in zip(ends, full, strict=True)])
+                path = best_paths(scores, full, moves, first)
                 columns = [part.column(c).take(pa.array(rows)) for c in range(part.num_columns - 2)]
                 places = part.column(part.num_columns - 2).flatten()
                 yield pa.RecordBatch.from_arrays([*columns, places, pa.array([names[x] for x in path]), pa.array(p[np.arange(len(path)), path])], [*keys, "i", "tag", "prob"])
@@ -296,6 +308,83 @@ def tag(sequences: DataFrame, tagger: Tagger, keys: Sequence[str]) -> DataFrame:
     return sequences.filter(F.size("ids") > 0).select(*keys, "places", "ids").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", i {place}, tag string, prob double")
 
 
+def context_ids(values: Sequence[bytes], codes: np.ndarray, sizes: np.ndarray, column: str, buckets: int, reach: int = 1) -> np.ndarray:
+    """A row of buckets for each position of sequences that are laid end to end: those of what `candidates.context_features` makes of a column, in its order. codes are places in values."""
+    pos, size = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    names, places, at, out = [*values, b"#"], list(range(-reach, reach + 1)), {}, []
+    for d in places:
+        inside = np.flatnonzero((pos + d >= 0) & (pos + d < size))
+        at[d] = np.full(len(codes), len(values))
+        at[d][inside] = codes[inside + d]
+    for n in (1, 2, 3):
+        for g in zip(*[places[j:] for j in range(n)], strict=False):
+            code = at[g[0]]
+            for d in g[1:]:
+                code = code * len(names) + at[d]
+            own, where = np.unique(code, return_inverse=True)  # each run of values is hashed once
+            start = crc32(f"{column}[{g[0]}]=".encode() if n == 1 else f"{column}[{g[0]}..{g[-1]}]=".encode())
+            parts = np.stack([own // len(names) ** (n - 1 - j) % len(names) for j in range(n)], 1).tolist()
+            out.append(np.array([crc32(b"|".join([names[x] for x in p]), start) % buckets for p in parts], np.int64)[where])
+    return np.stack(out, 1)
+
+
+def mentions(texts: DataFrame, tagger: Tagger, key: str, sentences: str, featured: Callable[[pa.Array, np.ndarray], np.ndarray]) -> DataFrame:
+    """key, sent, begin, end, text, score: what `bio_chunks` makes of the words' most probable tags, in one pass over the texts, of which nothing is shuffled.
+
+    sentences: a column of arrays of sentences, words with one blank between; words hold no point or comma. featured: of words and the numbers of words of each
+    sentence, a row of as many feature buckets for each word. Tasks take about TOKENS words at once (more only where one sentence has more).
+    """
+    field = texts.schema[key]
+    labels, buckets = tagger.labels, tagger.buckets
+    shared = texts.sparkSession.sparkContext.broadcast(tagger.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emit, moves, first = Tagger(labels, buckets, shared.value).parts
+        for b in batches:
+            held = pc.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), held)
+            sent = np.arange(len(doc)) - np.repeat(np.cumsum(held) - held, held)
+            lines = b.column(1).flatten()
+            some = np.flatnonzero(pc.not_equal(lines, "").fill_null(False).to_numpy(zero_copy_only=False))
+            if not len(some):
+                continue
+            doc, sent, lines = doc[some], sent[some], lines.take(pa.array(some))
+            part = np.cumsum(pc.count_substring(lines, " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1) // TOKENS
+            edges = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                split = pc.split_pattern(lines.slice(lo, hi - lo), " ")
+                sizes, words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64), split.flatten()
+                ids = featured(words, sizes)
+                scores = summed(emit, ids.ravel(), np.full(len(ids), ids.shape[1]))
+                path = best_paths(scores, sizes, moves, first)
+                own = np.array(labels)[path]
+                inside = own != "O"
+                if not inside.any():
+                    continue
+                prob = chain(scores, sizes, moves, first).marginals()[np.arange(len(path)), path]
+                heads = np.cumsum(sizes) - sizes
+                before = np.concatenate(([False], inside[:-1]))
+                before[heads] = False
+                start = np.flatnonzero(inside & ((own == "B") | ~before))
+                # a run ends before the next one, or where the tag is O or the sentence ends
+                ends = np.zeros(len(path), bool)
+                ends[start] = True
+                ends[heads] = True
+                stops = np.append(np.flatnonzero(ends | ~inside), len(path))
+                stop = stops[np.searchsorted(stops, start, side="right")]
+                line = np.searchsorted(heads, start, side="right") - 1
+                text = [" ".join(words.slice(x, y - x).to_pylist()) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+                score = [float(prob[x:y].sum() / (y - x)) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+                whole = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(doc[lo + line])), whole(sent[lo + line]), whole(start - heads[line]), whole(stop - 1 - heads[line]), pa.array(text, pa.string()), pa.array(score, pa.float64())],
+                    [key, "sent", "begin", "end", "text", "score"],
+                )
+
+    out = T.StructType([T.StructField(key, field.dataType), *T.StructType.fromDDL("sent int, begin int, `end` int, text string, score double").fields])
+    return texts.select(key, sentences).mapInArrow(run, out)
+
+
 def gold_tags(tokens: DataFrame, mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """tokens (keys, i) with the tag that labelled mentions (keys, begin, end: first and last token) give: B, I, or O outside all; where mentions overlap, a B wins."""
     marks = mentions.select(*keys, F.explode(F.sequence("begin", "end")).alias("i"), F.col("begin").alias("_b")).groupBy(*keys, "i").agg(F.max((F.col("i") == F.col("_b")).cast("int")).alias("_first"))

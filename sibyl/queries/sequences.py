@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from unicodedata import category
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +20,8 @@ from .base import Query, questions, table
 
 BUCKETS = 1 << 14
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _tokens(sentences: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Words of sentences with the shapes that a tagger sees: the lower-case word, its ending, and whether it begins with a capital."""
@@ -34,11 +42,19 @@ def tag_mentions(s: SparkSession, d: str) -> DataFrame:
     runs = cd.capitalised_runs(asked, ["qid"], "text").filter(F.col("end") > F.col("begin"))
     learned = _features(tagging.gold_tags(_tokens(asked, ["qid"], "text"), runs, ["qid"]), ["qid"])
     tagger = tagging.train(tagging.encoded(learned, ["qid"], BUCKETS, tag="tag"), ("B", "I", "O"), BUCKETS, rounds=25, decay=0.5)
-    sents = table(s, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence"))
-    words = _tokens(sents, ["doc_id", "sent"], "sentence")
-    tagged = tagging.tag(tagging.encoded(_features(words, ["doc_id", "sent"]), ["doc_id", "sent"], BUCKETS), tagger, ["doc_id", "sent"])
-    chunks = cd.bio_chunks(tagged.join(words, ["doc_id", "sent", "i"]), ["doc_id", "sent"])
-    return chunks.withColumn("score", F.round("score", 4))
+    lines = table(s, d, "documents").select("doc_id", F.transform(tx.sentences(F.col("text")), tx.spaced_words).alias("sentences"))
+    return tagging.mentions(lines, tagger, "doc_id", "sentences", _shaped_ids).withColumn("score", F.round("score", 4))
+
+
+def _shaped_ids(words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """Buckets of what `_features` makes of words of sentences that are laid end to end; each word's shape is found once."""
+    own = words.dictionary_encode()
+    code, texts = own.indices.to_numpy(zero_copy_only=False), own.dictionary.to_pylist()
+    kind = lambda c: "A" if c == "Lu" else "0" if c[0] == "N" else "a"
+    shapes = pa.array([f"{kind(category(w[0]))}:{w[-2:].lower()}" for w in texts], pa.string()).dictionary_encode()
+    shape = shapes.indices.to_numpy(zero_copy_only=False)
+    word = np.array([tagging.bucket(f"word={w.lower()}", BUCKETS) for w in texts])
+    return np.column_stack([tagging.context_ids([x.encode() for x in shapes.dictionary.to_pylist()], shape[code], sizes, "shape", BUCKETS), word[code]])
 
 
 def corpus_lemmas(s: SparkSession, d: str) -> DataFrame:

@@ -85,3 +85,36 @@ def test_without_rows(spark):
     assert not tagger.weights.any() and tagging.tag(none, tagger, ["sid"]).count() == 0
     blank = spark.createDataFrame([(1, [0, 1], [[], []])], "sid long, places array<int>, ids array<array<int>>")
     assert [round(r.prob, 6) for r in tagging.tag(blank, tagger, ["sid"]).collect()] == [0.5, 0.5]
+
+
+def test_paths_of_many_sequences():
+    rng = np.random.default_rng(3)
+    moves, first, sizes = rng.normal(size=(3, 3)), rng.normal(size=3), np.array([3, 1, 7, 3, 2])
+    scores, at = rng.normal(size=(sizes.sum(), 3)), 0
+    got = tagging.best_paths(scores, sizes, moves, first)
+    for n in sizes.tolist():
+        assert tuple(got[at : at + n]) == exhaustive(scores[at : at + n], moves, first)[3]
+        at += n
+
+
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_one_pass_is_as_the_tables(spark, monkeypatch, block):
+    """What the query finds without a shuffle is what tokens, features, tags and chunks as tables give, with ids that repeat or are null too."""
+    from pyspark.sql import functions as F
+
+    from sibyl.functions import text as tx
+    from sibyl.queries import sequences as sq
+
+    monkeypatch.setattr(tagging, "TOKENS", block)
+    texts = ["Anna Berg met Über Karl. then 12 dogs ran! ", "", None, "...", "Ada Lovelace Und éa X y Z. \nOne. Two Three Four five", "ǅungla a " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tagger = tagging.Tagger(("B", "I", "O"), sq.BUCKETS, np.random.default_rng(0).normal(size=sq.BUCKETS * 3 + 12))
+    keys = ["doc_id", "sent"]
+    words = sq._tokens(docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent", "sentence")), keys, "sentence")
+    tags = tagging.tag(tagging.encoded(sq._features(words, keys), keys, sq.BUCKETS), tagger, keys)
+    want = {tuple(r)[:5] + (round(r.score, 6),) for r in candidates.bio_chunks(tags.join(words, [*keys, "i"]), keys).collect()}
+    lines = docs.select("doc_id", F.transform(tx.sentences(F.col("text")), tx.spaced_words).alias("s"))
+    got = tagging.mentions(lines, tagger, "doc_id", "s", sq._shaped_ids)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r)[:5] + (round(r.score, 6),) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 20
