@@ -1,18 +1,18 @@
 """Questions that are being answered: a stream that keeps the answers, sources and arrived origins of each, and writes only what changes.
 
-The state of a question is a head row and three keyed maps in the state store, so an event costs the entries that it touches, however many answers the question
-has. Each batch of changes is a folder of its own that a repeated batch overwrites, so a restart neither loses nor doubles any. Readers take the newest version
+The state of a question is a head row, which holds its few origins too, and two keyed maps in the state store, so an event costs the entries that it touches, however
+many answers the question has. Each batch of changes is a folder of its own that a repeated batch overwrites, so a restart neither loses nor doubles any. Readers take the newest version
 of each entry.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,8 +31,8 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _plain(v):
-    return None if v is None or pd.isna(v) else v
+_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
+_CHANGE = Row(*_NAMES)
 
 
 class Life(StatefulProcessor):
@@ -43,91 +43,88 @@ class Life(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "state string, seq long, n_events long, generation long, expected int, arrived int, status string, version long, last_ms long, timer long")
+        self.head = handle.getValueState("head", "state string, seq long, n_events long, generation long, expected int, arrived array<string>, status string, version long, last_ms long, timer long")
         self.answers = handle.getMapState("answers", "text string", "confidence double, seq long")
         self.sources = handle.getMapState("sources", "type string, origin string, title string, url string", "seq long, level int")
-        self.arrived = handle.getMapState("arrived", "origin string", "seq long")
 
     def _head(self) -> dict:
         names = ("state", "seq", "n_events", "generation", "expected", "arrived", "status", "version", "last_ms", "timer")
-        empty = (None, None, 0, 0, None, 0, "open", 0, 0, None)
-        return dict(zip(names, self.head.get() if self.head.exists() else empty, strict=True))
+        empty = (None, None, 0, 0, None, [], "open", 0, 0, None)
+        return dict(zip(names, self.head.get() or empty, strict=True))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        """Each entry that the rows touch is read and written once, as every call of the store goes to another process."""
         h = self._head()
         answers, sources = {}, {}
-        for table in rows:
-            for r in table.to_dict("records"):
-                self._take(h, {k: _plain(v) for k, v in r.items()}, answers, sources)
+        for r in rows:
+            self._take(h, r, answers, sources)
         h["version"] += 1
-        h["status"] = "complete" if h["expected"] is not None and h["arrived"] >= h["expected"] else "open"
-        if h["timer"] is not None:
-            self.handle.deleteTimer(h["timer"])
-        h["timer"] = h["last_ms"] + self.patience_ms if h["status"] == "open" else None
-        if h["timer"] is not None:
-            self.handle.registerTimer(h["timer"])
+        h["status"] = "complete" if h["expected"] is not None and len(h["arrived"]) >= h["expected"] else "open"
+        timer = h["last_ms"] + self.patience_ms if h["status"] == "open" else None
+        if timer != h["timer"]:
+            if h["timer"] is not None:
+                self.handle.deleteTimer(h["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            h["timer"] = timer
         for k, v in answers.items():
             self.answers.updateValue((k,), v)
         for k, v in sources.items():
             self.sources.updateValue(k, v)
         self.head.update(tuple(h.values()))
-        out = [self._row(key, h, "question")]
-        out += [self._row(key, h, "answer", text=t, confidence=c, seq=s) for t, (c, s) in answers.items()]
-        out += [self._row(key, h, "source", **dict(zip(("type", "origin", "title", "url"), k, strict=True)), seq=s, level=n) for k, (s, n) in sources.items()]
-        yield _frame(out)
-
-    def _take(self, h: dict, e: dict, answers: dict, sources: dict) -> None:
-        """One event. What is changed of answers and sources is gathered, so that each entry is read and written once a batch."""
-        if e["ts"] is not None:
-            h["last_ms"] = max(h["last_ms"], e["ts"].value // 1_000_000)
-        if e["kind"] == "state":
+        yield self._row(key, h, "question")
+        for t, (c, s) in answers.items():
+            yield self._row(key, h, "answer", text=t, confidence=c, seq=s)
+        for k, (s, n) in sources.items():
+            yield self._row(key, h, "source", **dict(zip(("type", "origin", "title", "url"), k, strict=True)), seq=s, level=n)
+
+    def _take(self, h: dict, event: Row, answers: dict, sources: dict) -> None:
+        """One event, in the order of EVENTS."""
+        _, seq, ts, kind, text, confidence, type_, origin, title, url, level, is_last, expected = event
+        if ts is not None:
+            h["last_ms"] = max(h["last_ms"], int(ts.timestamp() * 1_000_000) // 1000)
+        if kind == "state":
             h["n_events"] += 1
-            if h["seq"] is None or e["seq"] > h["seq"]:
-                h["state"], h["seq"] = e["text"], int(e["seq"])
-        elif e["kind"] == "answer":
+            if h["seq"] is None or seq > h["seq"]:
+                h["state"], h["seq"] = text, seq
+        elif kind == "answer":
             h["generation"] += 1
-            if e["text"] is not None:
-                old = answers.get(e["text"]) or (self.answers.getValue((e["text"],)) if self.answers.containsKey((e["text"],)) else None)
-                if old is None or e["seq"] > old[1]:
-                    answers[e["text"]] = (e["confidence"], int(e["seq"]))
-        elif e["kind"] == "source":
-            k = tuple(e[c] or "" for c in ("type", "origin", "title", "url"))
-            old = sources.get(k) or (self.sources.getValue(k) if self.sources.containsKey(k) else (int(e["seq"]), 0))
-            sources[k] = (min(int(old[0]), int(e["seq"])), max(int(old[1]), int(e["level"] or 0)))
-        elif e["kind"] == "part":
-            if e["expected"] is not None:
-                h["expected"] = int(e["expected"])
-            if e["is_last"] and not self.arrived.containsKey((e["origin"] or "",)):
-                self.arrived.updateValue((e["origin"] or "",), (int(e["seq"]),))
-                h["arrived"] += 1
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            if text is not None:
+                old = answers[text] if text in answers else self.answers.getValue((text,))
+                if old is None or seq > old[1]:
+                    answers[text] = (None if confidence is None or math.isnan(confidence) else confidence, seq)
+                elif text not in answers:
+                    answers[text] = tuple(old)
+        elif kind == "source":
+            k = tuple(c or "" for c in (type_, origin, title, url))
+            old = sources[k] if k in sources else self.sources.getValue(k) or (seq, 0)
+            sources[k] = (min(old[0], seq), max(old[1], level or 0))
+        elif kind == "part":
+            if expected is not None:
+                h["expected"] = expected
+            if is_last and (origin or "") not in h["arrived"]:
+                h["arrived"] = [*h["arrived"], origin or ""]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         h = self._head()
         if h["status"] == "open" and h["timer"] == expiredTimerInfo.getExpiryTimeInMs():
             h["status"], h["timer"], h["version"] = "expired", None, h["version"] + 1
             self.head.update(tuple(h.values()))
-            yield _frame([self._row(key, h, "question")])
+            yield self._row(key, h, "question")
 
-    def _row(self, key, h: dict, entry: str, **more) -> dict:
-        return {"qid": int(key[0]), "version": h["version"], "entry": entry, "seq": h["seq"], "state": h["state"], "n_events": h["n_events"], "generation": h["generation"], "status": h["status"]} | more
+    def _row(self, key, h: dict, entry: str, **more) -> Row:
+        all_ = {"qid": key[0], "version": h["version"], "entry": entry, "seq": h["seq"], "state": h["state"], "n_events": h["n_events"], "generation": h["generation"], "status": h["status"]} | more
+        return _CHANGE(*[all_.get(n) for n in _NAMES])
 
     def close(self) -> None:
         pass
 
 
-_WHOLE = ("qid", "version", "seq", "level", "n_events", "generation")
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    names = [c.split()[0] for c in CHANGES.split(", ")]
-    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int64" if n in _WHOLE else "float64" if n == "confidence" else "object") for n in names})
-
-
 def changes(events: DataFrame, late: str = "1 hour", patience: float = 3600.0) -> DataFrame:
     """The stream of changes of a stream of events (columns of EVENTS). Events without qid or seq are left out, as are those `late` after the newest one and
     answers without text (they count as updates); of events of one number in a question the first to come stays. patience: seconds."""
-    own = events.filter("qid IS NOT NULL AND seq IS NOT NULL").withWatermark("ts", late)
-    return own.groupBy("qid").transformWithStateInPandas(Life(int(patience * 1000)), CHANGES, "Update", "EventTime")
+    own = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).filter("qid IS NOT NULL AND seq IS NOT NULL").withWatermark("ts", late)
+    return own.groupBy("qid").transformWithState(Life(int(patience * 1000)), CHANGES, "Update", "EventTime")
 
 
 def run(events: DataFrame, folder: str, checkpoint: str, late: str = "1 hour", patience: float = 3600.0, once: bool = True) -> StreamingQuery:

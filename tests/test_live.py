@@ -71,3 +71,56 @@ def test_read_one(tables):
 
 def test_empty(spark):
     assert live.questions(live.replay(spark.createDataFrame([], live.EVENTS), 1)).isEmpty()
+
+
+class Store:
+    """A state variable that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = {}
+
+    def _count(self):
+        Store.calls += 1
+        return self.kept
+
+    def get(self):
+        return self._count().get(())
+
+    def update(self, v):
+        self._count()[()] = v
+
+    def exists(self):
+        return () in self._count()
+
+    def getValue(self, k):
+        return self._count().get(k)
+
+    def updateValue(self, k, v):
+        self._count()[k] = v
+
+    def containsKey(self, k):
+        return k in self._count()
+
+
+class Handle:
+    getValueState = getMapState = lambda self, *_: Store()
+    registerTimer = deleteTimer = lambda self, _: None
+
+
+def test_calls_do_not_grow_with_events():
+    """A batch's calls of the store are as many as the entries that it touches, however many events touch them."""
+    from pyspark.sql import Row
+
+    def once(n):
+        Store.calls = 0
+        life = live.Life(1000)
+        life.init(Handle())
+        rows = [EMPTY | {"qid": 1, "seq": i, "ts": at(0), "kind": "part", "origin": f"o{i % 2}", "is_last": True, "expected": 2} for i in range(n)]
+        rows += [EMPTY | {"qid": 1, "seq": n + i, "ts": at(0), "kind": "answer", "text": "a", "confidence": 0.5} for i in range(n)]
+        out = list(life.handleInputRows((1,), iter([Row(**r) for r in rows]), None))
+        assert [r.status for r in out] == ["complete"] * 2 and out[0].generation == n and out[1].seq == 2 * n - 1
+        return Store.calls
+
+    assert once(2) == once(40) <= 4
