@@ -9,7 +9,6 @@ Between rounds the islands' elites migrate to the next island; the best solution
 from __future__ import annotations
 
 import base64
-import re
 from zlib import crc32
 
 import numpy as np
@@ -20,46 +19,28 @@ from .common import map_columns, spread, written
 
 #: Pieces of a cell on average, islands of a cell, rounds, and what one island does in a round.
 CELL, ISLANDS, ROUNDS, POPULATION, CHILDREN, ELITES = 2000, 2, 2, 6, 14, 2
-#: Chunks of text whose ids a worker keeps.
-MOST_KEPT = 150_000
-#: A space beside other white space or an end: there, words can't be taken by themselves.
-_UNEVEN = re.compile(r" \s|\s |\A | \Z")
 
 
 class Encoder:
     """Token ids of a byte-level BPE vocabulary, as little-endian unsigned 32-bit numbers.
 
-    Its pattern never joins text across a single space between two words, so ids are looked up word by word.
+    A text is encoded whole, in one call: so many words are new to a task that looking them up one by one costs more.
     """
 
     def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]) -> None:
-        self.ranks_path, self.pattern, self.special, self._bpe, self._kept = ranks_path, pattern, special, None, {}
+        self.ranks_path, self.pattern, self.special, self._bpe = ranks_path, pattern, special, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_bpe": None, "_kept": {}}
+        return self.__dict__ | {"_bpe": None}
 
-    def _encode(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         if self._bpe is None:
             import tiktoken
 
             with open(self.ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self._bpe = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        return np.array(self._bpe.encode(text, allowed_special="all"), "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if _UNEVEN.search(text) or any(s in text for s in self.special):
-            return self._encode(text)
-        first, *words = text.split(" ")
-        kept, out = self._kept, [self._encode(first)]
-        for w in words:
-            got = kept.get(w)
-            if got is None:
-                got = self._encode(" " + w)
-                if len(kept) < MOST_KEPT:
-                    kept[w] = got
-            out.append(got)
-        return b"".join(out)
+        return self._bpe.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 def public_encoder(name: str = "byte_bpe_50k") -> Encoder:
