@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +37,33 @@ LETTERS = {
     "V": ("is", "was", "are", "were", "be", "been", "am", "did", "does", "do", "has", "had", "have", "will", "would", "can", "could", "may", "might", "shall", "should", "must"),
     "T": ("he", "she", "it", "they", "we", "i", "you", "who", "whom", "what", "which", "when", "where", "how", "why", "there", "not"),
 }
-_ADJECTIVE = r"(?:ful|ous|ive|ic|ical|able|ible|less|ish|est)$"
+_ADJECTIVE = ("ful", "ous", "ive", "ic", "ical", "able", "ible", "less", "ish", "est")
 
 
 def tag_letters(words: Column) -> Column:
     """A sentence's words as a string of a letter each: D determiner, J adjective, C number, N noun, P name, O "of", I preposition, A conjunction, V verb,
     R adverb, T pronoun, and a point for what is no word. By form and short lists; any tagger's letters can take their place."""
 
+    longest = max(len(w) for listed in LETTERS.values() for w in listed)
+
+    def ending(low: Column) -> Column:
+        ends = lambda n, *by: (F.length(low) >= n) & reduce(Column.__or__, [low.endswith(e) for e in by])
+        tested = F.when(ends(4, "ly"), "R").when(ends(5, "ing") | ends(4, "ed"), "V")
+        for n in sorted({len(e) for e in _ADJECTIVE}):
+            tested = tested.when(ends(n + 2, *[e for e in _ADJECTIVE if len(e) == n]), "J")
+        return tested.otherwise("N")
+
+    def listed(low: Column, other: Column) -> Column:
+        out = F.when(F.length(low) > longest, other)
+        for code, words in LETTERS.items():
+            out = out.when(low.isin(*words), code)
+        return out.otherwise(other)
+
     def letter(w: Column) -> Column:
-        low = F.lower(w)
-        out = F.when(~w.rlike(r"^[\p{L}\p{N}]"), ".").when(w.rlike(r"^\p{N}"), "C")
-        for code, listed in LETTERS.items():
-            out = out.when(low.isin(*listed), code)
-        return out.when(w.rlike(r"^\p{Lu}"), "P").when(low.rlike(r".{2}ly$"), "R").when(low.rlike(r".{2}(?:ing|ed)$"), "V").when(low.rlike(r".{2}" + _ADJECTIVE), "J").otherwise("N")
+        # most words begin with a to z, which is seen without a pattern; a word's lower case is made once for it
+        plain = (w >= "a") & (w < "{")
+        other = F.when(~w.rlike(r"^[\p{L}\p{N}]"), ".").when(w.rlike(r"^\p{N}"), "C")
+        return F.when(plain, once(F.lower(w), lambda low: listed(low, ending(low)))).otherwise(F.coalesce(other, once(F.lower(w), lambda low: listed(low, F.when(w.rlike(r"^\p{Lu}"), "P").otherwise(ending(low))))))
 
     return F.array_join(F.transform(words, letter), "")
 
@@ -95,10 +110,10 @@ def covering_phrase(spans: Column, i: Column, widest: bool = True) -> Column:
 
 def noun_phrases(passages: DataFrame, keys: Sequence[str], text: str = "sentence") -> DataFrame:
     """Every noun phrase of each passage, one row each: keys, begin, end, level, text; words are numbered from 0, with every other sign a word of its own. Null texts have none."""
-    words = passages.select(*keys, F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN + r"|[^\s\p{L}\p{N}]"), F.lit(0)).alias("_w"))
-    spans = words.withColumn("_x", F.explode(phrase_spans(tag_letters(F.col("_w")))))
-    cut = F.array_join(F.slice("_w", F.col("_x.begin") + 1, F.col("_x.end") - F.col("_x.begin") + 1), " ")
-    return spans.select(*keys, "_x.begin", "_x.end", "_x.level", cut.alias("text"))
+    # phrases are cut inside the array, so that a sentence's words are not copied to each of its phrases
+    cut = lambda words, x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), x["level"].alias("level"), F.array_join(F.slice(words, x["begin"] + 1, x["end"] - x["begin"] + 1), " ").alias("text"))
+    found = once(F.regexp_extract_all(F.col(text), F.lit(tx.TOKEN + r"|[^\s\p{L}\p{N}]"), F.lit(0)), lambda words: F.transform(phrase_spans(tag_letters(words)), lambda x: cut(words, x)))
+    return passages.select(*keys, F.inline(found))
 
 
 def type_subjects(tokens: DataFrame, edges: DataFrame, lats: DataFrame, phrases: DataFrame, keys: Sequence[str]) -> DataFrame:

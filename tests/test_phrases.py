@@ -43,3 +43,28 @@ def test_the_plan_takes_phrases(spark):
     asked = spark.createDataFrame([(1, "Who discovered polonium?")], "qid long, text string")
     texts = {r.text for r in answering.answer(asked, docs, top=20, phrases=True).collect()}
     assert {"Marie Curie", "new element"} <= texts and "a new element" not in texts
+
+
+def test_letters_by_form(spark):
+    words = "The the apple Apple iPhone Über über ly only fully ed seed wed ing king sing singing ous joyous thing 12 1a , of Because between betweens able table capable ish dish boorish est test 東京 is it".split()
+    got = spark.createDataFrame([(words,), ([],), (None,)], "w array<string>").select(cd.tag_letters(F.col("w")).alias("t")).collect()
+
+    def plain(w):
+        low = w.lower()
+        if not w[0].isalnum() or w[0].isnumeric():
+            return "C" if w[0].isnumeric() else "."
+        for code, listed in cd.LETTERS.items():
+            if low in listed:
+                return code
+        ends = ((r".{2}ly$", "R"), (r".{2}(?:ing|ed)$", "V"), (r".{2}(?:ful|ous|ive|ic|ical|able|ible|less|ish|est)$", "J"))
+        return "P" if w[0].isupper() else next((c for p, c in ends if re.search(p, low)), "N")
+
+    assert [r.t for r in got] == ["".join(map(plain, words)), "", None]
+
+
+def test_words_are_not_copied_to_each_phrase(spark):
+    """What makes rows of phrases gets the phrases, not the sentence's words beside them."""
+    rows = spark.createDataFrame([(1, "The red fox saw a dog of the house.")], "qid int, sentence string")
+    out = cd.noun_phrases(rows, ["qid"])
+    made = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate " in x]
+    assert made and all("_w" not in x for x in made) and out.count() == 4
