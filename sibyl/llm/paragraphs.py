@@ -36,8 +36,18 @@ MOST_BANDS = 4
 BLOCK = 8_192
 #: Places for the hashes of paragraphs that a task has sent, so as not to send equal ones again; a power of 2.
 SENT = 1 << 20
+#: Bytes of a band's key: a key shared by chance costs one comparison, no wrong link.
+KEY = 6
+#: Bits of a key that name its range, and pairs of key and paragraph that a task gathers before it deals them to the ranges.
+RANGE_BITS, HELD = 12, 1 << 20
+#: Bits of the number of words whose hashes a task keeps at hand.
+MET_BITS = 19
+#: Masks for the first bytes of eight, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _PLACE = ("doc_id", "row", "begin", "n_words")
+#: A paragraph of a text, in bytes.
+UNIT = np.dtype([("begin", "<i4"), ("n_words", "<i4"), ("pid", "<i8")])
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 8, most_bands: int = 80) -> tuple[int, int]:
@@ -70,28 +80,73 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(x) - n + 1], out[n - have :]) if have < n else out
 
 
-def cut(texts: list[str | None]) -> Cut:
+def _words(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are white space, and where words begin and end; the last byte must be white space."""
+    space = (letters == 32) | ((letters >= 9) & (letters <= 13))
+    edge = space[1:] != space[:-1]
+    starts = np.flatnonzero(np.concatenate([~space[:1], edge & space[:-1]]))
+    return space, starts, np.flatnonzero(edge & space[1:]) + 1
+
+
+def _quick_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, of eight bytes of all words at a time; words of more than 64 bytes have another hash."""
+    eights = np.ndarray(len(letters), "<u8", np.concatenate([letters, np.zeros(8, np.uint8)]), 0, (1,))  # the eight bytes from each place on
+    left = ends - starts
+    out = mix(left.astype(np.uint64))
+    long = np.flatnonzero(left > 64)
+    own = np.flatnonzero(left <= 64) if len(long) else np.arange(len(left))
+    at, left = starts[own], left[own]
+    while len(own):
+        out[own] = mix(out[own] ^ (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(letters[starts[i] : ends[i]].tobytes())
+    return out
+
+
+class Met:
+    """Hashes of words that were met before, at places that their quick hashes name; newer words take the places of older ones."""
+
+    def __init__(self) -> None:
+        self.quick, self.hashes = np.zeros(1 << MET_BITS, np.uint64), np.zeros(1 << MET_BITS, np.uint64)
+
+    def find(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The XXH3 of each word."""
+        quick = _quick_hashes(letters, starts, ends)
+        place = quick >> np.uint64(64 - MET_BITS)
+        out, new = self.hashes[place], np.flatnonzero(self.quick[place] != quick)
+        if len(new):
+            one, first, back = np.unique(quick[new], return_index=True, return_inverse=True)
+            at, data = new[first], letters.tobytes()
+            made = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)), np.uint64, len(at))
+            out[new] = made[back]
+            self.quick[place[at]], self.hashes[place[at]] = one, made
+        return out
+
+
+def cut(texts: list[str | None], met: Met | None = None) -> Cut:
     """The paragraphs of texts, in order.
 
     A unit ends with a sentence, where it has the words of a shingle. Inside long sentences, a unit begins where the hash of a word and the
     next is the least of REACH places before and after. Lines of LEAST_LINE words are paragraphs too. What has fewer words than a shingle is none.
+    met has the hashes of words of texts cut before.
     """
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    split = [d.split() for d in data]
-    bounds = np.cumsum([0, *map(len, split)])
-    words = [w for own in split for w in own]
+    letters = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
+    space, words, stops = _words(letters)  # where words begin and end
+    bounds = np.searchsorted(words, np.cumsum([0, *[len(d) + 1 for d in data]]))
     n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    hashes = (met or Met()).find(letters, words, stops)
     none = np.zeros(0, np.int64)
     if not n:
         return Cut(hashes, none, none, none, none, none)
     last_of_text = np.zeros(n + 1, bool)
     last_of_text[bounds[1:]] = True
     last_of_text = last_of_text[1:]
-    raw = b" ".join(words)
-    letters = np.frombuffer(raw, np.uint8)
-    stops = np.append(np.flatnonzero(letters == 32), len(raw))  # where each word ends
-    off = np.concatenate([[0], stops + 1])
+    kept = ~space
+    kept[stops] = True  # one space after each word
+    raw, off = np.where(space, np.uint8(32), letters)[kept].tobytes(), np.concatenate([[0], np.cumsum(stops - words + 1)])
     last = letters[stops - 1]
     ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | last_of_text
     place = np.arange(n)
@@ -111,18 +166,12 @@ def cut(texts: list[str | None]) -> Cut:
         if always or at - before >= SHINGLE:
             starts.append(at)
             before = at
-    found = [np.array(starts[:-1], np.int64), np.diff(np.array(starts, np.int64))]
-    lines = []
-    for d, a, m in zip(data, bounds.tolist(), map(len, split), strict=False):
-        if m >= LEAST_LINE:
-            for line in d.split(b"\n"):
-                k = len(line.split())
-                if k >= LEAST_LINE:
-                    lines.append((a, k))
-                a += k
-    if lines:
-        found = [np.concatenate([x, np.array(y, np.int64)]) for x, y in zip(found, zip(*lines, strict=True), strict=True)]
-    at, n_words = np.unique(np.stack(found), axis=1) if lines else found
+    line = np.cumsum(letters == 10, dtype=np.int32)[words]  # texts end lines too
+    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    many = np.diff(np.append(head, n))
+    starts, lines = np.array(starts, np.int64), many >= LEAST_LINE
+    both = np.unique((np.concatenate([starts[:-1], head[lines]]) << 32) | np.concatenate([np.diff(starts), many[lines]]))
+    at, n_words = both >> 32, both & 0xFFFFFFFF
     long = n_words >= SHINGLE
     at, n_words = at[long], n_words[long]
     text = np.searchsorted(bounds, at, side="right") - 1
@@ -238,61 +287,128 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[
     return a, b
 
 
-def _places(texts: DataFrame) -> DataFrame:
-    """doc_id, row, begin, n_words and pid, a hash of the words, of every paragraph."""
+def _bytes(key: np.ndarray) -> np.ndarray:
+    """The KEY bytes of each key, a row for each."""
+    return np.ascontiguousarray(key, np.uint64).view(np.uint8).reshape(-1, 8)[:, :KEY]
+
+
+def _numbers(rows: np.ndarray) -> np.ndarray:
+    """The keys that _bytes gave."""
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :KEY] = rows
+    return out.view(np.uint64).ravel()
+
+
+def _stretches(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binary values, each of the rows up to one of the ends."""
+    offsets = np.concatenate([[0], ends * rows.shape[1]]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _signed(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id and row of every text that has paragraphs, and in bytes its paragraphs (units, as UNIT) and their bands (keys); a text is cut once, here."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                c = cut(part.column(2).to_pylist())
-                at = pa.array(c.text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(c.begin.astype(np.int32)), pa.array(c.n_words.astype(np.int32)), pa.array(c.pid)], [*_PLACE, "pid"])
+                c = cut(part.column(2).to_pylist(), met)
+                units = np.empty(len(c.pid), UNIT)
+                units["begin"], units["n_words"], units["pid"] = c.begin, c.n_words, c.pid
+                keys = band_keys(_shingles(c.hashes), c.at, c.at + c.n_words - SHINGLE + 1, bands, rows).view(np.uint64) >> np.uint64(64 - 8 * KEY)
+                ends = np.flatnonzero(np.diff(c.text, append=-1)) + 1
+                at = pa.array(c.text[ends - 1])
+                found = [_stretches(units.view(np.uint8).reshape(-1, UNIT.itemsize), ends), _stretches(_bytes(keys).reshape(-1, bands * KEY), ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *found], ["doc_id", "row", "units", "keys"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return written(texts.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, begin int, n_words int, pid long"), "paragraphs")
+    return written(texts.select("doc_id", "row", "text").mapInArrow(sign, f"doc_id {kind}, row long, units binary, keys binary"), "paragraphs")
 
 
-def _shared_bands(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, pid) of the bands that two or more different paragraphs have."""
+def _shared_bands(signed: DataFrame, bands: int) -> DataFrame:
+    """(key, pid) of the bands that two or more different paragraphs have, and (null, pid) of the paragraphs that stand at two places or more.
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.zeros(SENT, np.int64)
+    Pairs go to ranges of keys, many in a row, and a range is sorted by itself.
+    """
+
+    def dealt(keys: list[np.ndarray], pids: list[np.ndarray]) -> pa.RecordBatch:
+        key, pid = np.concatenate(keys), np.concatenate(pids)
+        part = (key >> np.uint64(8 * KEY - RANGE_BITS)).astype(np.int16)
+        order = np.argsort(part, kind="stable")
+        part, ends = part[order], np.flatnonzero(np.diff(part[order], append=-1)) + 1
+        pairs = np.hstack([_bytes(key[order]), pid[order].view(np.uint8).reshape(-1, 8)])
+        return pa.RecordBatch.from_arrays([pa.array(part[ends - 1].astype(np.int32)), _stretches(pairs, ends)], ["part", "pairs"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, keys, pids, held = np.zeros(SENT, np.int64), [], [], 0
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                c = cut(b.column(0).slice(k, 256).to_pylist())
-                _, new = np.unique(c.pid, return_index=True)
-                place = c.pid[new] & (SENT - 1)
-                new = new[sent[place] != c.pid[new]]
-                sent[c.pid[new] & (SENT - 1)] = c.pid[new]
-                keys = band_keys(_shingles(c.hashes), c.at[new], c.at[new] + c.n_words[new] - SHINGLE + 1, bands, rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(np.tile(c.pid[new], bands))], ["key", "pid"])
+                units, own = (b"".join(c.slice(k, 256).to_pylist()) for c in b.columns)
+                pid, key = np.frombuffer(units, UNIT)["pid"], _numbers(np.frombuffer(own, np.uint8).reshape(-1, KEY)).reshape(-1, bands)
+                one, first, times = np.unique(pid, return_index=True, return_counts=True)
+                place = one & (SENT - 1)
+                old = sent[place] == one
+                sent[place] = one
+                new, again = first[~old], first[old | (times > 1)]  # a pair that comes again tells of a second place
+                keys.append(np.concatenate([key[new].T.ravel(), key[again, 0]]))
+                pids.append(np.concatenate([np.tile(pid[new], bands), pid[again]]))
+                held += len(pids[-1])
+                if held >= HELD:
+                    yield dealt(keys, pids)
+                    keys, pids, held = [], [], 0
+        if held:
+            yield dealt(keys, pids)
+
+    def shared(pairs: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(pairs), np.uint8).reshape(-1, KEY + 8)
+        key, pid = _numbers(rows[:, :KEY]), np.ascontiguousarray(rows[:, KEY:]).view(np.int64).ravel()
+        order = np.lexsort((pid, key))
+        key, pid = key[order], pid[order]
+        twice = np.concatenate([[False], (key[1:] == key[:-1]) & (pid[1:] == pid[:-1])])
+        equal, key, pid = np.unique(pid[twice]), key[~twice], pid[~twice]
+        same = key[1:] == key[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, none = np.concatenate([key[some].view(np.int64), equal]), np.arange(some.sum() + len(equal)) >= some.sum()
+        return pa.RecordBatch.from_arrays([pa.array(key, mask=none), pa.array(np.concatenate([pid[some], equal]))], ["key", "pid"])
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pid, is_shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        now, held = None, []
         for b in batches:
-            # the last row is held back: the next batch may go on with its band
-            key, pid = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((key, pid), b.columns, strict=True))
-            if not len(key):
-                continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (pid[1:] != pid[:-1])])
-            key, pid = key[new], pid[new]
-            same = key[1:] == key[:-1]
-            before = np.concatenate([[is_shared], same])
-            some = before[:-1] | same
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][some]), pa.array(pid[:-1][some])], ["key", "pid"])
-            key, pid, is_shared = key[-1:], pid[-1:], bool(before[-1])
-        if is_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pid)], ["key", "pid"])
+            for part, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != now and held:
+                    yield shared(held)
+                    held = []
+                now = part
+                held.append(pairs)
+        if held:
+            yield shared(held)
+
+    pairs = signed.select("units", "keys").mapInArrow(deal, "part int, pairs binary")
+    return written(pairs.repartition("part").sortWithinPartitions("part").mapInArrow(share, "key long, pid long"), "shared-bands")
+
+
+def _places(signed: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, row, begin, n_words and pid of the paragraphs in shared; banded: some other paragraph has a band of it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                own = part.column(2).to_pylist()
+                units = np.frombuffer(b"".join(own), UNIT)
+                at = pa.array(np.repeat(np.arange(len(own)), [len(x) // UNIT.itemsize for x in own]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *[pa.array(np.ascontiguousarray(units[c])) for c in UNIT.names]], [*_PLACE, "pid"])
 
-    keyed = texts.select("text").mapInArrow(sign, "key long, pid long")
-    return written(keyed.repartition("key").sortWithinPartitions("key", "pid").mapInArrow(share, "key long, pid long"), "shared-bands")
+    kind = signed.schema["doc_id"].dataType.simpleString()
+    wanted = shared.groupBy("pid").agg(F.max(F.col("key").isNotNull()).alias("banded"))
+    places = signed.select("doc_id", "row", "units").mapInArrow(place, f"doc_id {kind}, row long, begin int, n_words int, pid long")
+    return written(places.join(wanted, "pid"), "shared-paragraphs")
 
 
 def _links(places: DataFrame, texts: DataFrame, shared: DataFrame, similarity: float, block: int) -> DataFrame:
     """(a, b): links of similar paragraphs of one band, by exact similarity."""
-    wanted = shared.select("pid").distinct()
-    first = places.join(wanted, "pid", "left_semi").groupBy("pid").agg(F.min(F.struct(*_PLACE)).alias("at")).select("pid", "at.*")
+    first = places.filter("banded").groupBy("pid").agg(F.min(F.struct(*_PLACE)).alias("at")).select("pid", "at.*")
     asked = first.groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "n_words", "pid")).alias("asked"))  # at most the paragraphs of one text
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,9 +450,11 @@ def _compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
     a, b = [], []
     if rows.num_rows:
         group, pid = np.stack([c.to_numpy() for c in rows.columns[:3]]), rows.column(3).to_numpy()
-        words = [w.split(b" ") for w in rows.column(4).to_pylist()]
-        many = np.array([len(w) for w in words])
-        own = _shingles(np.fromiter((xxhash.xxh3_64_intdigest(w) for each in words for w in each), np.uint64, int(many.sum())))
+        words = rows.column(4).to_pylist()
+        letters = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        _, starts, stops = _words(letters)
+        many = np.diff(np.searchsorted(starts, np.cumsum([0, *[len(w) + 1 for w in words]])))
+        own = _shingles(_quick_hashes(letters, starts, stops))
         # the shingles of a paragraph begin at all but its last words; each counts once
         here = many - SHINGLE + 1
         row = np.repeat(np.arange(len(many)), here)
@@ -372,9 +490,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, lea
     """Every paragraph of a class of two or more: its place, `head` (the class's first place), kept, and of the others the run that they lie in (run, run_words)."""
     bands, rows = tuned_bands(similarity, PARAGRAPH_RECALL, most_bands=MOST_BANDS)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    places = _places(texts)
-    equal = written(places.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pid"), "equal-paragraphs")
-    classes = components(_links(places, texts, _shared_bands(texts, bands, rows), similarity, block)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
+    signed = _signed(texts, bands, rows)
+    shared = _shared_bands(signed, bands)
+    places, equal = _places(signed, shared), shared.filter("key IS NULL").select("pid").distinct()
+    classes = components(_links(places, texts, shared.filter("key IS NOT NULL"), similarity, block)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
     roots = written(equal.join(classes, "pid", "full").select("pid", F.coalesce("root", "pid").alias("root")), "paragraph-classes")
     members = written(places.join(roots, "pid").select("root", *_PLACE).distinct(), "paragraph-members")
     heads = members.groupBy("root").agg(F.min(F.struct(*_PLACE)).alias("head"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")

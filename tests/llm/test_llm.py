@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 from collections import Counter
 from zlib import crc32
 
@@ -377,6 +378,58 @@ def test_texts_are_cut_alike_wherever_they_stand():
         assert whole.count(0) < 5  # only what is left at the end may be short
 
 
+def test_texts_are_cut_once(spark, tmp_path, monkeypatch):
+    plain = paragraphs.cut
+
+    def counted(texts, *more):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(texts)))
+        return plain(texts, *more)
+
+    monkeypatch.setattr(paragraphs, "cut", counted)
+    rows = [r for r in messy() if r[0] is not None and r[1] is not None]
+    assert paragraphs.repeated(spark.createDataFrame(rows, DOCS)).count()
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == len(rows)
+
+
+def test_words_met_before_keep_their_hashes():
+    rng = random.Random(5)
+    words = [b"a", b"bc", b"12345678", b"123456789", b"x" * 63, b"x" * 64, b"x" * 65, b"z" * 300, "\u65e5\u672c".encode(), b"\x00", b"\x1f", b"a\x00", *[str(i).encode() for i in range(3000)]]
+    met = paragraphs.Met()
+    for _ in range(20):
+        own = [rng.choice(words) for _ in range(2000)]
+        letters = np.frombuffer(b"".join(w + rng.choice([b" ", b"\n", b" \t\r", b"\x0b\x0c"]) for w in own), np.uint8)
+        _, starts, ends = paragraphs._words(letters)
+        assert [letters[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == own
+        assert met.find(letters, starts, ends).tolist() == [xxhash.xxh3_64_intdigest(w) for w in own]
+        quick = paragraphs._quick_hashes(letters, starts, ends).tolist()
+        assert len(set(quick)) == len(set(own)) == len(set(zip(quick, own, strict=True)))
+
+
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_shared_bands_are_those_of_all_pairs(spark, monkeypatch, held):
+    monkeypatch.setattr(paragraphs, "HELD", held)
+    rows = [r for r in messy() if r[0] is not None and r[1] is not None]
+    texts = spark.createDataFrame(rows, DOCS).select("doc_id", F.xxhash64("text").alias("row"), "text").repartition(3)
+    holders, places = {}, {}
+    for d, t, *_ in rows:
+        c = paragraphs.cut([t])
+        keys = paragraphs.band_keys(paragraphs._shingles(c.hashes), c.at, c.at + c.n_words - 4, 4, 2).view(np.uint64) >> np.uint64(16)
+        for own, a, n, pid in zip(keys.tolist(), c.begin.tolist(), c.n_words.tolist(), c.pid.tolist(), strict=True):
+            places[pid] = [*places.get(pid, []), (d, a, n)]
+            for k in own:
+                holders.setdefault(k, set()).add(pid)
+    equal = {p for p, at in places.items() if len(at) > 1}
+    banded = {p for own in holders.values() if len(own) > 1 for p in own}
+    signed = paragraphs._signed(texts, 4, 2)
+    shared = paragraphs._shared_bands(signed, 4)
+    got = shared.collect()
+    assert {r.pid for r in got if r.key is None} == equal and equal - banded
+    pairs = [(r.key, r.pid) for r in got if r.key is not None]
+    assert sorted(pairs) == sorted((k, p) for k, own in holders.items() if len(own) > 1 for p in own) and pairs
+    found = paragraphs._places(signed, shared).collect()
+    assert sorted((r.pid, r.banded, r.doc_id, r.begin, r.n_words) for r in found) == sorted((p, p in banded, *at) for p in equal | banded for at in places[p])
+
+
 def test_similar_sets_are_linked():
     rng = random.Random(4)
     for size in (2, 30):
