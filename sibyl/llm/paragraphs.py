@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, map_columns, written
+from .common import MOST_SENT, drop_written, map_columns, written
 from .components import components
 from .store import mix
 
@@ -445,6 +445,12 @@ def _links(places: DataFrame, texts: DataFrame, shared: DataFrame, similarity: f
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _by_group(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The order by group (0 to n - 1), then value; numbers of 16 bits are sorted in linear time."""
+    order = np.argsort(value)
+    return order[np.argsort((group.astype(np.uint16) if n <= 1 << 16 else group)[order], kind="stable")]
+
+
 def _compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
     """Links within the groups (key, i, j) of sorted rows; groups of two, the most, are compared all at once."""
     a, b = [], []
@@ -459,7 +465,7 @@ def _compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
         here = many - SHINGLE + 1
         row = np.repeat(np.arange(len(many)), here)
         value = own[np.arange(len(row)) + np.repeat(np.cumsum(many) - many - (np.cumsum(here) - here), here)]
-        order = np.lexsort((value, row))
+        order = _by_group(row, value, len(many))
         row, value = row[order], value[order]
         once = np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])
         row, flat = row[once], value[once]
@@ -473,7 +479,7 @@ def _compared(rows: pa.Table, similarity: float) -> pa.RecordBatch:
             far = np.cumsum(sizes[both])
             at = np.arange(far[-1]) + np.repeat(ends[both] - far, sizes[both])
             pair, value = np.repeat(np.tile(np.arange(len(x)), 2), sizes[both]), flat[at]
-            order = np.lexsort((value, pair))
+            order = _by_group(pair, value, len(x))
             pair, value = pair[order], value[order]
             shared = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(x))
             near = shared >= similarity * (sizes[x] + sizes[x + 1] - shared) - 1e-9
@@ -493,6 +499,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, lea
     signed = _signed(texts, bands, rows)
     shared = _shared_bands(signed, bands)
     places, equal = _places(signed, shared), shared.filter("key IS NULL").select("pid").distinct()
+    drop_written(signed)
     classes = components(_links(places, texts, shared.filter("key IS NOT NULL"), similarity, block)).select(F.col("id").alias("pid"), F.col("component").alias("root"))
     roots = written(equal.join(classes, "pid", "full").select("pid", F.coalesce("root", "pid").alias("root")), "paragraph-classes")
     members = written(places.join(roots, "pid").select("root", *_PLACE).distinct(), "paragraph-members")
