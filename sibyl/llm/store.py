@@ -67,20 +67,27 @@ class Store:
                 self._maps[shard] = out
         return self._maps[shard]
 
-    def find(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The values of each key, 0 where it is not there."""
-        wanted, back = np.unique(keys, return_inverse=True)
+    def find(self, keys: np.ndarray, shard: np.ndarray | None = None) -> list[np.ndarray]:
+        """The values of each key, 0 where it is not there. shard: the keys' shards, of a store that is not cut by key range."""
+        order = np.argsort(keys)
+        if shard is not None:
+            order = order[np.argsort(shard[order], kind="stable")]
+        ordered = keys[order]
+        first = runs(ordered)
+        wanted, some = ordered[first], order[first]
+        where = shard_of(wanted, self.shards).astype(np.int64) if shard is None else shard[some]
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         got = [np.zeros(len(wanted), k) for k in self.kinds]
-        cuts = np.searchsorted(shard_of(wanted, self.shards), np.arange(self.shards + 1, dtype=np.uint64))
-        for s in np.flatnonzero(np.diff(cuts)):
-            arrays = self._arrays(int(s))
+        for a, e in zip(starts := runs(where), np.append(starts, len(where))[1:], strict=True):
+            arrays = self._arrays(int(where[a]))
             if arrays is None or not len(arrays[0]):
                 continue
-            part = wanted[cuts[s] : cuts[s + 1]]
+            part = wanted[a:e]
             at = np.minimum(np.searchsorted(arrays[0], part), len(arrays[0]) - 1)
             there = arrays[0][at] == part
-            for g, a in zip(got, arrays[1:], strict=True):
-                g[cuts[s] : cuts[s + 1]][there] = a[at[there]]
+            for g, x in zip(got, arrays[1:], strict=True):
+                g[a:e][there] = x[at[there]]
         return [g[back] for g in got]
 
 

@@ -1,17 +1,17 @@
 """Exact substring deduplication over suffix arrays.
 
-What can repeat is found first. Every 50-byte string holds a byte string of 16 whose hash is the smallest of the 35 in it:
-its anchor. Equal strings have equal anchors at equal places. Anchors that occur in two documents are gathered in a sorted
-store, and around each occurrence of such an anchor the bytes that its 50-byte strings can cover, at most 84, are its
-context. Equal contexts are one, with the smallest document that holds it.
-
-The distinct contexts go to shards by anchor. A shard's contexts are one byte sequence; its suffix array is refined by prefix doubling
-(Larsson-Sadakane: only groups that are not yet told apart are sorted again), Kasai's common prefixes give the runs of suffixes that
-share 50 bytes, and the smallest document of a run tells which strings of a context also start earlier. Anchors with too many
-contexts for one shard are spread over several: each sends its distinct strings in sorted order, and these are merged by range, every shard
-finding its strings in the merged list by binary search.
-
-At last every document looks its contexts up and removes what they cover.
+What can repeat is found first. Every 50-byte string holds a byte string of 16 whose hash is the smallest of the 35 in it, the leftmost
+of equal ones: its anchor. Equal strings have equal anchors at equal places, and with them the 16 bytes before the anchor (where 17 or more
+of the string's bytes lie there) or the 16 bytes after it. These 32 bytes are the string's key. Strings of one key that follow each
+other in a text are a piece, of 50 to 67 bytes. Keys that occur in two documents are gathered in a sorted store; only their pieces go on. Equal
+pieces are one, with the smallest document that holds it.
+
+The distinct pieces go to shards by key. What several pieces of a key have is told by a suffix array of their bytes, refined by prefix
+doubling (8, 16, 32, 50 bytes: no more is asked) and only over suffixes of so many bytes; suffixes that share 50 bytes are a run, and the
+smallest document of a run tells which strings of a piece also start earlier. Pieces of a key with too many places are cut into
+pieces of up to six strings, which go to shards by the 45 bytes that these share.
+
+At last every document looks its pieces up, by binary search in sorted stores, and removes what they cover.
 """
 
 from __future__ import annotations
@@ -20,23 +20,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, new_folder, spread, written
-from .store import Store, build, mix, put_arrays, shard_of
+from .common import drop_written, new_folder, spread, written
+from .store import Store, build, mix, put_arrays, runs, shard_of
 
 #: Length of a repeated string and of an anchor, both in bytes.
 LENGTH, ANCHOR = 50, 16
-#: Strings of LENGTH that hold one anchor, and bytes of a context on either side of the anchor.
+#: Strings of LENGTH that hold one anchor, and bytes from the first of them to the anchor.
 WINDOW = LENGTH - ANCHOR + 1
 SIDE = WINDOW - 1
-#: Anchors of a shard in the first pass, contexts of a suffix array (they bound a task's memory), and places of one anchor beyond which it is spread over shards.
-ANCHORS_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 250_000, 5_000, 20_000
-#: Low bytes of an anchor's hash that are not kept. Anchors that look equal only add contexts; the suffix arrays compare bytes.
+#: Strings that have their anchor so far on, or farther, share the bytes before it; the others those after it.
+HALF = ANCHOR + 1
+#: Keys of a shard in the first pass and places of a shard in the second (they bound a task's memory), pieces of a suffix array, and places of one key beyond which its pieces are cut.
+KEYS_PER_SHARD, PLACES_PER_SHARD, CONTEXTS, MOST_OF_AN_ANCHOR = 600_000, 150_000, 5_000, 20_000
+#: Strings of a piece of such a key.
+FEW = 6
+#: Low bytes of a key that are not kept. Keys that look equal only add pieces; the suffix arrays compare bytes.
 DROPPED = 2
+#: Bytes of texts that are worked on at once (more only where one text has more), and those after which keys or pieces are sent on.
+STRETCH, HELD = 1 << 22, 1 << 25
+#: Keys or pieces after which these are sent on.
+MOST_HELD = 600_000
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -48,40 +57,66 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (n - have)], x[n - have :]) if have < n else x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a byte sequence: all 16-byte strings whose hash is the smallest of some window."""
+def anchors(data: np.ndarray) -> np.ndarray:
+    """For each 50-byte string of at most 2^17 bytes, from the first on, the place of its anchor."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, have = data.astype(np.uint64) + np.uint64(1), 1
-    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
-        h = h[:-have] * np.uint64(factor) + h[have:]
+        return np.zeros(0, np.int64)
+    h, have = data.astype(np.uint32) + np.uint32(1), 1
+    for factor in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F):
+        h = h[:-have] * np.uint32(factor) + h[have:]
         have *= 2
-    h = mix(h)
-    least = _sliding(h, WINDOW, np.minimum)
-    around = np.concatenate([np.zeros(SIDE, np.uint64), least, np.zeros(SIDE, np.uint64)])
-    at = np.flatnonzero(_sliding(around, WINDOW, np.maximum) == h)
-    return at, h[at]
-
-
-def _documents(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes in one sequence, and where each begins (and the last ends)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-
-
-def _anchors_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and document numbers of the anchors that lie in one document; taken over stretches that fit a processor's cache."""
-    places, hashes, step = [], [], 1 << 16
-    for a in range(0, max(1, len(data)), step):
-        low = max(0, a - 2 * LENGTH)
-        at, h = anchors(data[low : a + step + 2 * LENGTH])
-        own = (at + low >= a) & (at + low < a + step)
-        places.append(at[own] + low)
-        hashes.append(h[own])
-    at, h = np.concatenate(places), np.concatenate(hashes)
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    whole = (at + ANCHOR <= bounds[doc + 1]) & (bounds[doc + 1] - bounds[doc] >= LENGTH)
-    return at[whole], h[whole] >> np.uint64(8 * DROPPED) << np.uint64(8 * DROPPED), doc[whole]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    # 15 bits of the hash, then the place: the least of these is the leftmost of the smallest
+    h = (h & np.uint32(0xFFFE0000)) | np.arange(len(h), dtype=np.uint32)
+    return (_sliding(h, WINDOW, np.minimum) & np.uint32(0x1FFFF)).astype(np.int64)
+
+
+def _documents(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes in one sequence, and where each begins (and the last ends). Null: empty."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, offsets, values = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (id, text), about STRETCH bytes of texts at a time."""
+    for b in batches:
+        if b.num_rows:
+            group = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)).astype(np.int64)) // STRETCH
+            edges = [*runs(group).tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield b.slice(lo, hi - lo)
+
+
+def _strings_by_key(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all strings of one key that follow each other in a document: place of the anchor, first and last string, number of the document, key."""
+    at, low, before, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], -1, 1 << 16
+    for a in range(0, len(data) - LENGTH + 1, step):
+        place = anchors(data[a : a + step + LENGTH - 1]) + a
+        new = np.concatenate([[place[0] != before], place[1:] != place[:-1]])
+        begins = bounds[np.searchsorted(bounds, a) : np.searchsorted(bounds, a + len(place))]
+        new[begins - a] = True
+        new, before = np.flatnonzero(new), place[-1]
+        at.append(place[new])
+        low.append(new + a)
+    at, low = np.concatenate(at), np.concatenate(low)
+    doc = np.searchsorted(bounds, low, side="right") - 1
+    high = np.minimum(np.append(low[1:], max(0, len(data) - LENGTH + 1))[: len(low)] - 1, bounds[doc + 1] - LENGTH)
+    whole = low <= high
+    at, low, high, doc = at[whole], low[whole], high[whole], doc[whole]
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,)) if len(data) > 7 else np.zeros(0, "<u8")
+    own = mix(mix(words[at]) ^ words[at + 8])
+    left, right = np.flatnonzero(low <= at - HALF), np.flatnonzero(high > at - HALF)
+    keys = [mix(mix(own[left] ^ words[at[left] - 16]) ^ words[at[left] - 8]), mix(mix(~own[right] ^ words[at[right] + 16]) ^ words[at[right] + 24])]
+    both, cut = np.concatenate([left, right]), np.uint64(8 * DROPPED)
+    low = np.concatenate([low[left], np.maximum(low[right], at[right] - HALF + 1)])
+    high = np.concatenate([np.minimum(high[left], at[left] - HALF), high[right]])
+    return at[both], low, high, doc[both], np.concatenate(keys) >> cut << cut
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -151,73 +186,120 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int, lane: int =
     return by_place[order]
 
 
-def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each context a mask of its 50-byte strings (bit j: from byte j on) that a context of a smaller document holds too.
+def sorted_strings(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array cut at 50 bytes: the places with so many bytes left, ordered by these, and whether each differs from the one before.
 
-    Also the distinct strings in sorted order: context, byte, smallest document.
+    left: bytes from each place to the end of its text. Prefix doubling: the first order is by 8 bytes, then by 16, 32 and 50, each from ranks
+    of the order before, over the places that have so many bytes. Equal ranks at 50 are what Kasai's lengths of 50 or more would tell.
     """
-    sizes = np.array([len(c) for c in contexts])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
-    data[starts + sizes] = 0  # a symbol that no text has ends each context
-    order = suffix_array(data)
-    shared = common_prefixes(data, order, LENGTH)
-    owner = np.repeat(np.arange(len(contexts)), sizes + 1)[order]
-    byte = order - starts[owner]
-    whole = byte + LENGTH <= sizes[owner]
-    run = np.cumsum(shared < LENGTH)[whole]
-    owner, byte = owner[whole], byte[whole]
-    mask = np.zeros(len(contexts), np.int64)
-    if not len(run):
-        return mask, owner, byte, docs[:0]
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key, have = np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64), 8
+    at = np.flatnonzero(left >= have)
+    key, rank = key[at], np.zeros(len(data), np.uint64)
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        if have == LENGTH:
+            return at[order], new
+        rank[at[order]] = np.cumsum(new, dtype=np.uint64)
+        step = min(have, LENGTH - have)
+        at, have = np.flatnonzero(left >= have + step), have + step
+        key = (rank[at] << np.uint64(32)) | rank[at + step]
+
+
+def earlier_strings(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each piece (its bytes follow the last one's) a mask of its 50-byte strings (bit j: from byte j on) that a piece of a smaller document holds too."""
+    ends = np.cumsum(sizes)
+    at, new = sorted_strings(data, np.repeat(ends, sizes) - np.arange(len(data)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+    first = np.flatnonzero(new)
     least = np.minimum.reduceat(docs[owner], first)
-    earlier = np.repeat(least, np.diff(np.append(first, len(run)))) < docs[owner]
-    np.bitwise_or.at(mask, owner[earlier], np.int64(1) << byte[earlier])
-    return mask, owner[first], byte[first], least
-
-
-def _copies(texts: DataFrame) -> Store:
-    """A store of the texts that several rows have: smallest document, and 64 more bits of the text's hash."""
-
-    def sign(values: list[str | None]) -> list[list[int]]:
-        both = [_text_key(v) for v in values]
-        return [[b[0] for b in both], [b[1] for b in both]]
-
-    keys = map_columns(texts, ["doc_id"], [F.col("_text")], [("key", "long"), ("check", "long")], sign)
+    earlier = np.repeat(least, np.diff(np.append(first, len(at)))) < docs[owner]
+    owner, byte = owner[earlier], (at - (ends - sizes)[owner])[earlier]
+    return np.bincount(owner, (1 << byte).astype(float), len(sizes)).astype(np.int64)  # each bit once
+
+
+def _earlier_of_many(pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """The same for pieces of one key that are too many for an array: their strings go to arrays one by one, equal ones to the same, as these take whole ranges of a hash."""
+    n = np.array([len(p) - LENGTH + 1 for p in pieces])
+    owner, byte = np.repeat(np.arange(len(pieces)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(p[j : j + LENGTH]) for p in pieces for j in range(len(p) - LENGTH + 1)), np.uint64, len(owner))
+    order = np.argsort(h)
+    mask = np.zeros(len(pieces), np.int64)
+    for a, e in _whole(runs(h[order]), len(order), CONTEXTS):
+        o, j = owner[order[a:e]], byte[order[a:e]]
+        data = b"".join([pieces[k][b : b + LENGTH] for k, b in zip(o.tolist(), j.tolist(), strict=True)])
+        np.bitwise_or.at(mask, o, earlier_strings(np.frombuffer(data, np.uint8), np.full(e - a, LENGTH), docs[o]) << j)
+    return mask
+
+
+def _whole(starts: np.ndarray, n: int, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of about `most` of n rows that hold whole groups, which begin at starts."""
+    edges, a = np.append(starts, n), 0
+    while a < n:
+        e = max(int(edges[np.searchsorted(edges, a + most, side="right") - 1]), int(edges[np.searchsorted(edges, a, side="right")]))
+        yield a, e
+        a = e
+
+
+def _copies(texts: DataFrame) -> tuple[Store, int]:
+    """A store of the texts that several rows have: smallest document, and 64 more bits of the text's hash; and the bytes of all texts."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _stretches(batches):
+            data, bounds = _documents(b.column(1))
+            keys = _text_keys(data, bounds)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.diff(bounds))], ["doc_id", "key", "check", "n_bytes"])
+
+    keys = written(texts.select("doc_id", "_text").mapInArrow(sign, "doc_id long, key long, check long, n_bytes long"), "text-keys")
     many = written(keys.groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("key").agg(F.min(F.struct("check", "first")).alias("x")).select("key", "x.first", "x.check"), "copies")
-    return build(many, "copies-store", max(spread(texts.sparkSession), -(-many.count() // 500_000)))
+    n_bytes = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    store = build(many, "copies-store", max(spread(texts.sparkSession), -(-many.count() // 500_000)))
+    drop_written(keys)
+    drop_written(many)
+    return store, n_bytes
 
 
-def _text_key(text: str | None) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
-    return (h & (2**64 - 1)) - 2**63, (h >> 64) - 2**63
+def _text_keys(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    raw, digest, edges = memoryview(data), xxhash.xxh3_128_digest, bounds.tolist()
+    return np.frombuffer(b"".join([digest(raw[a:e]) for a, e in zip(edges[:-1], edges[1:], strict=True)]), "<i8").reshape(-1, 2)
 
 
-def _is_later_copy(ids: list[int], texts: list[str | None], copies: Store) -> np.ndarray:
-    if not texts:
+def _later_copies(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, copies: Store) -> np.ndarray:
+    if not len(ids):
         return np.zeros(0, bool)
-    keys = np.array([_text_key(t) for t in texts], np.int64)
-    first, check = copies.find(mix(keys[:, 0].view(np.uint64)))
-    return (check == keys[:, 1]) & (check != 0) & (first < np.array(ids, np.int64))
+    keys = _text_keys(data, bounds)
+    first, check = copies.find(mix(keys[:, 0].astype(np.uint64)))
+    return (check == keys[:, 1]) & (check != 0) & (first < ids)
+
+
+def _first_texts(b: pa.RecordBatch, copies: Store) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, bytes and bounds of the rows (id, text) that are no later copies of a text."""
+    ids = b.column(0).to_numpy(zero_copy_only=False)
+    data, bounds = _documents(b.column(1))
+    later = _later_copies(ids, data, bounds, copies)
+    if later.any():
+        data, bounds = _documents(b.column(1).filter(pa.array(~later)))
+    return ids[~later], data, bounds
 
 
 def _packets(shard: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(data, pa.binary())], ["shard", "data"])
 
 
-def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int]:
-    """A store of the anchors that two rows hold, with the number of their places, and the sum of these numbers."""
-    folder = new_folder(texts.sparkSession, "anchors")
+def _shared_keys(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int]:
+    """A store of the keys that two rows hold, with the number of their places, and the sum of these numbers."""
+    folder = new_folder(texts.sparkSession, "keys")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             h, d = np.concatenate(hashes), np.concatenate(docs)
-            order = np.lexsort((d, h))
+            order = np.argsort(h)
             h, d = h[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            last = np.append(first, len(h))[1:] - 1
-            counts = (np.diff(np.append(first, len(h))).clip(max=2**30) * 2 + (d[first] != d[last])).astype("<u4")
+            first = runs(h)
+            split = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(h) else np.zeros(0, bool)
+            counts = (np.diff(np.append(first, len(h))).clip(max=2**30) * 2 + split).astype("<u4")
             h = h[first]
             cuts = np.searchsorted(shard_of(h, n), np.arange(n + 1, dtype=np.uint64))
             some = np.flatnonzero(np.diff(cuts))
@@ -225,19 +307,15 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
             return _packets(some, [cut_off[cuts[s] : cuts[s + 1]].tobytes() + counts[cuts[s] : cuts[s + 1]].tobytes() for s in some])
 
         hashes, docs, held, row = [], [], 0, 0
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                values = part.column(1).to_pylist()
-                later = _is_later_copy(part.column(0).to_pylist(), values, copies)
-                data, bounds = _documents([v for v, skip in zip(values, later, strict=True) if not skip])
-                _, h, d = _anchors_of(data, bounds)
-                hashes.append(h)
-                docs.append(d + row)
-                held, row = held + len(h), row + len(bounds)
-                if held >= 600_000:
-                    yield flush()
-                    hashes, docs, held = [], [], 0
+        for b in _stretches(batches):
+            _, data, bounds = _first_texts(b, copies)
+            *_, d, h = _strings_by_key(data, bounds)
+            hashes.append(h)
+            docs.append((d + row).astype(np.int32))
+            held, row = held + len(h), row + len(bounds)
+            if held >= MOST_HELD:
+                yield flush()
+                hashes, docs, held, row = [], [], 0, 0
         if hashes:
             yield flush()
 
@@ -255,7 +333,7 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
             c = np.concatenate([np.frombuffer(x, "<u4", m, (8 - DROPPED) * m) for x, m in zip(packets, each, strict=True)]).astype(np.int64)
             order = np.argsort(h)
             h, c = h[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            first = runs(h)
             places, split, parts = np.add.reduceat(c >> 1, first), np.maximum.reduceat(c & 1, first), np.diff(np.append(first, len(h)))
             shared = (split > 0) | (parts > 1)
             put_arrays(folder, s, [h[first][shared], np.minimum(places[shared], 2**31).astype("u4")])
@@ -266,58 +344,57 @@ def _shared_anchors(texts: DataFrame, copies: Store, n: int) -> tuple[Store, int
     return Store(folder, n, ("u4",)), total
 
 
-def _shared_contexts(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tuple[np.ndarray, ...]:
-    """Each place of a shared anchor, its hash, number of places, document, first and last byte of the context, and the context's key."""
-    at, h, doc = _anchors_of(data, bounds)
-    (places,) = shared.find(h) if len(h) else (np.zeros(0, "u4"),)
-    some = places > 0
-    at, h, doc, places = at[some], h[some], doc[some], places[some]
-    low, high = np.maximum(at - SIDE, bounds[doc]), np.minimum(at + ANCHOR + SIDE, bounds[doc + 1])
-    raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
-    key = np.array([digest(raw[a:b], s) for a, b, s in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)], np.uint64)
-    return at, h, places, doc, low, high, key
-
-
-def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int) -> Store:
-    """A store by context: the smallest document that holds it, and the mask of its strings that start in one still smaller."""
-    n = max(spread(texts.sparkSession), -(-places // (10 * CONTEXTS)))
+def _shared_pieces(data: np.ndarray, bounds: np.ndarray, shared: Store) -> tuple[np.ndarray, ...]:
+    """The pieces of shared keys: their group's hash, document number, first and last byte, and own key. Pieces of one group are compared."""
+    at, low, high, doc, group = _strings_by_key(data, bounds)
+    (places,) = shared.find(group) if len(group) else (np.zeros(0, "u4"),)
+    some, hot = (places > 0) & (places <= MOST_OF_AN_ANCHOR), places > MOST_OF_AN_ANCHOR
+    parts, raw = [(group[some], doc[some], low[some], high[some] + LENGTH)], data.tobytes()
+    at, low, high, doc = at[hot], low[hot], high[hot], doc[hot]
+    for k in range(0, WINDOW if len(at) else 0, FEW):
+        begin = at - SIDE + k
+        a, e = np.maximum(low, begin), np.minimum(high, begin + FEW - 1)
+        has = a <= e
+        common = [raw[b : b + LENGTH - FEW + 1] for b in (begin[has] + FEW - 1).tolist()]
+        parts.append((mix(np.array([xxhash.xxh3_64_intdigest(c, k) for c in common], np.uint64)), doc[has], a[has], e[has] + LENGTH))
+    group, doc, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    digest = xxhash.xxh3_64_intdigest
+    key = np.array([digest(raw[a:e]) for a, e in zip(low.tolist(), high.tolist(), strict=True)], np.uint64)
+    return group, doc, low, high, key
+
+
+def _piece_masks(texts: DataFrame, copies: Store, shared: Store, places: int) -> Store:
+    """A store by piece, in the shard of its group: the smallest document that holds it, and the mask of its strings that start in one still smaller."""
+    n, folder = max(spread(texts.sparkSession), -(-places // PLACES_PER_SHARD)), new_folder(texts.sparkSession, "pieces")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            items = list(held.items())
-            shard = np.array([x[2] for _, x in items], np.int64)
-            order = np.argsort(shard, kind="stable")
-            packets, cuts = [], np.searchsorted(shard[order], np.arange(2 * n + 1))
-            squeeze = zstandard.ZstdCompressor(level=1)
-            some = np.flatnonzero(np.diff(cuts))
+            group, doc, key, low, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            first = runs(key[order])
+            doc, one = np.minimum.reduceat(doc[order], first) if len(first) else doc, order[first]
+            order = np.argsort(group[one])  # which is the order of shards too
+            doc, one = doc[order], one[order]
+            group, low, size, raw = group[one], low[one], size[one], b"".join(raws)
+            cuts = np.searchsorted(shard_of(group, n), np.arange(n + 1, dtype=np.uint64))
+            some, squeeze, packets = np.flatnonzero(np.diff(cuts)), zstandard.ZstdCompressor(level=1), []
             for s in some:
-                rows = [items[i] for i in order[cuts[s] : cuts[s + 1]]]
-                head = np.array([(x[0], x[3]) for _, x in rows], np.uint64)
-                planes = head.view(np.uint8).reshape(len(rows), 16).T.tobytes()
-                body = b"".join(x[1] for _, x in rows)
-                sizes = np.array([(len(x[1]), x[5]) for _, x in rows], np.uint8).T.tobytes()
-                packets.append(squeeze.compress(np.int64(len(rows)).tobytes() + planes + sizes + body))
+                x = slice(cuts[s], cuts[s + 1])
+                head = np.column_stack([group[x], doc[x].view(np.uint64)])
+                body = b"".join([raw[a : a + m] for a, m in zip(low[x].tolist(), size[x].tolist(), strict=True)])
+                packets.append(squeeze.compress(np.int64(len(head)).tobytes() + head.view(np.uint8).reshape(len(head), 16).T.tobytes() + size[x].astype(np.uint8).tobytes() + body))
             return _packets(some, packets)
 
-        held: dict[int, tuple] = {}
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids, values = part.column(0).to_pylist(), part.column(1).to_pylist()
-                own = ~_is_later_copy(ids, values, copies)
-                ids = np.array(ids, np.int64)[own]
-                data, bounds = _documents([v for v, o in zip(values, own, strict=True) if o])
-                at, h, count, doc, low, high, key = _shared_contexts(data, bounds, shared)
-                raw = data.tobytes()
-                # an anchor of many places is spread over the second n shards by context
-                target = np.where(count > MOST_OF_AN_ANCHOR, n + shard_of(mix(key), n).astype(np.int64), shard_of(h, n).astype(np.int64))
-                for key_, d, a, e, s, anchor, place in zip(key.tolist(), ids[doc].tolist(), low.tolist(), high.tolist(), target.tolist(), h.tolist(), (at - low).tolist(), strict=True):
-                    known = held.get(key_)
-                    if known is None or d < known[4]:
-                        held[key_] = (anchor, raw[a:e], s, d + 2**63, d, place)
-                if len(held) >= 60_000:
-                    yield flush()
-                    held.clear()
+        held, raws, n_held, n_bytes = [], [], 0, 0
+        for b in _stretches(batches):
+            ids, data, bounds = _first_texts(b, copies)
+            group, doc, low, high, key = _shared_pieces(data, bounds, shared)
+            held.append((group, ids[doc], key, low + n_bytes, high - low))
+            raws.append(data.tobytes())
+            n_held, n_bytes = n_held + len(key), n_bytes + len(data)
+            if n_held >= MOST_HELD or n_bytes >= HELD:
+                yield flush()
+                held, raws, n_held, n_bytes = [], [], 0, 0
         if held:
             yield flush()
 
@@ -327,66 +404,36 @@ def _context_masks(texts: DataFrame, copies: Store, shared: Store, places: int)
             for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(s, []).append(x)
         for s in sorted(held):
-            heads, texts_ = [], []
+            heads, sizes, bodies = [], [], []
             for x in map(zstandard.ZstdDecompressor().decompress, held.pop(s)):
                 m = int(np.frombuffer(x, np.int64, 1)[0])
-                head = np.ascontiguousarray(np.frombuffer(x, np.uint8, 16 * m, 8).reshape(16, m).T).view(np.uint64)
-                ends, places = np.cumsum(np.frombuffer(x, np.uint8, m, 8 + 16 * m)), np.frombuffer(x, np.uint8, m, 8 + 17 * m)
-                body = x[8 + 18 * m :]
-                part = [body[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                key = np.array([xxhash.xxh3_64_intdigest(c, p) for c, p in zip(part, places.tolist(), strict=True)], np.uint64)
-                heads.append(np.column_stack([key, head]))
-                texts_ += part
-            head = np.concatenate(heads)
-            order = np.lexsort((head[:, 2], head[:, 0], head[:, 1]))  # by anchor, then context, smallest document first
-            head = head[order]
-            one = np.flatnonzero(np.concatenate([[True], (head[1:, :2] != head[:-1, :2]).any(1)]))
-            head, order = head[one], order[one]
-            docs = (head[:, 2] ^ np.uint64(1 << 63)).view(np.int64)
-            edges = np.flatnonzero(np.concatenate([[True], head[1:, 1] != head[:-1, 1], [True]]))
-            a = 0
-            while a < len(head):  # an array takes whole anchors, and in the second n shards any stretch
-                e = a + CONTEXTS
-                if s < n:
-                    e = max(int(edges[np.searchsorted(edges, e, side="right") - 1]), int(edges[np.searchsorted(edges, a, side="right")]))
-                e = min(e, len(head))
-                part = [texts_[i] for i in order[a:e]]
-                mask, who, byte, least = earlier_strings(part, docs[a:e])
-                if s < n:
-                    yield _masks(head[a:e, 0], docs[a:e], mask, [None] * (e - a), np.full(e - a, 0))
+                heads.append(np.ascontiguousarray(np.frombuffer(x, np.uint8, 16 * m, 8).reshape(16, m).T).view(np.uint64))
+                sizes.append(np.frombuffer(x, np.uint8, m, 8 + 16 * m))
+                bodies.append(x[8 + 17 * m :])
+            (group, doc), size, body = np.concatenate(heads).T, np.concatenate(sizes).astype(np.int64), b"".join(bodies)
+            ends = np.cumsum(size).tolist()
+            pieces = [body[a:e] for a, e in zip([0, *ends[:-1]], ends, strict=True)]
+            key = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces], np.uint64)
+            order = np.lexsort((key, group))
+            g, k = group[order], key[order]
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])]))
+            doc, one, g, k = np.minimum.reduceat(doc.view(np.int64)[order], first), order[first], g[first], k[first]
+            mask, begin = np.zeros(len(g), np.int64), runs(g)
+            n_of = np.repeat(np.diff(np.append(begin, len(g))), np.diff(np.append(begin, len(g))))
+            many = np.flatnonzero(n_of > 1)  # a group of a single piece has nothing to compare
+            for a, e in _whole(runs(g[many]), len(many), CONTEXTS):
+                rows = many[a:e]
+                part = [pieces[i] for i in one[rows].tolist()]
+                if n_of[rows[0]] > MOST_OF_AN_ANCHOR:
+                    mask[rows] = _earlier_of_many(part, doc[rows])
                 else:
-                    strings = np.array([xxhash.xxh3_64_intdigest(part[w][j : j + LENGTH]) for w, j in zip(who.tolist(), byte.tolist(), strict=True)], np.uint64)
-                    yield _masks(strings, least, np.zeros(len(strings), np.int64), [None] * len(strings), np.full(len(strings), 1))
-                    yield _masks(head[a:e, 0], docs[a:e], mask, part, np.full(e - a, 2))
-                a = e
-
-    sent = texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartitionById(2 * n, "shard")
-    found = written(sent.mapInArrow(work, "kind int, key long, doc long, mask long, context binary"), "contexts")
-    done = found.filter("kind = 0").select("key", "doc", "mask")
-    held = found.filter("kind = 2")
-    if not held.isEmpty():
-        merged = written(found.filter("kind = 1").groupBy("key").agg(F.min("doc").alias("doc")), "strings")
-        strings = build(merged, "strings-store", max(2, -(-merged.count() // 1_000_000)))
-
-        def look_up(docs: list[int], contexts: list[bytes]) -> list[np.ndarray]:
-            sizes = np.array([max(0, len(c) - LENGTH + 1) for c in contexts])
-            keys = np.array([xxhash.xxh3_64_intdigest(c[j : j + LENGTH]) for c in contexts for j in range(len(c) - LENGTH + 1)], np.uint64)
-            owner, byte = np.repeat(np.arange(len(contexts)), sizes), np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            mask = np.zeros(len(contexts), np.int64)
-            if len(keys):
-                earlier = strings.find(mix(keys))[0] < np.array(docs, np.int64)[owner]
-                np.bitwise_or.at(mask, owner[earlier], np.int64(1) << byte[earlier])
-            return [mask]
-
-        found_again = map_columns(held, ["key", "doc"], [F.col("doc"), F.col("context")], [("mask", "long")], look_up, rows=4096)
-        done = done.unionByName(found_again)
-    # one row for each context: the smallest document, the strings that are earlier for it
-    each = done.groupBy("key").agg(F.min(F.struct("doc", "mask")).alias("x")).select("key", F.col("x.doc").alias("doc"), F.col("x.mask").alias("mask"))
-    return build(each, "context-store", max(spread(texts.sparkSession), -(-places // 1_000_000)))
-
-
-def _masks(key: np.ndarray, doc: np.ndarray, mask: np.ndarray, context: list, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.ascontiguousarray(key).view(np.int64)), pa.array(doc, pa.int64()), pa.array(mask, pa.int64()), pa.array(context, pa.binary())], ["kind", "key", "doc", "mask", "context"])
+                    mask[rows] = earlier_strings(np.frombuffer(b"".join(part), np.uint8), size[one[rows]], doc[rows])
+            order = np.argsort(k)
+            put_arrays(folder, s, [k[order], doc[order], mask[order].astype("u4")])
+            yield pa.RecordBatch.from_arrays([pa.array([len(k)], pa.int64())], ["n"])
+
+    texts.select("doc_id", "_text").mapInArrow(collect, "shard int, data binary").repartitionById(n, "shard").mapInArrow(work, "n long").agg(F.sum("n")).first()
+    return Store(folder, n, ("i8", "u4"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,34 +445,40 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     texts = rows.filter("doc_id IS NOT NULL AND _text IS NOT NULL")
-    n_bytes = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    copies = _copies(texts)
-    shared, places = _shared_anchors(texts, copies, max(spread(docs.sparkSession), -(-n_bytes // (18 * ANCHORS_PER_SHARD))))
-    contexts = _context_masks(texts, copies, shared, places)
-
-    def remove(ids: list[int | None], values: list[str | None]) -> list[list]:
-        known = [i for i, d in enumerate(ids) if d is not None]
-        later = np.zeros(len(ids), bool)
-        later[known] = _is_later_copy([ids[i] for i in known], [values[i] for i in known], copies)
-        looked = [i for i in known if not later[i]]
-        data, bounds = _documents([values[i] for i in looked])
-        _, _, _, doc, low, high, key = _shared_contexts(data, bounds, shared)
-        least, mask = contexts.find(mix(key)) if len(key) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        own = np.array([ids[i] for i in looked], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-        mask = np.where(least < own, np.int64(2**WINDOW - 1), mask)
-        starts = np.zeros(len(data) + LENGTH, bool)  # where a string that goes begins, LENGTH places on
-        for j in range(WINDOW):
-            starts[low[((mask >> j) & 1 == 1) & (low + j + LENGTH <= high)] + j + LENGTH] = True
-        so_far = np.cumsum(starts, dtype=np.int32)
-        gone = so_far[LENGTH:] > so_far[:-LENGTH]
-        at, spans, kept, sizes = {i: k for k, i in enumerate(looked)}, [], [], []
-        for i, v in enumerate(values):
-            raw = (v or "").encode("utf-8", "surrogatepass")
-            sizes.append(len(raw))
-            flags = gone[bounds[at[i]] : bounds[at[i] + 1]] if i in at else np.full(len(raw), later[i] and len(raw) >= LENGTH)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-            spans.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-            kept.append(np.frombuffer(raw, np.uint8)[~flags].tobytes() if len(edge) else raw)
-        return [sizes, spans, kept]
-
-    return map_columns(rows, ["doc_id"], [F.col("doc_id"), F.col("_text")], [("n_bytes", "long"), ("spans", "array<struct<start: long, end: long>>"), ("kept", "binary")], remove)
+    copies, n_bytes = _copies(texts)
+    shared, places = _shared_keys(texts, copies, max(spread(docs.sparkSession), -(-n_bytes // (12 * KEYS_PER_SHARD))))
+    pieces = _piece_masks(texts, copies, shared, places)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _stretches(batches):
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            all_data, all_bounds = _documents(b.column(1))
+            sizes = np.diff(all_bounds)
+            later = known & _later_copies(ids, all_data, all_bounds, copies)
+            looked = known & ~later
+            data, bounds = _documents(b.column(1).filter(pa.array(looked)))
+            group, doc, low, high, key = _shared_pieces(data, bounds, shared)
+            least, mask = pieces.find(key, shard_of(group, pieces.shards).astype(np.int64))
+            mask = np.where(least < ids[looked][doc], np.int64(2**WINDOW - 1), mask.astype(np.int64))
+            starts = np.zeros(len(data) + LENGTH, bool)  # where a string that goes begins, LENGTH places on
+            for j in range(HALF + 1):
+                starts[low[((mask >> j) & 1 == 1) & (low + j + LENGTH <= high)] + j + LENGTH] = True
+            so_far = np.cumsum(starts, dtype=np.int32)
+            gone = np.repeat(later & (sizes >= LENGTH), sizes)
+            gone[np.repeat(looked, sizes)] = so_far[LENGTH:] > so_far[:-LENGTH]
+            # a run of bytes that go begins and ends in one text
+            begins, ends = np.concatenate([gone, [False]]), np.concatenate([[False], gone])
+            begins[1:] &= ~gone
+            ends[:-1] &= ~gone
+            inner = all_bounds[(all_bounds > 0) & (all_bounds < len(gone))]
+            begins[inner], ends[inner] = gone[inner], gone[inner - 1]
+            begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+            row = np.searchsorted(all_bounds, begins, side="right") - 1
+            offset = lambda at: pa.array(at.astype(np.int32))
+            spans = pa.ListArray.from_arrays(offset(np.searchsorted(begins, all_bounds)), pa.StructArray.from_arrays([pa.array(begins - all_bounds[row]), pa.array(ends - all_bounds[row])], ["start", "end"]))
+            rest = all_data[~gone]
+            kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, offset(all_bounds - np.concatenate([[0], np.cumsum(gone)])[all_bounds]).buffers()[1], pa.py_buffer(rest.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), spans, kept], ["doc_id", "n_bytes", "spans", "kept"])
+
+    return rows.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

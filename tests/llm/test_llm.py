@@ -557,6 +557,34 @@ def test_repeated_bytes(spark, docs, empty, clashing, monkeypatch, contexts, mos
     assert suffix.without_repeats(empty).count() == 0 and suffix.without_repeats(clashing).count() == len(messy())
 
 
+def test_strings_are_keyed_once_evenly_and_by_32_bytes():
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, (3, 40_000), dtype=np.uint8)
+    letters[1, 500:580] = letters[0, 900:980]  # a passage of 80 bytes, and runs of 28 that no string of 50 can share
+    for k in range(2_000, 30_000, 100):
+        letters[2, k : k + 28] = letters[0, k + 7 : k + 35]
+    bounds = np.array([0, 40_000, 40_000, 80_000, 120_000])
+    at, low, high, doc, key = suffix._strings_by_key(letters.reshape(-1), bounds)
+    starts = np.concatenate([np.arange(a, e + 1) for a, e in zip(low, high)])
+    assert sorted(starts.tolist()) == [s for a in (0, 40_000, 80_000) for s in range(a, a + 40_000 - 49)]
+    assert (at - high >= 0).all() and (at - low <= 34).all() and set(doc.tolist()) == {0, 2, 3}
+    of = dict(zip(starts.tolist(), np.repeat(key, high - low + 1).tolist()))
+    assert all(of[900 + j] == of[40_500 + j] for j in range(31))
+    assert set(key[doc == 0].tolist()) & set(key[doc == 2].tolist()) and not set(key[doc == 0].tolist()) & set(key[doc == 3].tolist())
+    shards = np.bincount(store.shard_of(key, 16).astype(int), minlength=16)  # the smallest of 35 hashes as a key would put nine of ten into the first
+    assert shards.max() < 1.3 * shards.mean()
+
+
+def test_strings_of_too_many_pieces(monkeypatch):
+    monkeypatch.setattr(suffix, "CONTEXTS", 40)
+    rng = np.random.default_rng(2)
+    pieces = list({bytes(rng.integers(97, 99, n, dtype=np.uint8)) + b"x" * 45 + bytes(rng.integers(97, 99, 6, dtype=np.uint8)) for n in (0, 2, 5) for _ in range(200)})
+    docs = rng.permutation(len(pieces))
+    want = [sum(1 << j for j in range(len(p) - 49) if min(d for q, d in zip(pieces, docs) if p[j : j + 50] in q) < docs[i]) for i, p in enumerate(pieces)]
+    assert suffix._earlier_of_many(pieces, docs).tolist() == want
+    assert suffix.earlier_strings(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces]), docs).tolist() == want
+
+
 def test_packing(spark, docs, empty, clashing):
     import public_tokenizers
     from tokenizers import Tokenizer
