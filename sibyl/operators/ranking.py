@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import stages
 from ..functions import text as tx
-from .index import PostingIndex
+from .index import PostingIndex, by_shard, dealt, opened
 
 #: Words of questions that are sent to the tasks; pairs of an entry and a question, and of a document and a question, that a task works on at once (more only where one document has more).
 MOST_ASKED, PAIRS = 200_000, 1 << 21
@@ -27,6 +27,8 @@ MOST_ASKED, PAIRS = 200_000, 1 << 21
 GROUPS = 8
 #: Scores are rounded to six digits after: what is so near to the last of the best may still be equal to it.
 NEAR = 2e-6
+#: Places of a document in one order of all places; a document has fewer.
+SPACED = 1 << 32
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -216,6 +218,59 @@ def _group_entries(rows: list[pa.RecordBatch]) -> tuple:
     return own.dictionary, doc[order].astype(np.int64), term[order].astype(np.int64), impact[order]
 
 
+def phrase_hits(index: PostingIndex, phrases: pa.Array) -> DataFrame:
+    """(_phrase, key) of the documents that hold each phrase (words joined by a space): of the index only the entries of their words are shuffled, once, as bytes, by part; there a phrase's words meet."""
+    spark, words = index.spark, pc.split_pattern(phrases.cast(pa.string()), " ")
+    terms = pc.unique(words.flatten())
+    code = pc.index_in(words.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    shared, key = spark.sparkContext.broadcast((phrases, terms, code, np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))))), index.key
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.index_in(b.column(0), value_set=shared.value[1].cast(b.column(0).type)).to_numpy(zero_copy_only=False).astype(np.int32)
+            keys, places = b.column(2).flatten(), b.column(3).flatten()
+            part = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), many) * GROUPS + _group(keys)
+            yield dealt(pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(term, many)), places], ["key", "term", "places"]), part)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, terms, code, starts = shared.value
+        for _, packets in by_shard(batches):
+            keys, at, begin = _places(opened(packets), len(terms))
+            n, found, docs = np.diff(begin), [], []
+            for i in np.flatnonzero(np.minimum.reduceat(n[code], starts[:-1]) > 0).tolist():
+                own = code[starts[i] : starts[i + 1]]
+                by = np.argsort(n[own], kind="stable").tolist()  # the word of the fewest places first
+                start = at[begin[own[by[0]]] : begin[own[by[0]] + 1]] - by[0]
+                for j in by[1:]:
+                    other = at[begin[own[j]] : begin[own[j] + 1]]
+                    start = start[other[np.minimum(np.searchsorted(other, start + j), len(other) - 1)] == start + j]
+                    if not len(start):
+                        break
+                doc = start // SPACED
+                doc = doc[np.concatenate((np.ones(min(1, len(doc)), bool), doc[1:] != doc[:-1]))]
+                found.append(np.full(len(doc), i))
+                docs.append(doc)
+            if found:
+                yield pa.RecordBatch.from_arrays([phrases.take(pa.array(np.concatenate(found))), keys.take(pa.array(np.concatenate(docs)))], ["_phrase", key])
+
+    of = lambda name: F.transform("entries", lambda e: e[name]).alias(name)
+    asked = index.asked_blocks(spark.createDataFrame(pa.table({"term": terms})))
+    sent = asked.select("term", "part", of("key"), of("places")).mapInArrow(pack, "shard int, data binary")
+    shards = max(1, GROUPS * -(-index.n_docs() // (1 << 16)))
+    return sent.repartition(shards, "shard").mapInArrow(meet, f"_phrase string, `{key}` {index.kind}")
+
+
+def _places(entries: pa.RecordBatch, n_terms: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys of the documents, and the places of entries (key, term, places), in order by term; a document's lie SPACED after the last one's. Where each term's begin."""
+    own = entries.column(0).dictionary_encode()
+    term, tf = entries.column(1).to_numpy(zero_copy_only=False), pc.list_value_length(entries.column(2)).to_numpy(zero_copy_only=False)
+    at = np.repeat(own.indices.to_numpy(zero_copy_only=False).astype(np.int64), tf) * SPACED + entries.column(2).flatten().to_numpy(zero_copy_only=False)
+    term = np.repeat(term, tf)
+    order = np.lexsort((at, term))
+    return own.dictionary, at[order], np.searchsorted(term[order], np.arange(n_terms + 1))
+
+
 def few(rows: DataFrame, most: int) -> pa.Table | None:
     """The rows, if they are `most` or fewer."""
     got = rows.limit(most + 1).toArrow()

@@ -99,16 +99,19 @@ def _ranked(found: DataFrame, n: int | None, key: str) -> DataFrame:
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def phrase_search(queries: DataFrame, docs: DataFrame | PostingIndex, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def phrase_search(queries: DataFrame, docs: DataFrame | PostingIndex, key: str = "doc_id", text: str | Column = "text", most: int = ranking.MOST_ASKED) -> DataFrame:
     """Boolean phrase queries (qid, term, weight, required), a term being one or more words in a row: qid, key, score (sum of the weights that hit).
 
     Documents give their runs of words of the lengths that are asked for; a run is looked up as a whole, so a frequent word in a phrase
     meets nothing. Runs that no phrase equals go before anything is shuffled, where the phrases are few enough for Spark to broadcast.
-    An index gives the places of a phrase's rarest word first, and those of the other words only in the documents that have it.
+    Of an index, up to `most` phrases go to the tasks, which look them up part by part; more meet the places of their rarest word first, and those of the other words only in the documents that have it.
     """
     parts = queries.withColumn("_w", tx.tokens(F.col("term"))).withColumn("_n", F.size("_w")).filter("_n > 0").withColumn("_phrase", F.array_join("_w", " "))
     if isinstance(docs, PostingIndex):
-        return _phrase_scores(parts, _phrase_hits(parts.select("_phrase").distinct(), docs), docs.key)
+        phrases = parts.select("_phrase").distinct()
+        known = ranking.few(phrases, most)
+        hits = _phrase_hits(phrases, docs) if known is None else ranking.phrase_hits(docs, known.column("_phrase").combine_chunks())
+        return _phrase_scores(parts, hits, docs.key)
     lengths = F.broadcast(parts.agg(F.sort_array(F.collect_set("_n")).alias("_lengths")))  # one row
     phrases = parts.select("_phrase").distinct()
     words = docs.select(key, tx.tokens(F.col(text) if isinstance(text, str) else text).alias("_t")).crossJoin(lengths)
