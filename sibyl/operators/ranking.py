@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import stages
 from ..functions import text as tx
-from .index import PostingIndex, by_shard, dealt, opened
+from .index import PART_DOCS, PostingIndex, by_shard, dealt, opened
 
 #: Words of questions that are sent to the tasks; pairs of an entry and a question, and of a document and a question, that a task works on at once (more only where one document has more).
 MOST_ASKED, PAIRS = 200_000, 1 << 21
@@ -200,11 +200,11 @@ def from_index(index: PostingIndex, terms: pa.Array) -> Entries:
     return Entries(rows, groups, terms, df, index.n_docs(), T.StructType.fromDDL(f"`{index.key}` {index.kind}").fields[0])
 
 
-def _group(keys: pa.Array) -> np.ndarray:
+def _group(keys: pa.Array, groups: int = GROUPS) -> np.ndarray:
     if pa.types.is_integer(keys.type):
-        return keys.to_numpy(zero_copy_only=False).astype(np.int64) & (GROUPS - 1)
+        return keys.to_numpy(zero_copy_only=False).astype(np.int64) % groups
     own = keys.dictionary_encode()
-    return np.array([crc32(str(k).encode("utf-8", "surrogatepass")) & (GROUPS - 1) for k in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy(zero_copy_only=False)]
+    return np.array([crc32(str(k).encode("utf-8", "surrogatepass")) % groups for k in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy(zero_copy_only=False)]
 
 
 def _group_entries(rows: list[pa.RecordBatch]) -> tuple:
@@ -223,6 +223,10 @@ def phrase_hits(index: PostingIndex, phrases: pa.Array) -> DataFrame:
     spark, words = index.spark, pc.split_pattern(phrases.cast(pa.string()), " ")
     terms = pc.unique(words.flatten())
     code = pc.index_in(words.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = index.sizes()
+    # parts are those of the largest batch; documents of equal parts of other batches are dealt to more groups
+    parts = max(1, -(-max(sizes, default=0) // PART_DOCS))
+    groups = GROUPS * max(1, -(-sum(sizes) // (parts * PART_DOCS)))
     shared, key = spark.sparkContext.broadcast((phrases, terms, code, np.append(0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))))), index.key
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def phrase_hits(index: PostingIndex, phrases: pa.Array) -> DataFrame:
             many = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
             term = pc.index_in(b.column(0), value_set=shared.value[1].cast(b.column(0).type)).to_numpy(zero_copy_only=False).astype(np.int32)
             keys, places = b.column(2).flatten(), b.column(3).flatten()
-            part = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), many) * GROUPS + _group(keys)
+            part = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64) % parts, many) * groups + _group(keys, groups)
             yield dealt(pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(term, many)), places], ["key", "term", "places"]), part)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +261,7 @@ def phrase_hits(index: PostingIndex, phrases: pa.Array) -> DataFrame:
     of = lambda name: F.transform("entries", lambda e: e[name]).alias(name)
     asked = index.asked_blocks(spark.createDataFrame(pa.table({"term": terms})))
     sent = asked.select("term", "part", of("key"), of("places")).mapInArrow(pack, "shard int, data binary")
-    shards = max(1, GROUPS * -(-index.n_docs() // (1 << 16)))
-    return sent.repartition(shards, "shard").mapInArrow(meet, f"_phrase string, `{key}` {index.kind}")
+    return sent.repartitionById(parts * groups, "shard").mapInArrow(meet, f"_phrase string, `{key}` {index.kind}")
 
 
 def _places(entries: pa.RecordBatch, n_terms: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
